@@ -25,7 +25,8 @@ CLOSING = "\"')]"
 #: Phrases of page furniture, in lower case.
 BOILERPLATE = ("all rights reserved", "terms of use", "privacy policy", "accept cookies", "enable javascript", "click here", "subscribe to our", "sign up for")
 
-PER_LINE_WORDS, NAV_BARS, SHOUT_LETTERS = 4, 3, 10
+#: An unfinished line is page furniture if it is short; a long one is prose that was cut off.
+UNFINISHED, NAV_BARS, SHOUT_LETTERS = (4, 30), 3, 10
 MAX_LOSS_PERCENT = 30
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_failed_lines long, n_lost_words long, base_failed boolean, kept boolean"
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "n_lost_words", "base_failed", "kept"]
@@ -91,7 +92,7 @@ def measure(flat: np.ndarray, at: np.ndarray, max_loss_percent: int = MAX_LOSS_P
     upper = per((flat >= 65) & (flat <= 90), start, end)
     lower = per((flat >= 97) & (flat <= 122), start, end)
     failed = (n > 0) & (
-        (~ended & (n >= PER_LINE_WORDS))
+        (~ended & (n >= UNFINISHED[0]) & (n <= UNFINISHED[1]))
         | (per(bar, start, end) >= NAV_BARS)
         | (10 * per(symbol, start, end) >= 3 * n)
         | ((upper > lower) & (upper >= SHOUT_LETTERS))
@@ -183,7 +184,7 @@ VERDICT_SQL = rf"""
  l0 AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM w),
  l1 AS (SELECT rid, line, k, len(regexp_extract_all(line, '{_WORD}')) AS n, rtrim(line, ' "'')]' || chr(9) || chr(11) || chr(12) || chr(13)) AS tail FROM l0),
  l2 AS (SELECT *, row_number() OVER (PARTITION BY rid, line ORDER BY k) > 1 AS again FROM l1 WHERE n > 0),
- l3 AS (SELECT *, (NOT (tail <> '' AND contains('{TERMINAL}', right(tail, 1))) AND n >= {PER_LINE_WORDS})
+ l3 AS (SELECT *, (NOT (tail <> '' AND contains('{TERMINAL}', right(tail, 1))) AND n BETWEEN {UNFINISHED[0]} AND {UNFINISHED[1]})
         OR len(line) - len(replace(line, '|', '')) >= {NAV_BARS}
         OR 10 * (len(line) - len(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) >= 3 * n
         OR (len(regexp_extract_all(line, '[A-Z]')) > len(regexp_extract_all(line, '[a-z]')) AND len(regexp_extract_all(line, '[A-Z]')) >= {SHOUT_LETTERS})
