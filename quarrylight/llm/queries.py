@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarrylight.llm import quality, tokencount, urls
+from quarrylight.llm import quality, tokencount, toxicity, urls
 
-MODULES = (quality, tokencount, urls)
+MODULES = (quality, tokencount, toxicity, urls)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items() if sql}

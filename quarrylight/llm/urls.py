@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: (verdict, host, path prefix).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-BUCKETS, TRAIN_ROWS, EPOCHS, RATE, DECAY, THRESHOLD = 2048, 10_000, 300, 0.5, 1e-3, 0.5
+BUCKETS, TRAIN_ROWS, EPOCHS, RATE, DECAY, THRESHOLD = 2048, 10_000, 300, 0.5, 1e-3, 0.4
 #: Multipliers of the trigram hash.
 _M1, _M2, _M3 = 961, 31, 7
 
@@ -39,11 +39,12 @@ LABELLED = (
     ("https://spam-links.example.com/en/881", 1),
     ("http://pills-online.example.net/viagra", 1),
     ("https://win-free-money.example.com/click", 1),
-    ("https://m.online-bets.example.com/en/31", 1),
-    ("http://free-bets.example.net/es/310.html", 1),
-    ("https://ads-banner.example.com/en/2?page=2", 1),
+    ("https://m.online-bets.example.com/en/218", 1),
+    ("http://free-bets.example.net/es/87.html", 1),
+    ("https://ads-banner.example.com/en/2", 1),
     ("http://m.track-ads.example.net/fr/75/", 1),
     ("https://adult-chat.example.net/fr/4", 1),
+    ("http://blog.adult-x.example.com/en/77.html", 1),
     ("http://m.casino-vegas.example.com/en/14.html", 1),
     ("https://www.win-casino.example.net/es/640", 1),
     ("https://www.newspaper.example.com/en/301", 0),
@@ -62,7 +63,10 @@ LABELLED = (
     ("https://inand.example.net/de/870", 0),
     ("https://ththe.example.com/de/3190/", 0),
     ("https://m.erthan.example.com/de/31?utm_source=feed", 0),
-    ("http://m.thandre.example.com/en/4012.html", 0),
+    ("http://m.thandre.example.com/en/3412.html", 0),
+    ("http://ththnd.example.net/fr/3488?page=2&ref=x", 0),
+    ("https://m.ththor.example.net/en/9634#top", 0),
+    ("https://tionin.example.com/es/3477?utm_source=feed", 0),
     ("https://www.storypages.example.com/en/2#top", 0),
     ("http://citycouncil.example.net/en/minutes", 0),
 )
