@@ -40,7 +40,7 @@ def _find(window: int, anchor: int):
             low = sliding_min(grams(h, anchor), window - anchor + 1)
             row = words.row()
             start, n, m, content = cut(low, whole, words.fits(window)[: len(whole)], row, window)
-            yield row[start] + i, start - words.first[row[start]], n, m, content
+            yield row[start] + i, start - words.first[row[start]], n, m, content, np.zeros(len(m), bool)
 
     return find
 

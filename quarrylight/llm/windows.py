@@ -29,7 +29,9 @@ from quarrylight.llm.kernel import mix, pair, signed
 from quarrylight.llm.store import stage
 
 HOT = 8_192
-SEGMENT = "m long, content long, doc_id long, part int, start int, n int, done boolean"
+#: state: 0, or REPEATED (an earlier row has its content), or INNER (some of its own windows are equal).
+SEGMENT = "m long, content long, doc_id long, part int, start int, n int, state int"
+REPEATED, INNER = 1, 2
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -69,33 +71,52 @@ def cut(low: np.ndarray, whole: np.ndarray, valid: np.ndarray, row: np.ndarray,
     return at[first], size, key[first], content
 
 
+def inner(start: np.ndarray, n: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Which segments hold two equal windows (as in periodic text)."""
+    out = np.zeros(len(start), bool)
+    x = np.sort(whole)
+    twice = x[1:][x[1:] == x[:-1]]
+    if not len(twice):
+        return out
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+    which = np.repeat(np.arange(len(start)), n)
+    h = whole[place]
+    some = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+    h, which = h[some], which[some]
+    by = np.lexsort((h, which))
+    h, which = h[by], which[by]
+    out[which[1:][(h[1:] == h[:-1]) & (which[1:] == which[:-1])]] = True
+    return out
+
+
 def segments(docs: DataFrame, find: Callable, across: bool) -> DataFrame:
-    """Segment rows of keyed documents. find(text column) yields (row, start, n, m, content) arrays; across: repeats count between documents only."""
+    """Segment rows of keyed documents. find(text column) yields (row, start, n, m, content, inner) arrays; across: repeats count between documents only."""
 
     def run(batches):
         for batch in batches:
             got = list(find(batch.column("text")))
             if not got:
                 continue
-            row, start, n, m, content = (np.concatenate(x) for x in zip(*got, strict=True))
+            row, start, n, m, content, state = (np.concatenate(x) for x in zip(*got, strict=True))
             ids = batch.column("doc_id")
             known = np.asarray(ids.is_valid())[row]
-            row, start, n, m, content = row[known], start[known], n[known], m[known], content[known]
+            row, start, n, m, content, state = row[known], start[known], n[known], m[known], content[known], state[known] * INNER
             doc = np.asarray(ids.fill_null(0), np.int64)[row]
             part = np.asarray(batch.column("part"), np.int32)[row]
             order = np.lexsort((start, part, doc, content, m))
-            row, start, n, m, content, doc, part = (x[order] for x in (row, start, n, m, content, doc, part))
+            row, start, n, m, content, state, doc, part = (x[order] for x in (row, start, n, m, content, state, doc, part))
             fresh = np.ones(len(m), bool)
             fresh[1:] = (m[1:] != m[:-1]) | (content[1:] != content[:-1])
             lead = np.maximum.accumulate(np.where(fresh, np.arange(len(m)), 0))
             done = doc != doc[lead] if across else ~fresh
+            state = np.where(done, REPEATED, state).astype(np.int32)
             if done.any():
                 m = np.where(done, mix(pair(doc.astype(np.uint64), start.astype(np.uint64))), m)
             for i in range(0, len(m), 50_000):
                 x = slice(i, i + 50_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(m[x])), pa.array(signed(content[x])), pa.array(doc[x]), pa.array(part[x]), pa.array(start[x].astype(np.int32)), pa.array(n[x].astype(np.int32)), pa.array(done[x])],
-                    names=["m", "content", "doc_id", "part", "start", "n", "done"],
+                    [pa.array(signed(m[x])), pa.array(signed(content[x])), pa.array(doc[x]), pa.array(part[x]), pa.array(start[x].astype(np.int32)), pa.array(n[x].astype(np.int32)), pa.array(state[x])],
+                    names=["m", "content", "doc_id", "part", "start", "n", "state"],
                 )
 
     return docs.select("doc_id", "part", "text").mapInArrow(run, SEGMENT)
@@ -118,8 +139,7 @@ def judged(found: DataFrame, across: bool) -> DataFrame:
             count = batch.num_rows
             if not count:
                 continue
-            m, content, doc, part, start, n = (np.asarray(batch.column(c)) for c in ("m", "content", "doc_id", "part", "start", "n"))
-            done = np.asarray(batch.column("done").to_numpy(zero_copy_only=False))
+            m, content, doc, part, start, n, state = (np.asarray(batch.column(c)) for c in ("m", "content", "doc_id", "part", "start", "n", "state"))
             goes_on = last_m is not None and m[0] == last_m
             new_m, new_c = np.ones(count, bool), np.ones(count, bool)
             new_m[1:], new_c[1:] = m[1:] != m[:-1], content[1:] != content[:-1]
@@ -128,7 +148,7 @@ def judged(found: DataFrame, across: bool) -> DataFrame:
             places = np.arange(count)
             lead = np.maximum.accumulate(np.where(new_c, places, -1))
             first_doc = np.where(lead >= 0, doc[lead], last_doc or 0)
-            first = (doc == first_doc if across else new_c) & ~done
+            first = (doc == first_doc if across else new_c) & (state != REPEATED)
             # nth: place of a row's content among those of its minimizer; conflict: that there are several so far
             group = np.maximum.accumulate(np.where(new_m, places, -1))
             contents = np.cumsum(new_c)
@@ -141,8 +161,8 @@ def judged(found: DataFrame, across: bool) -> DataFrame:
             if not goes_on or nth[ends[0] - 1] > 0 or len(begins) > 1:
                 pending = []
             if nth[-1] == 0:
-                pending += [(int(m[i]), int(doc[i]), int(part[i]), int(start[i]), int(n[i])) for i in begins[-1] + np.flatnonzero(first[begins[-1] :])]
-            conflict = first & several
+                pending += [(int(m[i]), int(doc[i]), int(part[i]), int(start[i]), int(n[i])) for i in begins[-1] + np.flatnonzero((first & (state != INNER))[begins[-1] :])]
+            conflict = first & (several | (state == INNER))
             keep = np.flatnonzero(conflict | ~first)
             if len(keep):
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (m, doc, part, start, n)] + [pa.array(conflict[keep])], names=names)
