@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarrylight.llm import neardup, passages, quality, suffix, tokencount, toxicity, urls
+from quarrylight.llm import decontam, neardup, passages, quality, suffix, tokencount, toxicity, urls
 
-MODULES = (neardup, passages, quality, suffix, tokencount, toxicity, urls)
+MODULES = (decontam, neardup, passages, quality, suffix, tokencount, toxicity, urls)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items() if sql}
