@@ -26,7 +26,7 @@ def folder_for(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df once and reads it back: cuts the lineage, and a lost executor costs no recomputation."""
     path = folder_for(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
