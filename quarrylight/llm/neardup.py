@@ -238,6 +238,14 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents that stand for their groups, with all their columns; of rows that repeat a doc_id one stays."""
+    gone = link(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1 AND doc_id IS NOT NULL").select("doc_id")
+    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+
+
 def op8_minhash_neardup(spark, sf_dir: str) -> DataFrame:
     return link(documents(spark, sf_dir))
 

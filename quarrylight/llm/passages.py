@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarrylight.llm.kernel import SPACES, Words, blocks, cover, grams, pair, runs, sliding_min
 from quarrylight.llm.store import documents
@@ -261,6 +262,29 @@ def dedup(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     return repeats(docs, window, **options).select("doc_id", "list", "text").mapInArrow(run, "doc_id long, n_removed long, text string")
 
 
+def clean(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
+    """The documents with their kept words, and all their columns; texts that lose nothing stay as they are."""
+    rest = F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")))
+    plain = len(docs.columns) == 2
+    whole = keyed(docs) if plain else keyed(docs.select("doc_id", "text", rest.alias("rest")), ("rest",))
+    found = runs_of(keyed(docs), _find(window, options.get("anchor", ANCHOR)), _extract(window), _resolver(window, options.get("tile", TILE), options.get("shard", SHARD)), _hashes(window), True, "passages", options.get("hot", HOT))
+    joined = whole.join(found, ["doc_id", "part"], "left").drop("part")
+    each = _assembled(window)
+
+    def run(batches):
+        for batch in batches:
+            where = batch.schema.get_field_index("text")
+            column = batch.column(where)
+            for i, j, words, gone, data, begin in each(batch):
+                lost = np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first])
+                text = [column[i + r].as_py() if not lost[r] else data[begin[r] : max(begin[r], begin[r + 1] - 1)].decode() for r in range(j - i)]
+                part = batch.slice(i, j - i)
+                yield part.set_column(where, batch.schema.field(where), pa.array(text, batch.schema.field(where).type)).drop_columns(["list"])
+
+    out = joined.mapInArrow(run, joined.drop("list").schema)
+    return out.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns))
+
+
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return digest(documents(spark, sf_dir))
 

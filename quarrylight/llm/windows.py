@@ -34,18 +34,18 @@ SEGMENT = "m long, content long, doc_id long, part int, start int, n int, state
 REPEATED, INNER = 1, 2
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, part, text. Equal rows share a part; ids are told apart by text only where one repeats."""
-    docs = docs.select("doc_id", "text")
+def keyed(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, part, text (and more). Equal texts share a part; ids are told apart by text only where one repeats."""
+    docs = docs.select("doc_id", "text", *more)
     again = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 AND doc_id IS NOT NULL").select("doc_id")
     if again.isEmpty():
-        return docs.select("doc_id", F.lit(0).alias("part"), "text")
+        return docs.select("doc_id", F.lit(0).alias("part"), "text", *more)
     from pyspark.sql.window import Window
 
     tag = F.xxhash64(F.coalesce("text", F.lit("")))
     parts = docs.join(again, "doc_id", "left_semi").select("doc_id", tag.alias("tag")).distinct()
     parts = parts.withColumn("part", F.row_number().over(Window.partitionBy("doc_id").orderBy("tag")) - 1)
-    return docs.withColumn("tag", tag).join(parts, ["doc_id", "tag"], "left").select("doc_id", F.coalesce("part", F.lit(0)).alias("part"), "text")
+    return docs.withColumn("tag", tag).join(parts, ["doc_id", "tag"], "left").select("doc_id", F.coalesce("part", F.lit(0)).alias("part"), "text", *more)
 
 
 def cut(low: np.ndarray, whole: np.ndarray, valid: np.ndarray, row: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
