@@ -1,4 +1,9 @@
-"""Registry of the engine's queries."""
+"""Registry of the engine's queries and their oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from quarrylight.plans import analytics_queries
+
+MODULES = (analytics_queries,)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
