@@ -56,7 +56,7 @@ def title_words(text: Column) -> Column:
 def quoted_phrases(query: Column) -> tuple[Column, Column]:
     """The phrases in balanced quotes, and the rest of the query; typographic quotes count."""
     q = F.translate(query, "“”„«»", '"""""')
-    phrases = F.filter(F.transform(F.regexp_extract_all(q, F.lit('"([^"]*)"'), F.lit(1)), F.trim), lambda x: x != "")
+    phrases = F.filter(F.transform(F.regexp_extract_all(q, F.lit('"([^"]*)"'), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
     rest = F.trim(F.regexp_replace(F.replace(F.regexp_replace(q, '"[^"]*"', " "), F.lit('"'), F.lit(" ")), r"\s+", " "))
     return phrases, rest
 
@@ -78,7 +78,7 @@ def positive_int(value: Column) -> Column:
 
 def split_list(value: Column) -> Column:
     """Comma-separated values, trimmed, blanks dropped; null if none."""
-    out = F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    out = F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(out) > 0, out)
 
 
