@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.kernel import SPACES, Words, blocks, cover, grams, pair, runs, sliding_min
+from quarrylight.llm.kernel import Words, blocks, cover, grams, pair, runs, sliding_min
 from quarrylight.llm.store import documents
-from quarrylight.llm.windows import HOT, cut, keyed, runs_of, spans
+from quarrylight.llm.windows import cut, keyed, runs_of, spans
 
 WINDOW, ANCHOR, TILE = 50, 20, 25
-#: Bytes of text that one automaton serves.
-SHARD = 1 << 21
+#: Bytes of text that one automaton serves; segments of one minimizer from which on their windows are dealt by hash.
+SHARD, HOT = 1 << 21, 8_192
 
 
 def _find(window: int, anchor: int):
@@ -134,9 +134,12 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def locate(texts: list[bytes], doc: np.ndarray, window: int = WINDOW, tile: int = TILE) -> list[tuple[int, int, int]]:
-    """(text, start, end): runs of words of each text that a text of a smaller document has, of at least a window."""
+    """(text, start, end): runs of words of each text that a text of a smaller document has, of at least a window.
+
+    Words are what bytes.split() gives: it parts at 0x20 and 0x09-0x0D, as the kernel does.
+    """
     table: dict[bytes, int] = {}
-    ids = [np.array([table.setdefault(w, len(table) + 1) for w in _split(t)], np.int64) for t in texts]
+    ids = [np.array([table.setdefault(w, len(table) + 1) for w in t.split()], np.int64) for t in texts]
     passages = confirm(ids, doc, window)
     if not passages:
         return []
@@ -161,18 +164,10 @@ def locate(texts: list[bytes], doc: np.ndarray, window: int = WINDOW, tile: int
     return out
 
 
-def _split(text: bytes) -> list[bytes]:
-    return bytes(text).translate(_BLANKS).split(b" ") if b" " in text else [bytes(text)]
-
-
-_BLANKS = bytes(0x20 if SPACES[i] else i for i in range(256))
-
-
 def _resolver(window: int, tile: int, shard: int):
     def solve(rows: list[tuple]):
         doc = np.array([r[1] for r in rows])
-        texts = [b" ".join(x for x in _split(r[5]) if x) for r in rows]
-        got = locate(texts, doc, window, tile)
+        got = locate([r[5] for r in rows], doc, window, tile)
         columns = [[rows[k][c] for k, _, _ in got] for c in (1, 2)]
         return pa.RecordBatch.from_arrays(
             [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array([rows[k][3] + a for k, a, _ in got], pa.int32()), pa.array([b - a - window + 1 for _, a, b in got], pa.int32())],
