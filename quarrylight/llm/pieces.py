@@ -11,7 +11,7 @@ neighbouring symbols whose joint edge scores best, the leftmost of equals. Chara
 
 `encode` runs the lattice over the words that are frequent in the corpus (at most WORDS of them, so the dictionary
 has a fixed bound), sends this dictionary to the tasks, and encodes texts there by lookup. A word that is not in it is
-encoded on the spot by the same steps with an agenda of edges. Shuffling every word of every text to a join with an
+encoded on the spot by the same steps. Shuffling every word of every text to a join with an
 unbounded dictionary would move several times the input.
 
 Defined results: a null or empty text has no ids; a U+2581 in a text is encoded as the library does, as a space (and
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -34,7 +35,9 @@ from quarrylight.llm.kernel import blocks
 from quarrylight.llm.store import documents
 
 SPACE = "▁"
-WORDS, WORD_CHARS, MEMO = 100_000, 40, 300_000
+WORDS, WORD_CHARS, MEMO = 100_000, 40, 400_000
+#: Words up to this length are encoded by scanning, longer ones by an agenda; marks that are parted from words if no piece joins them.
+SCANNED, MARKS, _NONE = 64, ".,;:!?", -1e30
 _WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
@@ -52,13 +55,39 @@ class Pieces:
         self.id = {model.id_to_piece(i): i for i in plain}
         self.score = {model.id_to_piece(i): model.get_score(i) for i in plain}
         self.longest = max(map(len, self.id))
+        self.joined = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.id) or len(self.byte) != 256:
             raise ValueError("a piece crosses words, or the model has no bytes to fall back on")
         self.text = {i: p for p, i in self.id.items()}
         self.of_byte = {i: b for b, i in self.byte.items()}
 
     def encode_word(self, word: str) -> list[int]:
-        """BPE of one word, by an agenda of the lattice's edges between neighbouring symbols."""
+        """BPE of one word: the lattice's edges between neighbouring symbols, the best one joined each time."""
+        if len(word) > SCANNED:
+            return self._encode_long(word)
+        get, parts = self.score.get, list(word)
+        scores = [get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > _NONE:
+            i = scores.index(best)  # the leftmost of equals
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], _NONE)
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], _NONE)
+        ids = self.id
+        try:
+            return [ids[p] for p in parts]
+        except KeyError:
+            return [k for p in parts for k in ([ids[p]] if p in ids else [self.byte[b] for b in p.encode()])]
+
+    def cut(self, word: str) -> int:
+        """Where closing marks begin that no piece joins to the letter before them; 0 if there are none."""
+        at = len(word.rstrip(MARKS))
+        return at if 0 < at < len(word) and word[at - 1 : at + 1] not in self.joined else 0
+
+    def _encode_long(self, word: str) -> list[int]:
+        """The same for long words, by an agenda."""
         n = len(word)
         end, before, after, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
         score, longest = self.score, self.longest
@@ -219,9 +248,14 @@ def _encoder(known, name, path):
         except KeyError:
             if len(memo) > fixed + MEMO:
                 memo = dict(known)
-            for w in words:
-                if w not in memo:
-                    memo[w] = np.array(table.encode_word(w), np.int32).tobytes()
+            for w in set(words).difference(memo):
+                if at := table.cut(w):
+                    for part in (w[:at], w[at:]):
+                        if part not in memo:
+                            memo[part] = array("i", table.encode_word(part)).tobytes()
+                    memo[w] = memo[w[:at]] + memo[w[at:]]
+                else:
+                    memo[w] = array("i", table.encode_word(w)).tobytes()
             return b"".join(map(memo.__getitem__, words))
 
     return encode
