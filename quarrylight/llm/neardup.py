@@ -1,18 +1,19 @@
 """Near-duplicate documents: MinHash bands propose, odd sketches estimate, full shingle sets confirm.
 
-1. A document's set is its distinct five-word shingles. MinHash samples of it give BANDS band keys, and are folded
-   into an odd sketch: one bit per hashed (place, sample), flipped for each, so that the population count of two
-   sketches' XOR estimates how many samples differ, most precisely for alike sets.
+1. A document's set is its distinct five-word shingles. MinHash samples under many hash functions give BANDS band
+   keys. The MinHash sample of one function, the SAMPLES smallest hashes of the set, is folded into an odd sketch: a
+   hashed bit is flipped for each, so that the population count of two sketches' XOR estimates how many samples
+   differ, most precisely for alike sets. The sketch radius of a pair follows from the sizes of its sets.
 2. Documents with equal sets form one class, whose smallest doc_id stands for it from here on.
 3. In every band bucket each class is paired with the smallest one; of its pairs within the sketch radius each class
    keeps the closest. These are confirmed on the full sets, and confirmed links are joined to components.
 4. What is left are pairs of one bucket in different components. Buckets that still hold several components are
-   compared pair by pair on sketches (large ones in blocks), pairs within the radius are confirmed on the full sets
-   best first, and components are joined, until no pair is left. So a group of copies costs one confirmed link each,
-   and no pair of one bucket is skipped unless its ends are connected already.
+   compared pair by pair on sketches (large ones in blocks), and pairs within the radius are confirmed on the full
+   sets, the closest ones of each component first, then all that are not connected by then. So a group of copies
+   costs one confirmed link each, and no pair of one bucket is skipped unless its ends are connected already.
 
-With 40 bands of 4 samples a pair of similarity 0.75 shares no bucket with probability 3e-7, and passes the sketch
-radius but for 1 in 10 million.
+With 40 bands of 4 samples a pair of similarity 0.75 shares no bucket with probability 3e-7. The radius lies
+DEVIATIONS standard deviations above what a pair at the threshold has (3 in 10 million are further off).
 
 Defined results: a null or empty text has an empty set and links with nothing; a null doc_id links with nothing and is
 kept; rows that repeat a doc_id are one document for links, and each is returned; an empty table gives no rows.
@@ -34,16 +35,15 @@ from quarrylight.llm.store import documents, stage
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
-SKETCH_BITS = 512
-#: Sketches that differ in more bits are taken for sets of similarity below 0.5, 5 deviations under the threshold.
-RADIUS = round(SKETCH_BITS / 2 * (1 - np.exp(-2 * BANDS * ROWS / SKETCH_BITS)))
+SAMPLES, SKETCH_BITS, DEVIATIONS = 1024, 2048, 5
 #: Links of one class that are confirmed in one group; classes of a bucket that are compared in one group.
 FAN, BLOCK = 2_000, 4_096
+#: Pairs of each component in a bucket that are confirmed before the rest.
+FIRST = 4
 
 _random = np.random.default_rng(20)
 _A = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_PLACE = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingle_sets(flat: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -83,12 +83,22 @@ def bands_of(samples: np.ndarray) -> np.ndarray:
     return key
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """n rows of SKETCH_BITS parities, packed in 64-bit lanes."""
-    bit = (mix(samples ^ _PLACE) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    n = len(samples)
-    flips = np.bincount((np.arange(n)[:, None] * SKETCH_BITS + bit).ravel(), minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS)
-    return np.packbits((flips & 1).astype(np.uint8), axis=1).view(np.uint64)
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS parities of the smallest hashes of a sorted set, packed in 64-bit lanes."""
+    bit = (mix(s[:SAMPLES] ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def radius(a, b, percent: int = PERCENT, fn=np):
+    """Bits that sketches of sets of a and b shingles may differ in if the sets are similar; fn: numpy, or Spark's functions."""
+    least, most, root, exp = (np.minimum, np.maximum, np.sqrt, np.exp) if fn is np else (F.least, F.greatest, F.sqrt, F.exp)
+    one, k = (1.0, float(SAMPLES)) if fn is np else (F.lit(1.0), F.lit(float(SAMPLES)))
+    common = (a + b) * (percent / (100 + percent))
+    share = least(one, k / most(a, b))
+    drawn = common * share
+    differ = least(k, a) + least(k, b) - drawn * 2
+    spread = drawn * (one - least(one, common / most(a, b))) * 8 * (one - share) + differ * differ * (2 / SKETCH_BITS)
+    return (one - exp(differ * (-2 / SKETCH_BITS))) * (SKETCH_BITS / 2) + root(spread) * DEVIATIONS + 2
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -103,14 +113,14 @@ def sketch(docs: DataFrame) -> DataFrame:
             for i, j, flat, at in blocks(batch.column("text")):
                 n = j - i
                 size, hi, lo = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                samples = np.zeros((n, BANDS * ROWS), np.uint64)
+                samples, odd = np.zeros((n, BANDS * ROWS), np.uint64), np.zeros((n, SKETCH_BITS // 64), np.uint64)
                 for r, s in enumerate(shingle_sets(flat, at)):
                     size[r] = len(s)
                     hi[r], lo[r] = mix(s ^ np.uint64(0x5BF03635)).sum(dtype=np.uint64), mix(s + np.uint64(0x27220A95)).sum(dtype=np.uint64)
                     if len(s):
-                        samples[r] = minhash(s)
+                        samples[r], odd[r] = minhash(s), odd_sketch(s)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, n).cast(pa.int64()), pa.array(size), pa.array(signed(hi)), pa.array(signed(lo)), _lists(bands_of(samples)), _lists(odd_sketches(samples))],
+                    [batch.column("doc_id").slice(i, n).cast(pa.int64()), pa.array(size), pa.array(signed(hi)), pa.array(signed(lo)), _lists(bands_of(samples)), _lists(odd)],
                     names=["doc_id", "n", "hi", "lo", "bands", "sketch"],
                 )
 
@@ -156,48 +166,79 @@ def confirm(edges: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _close_pairs(batches):
-    """Pairs of different components and within the radius, of rows sorted by (key, left, right)."""
-    columns = ("key", "left", "right", "block", "rep", "root")
+def _close_pairs(batches, percent: int, most: int | None):
+    """Pairs of different components and within the radius, of rows sorted by (key, left, right).
+
+    A pair is reported in the first bucket only that its ends share. most: only pairs that are among the so many
+    closest ones of one of their components; None: all.
+    """
+    columns = ("key", "left", "right", "block", "rep", "root", "n")
+
+    def out(a, b, d):
+        for at in range(0, len(a), 20_000):
+            x = slice(at, at + 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(b[x]), pa.array(d[x])], names=["a", "b", "d"])
+
+    def closest(a, b, d, x, y):
+        side, pair_ = np.concatenate((x, y)), np.tile(np.arange(len(a)), 2)
+        order = np.lexsort((pair_, d[pair_], side))
+        side = side[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = side[1:] != side[:-1]
+        lead = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        keep = np.unique(pair_[order[np.arange(len(order)) - lead < most]])
+        return tuple(v[keep] for v in (a, b, d, x, y))
 
     def flush(rows):
         if not rows:
             return
         left, right = rows[0][0], rows[0][1]
-        block, rep, root = (np.array(x) for x in zip(*[r[2:5] for r in rows], strict=True))
-        lanes = np.array([r[5] for r in rows], np.int64).view(np.uint64)
-        for i in range(0, len(rows), 64):
-            d = np.bitwise_count(lanes[i : i + 64, None, :] ^ lanes[None, :, :]).sum(axis=2, dtype=np.int64)
-            ok = (d <= RADIUS) & (root[i : i + 64, None] != root[None, :]) & (rep[i : i + 64, None] < rep[None, :])
+        block, rep, root, n = (np.array(x) for x in zip(*[r[2:6] for r in rows], strict=True))
+        lanes = np.array([r[6] for r in rows], np.int64).view(np.uint64)
+        bands = np.array([r[7] for r in rows], np.int64)
+        bands = bands[:, : np.flatnonzero(bands[0] == group[0])[0]]
+        size = n.astype(float)
+        best = None
+        for i in range(0, len(rows), 16):
+            ok = (root[i : i + 16, None] != root[None, :]) & (rep[i : i + 16, None] < rep[None, :])
             if left != right:
-                ok &= block[i : i + 64, None] != block[None, :]
+                ok &= block[i : i + 16, None] != block[None, :]
             p, q = np.nonzero(ok)
-            for at in range(0, len(p), 20_000):
-                pp, qq = p[at : at + 20_000], q[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(rep[i + pp]), pa.array(rep[qq]), pa.array(d[pp, qq])], names=["a", "b", "d"])
+            p += i
+            d = np.bitwise_count(lanes[p] ^ lanes[q]).sum(axis=1, dtype=np.int64)
+            near = d <= radius(size[p], size[q], percent)
+            near[near] = ~(bands[p[near]] == bands[q[near]]).any(axis=1)
+            p, q, d = p[near], q[near], d[near]
+            if most is None:
+                yield from out(rep[p], rep[q], d)
+            elif len(p):
+                found = rep[p], rep[q], d, root[p], root[q]
+                best = closest(*found) if best is None else closest(*(np.concatenate(v) for v in zip(best, found, strict=True)))
+        if best is not None:
+            yield from out(*best[:3])
 
     group, rows = None, []
     for batch in batches:
-        key, left, right, block, rep, root = (batch.column(c).to_pylist() for c in columns)
-        lanes = batch.column("sketch").to_pylist()
+        key, left, right, block, rep, root, n = (batch.column(c).to_pylist() for c in columns)
+        lanes, bands = batch.column("sketch").to_pylist(), batch.column("bands").to_pylist()
         for r in range(len(key)):
             if (key[r], left[r], right[r]) != group:
                 yield from flush(rows)
                 group, rows = (key[r], left[r], right[r]), []
-            rows.append((left[r], right[r], block[r], rep[r], root[r], lanes[r]))
+            rows.append((left[r], right[r], block[r], rep[r], root[r], n[r], lanes[r], bands[r]))
     yield from flush(rows)
 
 
-def _open_pairs(buckets: DataFrame, reps: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
-    """(a, b, d): untested pairs of one bucket, in different components and within the sketch radius."""
+def _open_pairs(buckets: DataFrame, reps: DataFrame, roots: DataFrame, tested: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """(a, b): untested pairs of one bucket, in different components and within the sketch radius."""
     rows = buckets.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
-    rows = rows.join(mixed, "key").join(reps.select("rep", "sketch"), "rep")
-    parts = F.ceil(F.col("n") / BLOCK)
+    mixed = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "c")
+    rows = rows.join(mixed, "key").join(reps.select("rep", "n", "sketch", "bands"), "rep")
+    parts = F.ceil(F.col("c") / BLOCK)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "rep", "root", "sketch")
+    rows = rows.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "rep", "root", "n", "sketch", "bands")
     rows = rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    found = rows.mapInArrow(_close_pairs, "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
+    found = rows.mapInArrow(lambda batches: _close_pairs(batches, percent, most), "a long, b long, d long").select("a", "b").distinct()
     return found.join(tested, ["a", "b"], "left_anti")
 
 
@@ -211,27 +252,28 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept. Needs doc_id and text."""
     all_docs, sets = classes(docs)
-    reps = sets.select("rep", "bands", "sketch")
+    reps = sets.select("rep", "n", "bands", "sketch")
     bucket = Window.partitionBy("key")
     buckets = reps.select("rep", F.explode("bands").alias("key")).select("rep", "key", F.min("rep").over(bucket).alias("leader"), F.max("rep").over(bucket).alias("last"))
     buckets = stage(buckets.where("leader < last").select("key", "rep", "leader"), "neardup-buckets")
-    one, two = reps.select(F.col("rep").alias("leader"), F.col("sketch").alias("s1")), reps.select("rep", F.col("sketch").alias("s2"))
-    near = buckets.where("leader < rep").select("leader", "rep").distinct().join(one, "leader").join(two, "rep").select("leader", "rep", distance(F.col("s1"), F.col("s2")).alias("d")).where(F.col("d") <= RADIUS)
+    one = reps.select(F.col("rep").alias("leader"), F.col("n").cast("double").alias("n1"), F.col("sketch").alias("s1"))
+    two = reps.select("rep", F.col("n").cast("double").alias("n2"), F.col("sketch").alias("s2"))
+    near = buckets.where("leader < rep").select("leader", "rep").distinct().join(one, "leader").join(two, "rep")
+    near = near.select("leader", "rep", distance(F.col("s1"), F.col("s2")).alias("d"), radius(F.col("n1"), F.col("n2"), percent, F).alias("most")).where("d <= most")
     tested = stage(near.groupBy("rep").agg(F.min(F.struct("d", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("rep").alias("b")), "neardup-pairs")
-    links = stage(confirm(tested, docs, percent), "neardup-links")
+    # the texts of classes that share a bucket: documents are shuffled once for all rounds
+    some = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    texts = stage(docs.select("doc_id", "text").join(some, "doc_id", "left_semi"), "neardup-texts")
+    links = stage(confirm(tested, texts, percent), "neardup-links")
     roots = components(links)
-    share = 4
-    while True:
-        pairs = stage(_open_pairs(buckets, reps, roots, tested), "neardup-pairs")
-        if pairs.isEmpty():
-            break
-        # the closest pairs first, ever more: most of the rest is connected by then
-        best = Window.partitionBy("b").orderBy("d", "a")
-        now = stage(pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= share).select("a", "b"), "neardup-pairs")
-        links = stage(links.unionByName(stage(confirm(now, docs, percent), "neardup-links")), "neardup-links")
-        tested = stage(tested.unionByName(now), "neardup-pairs")
-        roots = components(links)
-        share *= 8
+    # first the closest pairs of each component in a bucket, then all that are not connected by then
+    for most in (FIRST, None):
+        now = stage(_open_pairs(buckets, reps, roots, tested, percent, most), "neardup-pairs")
+        more = stage(confirm(now, texts, percent), "neardup-links")
+        tested = tested.unionByName(now)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
     named = sets.join(roots, F.col("rep") == F.col("node"), "left").select("n", "hi", "lo", F.coalesce("root", "rep").alias("root"))
     out = all_docs.select("doc_id", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
@@ -243,7 +285,12 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gone = link(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     again = docs.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1 AND doc_id IS NOT NULL").select("doc_id")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+    if again.isEmpty():
+        return out
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    one = out.join(again, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.struct(*names).alias("_row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tag"))
+    one = one.groupBy("_id").agg(F.min_by("_row", "_tag").alias("_row")).select("_row.*")
+    return out.join(again, "doc_id", "left_anti").select(*names).unionByName(one)
 
 
 def op8_minhash_neardup(spark, sf_dir: str) -> DataFrame:
