@@ -27,7 +27,7 @@ from quarrylight.llm.windows import cut, keyed, runs_of, spans
 
 WINDOW, ANCHOR, TILE = 50, 20, 25
 #: Bytes of text that one automaton serves; segments of one minimizer from which on their windows are dealt by hash.
-SHARD, HOT = 1 << 21, 8_192
+SHARD, HOT = 1 << 21, 1_024
 
 
 def _find(window: int, anchor: int):
