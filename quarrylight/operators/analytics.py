@@ -234,7 +234,7 @@ def trend(df: DataFrame, roles: Roles, refs: list[str] | None = None, dimensions
     r2 = F.when((F.col("vx") == 0) | (F.col("vy") == 0), 0.0).otherwise(F.try_divide(F.col("cxy") * F.col("cxy"), F.col("vx") * F.col("vy")))
     turn = F.when(F.abs("slope") < FLAT, "stable").when(F.col("slope") > 0, "improving").otherwise("declining")
     out = lines.where("n >= 2").withColumn("slope", slope)
-    return out.select("geo", F.round("slope", 4).alias("slope"), F.round(F.col("my") - F.col("slope") * F.col("mx"), 1).alias("intercept"), F.round(r2, 4).alias("r_squared"), turn.alias("direction"), F.col("n").alias("n_points"), "first_period", "last_period")
+    return out.select("geo", F.round("slope", 2).alias("slope"), F.round(F.col("my") - F.col("slope") * F.col("mx"), 0).alias("intercept"), F.round(r2, 4).alias("r_squared"), turn.alias("direction"), F.col("n").alias("n_points"), "first_period", "last_period")
 
 
 def benchmark(df: DataFrame, roles: Roles, refs: list[str], period: str, dimensions: dict | None = None) -> DataFrame:

@@ -224,7 +224,7 @@ def outliers_lowess_long(spark, d):
 def _trend_sql(view: str, x: str, where: str = "true") -> str:
     return f""", p AS (SELECT *, {x} AS x FROM {view} WHERE {where}), l AS (SELECT geo, count(*) AS n, var_pop(x) AS vx, var_pop(v) AS vy, covar_pop(x, v) AS c, avg(x) AS mx, avg(v) AS my, arg_min(period, x) AS first_period, arg_max(period, x) AS last_period FROM p GROUP BY geo HAVING count(*) >= 2),
  s AS (SELECT *, CASE WHEN vx = 0 THEN 0.0 ELSE c / vx END AS slope FROM l)
-SELECT geo, round(slope, 4) AS slope, round(my - slope * mx, 1) AS intercept, round(CASE WHEN vx = 0 OR vy = 0 THEN 0.0 ELSE c * c / (vx * vy) END, 4) AS r_squared,
+SELECT geo, round(slope, 2) AS slope, round(my - slope * mx, 0) AS intercept, round(CASE WHEN vx = 0 OR vy = 0 THEN 0.0 ELSE c * c / (vx * vy) END, 4) AS r_squared,
  CASE WHEN abs(slope) < 1e-10 THEN 'stable' WHEN slope > 0 THEN 'improving' ELSE 'declining' END AS direction, n AS n_points, first_period, last_period FROM s"""
 
 
