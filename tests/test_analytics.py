@@ -93,7 +93,7 @@ def test_trend(spark):
     got = {r.geo: r for r in A.trend(frame(spark, rows), R).collect()}
     assert (got["A"].slope, got["A"].r_squared, got["A"].direction) == (2.0, 1.0, "improving")
     assert (got["B"].slope, got["B"].r_squared, got["B"].direction) == (0.0, 0.0, "stable")
-    assert (got["C"].slope, got["C"].intercept, got["C"].r_squared) == (0.0, 1.5, 0.0)
+    assert (got["C"].slope, got["C"].intercept, got["C"].r_squared) == (0.0, 2.0, 0.0)
     assert "D" not in got and got["E"].slope == -2.0 and got["E"].direction == "declining"
 
 
