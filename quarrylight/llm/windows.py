@@ -13,7 +13,8 @@ minimizer form a segment, of about (L-K)/2 windows: the corpus is shuffled as on
    window instead, with partial aggregation, so no group of rows has to fit one task.
 4. `removed` gathers the repeated windows of each document for `assemble`.
 
-Documents are told apart by (doc_id, part): part numbers the different texts of a repeated doc_id, and is 0 else.
+Documents are told apart by (doc_id, part): part numbers the different texts of a repeated doc_id, and is 0 else. Where
+repeats count within a document, only one row of each takes part, and what is found holds for all of them.
 """
 
 from __future__ import annotations
@@ -48,6 +49,15 @@ def keyed(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     return docs.withColumn("tag", tag).join(parts, ["doc_id", "tag"], "left").select("doc_id", F.coalesce("part", F.lit(0)).alias("part"), "text", *more)
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """One row of each (doc_id, part) of keyed documents, so that a row that is repeated is not a repeat of itself."""
+    again = docs.groupBy("doc_id", "part").agg(F.count("*").alias("c")).where("c > 1 AND doc_id IS NOT NULL").select("doc_id", "part")
+    if again.isEmpty():
+        return docs
+    one = docs.join(again, ["doc_id", "part"], "left_semi").dropDuplicates(["doc_id", "part"])
+    return docs.join(again, ["doc_id", "part"], "left_anti").unionByName(one)
+
+
 def cut(low: np.ndarray, whole: np.ndarray, valid: np.ndarray, row: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     """Segments of the windows at each place: (first place, windows, minimizer, content hash).
 
@@ -230,6 +240,8 @@ def resolved(rows: DataFrame, docs: DataFrame, extract: Callable, resolver: Call
 
 def runs_of(docs: DataFrame, find: Callable, extract: Callable, resolver: Callable, hashes: Callable, across: bool, name: str, hot: int = HOT) -> DataFrame:
     """(doc_id, part, list of (start, n)): the repeated windows of each document that has some, as runs."""
+    if not across:
+        docs = once(docs)
     found = stage(judged(segments(docs, find, across), across), f"{name}-segments")
     some = resolved(found.where("open").drop("open"), docs, extract, resolver, hashes, across, hot)
     every = found.where("NOT open").select("doc_id", "part", "start", "n").unionByName(some)

@@ -92,6 +92,17 @@ def test_messy_suffix(spark):
     assert got == suffix_brute(rows, 20)
 
 
+@pytest.mark.parametrize("options", [{}, {"hot": 2}])
+def test_suffix_of_repeated_rows(spark, options):
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    alone, shared, period = text(500), text(300), text(30) * 8
+    texts = [(50, alone), (51, shared + text(90)), (52, text(80) + shared[:200] + text(90)), (53, period), (54, text(60) + period[:90] + text(60))]
+    rows = [r for r in texts for _ in range(3)]
+    got = sorted((tuple(r) for r in suffix.digest(frame(spark, rows).repartition(5), 40, anchor=12, **options).collect()), key=str)
+    assert got == suffix_brute(rows, 40) and (50, 500, 0) in {r[:3] for r in got}
+
+
 def test_empty_tables(spark):
     assert passages.digest(frame(spark, [])).count() == 0
     assert suffix.digest(frame(spark, [])).count() == 0
