@@ -3,7 +3,8 @@
 A text is cut into chunks that overlap, each chunk is encoded by itself with the tokenizer's character offsets, and
 neighbouring chunks are spliced at a common boundary: a place inside the overlap where both encodings start a token,
 far enough from the chunk ends, and from which both have the same run of tokens. If a pair of chunks has no such
-place, the overlap is widened (doubled) and the pair is encoded again, in the end as one piece. So the spliced
+place, the overlap is widened (doubled) and the pair is encoded again; an overlap wider than the left chunk goes on
+into the chunk before, whose splice is undone, in the end as one piece from the start of the text. So the spliced
 encoding has the tokens of the whole text, while one call never sees more than a chunk.
 
 Short texts are encoded in batches. Both paths use that this vocabulary's tokens never cross ASCII white space: the
@@ -85,24 +86,31 @@ def resynchronised(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVER
     end = min(len(text), _cut(text, chunk, chunk // 2)) if len(text) > chunk else len(text)
     left = _encode(tokenizer, text, start, end)
     n += 1
+    before = []  # (start, end, tokens) of the chunk to the left of each splice
+    reach = 0
     while end < len(text):
-        wide = overlap
+        wide, reach = overlap, max(reach, end)
         while True:
             begin = max(start, _cut(text, max(start, end - wide), max(start, end - 2 * wide)))
             stop = min(len(text), begin + max(chunk, 2 * wide))
             if stop < len(text):
-                stop = max(end + 1, _cut(text, stop, begin + chunk // 2))
+                stop = max(reach + 1, _cut(text, stop, begin + chunk // 2))
             right = _encode(tokenizer, text, begin, stop)
             n += 1
-            if begin == start:  # the overlap is the whole left chunk: nothing to splice
+            if begin == start and not before:  # the overlap is all that comes before: nothing to splice
                 left = right
                 break
+            # chunks with one beginning may part from the last splice on, where the tokens of `left` begin
             margin = (end - begin) // 8
-            if (place := _common(left, right, begin + margin, end - margin)) is not None:
+            if (place := _common(left, right, begin + margin if begin > start else start, end - margin)) is not None:
                 i, j = place
+                before.append((start, end, left))
                 out.append(left[0][:i])
                 left = right[0][j:], right[1][j:]
                 break
+            if begin == start:
+                start, end, left = before.pop()
+                out.pop()
             wide *= 2
         start, end = begin, stop
     out.append(left[0])

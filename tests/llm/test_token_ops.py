@@ -30,6 +30,15 @@ def test_resynchronised_ids(tokenizer):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("gap", ["\n" * 20_000, " " * 40_000, "-" * 40_000, "的" * 9_000, "a" * 40_000 + " " * 40_000])
+@pytest.mark.parametrize("options", [{}, {"huge": 3000, "chunk": 1000, "overlap": 32}])
+def test_counts_around_long_runs(tokenizer, gap, options):
+    text = " ".join(f"plain words number {i % 89}, and more" for i in range(700))
+    texts = [text[:20_000] + gap + text, text[:16_400] + gap + text + gap, gap + text[:9_000] + gap + "end"]
+    tokens, chunks = tokencount.Counter(tokenizer, **options).count(texts)
+    assert tokens == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts] and any(chunks)
+
+
 def test_messy_counts(spark):
     rows = tokencount.count_tokens(awkward(spark)).collect()
     assert len(rows) == len(MESSY) and all(r.over_limit == (r.n_tokens > 2048) for r in rows)
