@@ -161,8 +161,17 @@ def exact_idno(df: DataFrame, query: str) -> DataFrame:
     return df.where(fold(F.col("idno")) == fold(F.lit(query.strip().strip('"'))))
 
 
-#: Words that do not count for title matches.
-STOPWORDS = ("a", "an", "and", "by", "for", "in", "of", "on", "the", "to")
+#: Words of a query that do not count for title matches.
+STOPWORDS = tuple(
+    """
+    a able about across after all almost also am among an and any are as at be because been but by can cannot
+    could dear did do does either else ever every for from get got had has have he her hers him his how however
+    i if in into is it its just least let like likely may me might most must my neither no nor not of off often
+    on only or other our own rather said say says she should since so some than that the their them then there
+    these they this tis to too twas us wants was we were what when where which while who whom why will with
+    would yet you your
+    """.split()
+)
 
 
 def title_complete(df: DataFrame, query: str) -> DataFrame:

@@ -57,6 +57,13 @@ def test_text(spark):
     assert T.multi_field(df, "k", {"t": 2.0}, ["zebra"]).count() == 0
 
 
+def test_title_complete(spark):
+    df = spark.createDataFrame([(1, "Poverty rate in Kenya"), (2, "Kenya: poverty"), (3, "What is the poverty rate"), (4, None)], "sid int, title string")
+    found = lambda query: [r.sid for r in Q.title_complete(df, query).collect()]
+    assert found("what is the poverty rate in Kenya") == [1] and found("their poverty, and the rate it is from") == []
+    assert len(set(Q.STOPWORDS)) == 119 and found("the kenya is poverty of and") == []
+
+
 def test_filters(spark):
     df = V.studies(spark, FOLDER)
     assert Q.filter_studies(df, types=[]).count() == df.count()
