@@ -32,6 +32,7 @@ from pyspark.sql.window import Window
 from quarrylight.llm.graph import components
 from quarrylight.llm.kernel import Words, blocks, grams, mix, pair, signed
 from quarrylight.llm.store import documents, stage
+from quarrylight.llm.windows import keyed
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
@@ -281,16 +282,23 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that stand for their groups, with all their columns; of rows that repeat a doc_id one stays."""
-    gone = link(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1 AND doc_id IS NOT NULL").select("doc_id")
+    """The documents that stand for their groups, with all their columns.
+
+    Different texts under one doc_id are documents of their own; of rows with one doc_id and one text one stays.
+    """
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1 AND doc_id IS NOT NULL")
     if again.isEmpty():
-        return out
+        gone = link(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    one = out.join(again, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.struct(*names).alias("_row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tag"))
-    one = one.groupBy("_id").agg(F.min_by("_row", "_tag").alias("_row")).select("_row.*")
-    return out.join(again, "doc_id", "left_anti").select(*names).unionByName(one)
+    rows = keyed(docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.struct(*names).alias("row")), ("row",))
+    # further texts of a doc_id are linked under ids of their own, and the smallest (doc_id, part) of a group stays
+    node = F.when(F.col("part") > 0, F.xxhash64("doc_id", "part")).otherwise(F.col("doc_id").cast("long"))
+    one = stage(rows.groupBy("doc_id", "part").agg(F.first("row").alias("row")).withColumn("node", node), "neardup-rows")
+    groups = link(one.select(F.col("node").alias("doc_id"), F.col("row").getField("text").alias("text")), percent).select(F.col("doc_id").alias("node"), "component_id")
+    stay = groups.join(one.select("node", "doc_id", "part"), "node").groupBy("component_id").agg(F.min_by("node", F.struct("doc_id", "part")).alias("node"))
+    out = one.join(stay.select("node"), "node", "left_semi").select("row.*")
+    return out.unionByName(docs.where("doc_id IS NULL").select(*names))
 
 
 def op8_minhash_neardup(spark, sf_dir: str) -> DataFrame:

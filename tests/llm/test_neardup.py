@@ -103,3 +103,13 @@ def test_keep_one(spark):
     out = neardup.keep_one(df)
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert out.columns == df.columns and ids.count(4) == 0 and ids.count(1) == 1 and ids.count(None) == 2 and 8 not in ids
+
+
+def test_keep_one_of_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, text("a")), (3, text("a")), (3, text("b")), (3, text("c")), (3, text("c")), (5, text("d")), (5, text("d") + " x"), (6, text("b")), (7, ""), (7, text("e")), (-2, text("e")), (None, text("a"))]
+    got = [tuple(r) for r in neardup.keep_one(frame(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and {r for r in got if r[0] != 5} == {(i, text(k)) for i, k in ((1, "a"), (3, "b"), (3, "c"), (-2, "e"), (None, "a"))} | {(7, "")}
+    assert sum(r[0] == 5 for r in got) == 1
+    texts = [r.text for r in neardup.keep_one(awkward(spark)).where("doc_id = 3").collect()]
+    assert texts == [t for i, t in MESSY if i == 3][1:]
