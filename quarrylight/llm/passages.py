@@ -1,10 +1,11 @@
 """Substring dedup of passages: repeated-phrase automata.
 
 Words covered by a window of WINDOW words that also starts in a document with a smaller doc_id are removed. The corpus
-is dealt by minimizer (see windows.py), so that possible repeats of one window meet in one shard. A shard first
-confirms which windows recur in its segments and joins them to passages, taken from the smallest document; it compiles
-tiles of these passages, one in every window, into an Aho-Corasick automaton over word numbers; then it streams all
-its texts through the automaton, grows each tile found to the longest common run, and reports runs of a window or more.
+is cut and dealt as windows.py says, so that possible repeats of one window meet in one shard. A shard first confirms
+which windows recur in its texts and joins them to passages, taken from the smallest document; it compiles tiles of
+these passages, one in every window, into an Aho-Corasick automaton over word numbers; then it streams all its texts
+through the automaton, grows each tile found to the longest common run, and reports runs of a window or more. Every
+removed word is found in this way: equal hashes decide which texts meet, never what is removed.
 
 Defined results: a null or empty text has no words; texts shorter than a window lose nothing; a null doc_id is in no
 order, so its row loses nothing and takes nothing; rows that repeat a doc_id do not take from each other; tables may
@@ -23,63 +24,44 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.kernel import Words, blocks, cover, grams, pair, runs, sliding_min
 from quarrylight.llm.store import documents
-from quarrylight.llm.windows import cut, keyed, runs_of, spans
+from quarrylight.llm.windows import HOT, LOCAL, Finder, Piece, cut, keyed, runs_of, spans
 
-WINDOW, ANCHOR, TILE = 50, 20, 25
-#: Bytes of text that one automaton serves; segments of one minimizer from which on their windows are dealt by hash.
-SHARD, HOT = 1 << 21, 1_024
+WINDOW, ANCHOR, TILE = 50, 12, 25
+#: Bytes of text that one automaton serves; bytes of documents that are cut at a time.
+SHARD, PIECE = 1 << 21, 1 << 22
 
 
-def _find(window: int, anchor: int):
-    def find(column):
-        for i, _, flat, at in blocks(column):
+def _scan(window: int, anchor: int):
+    def scan(column, inner: bool):
+        for i, _, flat, at in blocks(column, PIECE):
             words = Words(flat, at)
             h = words.hashes()
             whole = grams(h, window)
             if not len(whole):
                 continue
             low = sliding_min(grams(h, anchor), window - anchor + 1)
-            row = words.row()
-            start, n, m, content = cut(low, whole, words.fits(window)[: len(whole)], row, window)
-            yield row[start] + i, start - words.first[row[start]], n, m, content, np.zeros(len(m), bool)
+            start, n, m, content = cut(low, whole, words.fits(window)[: len(whole)], words.row(), window)
+            second = lambda h=h: grams(h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1), window)
+            text = lambda a, b, flat=flat, words=words: flat[words.start[a] : words.end[b - 1]].tobytes()
+            yield Piece(i, words.first[:-1], 0, whole, second, start, n, m, content, np.zeros(len(m), bool), text)
 
-    return find
-
-
-def _per_row(column, row: np.ndarray):
-    """(places in row, words, bytes) of each text that `row` names, in order."""
-    for r in np.unique(row):
-        value = column[int(r)].as_py() or ""
-        flat = np.frombuffer(value.encode(), np.uint8)
-        yield np.flatnonzero(row == r), Words(flat, np.array([0, len(flat)])), flat.tobytes()
+    return scan
 
 
 def _extract(window: int):
     def extract(column, row, start, n):
         out: list[bytes] = [b""] * len(row)
-        for places, words, data in _per_row(column, row):
-            for k in places:
-                a, b = start[k], start[k] + n[k] + window - 2
-                out[k] = data[words.start[a] : words.end[b]]
+        for r in np.unique(row):
+            data = (column[int(r)].as_py() or "").encode()
+            flat = np.frombuffer(data, np.uint8)
+            words = Words(flat, np.array([0, len(flat)]))
+            for k in np.flatnonzero(row == r):
+                out[k] = data[words.start[start[k]] : words.end[start[k] + n[k] + window - 2]]
         return out
 
     return extract
 
 
-def _hashes(window: int):
-    def hashes(column, row, start, n):
-        got = []
-        for places, words, _ in _per_row(column, row):
-            h = words.hashes()
-            a, b = grams(h, window), grams(h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1), window)
-            for k in places:
-                x = np.arange(start[k], start[k] + n[k])
-                got.append((np.full(len(x), k), x, a[x], b[x]))
-        return tuple(np.concatenate(x) for x in zip(*got, strict=True))
-
-    return hashes
-
-
 def confirm(ids: list[np.ndarray], doc: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     """Passages (text, start, end): maximal runs, in the smallest document, of windows that recur in another one.
 
@@ -164,6 +146,13 @@ def locate(texts: list[bytes], doc: np.ndarray, window: int = WINDOW, tile: int
     return out
 
 
+def _method(window: int, tile: int):
+    def method(texts, doc):
+        return [(k, a, b - window + 1) for k, a, b in locate(texts, doc, window, tile)]
+
+    return method
+
+
 def _resolver(window: int, tile: int, shard: int):
     def solve(rows: list[tuple]):
         doc = np.array([r[1] for r in rows])
@@ -189,13 +178,17 @@ def _resolver(window: int, tile: int, shard: int):
     return resolver
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, tile: int = TILE, hot: int = HOT, shard: int = SHARD) -> DataFrame:
-    """Keyed documents with the list of (start, n windows) runs to be removed, null if there are none."""
+def finder(window: int = WINDOW, anchor: int = ANCHOR, tile: int = TILE, shard: int = SHARD) -> Finder:
     if not (0 < anchor < window and 0 < tile and 2 * tile - 1 <= window):
         raise ValueError("a window has to hold an anchor, and a whole tile wherever it starts")
-    documents_ = keyed(docs)
-    found = runs_of(documents_, _find(window, anchor), _extract(window), _resolver(window, tile, shard), _hashes(window), True, "passages", hot)
-    return documents_.join(found, ["doc_id", "part"], "left")
+    return Finder(window, True, _scan(window, anchor), _method(window, tile), _extract(window), _resolver(window, tile, shard), shard)
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, tile: int = TILE, hot: int = HOT, local: int = LOCAL, shard: int = SHARD, more: tuple[str, ...] = ()) -> DataFrame:
+    """Keyed documents with the list of (start, n windows) runs to be removed, null if there are none."""
+    how = finder(window, anchor, tile, shard)
+    whole = keyed(docs, more)
+    return whole.join(runs_of(whole.select("doc_id", "part", "text"), how, "passages", hot, local), ["doc_id", "part"], "left")
 
 
 def _kept(flat: np.ndarray, words: Words, gone: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -242,28 +235,11 @@ def digest(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     return repeats(docs, window, **options).select("doc_id", "list", "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
-    """doc_id, n_removed and the kept text (untouched where nothing is removed) of each document."""
-    each = _assembled(window)
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column("text")
-            for i, j, words, gone, data, begin in each(batch):
-                lost = np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first])
-                text = [column[i + r].as_py() if not lost[r] else data[begin[r] : max(begin[r], begin[r + 1] - 1)].decode() for r in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(lost.astype(np.int64)), pa.array(text, pa.string())], names=["doc_id", "n_removed", "text"])
-
-    return repeats(docs, window, **options).select("doc_id", "list", "text").mapInArrow(run, "doc_id long, n_removed long, text string")
-
-
 def clean(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """The documents with their kept words, and all their columns; texts that lose nothing stay as they are."""
-    rest = F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")))
-    plain = len(docs.columns) == 2
-    whole = keyed(docs) if plain else keyed(docs.select("doc_id", "text", rest.alias("rest")), ("rest",))
-    found = runs_of(keyed(docs), _find(window, options.get("anchor", ANCHOR)), _extract(window), _resolver(window, options.get("tile", TILE), options.get("shard", SHARD)), _hashes(window), True, "passages", options.get("hot", HOT))
-    joined = whole.join(found, ["doc_id", "part"], "left").drop("part")
+    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    more = ("rest",) if rest else ()
+    joined = repeats(docs.select("doc_id", "text", F.struct(*rest).alias("rest")) if rest else docs, window, more=more, **options).drop("part")
     each = _assembled(window)
 
     def run(batches):

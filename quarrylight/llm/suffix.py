@@ -1,8 +1,8 @@
 """Substring dedup of byte strings: suffix arrays.
 
 Bytes covered by a WINDOW-byte string that also starts earlier (in a document with a smaller doc_id, or before it in
-the same one) are removed. The corpus is dealt by minimizer (see windows.py), so that equal strings meet in one shard.
-A shard's segments are one text, whose suffix array is built by Larsson-Sadakane refinement in numpy (only groups that
+the same one) are removed. The corpus is cut and dealt as windows.py says, so that equal strings meet in one shard. A
+shard's texts are one text, whose suffix array is built by Larsson-Sadakane refinement in numpy (only groups that
 are still unsorted are sorted again, by the rank a doubled distance away, up to WINDOW bytes), and whose common
 prefixes are found as Kasai does, many stretches of the text in step. Runs of suffixes with a common prefix of a
 window or more are equal strings, of which all but the first are removed. A minimizer with more text than a shard
@@ -11,7 +11,7 @@ sorted strings of the earlier ones.
 
 Defined results: a null or empty text has no bytes; texts shorter than a window lose nothing; a null doc_id is in no
 order, so its row loses nothing and takes nothing; different texts under one doc_id follow each other in the order of
-their hashes, equal ones are one document; removal may split a character, so `dedup` gives bytes.
+their hashes, equal ones are one document; removal may split a character, so what is kept are bytes.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 
 from quarrylight.llm.kernel import blocks, cover, pair, runs, sliding_min
 from quarrylight.llm.store import documents
-from quarrylight.llm.windows import HOT, cut, inner, keyed, runs_of, spans
+from quarrylight.llm.windows import HOT, LOCAL, Finder, Piece, cut, inner, keyed, runs_of, spans
 
 WINDOW, ANCHOR = 100, 24
-#: Bytes of text under one suffix array; bytes of one document that are scanned at a time.
-SHARD, PIECE = 1 << 20, 1 << 21
+#: Bytes of text under one suffix array; bytes of documents that are cut at a time.
+SHARD, PIECE = 1 << 20, 1 << 20
+_SEED = 0x9D39247E33776D41
 #: Positions of a stretch of Kasai's walk.
 STRETCH = 256
 
@@ -66,8 +67,8 @@ def spans_of(flat: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return out[:n]
 
 
-def _find(window: int, anchor: int, piece: int):
-    def one(i, flat, at):
+def _scan(window: int, anchor: int, piece: int):
+    def one(i, flat, at, base, inner_):
         whole = spans_of(flat, window)
         if not len(whole):
             return None
@@ -75,20 +76,21 @@ def _find(window: int, anchor: int, piece: int):
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
         valid = np.arange(len(whole)) + window <= at[row[: len(whole)] + 1]
         start, n, m, content = cut(low, whole, valid, row, window)
-        return row[start] + i, start - at[row[start]], n, m, content, inner(start, n, whole)
+        twice = inner(start, n, whole) if inner_ else np.zeros(len(start), bool)
+        return Piece(i, at[:-1], base, whole, lambda: spans_of(flat, window, _SEED), start, n, m, content, twice, lambda a, b: flat[a:b].tobytes())
 
-    def find(column):
-        for i, j, flat, at in blocks(column):
+    def scan(column, inner_: bool):
+        for i, j, flat, at in blocks(column, piece):
             if j - i > 1 or len(flat) <= piece:
-                if (got := one(i, flat, at)) is not None:
+                if (got := one(i, flat, at, 0, inner_)) is not None:
                     yield got
                 continue
             for a in range(0, len(flat), piece):  # one long document, in pieces that share a window less a byte
                 part = flat[a : a + piece + window - 1]
-                if (got := one(i, part, np.array([0, len(part)]))) is not None:
-                    yield got[0], got[1] + a, *got[2:]
+                if (got := one(i, part, np.array([0, len(part)]), a, inner_)) is not None:
+                    yield got
 
-    return find
+    return scan
 
 
 def _bytes(column, r: int) -> bytes:
@@ -103,19 +105,6 @@ def _extract(window: int):
     return extract
 
 
-def _hashes(window: int):
-    def hashes(column, row, start, n):
-        got = []
-        for r in np.unique(row):
-            flat = np.frombuffer(_bytes(column, int(r)), np.uint8)
-            for k in np.flatnonzero(row == r):
-                part = flat[start[k] : start[k] + n[k] + window - 1]
-                got.append((np.full(n[k], k), np.arange(start[k], start[k] + n[k]), spans_of(part, window), spans_of(part, window, 0x9D39247E33776D41)))
-        return tuple(np.concatenate(x) for x in zip(*got, strict=True))
-
-    return hashes
-
-
 def suffix_array(text: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Places sorted by their first `depth` >= 8 bytes, and each place's rank: where its group begins.
 
@@ -261,13 +250,26 @@ def _resolver(window: int, shard: int):
     return resolver
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, shard: int = SHARD, piece: int = PIECE) -> DataFrame:
-    """Keyed documents with the list of (start, n windows) runs to be removed, null if there are none."""
+def _method(window: int):
+    def method(texts, doc):
+        begin, again, _ = repeated(texts, window)
+        for k in range(len(texts)):
+            yield from ((k, int(a), int(b)) for a, b in zip(*runs(again[begin[k] : begin[k + 1]]), strict=True))
+
+    return method
+
+
+def finder(window: int = WINDOW, anchor: int = ANCHOR, shard: int = SHARD, piece: int = PIECE) -> Finder:
     if not 8 <= anchor < window:
         raise ValueError("an anchor has at least 8 bytes and is shorter than a window")
-    documents_ = keyed(docs)
-    found = runs_of(documents_, _find(window, anchor, piece), _extract(window), _resolver(window, shard), _hashes(window), False, "suffix", hot)
-    return documents_.join(found, ["doc_id", "part"], "left")
+    return Finder(window, False, _scan(window, anchor, piece), _method(window), _extract(window), _resolver(window, shard), shard)
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, local: int = LOCAL, shard: int = SHARD, piece: int = PIECE) -> DataFrame:
+    """Keyed documents with the list of (start, n windows) runs to be removed, null if there are none."""
+    how = finder(window, anchor, shard, piece)
+    whole = keyed(docs)
+    return whole.join(runs_of(whole, how, "suffix", hot, local), ["doc_id", "part"], "left")
 
 
 def _each(batch, window: int):
@@ -301,20 +303,6 @@ def digest(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     return repeats(docs, window, **options).select("doc_id", "list", "text").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
-    """doc_id, n_removed and the kept bytes of each document."""
-
-    def run(batches):
-        for batch in batches:
-            for i, j, flat, at, gone in _each(batch, window):
-                lost = np.concatenate(([0], np.cumsum(gone)))[at]
-                kept, cuts = flat[~gone].tobytes(), (at - lost).tolist()
-                out = pa.array([kept[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(lost).astype(np.int64)), out], names=["doc_id", "n_removed", "kept"])
-
-    return repeats(docs, window, **options).select("doc_id", "list", "text").mapInArrow(run, "doc_id long, n_removed long, kept binary")
-
-
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return digest(documents(spark, sf_dir))
 

@@ -3,36 +3,46 @@
 A window is L consecutive units of one document. Its minimizer, the smallest hash of the K-grams in it, depends on
 nothing but its content, so equal windows meet wherever rows are dealt out by minimizer. Consecutive windows with one
 minimizer form a segment, of about (L-K)/2 windows: the corpus is shuffled as one small row per segment, not per unit.
-
-1. `segments` lists the segments: minimizer m, content hash, document, start and number of windows. A segment whose
-   content an earlier row of the same batch has is known to repeat; it travels under a key of its own.
-2. `judged` deals segments by m and reads each group in order. Segments with one content repeat its first one. A
-   minimizer with several contents is a conflict: windows of its first segments may still be equal in part.
-3. `resolved` sends the text of conflicting segments, again by m, to a resolver that finds equal windows exactly (the
-   named method of each operator). A minimizer with more than HOT conflicting segments is dealt by the hash of each
-   window instead, with partial aggregation, so no group of rows has to fit one task.
-4. `removed` gathers the repeated windows of each document for `assemble`.
-
-Documents are told apart by (doc_id, part): part numbers the different texts of a repeated doc_id, and is 0 else. Where
-repeats count within a document, only one row of each takes part, and what is found holds for all of them.
+Hashes only decide which texts meet. Whether windows are equal is found by each operator's named method alone, on the
+texts themselves, in three places:
+
+1. `segments` cuts texts, a piece (some megabytes of documents) at a time. Minimizers that several documents of a piece
+   have go through the method at once. Segments that are repeated there as a whole travel no further, so a group of
+   copies leaves one segment per piece and content.
+2. `judged` deals the other segments by minimizer and drops those that meet no other; `resolved` sends the text of the
+   rest, dealt in the same way, to the method.
+3. `hot_minimizers` has counted beforehand which minimizers too many segments share. Their windows are dealt one by one:
+   the first place of each is found by a partial aggregate, every other place is joined to the text of the first one
+   (a join that Spark splits where a key is hot), and the pairs go through the method wherever they are.
+
+The set of hot minimizers has at most HOT_KEYS entries, so every minimizer outside it has at most 1/HOT_KEYS of all
+segments. Documents are told apart by (doc_id, part): part numbers the different texts of a repeated doc_id, and is 0
+else. Where repeats count within a document, one row of each takes part, and what is found holds for all of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.kernel import mix, pair, signed
+from quarrylight.llm.kernel import cover, mix, pair, runs, signed
 from quarrylight.llm.store import stage
 
-HOT = 8_192
-#: state: 0, or REPEATED (an earlier row has its content), or INNER (some of its own windows are equal).
-SEGMENT = "m long, content long, doc_id long, part int, start int, n int, state int"
-REPEATED, INNER = 1, 2
+#: Segments of a minimizer from which on it is hot; of these, how many a task has to have; hot minimizers at most.
+HOT, LOCAL, HOT_KEYS = 512, 4, 100_000
+#: Minimizers that a task counts before it reports.
+_COUNTED = 1 << 22
+#: state: 0, or FOUND (repeated windows), or SINGLE (a window of a hot minimizer, with hashes a and b), or INNER (some
+#: of a segment's own windows are equal).
+FOUND, INNER, SINGLE = 1, 2, 3
+SEGMENT = "m long, a long, b long, doc_id long, part int, start int, n int, state int"
+_NAMES = ["m", "a", "b", "doc_id", "part", "start", "n", "state"]
+_RUN = "doc_id long, part int, start int, n int"
 
 
 def keyed(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
@@ -58,6 +68,53 @@ def once(docs: DataFrame) -> DataFrame:
     return docs.join(again, ["doc_id", "part"], "left_anti").unionByName(one)
 
 
+@dataclass
+class Piece:
+    """Segments of some whole rows of a batch (from row i on), or of a part of one row (from unit `base` of it on).
+
+    first: place where each row begins; whole: hash of the window at each place; second: another one, on demand; at, n,
+    m, content, inner: place, windows, minimizer, content hash of each segment, and whether two of its windows may be
+    equal; text: the bytes of the units from one place to another.
+    """
+
+    i: int
+    first: np.ndarray
+    base: int
+    whole: np.ndarray
+    second: Callable[[], np.ndarray]
+    at: np.ndarray
+    n: np.ndarray
+    m: np.ndarray
+    content: np.ndarray
+    inner: np.ndarray
+    text: Callable[[int, int], bytes]
+
+    def row(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, side="right") - 1
+
+    def start(self, at: np.ndarray) -> np.ndarray:
+        """Units before a place in its row."""
+        return at - self.first[self.row(at)] + self.base
+
+
+@dataclass
+class Finder:
+    """What an operator brings along.
+
+    scan(text column, inner): the pieces; method(texts, documents): runs (text, first window, end) of windows that are
+    repeats, among texts in order; extract(text column, row, start, n): the texts of segments; resolver(batches of
+    segments with text, sorted by m and document): runs as rows; shard: bytes of text that the method takes at once.
+    """
+
+    window: int
+    across: bool
+    scan: Callable
+    method: Callable
+    extract: Callable
+    resolver: Callable
+    shard: int
+
+
 def cut(low: np.ndarray, whole: np.ndarray, valid: np.ndarray, row: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     """Segments of the windows at each place: (first place, windows, minimizer, content hash).
 
@@ -81,6 +138,11 @@ def cut(low: np.ndarray, whole: np.ndarray, valid: np.ndarray, row: np.ndarray,
     return at[first], size, key[first], content
 
 
+def places(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of the segments, in order."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
+
+
 def inner(start: np.ndarray, n: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """Which segments hold two equal windows (as in periodic text)."""
     out = np.zeros(len(start), bool)
@@ -88,9 +150,8 @@ def inner(start: np.ndarray, n: np.ndarray, whole: np.ndarray) -> np.ndarray:
     twice = x[1:][x[1:] == x[:-1]]
     if not len(twice):
         return out
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
     which = np.repeat(np.arange(len(start)), n)
-    h = whole[place]
+    h = whole[places(start, n)]
     some = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
     h, which = h[some], which[some]
     by = np.lexsort((h, which))
@@ -99,163 +160,215 @@ def inner(start: np.ndarray, n: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(docs: DataFrame, find: Callable, across: bool) -> DataFrame:
-    """Segment rows of keyed documents. find(text column) yields (row, start, n, m, content, inner) arrays; across: repeats count between documents only."""
+def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of equal keys."""
+    begin = np.flatnonzero(np.append(np.ones(min(len(key), 1), bool), key[1:] != key[:-1]))
+    return begin, np.append(begin[1:], len(key)) if len(key) else begin
+
+
+def meets(m: np.ndarray, doc: np.ndarray, inner_: np.ndarray, across: bool) -> np.ndarray:
+    """Which segments share their minimizer with another document; or else with any other segment, or hold a repeat."""
+    order = np.lexsort((doc, m))
+    begin, end = groups(m[order])
+    several = doc[order][begin] != doc[order][end - 1] if across else end - begin > 1
+    out = np.zeros(len(m), bool)
+    out[order] = np.repeat(several, end - begin)
+    return out if across else out | inner_
+
+
+def hot_minimizers(docs: DataFrame, finder: Finder, hot: int = HOT, local: int = LOCAL, keys: int = HOT_KEYS) -> np.ndarray:
+    """Sorted minimizers with more than `hot` segments: at most `keys`, those with the most. A content counts once a piece."""
+
+    def run(batches):
+        seen: list[np.ndarray] = []
+
+        def out():
+            m = np.sort(np.concatenate(seen))
+            begin, end = groups(m)
+            some = end - begin >= local
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(signed(m[begin[some]])), pa.array((end - begin)[some])], names=["m", "c"])
+
+        for batch in batches:
+            for p in finder.scan(batch.column("text"), False):
+                order = np.lexsort((p.content, p.m))
+                m, content = p.m[order], p.content[order]
+                fresh = np.ones(len(m), bool)
+                fresh[1:] = (m[1:] != m[:-1]) | (content[1:] != content[:-1])
+                seen.append(m[fresh])
+                if sum(map(len, seen)) > _COUNTED:
+                    yield out()
+        if seen:
+            yield out()
+
+    counts = docs.select("text").mapInArrow(run, "m long, c long").groupBy("m").agg(F.sum("c").alias("c")).where(F.col("c") > hot)
+    return np.sort(np.array([r["m"] for r in counts.orderBy(F.desc("c"), "m").limit(keys).collect()], np.int64).view(np.uint64))
+
+
+def _batches(m, a, b, doc, part, start, n, state) -> Iterator[pa.RecordBatch]:
+    columns = (signed(m), signed(a), signed(b), doc, part, start.astype(np.int32), n.astype(np.int32), state.astype(np.int32))
+    for i in range(0, len(m), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in columns], names=_NAMES)
+
+
+def _found_at_once(p: Piece, row: np.ndarray, doc: np.ndarray, part: np.ndarray, some: np.ndarray, at: np.ndarray, n: np.ndarray, finder: Finder) -> np.ndarray:
+    """Which windows of a piece the method finds repeated, of the chosen segments' texts."""
+    found = np.zeros(len(p.whole) + 1, bool)
+    begin, end = runs(cover(len(p.whole), at[some], at[some] + n[some]))
+    r = p.row(begin) + p.i
+    order = np.lexsort((begin, part[r], doc[r]))
+    texts, chosen, size = [], [], 0
+    for k in [*order.tolist(), None]:
+        if texts and (k is None or size > finder.shard):
+            for t, x, y in finder.method(texts, doc[r[chosen]]):
+                found[begin[chosen[t]] + x : begin[chosen[t]] + y] = True
+            texts, chosen, size = [], [], 0
+        if k is not None:
+            text = p.text(int(begin[k]), int(end[k]) + finder.window - 1)
+            if len(text) <= 4 * finder.shard:  # a longer one is left to the shards of its minimizers
+                texts.append(text)
+                chosen.append(k)
+                size += len(text)
+    return found
+
+
+def segments(docs: DataFrame, finder: Finder, hot: np.ndarray) -> DataFrame:
+    """Segment rows of keyed documents: repeats found at once, segments to be dealt, and windows of hot minimizers."""
+
+    def rows(p: Piece, known: np.ndarray, doc: np.ndarray, part: np.ndarray):
+        row = p.row(p.at) + p.i
+        keep = known[row]
+        row, at, n, m, inner_ = row[keep], p.at[keep], p.n[keep], p.m[keep], p.inner[keep]
+        if not len(at):
+            return
+        some = meets(m, doc[row], inner_, finder.across)
+        found = _found_at_once(p, row, doc, part, some, at, n, finder) if some.any() else np.zeros(len(p.whole) + 1, bool)
+        if found.any():
+            begin, end = runs(found)
+            r, start = p.row(begin) + p.i, p.start(begin)
+            key = mix(pair(doc[r].astype(np.uint64), start.astype(np.uint64)))
+            zero = np.zeros(len(begin), np.uint64)
+            yield from _batches(key, zero, zero, doc[r], part[r], start, end - begin, np.full(len(begin), FOUND))
+        total = np.concatenate(([0], np.cumsum(found)))
+        todo = total[at + n] - total[at] < n
+        heated = hot[np.minimum(np.searchsorted(hot, m), len(hot) - 1)] == m if len(hot) else np.zeros(len(m), bool)
+        plain = todo & ~heated
+        zero = np.zeros(np.count_nonzero(plain), np.uint64)
+        yield from _batches(m[plain], zero, zero, doc[row[plain]], part[row[plain]], p.start(at[plain]), n[plain], inner_[plain] * INNER)
+        if (todo & heated).any():
+            x = places(at[todo & heated], n[todo & heated])
+            x = x[~found[x]]
+            a, b, r, start = p.whole[x], p.second()[x], p.row(x) + p.i, p.start(x)
+            key = mix(pair(a, mix(pair(doc[r].astype(np.uint64), start.astype(np.uint64)))))
+            yield from _batches(key, a, b, doc[r], part[r], start, np.ones(len(x)), np.full(len(x), SINGLE))
 
     def run(batches):
         for batch in batches:
-            got = list(find(batch.column("text")))
-            if not got:
-                continue
-            row, start, n, m, content, state = (np.concatenate(x) for x in zip(*got, strict=True))
             ids = batch.column("doc_id")
-            known = np.asarray(ids.is_valid())[row]
-            row, start, n, m, content, state = row[known], start[known], n[known], m[known], content[known], state[known] * INNER
-            doc = np.asarray(ids.fill_null(0), np.int64)[row]
-            part = np.asarray(batch.column("part"), np.int32)[row]
-            order = np.lexsort((start, part, doc, content, m))
-            row, start, n, m, content, state, doc, part = (x[order] for x in (row, start, n, m, content, state, doc, part))
-            fresh = np.ones(len(m), bool)
-            fresh[1:] = (m[1:] != m[:-1]) | (content[1:] != content[:-1])
-            lead = np.maximum.accumulate(np.where(fresh, np.arange(len(m)), 0))
-            done = doc != doc[lead] if across else ~fresh
-            state = np.where(done, REPEATED, state).astype(np.int32)
-            if done.any():
-                m = np.where(done, mix(pair(doc.astype(np.uint64), start.astype(np.uint64))), m)
-            for i in range(0, len(m), 50_000):
-                x = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(m[x])), pa.array(signed(content[x])), pa.array(doc[x]), pa.array(part[x]), pa.array(start[x].astype(np.int32)), pa.array(n[x].astype(np.int32)), pa.array(state[x])],
-                    names=["m", "content", "doc_id", "part", "start", "n", "state"],
-                )
+            known, doc, part = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0), np.int64), np.asarray(batch.column("part"), np.int32)
+            for p in finder.scan(batch.column("text"), not finder.across):
+                yield from rows(p, known, doc, part)
 
     return docs.select("doc_id", "part", "text").mapInArrow(run, SEGMENT)
 
 
 def judged(found: DataFrame, across: bool) -> DataFrame:
-    """Rows (m, doc_id, part, start, n, open): repeated segments (not open), and conflicting ones (open)."""
-    dealt = found.repartition("m").sortWithinPartitions("m", "content", "doc_id", "part", "start")
-    names = ["m", "doc_id", "part", "start", "n", "open"]
-
-    def run(batches):
-        last_m = last_content = last_doc = None
-        last_nth = 0
-        pending: list[tuple] = []  # rows of a minimizer's first content, until another content shows
+    """The segment rows without those segments that meet no other one of their minimizer."""
+    dealt = found.repartition("m").sortWithinPartitions("m", "doc_id")
 
-        def rows(x: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in x], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))] + [pa.array([True] * len(x))], names=names)
+    def out(x: list[np.ndarray]):
+        m, doc, state = x[0], x[3], x[7]
+        plain = np.flatnonzero((state == 0) | (state == INNER))
+        keep = np.ones(len(m), bool)
+        keep[plain] = meets(m[plain], doc[plain], state[plain] == INNER, across)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(y[keep]) for y in x], names=_NAMES)
 
+    def run(batches):
+        held = None  # the rows of the last minimizer, which may go on in the next batch
         for batch in batches:
-            count = batch.num_rows
-            if not count:
+            if not batch.num_rows:
                 continue
-            m, content, doc, part, start, n, state = (np.asarray(batch.column(c)) for c in ("m", "content", "doc_id", "part", "start", "n", "state"))
-            goes_on = last_m is not None and m[0] == last_m
-            new_m, new_c = np.ones(count, bool), np.ones(count, bool)
-            new_m[1:], new_c[1:] = m[1:] != m[:-1], content[1:] != content[:-1]
-            new_m[0], new_c[0] = not goes_on, not goes_on or content[0] != last_content
-            new_c |= new_m
-            places = np.arange(count)
-            lead = np.maximum.accumulate(np.where(new_c, places, -1))
-            first_doc = np.where(lead >= 0, doc[lead], last_doc or 0)
-            first = (doc == first_doc if across else new_c) & (state != REPEATED)
-            # nth: place of a row's content among those of its minimizer; conflict: that there are several so far
-            group = np.maximum.accumulate(np.where(new_m, places, -1))
-            contents = np.cumsum(new_c)
-            nth = np.where(group >= 0, contents - contents[np.maximum(group, 0)], contents + last_nth)
-            begins = np.flatnonzero(new_m) if not goes_on else np.append(0, np.flatnonzero(new_m))
-            ends = np.append(begins[1:], count)
-            several = np.repeat(nth[ends - 1] > 0, ends - begins)
-            if goes_on and nth[ends[0] - 1] > 0 and pending:
-                yield rows(pending)
-            if not goes_on or nth[ends[0] - 1] > 0 or len(begins) > 1:
-                pending = []
-            if nth[-1] == 0:
-                pending += [(int(m[i]), int(doc[i]), int(part[i]), int(start[i]), int(n[i])) for i in begins[-1] + np.flatnonzero((first & (state != INNER))[begins[-1] :])]
-            conflict = first & (several | (state == INNER))
-            keep = np.flatnonzero(conflict | ~first)
-            if len(keep):
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (m, doc, part, start, n)] + [pa.array(conflict[keep])], names=names)
-            last_m, last_content, last_doc, last_nth = m[-1], content[-1], first_doc[-1], nth[-1]
-
-    return dealt.mapInArrow(run, "m long, doc_id long, part int, start int, n int, open boolean")
-
-
-def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Segments gathered by document, beside its text."""
-    listed = rows.groupBy("doc_id", "part").agg(F.collect_list(F.struct("m", "start", "n")).alias("list"))
-    return docs.join(listed, ["doc_id", "part"])
-
-
-def _explode(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(row, m, start, n) of the lists of a batch."""
-    lists = batch.column("list")
-    flat = lists.flatten()
-    row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths().fill_null(0)))
-    return row, *(np.asarray(flat.field(c)) for c in ("m", "start", "n"))
+            x = [np.asarray(batch.column(c)) for c in _NAMES]
+            if held is not None:
+                x = [np.concatenate((h, y)) for h, y in zip(held, x, strict=True)]
+            last = int(np.searchsorted(x[0], x[0][-1]))
+            held = [y[last:] for y in x]
+            yield from out([y[:last] for y in x])
+        if held is not None:
+            yield from out(held)
 
+    return dealt.mapInArrow(run, SEGMENT)
 
-def resolved(rows: DataFrame, docs: DataFrame, extract: Callable, resolver: Callable, hashes: Callable, across: bool, hot: int = HOT) -> DataFrame:
-    """(doc_id, part, start, n): runs of repeated windows among conflicting segments (m, doc_id, part, start, n).
 
-    extract(text column, row, start, n): the text of each segment; resolver(batches of segments with text, sorted by
-    m and document): the runs; hashes(text column, row, start, n): (which segment, place, hash 1, hash 2) of each window.
-    """
-    names = ["m", "doc_id", "part", "start", "n", "text"]
+def _with_text(rows: DataFrame, docs: DataFrame, extract: Callable, keys: tuple[str, ...]) -> DataFrame:
+    """Segments (keys, doc_id, part, start, n) and their texts."""
+    names = [*keys, "doc_id", "part", "start", "n", "text"]
 
     def send(batches):
         for batch in batches:
-            row, m, start, n = _explode(batch)
+            lists = batch.column("list")
+            flat = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths().fill_null(0)))
+            own = [np.asarray(flat.field(c)) for c in keys]
+            start, n = np.asarray(flat.field("start")), np.asarray(flat.field("n"))
             doc, part = np.asarray(batch.column("doc_id"))[row], np.asarray(batch.column("part"))[row]
             for i in range(0, len(row), 4096):
                 x = slice(i, i + 4096)
                 text = pa.array(extract(batch.column("text"), row[x], start[x], n[x]), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(m[x]), pa.array(doc[x]), pa.array(part[x]), pa.array(start[x]), pa.array(n[x]), text], names=names)
-
-    counts = rows.groupBy("m").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("m")
-    some = not counts.isEmpty()
-    cold = rows.join(counts, "m", "left_anti") if some else rows
-    sent = _with_text(cold, docs).mapInArrow(send, "m long, doc_id long, part int, start int, n int, text binary")
-    out = sent.repartition("m").sortWithinPartitions("m", "doc_id", "part", "start").mapInArrow(resolver, "doc_id long, part int, start int, n int")
-    if not some:
-        return out
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[x]) for k in own), pa.array(doc[x]), pa.array(part[x]), pa.array(start[x]), pa.array(n[x]), text], names=names)
+
+    listed = rows.groupBy("doc_id", "part").agg(F.collect_list(F.struct(*keys, "start", "n")).alias("list"))
+    return docs.join(listed, ["doc_id", "part"]).select("doc_id", "part", "text", "list").mapInArrow(send, f"{', '.join(f'{k} long' for k in keys)}, {_RUN}, text binary")
+
 
-    def each(batches):
+def resolved(rows: DataFrame, docs: DataFrame, finder: Finder) -> DataFrame:
+    """(doc_id, part, start, n): runs of repeated windows among segments that met others."""
+    sent = _with_text(rows, docs, finder.extract, ("m",))
+    return sent.repartition("m").sortWithinPartitions("m", "doc_id", "part", "start").mapInArrow(finder.resolver, _RUN)
+
+
+def resolved_singles(rows: DataFrame, docs: DataFrame, finder: Finder) -> DataFrame:
+    """The same among single windows (a, b, doc_id, part, start): each is held against the first place of its hashes."""
+    own = F.struct("doc_id", "part", "start")
+    leads = rows.groupBy("a", "b").agg(F.min(own).alias("lead"), F.max(own).alias("last"))
+    leads = leads.where("lead.doc_id < last.doc_id" if finder.across else "lead < last").select("a", "b", "lead")
+    first = _with_text(leads.select("a", "b", "lead.*", F.lit(1).alias("n")), docs, finder.extract, ("a", "b"))
+    first = first.select("a", "b", F.col("doc_id").alias("lead_doc"), F.col("text").alias("lead_text"))
+    later = rows.join(leads, ["a", "b"]).where("doc_id > lead.doc_id" if finder.across else "struct(doc_id, part, start) > lead")
+    later = _with_text(later.select("a", "b", "doc_id", "part", "start", F.lit(1).alias("n")), docs, finder.extract, ("a", "b"))
+
+    def run(batches):
         for batch in batches:
-            row, m, start, n = _explode(batch)
-            doc, part = np.asarray(batch.column("doc_id")), np.asarray(batch.column("part"))
-            for i in range(0, len(row), 1024):
-                x = slice(i, i + 1024)
-                which, place, a, b = hashes(batch.column("text"), row[x], start[x], n[x])
-                at = row[x][which]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b)), pa.array(doc[at]), pa.array(part[at]), pa.array(place.astype(np.int32))], names=["a", "b", "doc_id", "part", "start"])
-
-    each_window = _with_text(rows.join(counts, "m", "left_semi"), docs).mapInArrow(each, "a long, b long, doc_id long, part int, start int")
-    first = F.min("doc_id") if across else F.min(F.struct("doc_id", "part", "start"))
-    firsts = each_window.groupBy("a", "b").agg(first.alias("lead"))
-    own = F.col("doc_id") if across else F.struct("doc_id", "part", "start")
-    later = each_window.join(firsts, ["a", "b"]).where(own > F.col("lead")).select("doc_id", "part", "start", F.lit(1).alias("n"))
-    return out.unionByName(later)
-
-
-def runs_of(docs: DataFrame, find: Callable, extract: Callable, resolver: Callable, hashes: Callable, across: bool, name: str, hot: int = HOT) -> DataFrame:
+            size = sum(map(len, batch.column("text").slice(0, 64).to_pylist())) // max(1, min(64, batch.num_rows)) + 1
+            for at in range(0, batch.num_rows, step := max(1, finder.shard // (2 * size))):
+                part = batch.slice(at, step)
+                lead = dict(zip(part.column("lead_text").to_pylist(), part.column("lead_doc").to_pylist(), strict=True))
+                docs_ = np.array([*lead.values(), *part.column("doc_id").to_pylist()], np.int64)
+                got = finder.method([*lead, *part.column("text").to_pylist()], docs_)
+                again = pa.array(sorted({k - len(lead) for k, x, _ in got if k >= len(lead) and x == 0}), pa.int64())
+                yield part.select(["doc_id", "part", "start", "n"]).take(again)
+
+    return later.join(first, ["a", "b"]).mapInArrow(run, _RUN)
+
+
+def runs_of(docs: DataFrame, finder: Finder, name: str, hot: int = HOT, local: int = LOCAL) -> DataFrame:
     """(doc_id, part, list of (start, n)): the repeated windows of each document that has some, as runs."""
-    if not across:
+    if not finder.across:
         docs = once(docs)
-    found = stage(judged(segments(docs, find, across), across), f"{name}-segments")
-    some = resolved(found.where("open").drop("open"), docs, extract, resolver, hashes, across, hot)
-    every = found.where("NOT open").select("doc_id", "part", "start", "n").unionByName(some)
+    heated = hot_minimizers(docs, finder, hot, local)
+    found = stage(judged(segments(docs, finder, heated), finder.across), f"{name}-segments")
+    every = found.where(F.col("state") == FOUND).select("doc_id", "part", "start", "n")
+    every = every.unionByName(resolved(found.where(F.col("state").isin(0, INNER)), docs, finder))
+    if len(heated):
+        every = every.unionByName(resolved_singles(found.where(F.col("state") == SINGLE), docs, finder))
     return every.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("list"))
 
 
-def spans(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Start and number of windows of each row's runs."""
+def spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and number of windows of each row's runs, and where each row's runs begin."""
     lists = batch.column("list")
     flat = lists.flatten()
     start, n = (np.asarray(flat.field(c)).astype(np.int64) for c in ("start", "n"))
     at = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))))
     return start, n, at
-
-
-def text_hash(column: Column) -> Column:
-    return F.xxhash64(F.coalesce(column, F.lit("")))

@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from messy import MESSY, awkward, frame
 
-from quarrylight.llm import passages, suffix
+from quarrylight.llm import passages, suffix, windows
 
 
 def passages_brute(rows, window):
@@ -65,14 +66,14 @@ def corpus(seed=7, n=60):
     return rows + [(500, "a b " * 300), (501, "a b " * 200 + "c"), (502, "q" * 5000), (503, "q" * 3000 + "r" + "q" * 900)]
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2}, {"shard": 300}])
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "local": 1}, {"shard": 300}])
 def test_passages(spark, options):
     rows = corpus()
     got = sorted((tuple(r) for r in passages.digest(frame(spark, rows), 12, anchor=5, tile=6, **options).collect()), key=str)
     assert got == passages_brute(rows, 12)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2}, {"shard": 200, "piece": 700}])
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "local": 1}, {"shard": 200, "piece": 700}])
 def test_suffix(spark, options):
     rows = corpus(9)
     got = sorted((tuple(r) for r in suffix.digest(frame(spark, rows), 40, anchor=12, **options).collect()), key=str)
@@ -92,7 +93,7 @@ def test_messy_suffix(spark):
     assert got == suffix_brute(rows, 20)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2}])
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "local": 1}])
 def test_suffix_of_repeated_rows(spark, options):
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
@@ -123,3 +124,35 @@ def test_parameters_are_checked(spark):
         passages.repeats(frame(spark, []), window=10, anchor=10)
     with pytest.raises(ValueError):
         suffix.repeats(frame(spark, []), window=100, anchor=4)
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def table(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def test_op1_query(spark):
+    got = sorted((tuple(r) for r in passages.op1_substring_dedup(spark, FOLDER).collect()), key=str)
+    assert got == passages_brute(table(spark), 50) and any(r[2] for r in got)
+
+
+def test_op3_query(spark):
+    got = sorted((tuple(r) for r in suffix.op3_suffix_dedup(spark, FOLDER).collect()), key=str)
+    assert got == suffix_brute(table(spark), 100) and any(r[2] for r in got)
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "local": 1}])
+@pytest.mark.parametrize("find", [passages.finder(12, 5, 6), suffix.finder(40, 12)])
+def test_nothing_is_removed_but_by_the_method(spark, find, options):
+    docs = windows.keyed(frame(spark, corpus()))
+    assert windows.runs_of(docs, find, "method", **options).count() > 10
+    silent = replace(find, method=lambda texts, doc: [], resolver=lambda batches: iter(()))
+    assert windows.runs_of(docs, silent, "method", **options).count() == 0
+
+
+def test_hot_minimizers(spark):
+    docs = windows.keyed(frame(spark, corpus()).repartition(3))
+    assert len(windows.hot_minimizers(docs, passages.finder(12, 5, 6), 2, 1)) > 0
+    assert len(windows.hot_minimizers(docs, passages.finder(12, 5, 6), 2, 1, keys=3)) == 3
