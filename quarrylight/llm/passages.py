@@ -49,15 +49,20 @@ def _scan(window: int, anchor: int):
 
 
 def _extract(window: int):
-    def extract(column, row, start, n):
-        out: list[bytes] = [b""] * len(row)
-        for r in np.unique(row):
-            data = (column[int(r)].as_py() or "").encode()
-            flat = np.frombuffer(data, np.uint8)
-            words = Words(flat, np.array([0, len(flat)]))
-            for k in np.flatnonzero(row == r):
-                out[k] = data[words.start[start[k]] : words.end[start[k] + n[k] + window - 2]]
-        return out
+    def extract(column):
+        r, data, words = -1, b"", None
+
+        def get(row, start, n):
+            nonlocal r, data, words
+            out = []
+            for k, a, b in zip(row.tolist(), start.tolist(), (start + n).tolist(), strict=True):
+                if k != r:
+                    r, data = k, (column[k].as_py() or "").encode()
+                    words = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+                out.append(data[words.start[a] : words.end[b + window - 2]])
+            return out
+
+        return get
 
     return extract
 

@@ -93,14 +93,20 @@ def _scan(window: int, anchor: int, piece: int):
     return scan
 
 
-def _bytes(column, r: int) -> bytes:
-    return (column[r].as_py() or "").encode()
-
-
 def _extract(window: int):
-    def extract(column, row, start, n):
-        texts = {int(r): _bytes(column, int(r)) for r in np.unique(row)}
-        return [texts[int(r)][a : a + k + window - 1] for r, a, k in zip(row, start, n, strict=True)]
+    def extract(column):
+        r, data = -1, b""
+
+        def get(row, start, n):
+            nonlocal r, data
+            out = []
+            for k, a, b in zip(row.tolist(), start.tolist(), n.tolist(), strict=True):
+                if k != r:
+                    r, data = k, (column[k].as_py() or "").encode()
+                out.append(data[a : a + b + window - 1])
+            return out
+
+        return get
 
     return extract
 

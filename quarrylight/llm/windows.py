@@ -12,8 +12,9 @@ texts themselves, in three places:
 2. `judged` deals the other segments by minimizer and drops those that meet no other; `resolved` sends the text of the
    rest, dealt in the same way, to the method.
 3. `hot_minimizers` has counted beforehand which minimizers too many segments share. Their windows are dealt one by one:
-   the first place of each is found by a partial aggregate, every other place is joined to the text of the first one
-   (a join that Spark splits where a key is hot), and the pairs go through the method wherever they are.
+   the first place of each is found by a partial aggregate, every other place is joined to the first one (a join that
+   Spark splits where a key is hot), places that follow each other become runs, and each run goes through the method
+   beside the text of its first place.
 
 The set of hot minimizers has at most HOT_KEYS entries, so every minimizer outside it has at most 1/HOT_KEYS of all
 segments. Documents are told apart by (doc_id, part): part numbers the different texts of a repeated doc_id, and is 0
@@ -102,7 +103,7 @@ class Finder:
     """What an operator brings along.
 
     scan(text column, inner): the pieces; method(texts, documents): runs (text, first window, end) of windows that are
-    repeats, among texts in order; extract(text column, row, start, n): the texts of segments; resolver(batches of
+    repeats, among texts in order; extract(text column)(row, start, n): the texts of segments, in order of rows; resolver(batches of
     segments with text, sorted by m and document): runs as rows; shard: bytes of text that the method takes at once.
     """
 
@@ -301,21 +302,25 @@ def judged(found: DataFrame, across: bool) -> DataFrame:
     return dealt.mapInArrow(run, SEGMENT)
 
 
+def _lists(batch: pa.RecordBatch, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """Row of each entry of a batch's lists, and the entries' fields."""
+    lists = batch.column("list")
+    flat = lists.flatten()
+    return np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths().fill_null(0))), *(np.asarray(flat.field(c)) for c in names)
+
+
 def _with_text(rows: DataFrame, docs: DataFrame, extract: Callable, keys: tuple[str, ...]) -> DataFrame:
     """Segments (keys, doc_id, part, start, n) and their texts."""
     names = [*keys, "doc_id", "part", "start", "n", "text"]
 
     def send(batches):
         for batch in batches:
-            lists = batch.column("list")
-            flat = lists.flatten()
-            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths().fill_null(0)))
-            own = [np.asarray(flat.field(c)) for c in keys]
-            start, n = np.asarray(flat.field("start")), np.asarray(flat.field("n"))
+            row, start, n, *own = _lists(batch, ("start", "n", *keys))
             doc, part = np.asarray(batch.column("doc_id"))[row], np.asarray(batch.column("part"))[row]
+            get = extract(batch.column("text"))
             for i in range(0, len(row), 4096):
                 x = slice(i, i + 4096)
-                text = pa.array(extract(batch.column("text"), row[x], start[x], n[x]), pa.binary())
+                text = pa.array(get(row[x], start[x], n[x]), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(pa.array(k[x]) for k in own), pa.array(doc[x]), pa.array(part[x]), pa.array(start[x]), pa.array(n[x]), text], names=names)
 
     listed = rows.groupBy("doc_id", "part").agg(F.collect_list(F.struct(*keys, "start", "n")).alias("list"))
@@ -328,28 +333,56 @@ def resolved(rows: DataFrame, docs: DataFrame, finder: Finder) -> DataFrame:
     return sent.repartition("m").sortWithinPartitions("m", "doc_id", "part", "start").mapInArrow(finder.resolver, _RUN)
 
 
-def resolved_singles(rows: DataFrame, docs: DataFrame, finder: Finder) -> DataFrame:
-    """The same among single windows (a, b, doc_id, part, start): each is held against the first place of its hashes."""
+def _joined_runs(batches):
+    """Single windows of a document that follow each other, as their first places do, as one run."""
+    for batch in batches:
+        row, start, *lead = _lists(batch, ("start", "lead_doc", "lead_part", "lead_start"))
+        order = np.lexsort((start, lead[2] - start, lead[1], lead[0], row))
+        row, start, lead = row[order], start[order].astype(np.int64), [x[order].astype(np.int64) for x in lead]
+        same = (row, lead[0], lead[1], lead[2] - start, start - np.arange(len(start)))
+        fresh = np.any([np.append(np.ones(min(len(x), 1), bool), x[1:] != x[:-1]) for x in same], axis=0)
+        at = np.flatnonzero(fresh)
+        n = np.diff(np.append(at, len(start)))
+        columns = [pa.array(x[at]) for x in lead] + [batch.column(c).take(pa.array(row[at])) for c in ("doc_id", "part")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(start[at].astype(np.int32)), pa.array(n.astype(np.int32))], names=[*_LEAD, "doc_id", "part", "start", "n"])
+
+
+_LEAD = ("lead_doc", "lead_part", "lead_start")
+
+
+def resolved_singles(rows: DataFrame, docs: DataFrame, finder: Finder, name: str) -> DataFrame:
+    """The same among single windows (a, b, doc_id, part, start): each is held against the first place of its hashes.
+
+    The table of first places is written, so that Spark can split the joins with it where a key is hot.
+    """
     own = F.struct("doc_id", "part", "start")
     leads = rows.groupBy("a", "b").agg(F.min(own).alias("lead"), F.max(own).alias("last"))
-    leads = leads.where("lead.doc_id < last.doc_id" if finder.across else "lead < last").select("a", "b", "lead")
-    first = _with_text(leads.select("a", "b", "lead.*", F.lit(1).alias("n")), docs, finder.extract, ("a", "b"))
-    first = first.select("a", "b", F.col("doc_id").alias("lead_doc"), F.col("text").alias("lead_text"))
+    leads = stage(leads.where("lead.doc_id < last.doc_id" if finder.across else "lead < last").select("a", "b", "lead"), f"{name}-leads")
     later = rows.join(leads, ["a", "b"]).where("doc_id > lead.doc_id" if finder.across else "struct(doc_id, part, start) > lead")
-    later = _with_text(later.select("a", "b", "doc_id", "part", "start", F.lit(1).alias("n")), docs, finder.extract, ("a", "b"))
+    place = F.struct("start", *(F.col(f"lead.{c}").alias(k) for c, k in zip(("doc_id", "part", "start"), _LEAD, strict=True)))
+    listed = later.groupBy("doc_id", "part").agg(F.collect_list(place).alias("list"))
+    pairs = stage(listed.mapInArrow(_joined_runs, "lead_doc long, lead_part long, lead_start long, doc_id long, part int, start int, n int"), f"{name}-pairs")
+    first = pairs.select(F.col("lead_doc").alias("doc_id"), F.col("lead_part").cast("int").alias("part"), F.col("lead_start").cast("int").alias("start"), "n").distinct()
+    first = _with_text(first.withColumn("k", F.lit(0).cast("long")), docs, finder.extract, ("k",))
+    first = first.select(F.col("doc_id").alias("lead_doc"), F.col("part").cast("long").alias("lead_part"), F.col("start").cast("long").alias("lead_start"), "n", F.col("text").alias("lead_text"))
+    both = _with_text(pairs, docs, finder.extract, _LEAD).join(first, [*_LEAD, "n"])
 
     def run(batches):
         for batch in batches:
             size = sum(map(len, batch.column("text").slice(0, 64).to_pylist())) // max(1, min(64, batch.num_rows)) + 1
-            for at in range(0, batch.num_rows, step := max(1, finder.shard // (2 * size))):
+            step = max(1, finder.shard // (2 * size))
+            for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 lead = dict(zip(part.column("lead_text").to_pylist(), part.column("lead_doc").to_pylist(), strict=True))
-                docs_ = np.array([*lead.values(), *part.column("doc_id").to_pylist()], np.int64)
-                got = finder.method([*lead, *part.column("text").to_pylist()], docs_)
-                again = pa.array(sorted({k - len(lead) for k, x, _ in got if k >= len(lead) and x == 0}), pa.int64())
-                yield part.select(["doc_id", "part", "start", "n"]).take(again)
+                doc, start = (np.asarray(part.column(c)) for c in ("doc_id", "start"))
+                got = finder.method([*lead, *part.column("text").to_pylist()], np.array([*lead.values(), *doc.tolist()], np.int64))
+                got = np.array([(k - len(lead), x, y) for k, x, y in got if k >= len(lead)], np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[got[:, 0]]), part.column("part").take(pa.array(got[:, 0])), pa.array((start[got[:, 0]] + got[:, 1]).astype(np.int32)), pa.array((got[:, 2] - got[:, 1]).astype(np.int32))],
+                    names=["doc_id", "part", "start", "n"],
+                )
 
-    return later.join(first, ["a", "b"]).mapInArrow(run, _RUN)
+    return both.mapInArrow(run, _RUN)
 
 
 def runs_of(docs: DataFrame, finder: Finder, name: str, hot: int = HOT, local: int = LOCAL) -> DataFrame:
@@ -361,7 +394,7 @@ def runs_of(docs: DataFrame, finder: Finder, name: str, hot: int = HOT, local: i
     every = found.where(F.col("state") == FOUND).select("doc_id", "part", "start", "n")
     every = every.unionByName(resolved(found.where(F.col("state").isin(0, INNER)), docs, finder))
     if len(heated):
-        every = every.unionByName(resolved_singles(found.where(F.col("state") == SINGLE), docs, finder))
+        every = every.unionByName(resolved_singles(found.where(F.col("state") == SINGLE), docs, finder, name))
     return every.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("list"))
 
 
