@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.kernel import Words, blocks, cover, grams, pair, runs, sliding_min
 from quarrylight.llm.store import documents
-from quarrylight.llm.windows import HOT, LOCAL, Finder, Piece, cut, keyed, runs_of, spans
+from quarrylight.llm.windows import HOT, LOCAL, WILD, Finder, Piece, cut, keyed, runs_of, sides, spans
 
 WINDOW, ANCHOR, TILE = 50, 12, 25
 #: Bytes of text that one automaton serves; bytes of documents that are cut at a time.
@@ -39,11 +39,13 @@ def _scan(window: int, anchor: int):
             whole = grams(h, window)
             if not len(whole):
                 continue
-            low = sliding_min(grams(h, anchor), window - anchor + 1)
+            g = grams(h, anchor)
+            low = sliding_min(g, window - anchor + 1)
             start, n, m, content = cut(low, whole, words.fits(window)[: len(whole)], words.row(), window)
+            near, wild = sides(g, low, start, n, m, grams(h, anchor + (window - anchor + 1) // 2), words.first, window, anchor)
             second = lambda h=h: grams(h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1), window)
             text = lambda a, b, flat=flat, words=words: flat[words.start[a] : words.end[b - 1]].tobytes()
-            yield Piece(i, words.first[:-1], 0, whole, second, start, n, m, content, np.zeros(len(m), bool), text)
+            yield Piece(i, words.first[:-1], 0, whole, second, start, n, m, content, wild * WILD, near, text)
 
     return scan
 
@@ -67,34 +69,34 @@ def _extract(window: int):
     return extract
 
 
-def confirm(ids: list[np.ndarray], doc: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+def confirm(ids: list[np.ndarray], low: np.ndarray, high: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     """Passages (text, start, end): maximal runs, in the smallest document, of windows that recur in another one.
 
-    ids: word numbers of each text; windows are equal if their numbers are, which a second hash guards.
+    ids: word numbers of each text, which the documents from low to high have; windows whose numbers hash alike are
+    taken for equal here, and words are compared where passages are found.
     """
     flat = np.concatenate(ids).astype(np.uint64)
     size = np.array([len(x) for x in ids])
     offset = np.concatenate(([0], np.cumsum(size)))
-    mixed = pair(flat, flat + np.uint64(0x51ED270B))
-    a = grams(mixed, window)
+    a = grams(pair(flat, flat + np.uint64(0x51ED270B)), window)
     text = np.repeat(np.arange(len(ids)), size)[: len(a)]
     valid = np.flatnonzero(np.arange(len(a)) + window <= offset[text + 1])
+    if not len(valid):
+        return []
     a, text = a[valid], text[valid]
-    owner = doc[text]
-    order = np.lexsort((valid, owner, a))
-    a, text, owner, valid = a[order], text[order], owner[order], valid[order]
-    fresh = np.ones(len(a), bool)
-    fresh[1:] = a[1:] != a[:-1]
-    lead = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
-    last = np.append(np.flatnonzero(fresh)[1:] - 1, len(a) - 1)
-    recurs = np.repeat(owner[last] != owner[np.flatnonzero(fresh)], np.diff(np.append(np.flatnonzero(fresh), len(a))))
-    source = np.sort(valid[recurs & (owner == owner[lead])])
+    order = np.lexsort((valid, low[text], a))
+    a, text, valid = a[order], text[order], valid[order]
+    begin = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    count = np.diff(np.append(begin, len(a)))
+    lead = np.repeat(low[text][begin], count)
+    recurs = np.repeat(np.maximum.reduceat(high[text], begin), count) != lead
+    source = np.sort(valid[recurs & (low[text] == lead)])
     flags = np.zeros(len(flat) + 1, bool)
     flags[source] = True
     out = []
     for t in np.unique(np.searchsorted(offset, source, side="right") - 1):
-        begin, end = runs(flags[offset[t] : offset[t + 1]])
-        out += [(int(t), int(x), int(y) + window - 1) for x, y in zip(begin, end, strict=True)]
+        x, y = runs(flags[offset[t] : offset[t + 1]])
+        out += [(int(t), int(i), int(j) + window - 1) for i, j in zip(x, y, strict=True)]
     return out
 
 
@@ -123,21 +125,27 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 def locate(texts: list[bytes], doc: np.ndarray, window: int = WINDOW, tile: int = TILE) -> list[tuple[int, int, int]]:
     """(text, start, end): runs of words of each text that a text of a smaller document has, of at least a window.
 
-    Words are what bytes.split() gives: it parts at 0x20 and 0x09-0x0D, as the kernel does.
+    Words are what bytes.split() gives: it parts at 0x20 and 0x09-0x0D, as the kernel does. Equal texts are streamed
+    once, for all documents that have them.
     """
+    owners: dict[bytes, list[int]] = {}
+    for k, t in enumerate(texts):
+        owners.setdefault(t, []).append(k)
+    low, high = (np.array([f(doc[o]) for o in owners.values()]) for f in (np.min, np.max))
     table: dict[bytes, int] = {}
-    ids = [np.array([table.setdefault(w, len(table) + 1) for w in t.split()], np.int64) for t in texts]
-    passages = confirm(ids, doc, window)
+    ids = [np.array([table.setdefault(w, len(table) + 1) for w in t.split()], np.int64) for t in owners]
+    passages = confirm(ids, low, high, window)
     if not passages:
         return []
     machine = automaton(passages, ids, tile)
     out = []
-    for k, words in enumerate(ids):
+    for words, last, rows in zip(ids, high, owners.values(), strict=True):
         known: dict[tuple[int, int], int] = {}  # (passage, diagonal): up to where it is grown
+        got: set[tuple[int, int, int]] = set()  # (document of the passage, start, end)
         for end, found in machine.iter(tuple(words.tolist())):
             for p, x in found:
                 t, a, b = passages[p]
-                if doc[t] >= doc[k]:
+                if low[t] >= last:
                     continue
                 begin = end - tile + 1
                 if known.get((p, begin - x), -1) >= end:
@@ -147,7 +155,9 @@ def locate(texts: list[bytes], doc: np.ndarray, window: int = WINDOW, tile: int
                 left = _common(words[:begin][::-1], source[a:x][::-1])
                 known[p, begin - x] = end + right
                 if left + tile + right >= window:
-                    out.append((k, begin - left, end + 1 + right))
+                    got.add((int(low[t]), begin - left, end + 1 + right))
+        for k in rows if got else ():
+            out += [(k, x, y) for x, y in {(x, y) for d, x, y in got if d < doc[k]}]
     return out
 
 

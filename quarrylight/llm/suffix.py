@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from quarrylight.llm.kernel import blocks, cover, pair, runs, sliding_min
 from quarrylight.llm.store import documents
-from quarrylight.llm.windows import HOT, LOCAL, Finder, Piece, cut, inner, keyed, runs_of, spans
+from quarrylight.llm.windows import HOT, INNER, LOCAL, WILD, Finder, Piece, cut, inner, keyed, runs_of, sides, spans
 
 WINDOW, ANCHOR = 100, 24
 #: Bytes of text under one suffix array; bytes of documents that are cut at a time.
@@ -72,12 +72,16 @@ def _scan(window: int, anchor: int, piece: int):
         whole = spans_of(flat, window)
         if not len(whole):
             return None
-        low = sliding_min(spans_of(flat, anchor), window - anchor + 1)
+        g = spans_of(flat, anchor)
+        low = sliding_min(g, window - anchor + 1)
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
         valid = np.arange(len(whole)) + window <= at[row[: len(whole)] + 1]
         start, n, m, content = cut(low, whole, valid, row, window)
-        twice = inner(start, n, whole) if inner_ else np.zeros(len(start), bool)
-        return Piece(i, at[:-1], base, whole, lambda: spans_of(flat, window, _SEED), start, n, m, content, twice, lambda a, b: flat[a:b].tobytes())
+        near, wild = sides(g, low, start, n, m, spans_of(flat, anchor + (window - anchor + 1) // 2), at, window, anchor)
+        state = wild * WILD
+        if inner_:
+            state[wild] |= inner(start[wild], n[wild], whole) * INNER  # equal windows of a segment have the minimizer at two places
+        return Piece(i, at[:-1], base, whole, lambda: spans_of(flat, window, _SEED), start, n, m, content, state, near, lambda a, b: flat[a:b].tobytes())
 
     def scan(column, inner_: bool):
         for i, j, flat, at in blocks(column, piece):
@@ -185,20 +189,30 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = WINDOW, st
 
 
 def repeated(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the joined texts: where each text begins, whether a window starts at a place and equals an earlier one, and the first places of all others."""
-    flat = np.frombuffer(b"".join(texts), np.uint8)
+    """Of the joined texts: where each text begins, whether a window starts at a place and equals an earlier one, and the first places of all others.
+
+    Equal texts are one in the suffix array; all windows of the later ones are repeats.
+    """
     begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    first: dict[bytes, int] = {}
+    own = np.array([first.setdefault(t, k) == k for k, t in enumerate(texts)])
+    flat = np.frombuffer(b"".join(first), np.uint8)
+    size = np.diff(begin)[own]
+    at = np.concatenate(([0], np.cumsum(size)))
     order, _ = suffix_array(flat, window)
     group = np.cumsum(common_prefixes(flat, order, window) < window)
-    valid = np.arange(len(flat)) + window <= np.repeat(begin[1:], np.diff(begin))
+    valid = np.arange(len(flat)) + window <= np.repeat(at[1:], size)
     keep = valid[order]
     place, group = order[keep], group[keep]
     by = np.lexsort((place, group))
     place, group = place[by], group[by]
     fresh = np.ones(len(place), bool)
     fresh[1:] = group[1:] != group[:-1]
-    again = np.zeros(len(flat) + 1, bool)
+    place += np.repeat(begin[:-1][own] - at[:-1], size)[place]  # from places in the distinct texts to places in all
+    again = np.zeros(begin[-1] + 1, bool)
     again[place[~fresh]] = True
+    for k in np.flatnonzero(~own):
+        again[begin[k] : max(begin[k], begin[k + 1] - window + 1)] = True
     return begin, again, place[fresh]
 
 

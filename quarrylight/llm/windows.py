@@ -6,11 +6,12 @@ minimizer form a segment, of about (L-K)/2 windows: the corpus is shuffled as on
 Hashes only decide which texts meet. Whether windows are equal is found by each operator's named method alone, on the
 texts themselves, in three places:
 
-1. `segments` cuts texts, a piece (some megabytes of documents) at a time. Minimizers that several documents of a piece
-   have go through the method at once. Segments that are repeated there as a whole travel no further, so a group of
-   copies leaves one segment per piece and content.
+1. `segments` cuts texts, a piece (a megabyte or some of documents) at a time. Segments that meet others in a piece go
+   through the method at once. Segments that are repeated there as a whole travel no further, so a group of copies
+   leaves one segment per piece and content.
 2. `judged` deals the other segments by minimizer and drops those that meet no other; `resolved` sends the text of the
-   rest, dealt in the same way, to the method.
+   rest, dealt in the same way, to the method. Segments meet if they have one minimizer and, beside it, the same units
+   to its left or to its right over half of what a window has beyond it: equal windows share one of the two.
 3. `hot_minimizers` has counted beforehand which minimizers too many segments share. Their windows are dealt one by one:
    the first place of each is found by a partial aggregate, every other place is joined to the first one (a join that
    Spark splits where a key is hot), places that follow each other become runs, and each run goes through the method
@@ -31,16 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.kernel import cover, mix, pair, runs, signed
+from quarrylight.llm.kernel import cover, mix, pair, runs, signed, sliding_min
 from quarrylight.llm.store import stage
 
-#: Segments of a minimizer from which on it is hot; of these, how many a task has to have; hot minimizers at most.
-HOT, LOCAL, HOT_KEYS = 512, 4, 100_000
+#: Segments that share a minimizer and a side of it from which on the minimizer is hot, or WIDE times as many that share
+#: only the minimizer; of these, how many a task has to have; hot minimizers at most.
+HOT, WIDE, LOCAL, HOT_KEYS = 512, 128, 4, 100_000
 #: Minimizers that a task counts before it reports.
 _COUNTED = 1 << 22
-#: state: 0, or FOUND (repeated windows), or SINGLE (a window of a hot minimizer, with hashes a and b), or INNER (some
-#: of a segment's own windows are equal).
-FOUND, INNER, SINGLE = 1, 2, 3
+#: state: FOUND (repeated windows), SINGLE (a window of a hot minimizer, with hashes a and b), or that of a segment: the
+#: sum of INNER (some of its own windows are equal) and WILD (its minimizer has several places), with its sides in a.
+FOUND, INNER, SINGLE, WILD = 1, 2, 3, 4
 SEGMENT = "m long, a long, b long, doc_id long, part int, start int, n int, state int"
 _NAMES = ["m", "a", "b", "doc_id", "part", "start", "n", "state"]
 _RUN = "doc_id long, part int, start int, n int"
@@ -74,8 +76,8 @@ class Piece:
     """Segments of some whole rows of a batch (from row i on), or of a part of one row (from unit `base` of it on).
 
     first: place where each row begins; whole: hash of the window at each place; second: another one, on demand; at, n,
-    m, content, inner: place, windows, minimizer, content hash of each segment, and whether two of its windows may be
-    equal; text: the bytes of the units from one place to another.
+    m, content, state, near: place, windows, minimizer, content hash, state and sides (32 bits each) of each segment;
+    text: the bytes of the units from one place to another.
     """
 
     i: int
@@ -87,7 +89,8 @@ class Piece:
     n: np.ndarray
     m: np.ndarray
     content: np.ndarray
-    inner: np.ndarray
+    state: np.ndarray
+    near: np.ndarray
     text: Callable[[int, int], bytes]
 
     def row(self, at: np.ndarray) -> np.ndarray:
@@ -139,6 +142,33 @@ def cut(low: np.ndarray, whole: np.ndarray, valid: np.ndarray, row: np.ndarray,
     return at[first], size, key[first], content
 
 
+def sides(g: np.ndarray, low: np.ndarray, at: np.ndarray, n: np.ndarray, m: np.ndarray, wider: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment a hash of the minimizer with the units to its left, and one with those to its right (32 bits each, 0 if the row ends before), and whether the minimizer has several places in it.
+
+    g: hash of the anchor from each place on; wider: of the anchor and half the rest of a window; first: n+1 places
+    where rows begin.
+    """
+    w, half = window - anchor + 1, (window - anchor + 1) // 2
+    # an anchor is the smallest one of some window if it is the largest of the windows' minima around it
+    above = np.zeros(len(g), np.uint64)
+    padded = np.concatenate((np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)))
+    above[:] = ~sliding_min(~padded, w)[: len(g)]
+    place = np.flatnonzero(above == g)
+    value, which = np.unique(g[place], return_inverse=True)
+    key = which.astype(np.int64) * (len(g) + 1) + place
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order]
+    base = np.searchsorted(value, m) * (len(g) + 1)
+    lo, hi = np.searchsorted(key, base + at), np.searchsorted(key, base + at + n + w - 1)
+    p = place[lo]
+    row = np.searchsorted(first, at, side="right") - 1
+    left, right = p - half, p
+    some_left, some_right = left >= first[row], right + anchor + half <= first[row + 1]
+    last = max(len(wider) - 1, 0)
+    take = lambda x, some: np.where(some, (wider[np.clip(x, 0, last)] >> np.uint64(32)) | np.uint64(1), np.uint64(0)) if len(wider) else np.zeros(len(x), np.uint64)
+    return take(left, some_left) << np.uint64(32) | take(right, some_right), hi - lo != 1
+
+
 def places(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """All places of the segments, in order."""
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
@@ -161,49 +191,74 @@ def inner(start: np.ndarray, n: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return out
 
 
-def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of each run of equal keys."""
-    begin = np.flatnonzero(np.append(np.ones(min(len(key), 1), bool), key[1:] != key[:-1]))
-    return begin, np.append(begin[1:], len(key)) if len(key) else begin
+def _several(keys: tuple[np.ndarray, ...], doc: np.ndarray, across: bool, more: np.ndarray | None = None) -> np.ndarray:
+    """Which rows have equal keys as one of another document (across) or another row; more: rows whose mark counts for all of their group, if that is asked for."""
+    order = np.lexsort((doc, *keys))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    begin = np.flatnonzero(fresh)
+    end = np.append(begin[1:], len(order))
+    if more is not None:
+        several = np.logical_or.reduceat(more[order], begin)
+    else:
+        several = doc[order][begin] != doc[order][end - 1] if across else end - begin > 1
+    out = np.empty(len(order), bool)
+    out[order] = np.repeat(several, end - begin)
+    return out
 
 
-def meets(m: np.ndarray, doc: np.ndarray, inner_: np.ndarray, across: bool) -> np.ndarray:
-    """Which segments share their minimizer with another document; or else with any other segment, or hold a repeat."""
-    order = np.lexsort((doc, m))
-    begin, end = groups(m[order])
-    several = doc[order][begin] != doc[order][end - 1] if across else end - begin > 1
-    out = np.zeros(len(m), bool)
-    out[order] = np.repeat(several, end - begin)
-    return out if across else out | inner_
+def meets(m: np.ndarray, doc: np.ndarray, state: np.ndarray, near: np.ndarray, across: bool) -> np.ndarray:
+    """Which segments may have a window of another document; or else of any other segment, or twice."""
+    if not len(m):
+        return np.zeros(0, bool)
+    out = _several((m,), doc, across)
+    at = np.flatnonzero(out)
+    if len(at):
+        m, doc, wild, near = m[at], doc[at], (state[at] & WILD) > 0, near[at]
+        sure = _several((m,), doc, across, wild) if wild.any() else wild.copy()
+        for side in (near >> np.uint64(32), near & np.uint64(0xFFFFFFFF)):
+            some = np.flatnonzero(side)
+            if len(some):
+                sure[some] |= _several((m[some], side[some]), doc[some], across)
+        out[at] = sure
+    return out if across else out | ((state & INNER) > 0)
 
 
 def hot_minimizers(docs: DataFrame, finder: Finder, hot: int = HOT, local: int = LOCAL, keys: int = HOT_KEYS) -> np.ndarray:
-    """Sorted minimizers with more than `hot` segments: at most `keys`, those with the most. A content counts once a piece."""
+    """Sorted minimizers that too many segments share: at most `keys`, those with the most. A content counts once a piece."""
 
     def run(batches):
-        seen: list[np.ndarray] = []
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out():
-            m = np.sort(np.concatenate(seen))
-            begin, end = groups(m)
-            some = end - begin >= local
+            m, side = (np.concatenate(x) for x in zip(*seen, strict=True))
+            order = np.lexsort((side, m))
+            m, side = m[order], side[order]
+            begin = np.flatnonzero(np.append(np.ones(min(len(m), 1), bool), (m[1:] != m[:-1]) | (side[1:] != side[:-1])))
+            c = np.diff(np.append(begin, len(m)))
+            begin, c = begin[c >= local], c[c >= local]
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(signed(m[begin[some]])), pa.array((end - begin)[some])], names=["m", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(signed(m[begin])), pa.array(signed(side[begin])), pa.array(c)], names=["m", "side", "c"])
 
         for batch in batches:
             for p in finder.scan(batch.column("text"), False):
                 order = np.lexsort((p.content, p.m))
-                m, content = p.m[order], p.content[order]
+                m, content, near = p.m[order], p.content[order], p.near[order]
                 fresh = np.ones(len(m), bool)
                 fresh[1:] = (m[1:] != m[:-1]) | (content[1:] != content[:-1])
-                seen.append(m[fresh])
-                if sum(map(len, seen)) > _COUNTED:
+                m, near = m[fresh], near[fresh]
+                seen.append((m, np.zeros(len(m), np.uint64)))
+                for k, side in enumerate((near >> np.uint64(32), near & np.uint64(0xFFFFFFFF))):
+                    some = side > 0
+                    seen.append((m[some], side[some] << np.uint64(1) | np.uint64(k)))
+                if sum(len(x) for x, _ in seen) > _COUNTED:
                     yield out()
         if seen:
             yield out()
 
-    counts = docs.select("text").mapInArrow(run, "m long, c long").groupBy("m").agg(F.sum("c").alias("c")).where(F.col("c") > hot)
-    return np.sort(np.array([r["m"] for r in counts.orderBy(F.desc("c"), "m").limit(keys).collect()], np.int64).view(np.uint64))
+    counts = docs.select("text").mapInArrow(run, "m long, side long, c long").groupBy("m", "side").agg(F.sum("c").alias("c"))
+    most = counts.where(F.col("c") > F.when(F.col("side") == 0, hot * WIDE).otherwise(hot)).groupBy("m").agg(F.max("c").alias("c"))
+    return np.sort(np.array([r["m"] for r in most.orderBy(F.desc("c"), "m").limit(keys).collect()], np.int64).view(np.uint64))
 
 
 def _batches(m, a, b, doc, part, start, n, state) -> Iterator[pa.RecordBatch]:
@@ -239,10 +294,10 @@ def segments(docs: DataFrame, finder: Finder, hot: np.ndarray) -> DataFrame:
     def rows(p: Piece, known: np.ndarray, doc: np.ndarray, part: np.ndarray):
         row = p.row(p.at) + p.i
         keep = known[row]
-        row, at, n, m, inner_ = row[keep], p.at[keep], p.n[keep], p.m[keep], p.inner[keep]
+        row, at, n, m, state, near = row[keep], p.at[keep], p.n[keep], p.m[keep], p.state[keep], p.near[keep]
         if not len(at):
             return
-        some = meets(m, doc[row], inner_, finder.across)
+        some = meets(m, doc[row], state, near, finder.across)
         found = _found_at_once(p, row, doc, part, some, at, n, finder) if some.any() else np.zeros(len(p.whole) + 1, bool)
         if found.any():
             begin, end = runs(found)
@@ -255,7 +310,7 @@ def segments(docs: DataFrame, finder: Finder, hot: np.ndarray) -> DataFrame:
         heated = hot[np.minimum(np.searchsorted(hot, m), len(hot) - 1)] == m if len(hot) else np.zeros(len(m), bool)
         plain = todo & ~heated
         zero = np.zeros(np.count_nonzero(plain), np.uint64)
-        yield from _batches(m[plain], zero, zero, doc[row[plain]], part[row[plain]], p.start(at[plain]), n[plain], inner_[plain] * INNER)
+        yield from _batches(m[plain], near[plain], zero, doc[row[plain]], part[row[plain]], p.start(at[plain]), n[plain], state[plain])
         if (todo & heated).any():
             x = places(at[todo & heated], n[todo & heated])
             x = x[~found[x]]
@@ -278,10 +333,10 @@ def judged(found: DataFrame, across: bool) -> DataFrame:
     dealt = found.repartition("m").sortWithinPartitions("m", "doc_id")
 
     def out(x: list[np.ndarray]):
-        m, doc, state = x[0], x[3], x[7]
-        plain = np.flatnonzero((state == 0) | (state == INNER))
+        m, near, doc, state = x[0], x[1].view(np.uint64), x[3], x[7]
+        plain = np.flatnonzero(state % 2 == 0)
         keep = np.ones(len(m), bool)
-        keep[plain] = meets(m[plain], doc[plain], state[plain] == INNER, across)
+        keep[plain] = meets(m[plain], doc[plain], state[plain], near[plain], across)
         if keep.any():
             yield pa.RecordBatch.from_arrays([pa.array(y[keep]) for y in x], names=_NAMES)
 
@@ -392,7 +447,7 @@ def runs_of(docs: DataFrame, finder: Finder, name: str, hot: int = HOT, local: i
     heated = hot_minimizers(docs, finder, hot, local)
     found = stage(judged(segments(docs, finder, heated), finder.across), f"{name}-segments")
     every = found.where(F.col("state") == FOUND).select("doc_id", "part", "start", "n")
-    every = every.unionByName(resolved(found.where(F.col("state").isin(0, INNER)), docs, finder))
+    every = every.unionByName(resolved(found.where(F.col("state") % 2 == 0), docs, finder))
     if len(heated):
         every = every.unionByName(resolved_singles(found.where(F.col("state") == SINGLE), docs, finder, name))
     return every.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("list"))
