@@ -30,58 +30,42 @@ WINDOW, ANCHOR = 100, 24
 #: Bytes of text under one suffix array; bytes of documents that are cut at a time.
 SHARD, PIECE = 1 << 20, 1 << 20
 _SEED = 0x9D39247E33776D41
-#: Positions of a stretch of Kasai's walk.
-STRETCH = 256
+#: Positions of a stretch of Kasai's walk, at least and at most.
+STRETCH = 32, 256
 
 
-def _eights(flat: np.ndarray, seed: int = 0) -> np.ndarray:
+def eights(flat: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as one number."""
     n = len(flat) - 7
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.ndarray((n,), "<u8", buffer=np.ascontiguousarray(flat), strides=(1,)).astype(np.uint64)
-    return out ^ np.uint64(seed) if seed else out
-
-
-def spans_of(flat: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hash of the `size` >= 8 bytes from each place on, by doubling; the last part may overlap."""
-    n = len(flat) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    x = _eights(flat, seed)
-    width, levels = 8, []
-    while True:
-        levels.append((width, x))
-        if width * 2 > size:
-            break
-        x = pair(x[: len(x) - width], x[width:])
-        width *= 2
-    out, done = levels[-1][1], levels[-1][0]
-    for w, part in reversed(levels):
-        while size - done >= w:
-            out = pair(out[:n], part[done : done + n])
-            done += w
-    if done < size:
-        w, part = levels[0]
-        out = pair(out[:n], part[size - w : size - w + n])
-    return out[:n]
+    return np.ndarray((n,), "<u8", buffer=np.ascontiguousarray(flat), strides=(1,)) if n > 0 else np.zeros(0, np.uint64)
+
+
+def hashed(eight: np.ndarray, at: np.ndarray | slice, size: int, seed: int = 0) -> np.ndarray:
+    """Hash of the `size` >= 8 bytes from each place on, eight at a time; the last ones may overlap."""
+    shift = (lambda k: slice(k, at.stop + k)) if isinstance(at, slice) else (lambda k: at + k)
+    out = eight[shift(0)] ^ np.uint64(seed)
+    for k in (*range(8, size - 8, 8), *([size - 8] if size > 8 else [])):
+        out = pair(out, eight[shift(k)])
+    return out
 
 
 def _scan(window: int, anchor: int, piece: int):
     def one(i, flat, at, base, inner_):
-        whole = spans_of(flat, window)
-        if not len(whole):
+        size = len(flat) - window + 1
+        if size <= 0:
             return None
-        g = spans_of(flat, anchor)
+        eight = eights(flat)
+        whole = lambda x: hashed(eight, x, window)
+        g = hashed(eight, slice(0, len(flat) - anchor + 1), anchor)
         low = sliding_min(g, window - anchor + 1)
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        valid = np.arange(len(whole)) + window <= at[row[: len(whole)] + 1]
+        valid = np.arange(size) + window <= at[row[:size] + 1]
         start, n, m, content = cut(low, whole, valid, row, window)
-        near, wild = sides(g, low, start, n, m, spans_of(flat, anchor + (window - anchor + 1) // 2), at, window, anchor)
+        near, wild = sides(g, low, start, n, m, lambda x: hashed(eight, x, anchor + (window - anchor + 1) // 2), at, window, anchor)
         state = wild * WILD
         if inner_:
             state[wild] |= inner(start[wild], n[wild], whole) * INNER  # equal windows of a segment have the minimizer at two places
-        return Piece(i, at[:-1], base, whole, lambda: spans_of(flat, window, _SEED), start, n, m, content, state, near, lambda a, b: flat[a:b].tobytes())
+        return Piece(i, at[:-1], base, size, whole, lambda x: hashed(eight, x, window, _SEED), start, n, m, content, state, near, lambda a, b: flat[a:b].tobytes())
 
     def scan(column, inner_: bool):
         for i, j, flat, at in blocks(column, piece):
@@ -149,7 +133,7 @@ def suffix_array(text: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.
     return order, rank[:n]
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = WINDOW, stretch: int = STRETCH) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = WINDOW, stretch: int | None = None) -> np.ndarray:
     """Bytes that each sorted suffix shares with the one before it, `depth` at most; 0 for the first.
 
     Kasai's walk: the next place of the text shares at least one byte less than the last one did. Stretches of the
@@ -159,6 +143,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = WINDOW, st
     out = np.zeros(n, np.int64)
     if not n:
         return out
+    stretch = stretch or min(max(n // 4096, STRETCH[0]), STRETCH[1])
     padded = np.concatenate((text, np.zeros(depth + 16, np.uint8)))
     eight = np.ndarray((n + depth + 8,), "<u8", buffer=padded, strides=(1,))
     slot = np.empty(n, np.int64)

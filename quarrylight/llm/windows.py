@@ -39,7 +39,7 @@ from quarrylight.llm.store import stage
 #: only the minimizer; of these, how many a task has to have; hot minimizers at most.
 HOT, WIDE, LOCAL, HOT_KEYS = 512, 128, 4, 100_000
 #: Minimizers that a task counts before it reports.
-_COUNTED = 1 << 22
+_COUNTED = 1 << 20
 #: state: FOUND (repeated windows), SINGLE (a window of a hot minimizer, with hashes a and b), or that of a segment: the
 #: sum of INNER (some of its own windows are equal) and WILD (its minimizer has several places), with its sides in a.
 FOUND, INNER, SINGLE, WILD = 1, 2, 3, 4
@@ -75,16 +75,17 @@ def once(docs: DataFrame) -> DataFrame:
 class Piece:
     """Segments of some whole rows of a batch (from row i on), or of a part of one row (from unit `base` of it on).
 
-    first: place where each row begins; whole: hash of the window at each place; second: another one, on demand; at, n,
-    m, content, state, near: place, windows, minimizer, content hash, state and sides (32 bits each) of each segment;
-    text: the bytes of the units from one place to another.
+    first: place where each row begins; size: places of the piece; whole, second: two hashes of the windows at places;
+    at, n, m, content, state, near: place, windows, minimizer, content hash, state and sides (32 bits each) of each
+    segment; text: the bytes of the units from one place to another.
     """
 
     i: int
     first: np.ndarray
     base: int
-    whole: np.ndarray
-    second: Callable[[], np.ndarray]
+    size: int
+    whole: Callable[[np.ndarray], np.ndarray]
+    second: Callable[[np.ndarray], np.ndarray]
     at: np.ndarray
     n: np.ndarray
     m: np.ndarray
@@ -119,10 +120,10 @@ class Finder:
     shard: int
 
 
-def cut(low: np.ndarray, whole: np.ndarray, valid: np.ndarray, row: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+def cut(low: np.ndarray, whole: Callable, valid: np.ndarray, row: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     """Segments of the windows at each place: (first place, windows, minimizer, content hash).
 
-    low and whole: minimizer and hash of the window at each place; valid: whether it lies in one row; a segment has at
+    low: minimizer of the window at each place; whole: hashes of the windows at places; valid: whether it lies in one row; a segment has at
     most `span` windows, so that its first and its last one tell its content.
     """
     at = np.flatnonzero(valid)
@@ -138,15 +139,15 @@ def cut(low: np.ndarray, whole: np.ndarray, valid: np.ndarray, row: np.ndarray,
         k = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
         rest = np.repeat(size, more) - k * span
         first, size = np.repeat(first, more) + k * span, np.minimum(rest, span)
-    content = pair(pair(whole[at[first]], whole[at[first + size - 1]]), size.astype(np.uint64))
+    content = pair(pair(whole(at[first]), whole(at[first + size - 1])), size.astype(np.uint64))
     return at[first], size, key[first], content
 
 
-def sides(g: np.ndarray, low: np.ndarray, at: np.ndarray, n: np.ndarray, m: np.ndarray, wider: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+def sides(g: np.ndarray, low: np.ndarray, at: np.ndarray, n: np.ndarray, m: np.ndarray, wider: Callable, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each segment a hash of the minimizer with the units to its left, and one with those to its right (32 bits each, 0 if the row ends before), and whether the minimizer has several places in it.
 
-    g: hash of the anchor from each place on; wider: of the anchor and half the rest of a window; first: n+1 places
-    where rows begin.
+    g: hash of the anchor from each place on; wider: hashes of the anchor and half the rest of a window, from places on;
+    first: n+1 places where rows begin.
     """
     w, half = window - anchor + 1, (window - anchor + 1) // 2
     # an anchor is the smallest one of some window if it is the largest of the windows' minima around it
@@ -164,8 +165,12 @@ def sides(g: np.ndarray, low: np.ndarray, at: np.ndarray, n: np.ndarray, m: np.n
     row = np.searchsorted(first, at, side="right") - 1
     left, right = p - half, p
     some_left, some_right = left >= first[row], right + anchor + half <= first[row + 1]
-    last = max(len(wider) - 1, 0)
-    take = lambda x, some: np.where(some, (wider[np.clip(x, 0, last)] >> np.uint64(32)) | np.uint64(1), np.uint64(0)) if len(wider) else np.zeros(len(x), np.uint64)
+
+    def take(x, some):
+        out = np.zeros(len(x), np.uint64)
+        out[some] = (wider(x[some]) >> np.uint64(32)) | np.uint64(1)
+        return out
+
     return take(left, some_left) << np.uint64(32) | take(right, some_right), hi - lo != 1
 
 
@@ -174,20 +179,14 @@ def places(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
 
 
-def inner(start: np.ndarray, n: np.ndarray, whole: np.ndarray) -> np.ndarray:
+def inner(start: np.ndarray, n: np.ndarray, whole: Callable) -> np.ndarray:
     """Which segments hold two equal windows (as in periodic text)."""
     out = np.zeros(len(start), bool)
-    x = np.sort(whole)
-    twice = x[1:][x[1:] == x[:-1]]
-    if not len(twice):
-        return out
-    which = np.repeat(np.arange(len(start)), n)
-    h = whole[places(start, n)]
-    some = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
-    h, which = h[some], which[some]
-    by = np.lexsort((h, which))
-    h, which = h[by], which[by]
-    out[which[1:][(h[1:] == h[:-1]) & (which[1:] == which[:-1])]] = True
+    if len(start):
+        h, which = whole(places(start, n)), np.repeat(np.arange(len(start)), n)
+        by = np.lexsort((h, which))
+        h, which = h[by], which[by]
+        out[which[1:][(h[1:] == h[:-1]) & (which[1:] == which[:-1])]] = True
     return out
 
 
@@ -269,8 +268,8 @@ def _batches(m, a, b, doc, part, start, n, state) -> Iterator[pa.RecordBatch]:
 
 def _found_at_once(p: Piece, row: np.ndarray, doc: np.ndarray, part: np.ndarray, some: np.ndarray, at: np.ndarray, n: np.ndarray, finder: Finder) -> np.ndarray:
     """Which windows of a piece the method finds repeated, of the chosen segments' texts."""
-    found = np.zeros(len(p.whole) + 1, bool)
-    begin, end = runs(cover(len(p.whole), at[some], at[some] + n[some]))
+    found = np.zeros(p.size + 1, bool)
+    begin, end = runs(cover(p.size, at[some], at[some] + n[some]))
     r = p.row(begin) + p.i
     order = np.lexsort((begin, part[r], doc[r]))
     texts, chosen, size = [], [], 0
@@ -298,7 +297,7 @@ def segments(docs: DataFrame, finder: Finder, hot: np.ndarray) -> DataFrame:
         if not len(at):
             return
         some = meets(m, doc[row], state, near, finder.across)
-        found = _found_at_once(p, row, doc, part, some, at, n, finder) if some.any() else np.zeros(len(p.whole) + 1, bool)
+        found = _found_at_once(p, row, doc, part, some, at, n, finder) if some.any() else np.zeros(p.size + 1, bool)
         if found.any():
             begin, end = runs(found)
             r, start = p.row(begin) + p.i, p.start(begin)
@@ -314,7 +313,7 @@ def segments(docs: DataFrame, finder: Finder, hot: np.ndarray) -> DataFrame:
         if (todo & heated).any():
             x = places(at[todo & heated], n[todo & heated])
             x = x[~found[x]]
-            a, b, r, start = p.whole[x], p.second()[x], p.row(x) + p.i, p.start(x)
+            a, b, r, start = p.whole(x), p.second(x), p.row(x) + p.i, p.start(x)
             key = mix(pair(a, mix(pair(doc[r].astype(np.uint64), start.astype(np.uint64)))))
             yield from _batches(key, a, b, doc[r], part[r], start, np.ones(len(x)), np.full(len(x), SINGLE))
 
