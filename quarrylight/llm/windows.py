@@ -37,7 +37,7 @@ from quarrylight.llm.store import stage
 
 #: Segments that share a minimizer and a side of it from which on the minimizer is hot, or WIDE times as many that share
 #: only the minimizer; of these, how many a task has to have; hot minimizers at most.
-HOT, WIDE, LOCAL, HOT_KEYS = 512, 128, 4, 100_000
+HOT, WIDE, LOCAL, HOT_KEYS = 4_096, 16, 4, 100_000
 #: Minimizers that a task counts before it reports.
 _COUNTED = 1 << 20
 #: state: FOUND (repeated windows), SINGLE (a window of a hot minimizer, with hashes a and b), or that of a segment: the
