@@ -1,18 +1,21 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A text is a dummy space and the text, spaces written as U+2581, cut into words: a run of spaces with the letters after
-it. No piece crosses from a letter to a later space, or holds a line feed, so words are encoded independently.
-
-`lattice` encodes a table of words relationally: all substrings up to the longest piece's length are exploded,
-equi-joined to the piece table (a bounded broadcast), and the edges found are grouped by word. The model file is of
-the BPE kind, for which the best-scored path through the lattice (Viterbi) is not the library's encoding; so the fold
-that runs over the grouped edges, Spark's higher-order `aggregate`, takes BPE's steps instead: each one joins the two
-neighbouring symbols whose joint edge scores best, the leftmost of equals. Characters without a piece become bytes.
-
-`encode` runs the lattice over the words that are frequent in the corpus (at most WORDS of them, so the dictionary
-has a fixed bound), sends this dictionary to the tasks, and encodes texts there by lookup. A word that is not in it is
-encoded on the spot by the same steps. Shuffling every word of every text to a join with an
-unbounded dictionary would move several times the input.
+it. No piece crosses from a letter to a later space, or holds a line feed, so words are encoded independently; so are
+the parts of a word between two neighbouring characters that no piece has side by side.
+
+1. `chunked` packs texts to chunks of some megabytes, each with the list of its distinct parts of words.
+2. `lattice` encodes every distinct part of the corpus relationally: all substrings up to the longest piece's length are
+   exploded, equi-joined to the piece table (a bounded broadcast), and the edges found are grouped by word. The model
+   file is of the BPE kind, for which the best-scored path through the lattice (Viterbi) is not the library's encoding;
+   so the fold that runs over the grouped edges, Spark's higher-order `aggregate`, takes BPE's steps instead: each one
+   joins the two neighbouring symbols whose joint edge scores best, the leftmost of equals. Characters without a piece
+   become bytes. The table stays dealt by word from `distinct` to the fold.
+3. The encodings are joined back to the chunks by word (a word is in a chunk's list once, so no word has more rows than
+   there are chunks) and gathered by chunk, where texts are put together from them.
+
+A part of more than LONG characters without such a place to cut it, as in long runs of one letter, is encoded where it
+is found by the same steps on an agenda: a fold over its lattice would take the square of its length.
 
 Defined results: a null or empty text has no ids; a U+2581 in a text is encoded as the library does, as a space (and
 only such texts do not come back from decode unchanged); rows that repeat a doc_id are encoded each.
@@ -24,20 +27,21 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.kernel import blocks
 from quarrylight.llm.store import documents
 
 SPACE = "▁"
-WORDS, WORD_CHARS, MEMO = 100_000, 40, 400_000
-#: Words up to this length are encoded by scanning, longer ones by an agenda; marks that are parted from words if no piece joins them.
-SCANNED, MARKS, _NONE = 64, ".,;:!?", -1e30
+#: Characters of a part of a word that the lattice takes at most; bytes of text in a chunk.
+LONG, CHUNK = 64, 8 << 20
+#: Words up to this length are encoded by scanning, longer ones by an agenda.
+SCANNED, _NONE = 64, -1e30
 _WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
@@ -58,6 +62,8 @@ class Pieces:
         self.joined = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.id) or len(self.byte) != 256:
             raise ValueError("a piece crosses words, or the model has no bytes to fall back on")
+        if len(ids) > 1 << 16:
+            raise ValueError("ids are shuffled as two bytes each")
         self.text = {i: p for p, i in self.id.items()}
         self.of_byte = {i: b for b, i in self.byte.items()}
 
@@ -81,10 +87,15 @@ class Pieces:
         except KeyError:
             return [k for p in parts for k in ([ids[p]] if p in ids else [self.byte[b] for b in p.encode()])]
 
-    def cut(self, word: str) -> int:
-        """Where closing marks begin that no piece joins to the letter before them; 0 if there are none."""
-        at = len(word.rstrip(MARKS))
-        return at if 0 < at < len(word) and word[at - 1 : at + 1] not in self.joined else 0
+    def parts(self, word: str) -> list[str]:
+        """The word cut between neighbouring characters that no piece has side by side."""
+        joined, at, out = self.joined, 0, []
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in joined:
+                out.append(word[at:i])
+                at = i
+        out.append(word[at:])
+        return out
 
     def _encode_long(self, word: str) -> list[int]:
         """The same for long words, by an agenda."""
@@ -184,104 +195,133 @@ def lattice(words: DataFrame, table: Pieces) -> DataFrame:
     each = words.select("word").where("word <> ''").distinct()
     starts = each.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("start"))
     most = F.least(F.lit(table.longest), F.char_length("word") - F.col("start"))
-    parts = starts.select("word", "start", F.explode(F.sequence(F.lit(1), most)).alias("size"))
-    parts = parts.select("word", "start", (F.col("start") + F.col("size")).alias("stop"), F.expr("substring(word, start + 1, size)").alias("piece"))
-    edges = parts.join(F.broadcast(piece_table(spark, table)), "piece")
-    # the map is built below the join: above it, it would be built anew for each look-up of the fold
-    entry = F.struct(_key(F.col("start"), F.col("stop")), F.struct("score", "id"))
+    found = starts.select("word", "start", F.explode(F.sequence(F.lit(1), most)).alias("size"))
+    found = found.select("word", "start", "size", F.expr("substring(word, start + 1, size)").alias("piece"))
+    # single characters stay without a piece too, so that each word has a row
+    edges = found.join(F.broadcast(piece_table(spark, table)), "piece", "left").where("id IS NOT NULL OR size = 1")
+    # the map is built below the fold: within it, it would be built anew for each look-up
+    entry = F.when(F.col("id").isNotNull(), F.struct(_key(F.col("start"), F.col("start") + F.col("size")), F.struct("score", "id")))
     grouped = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"))
-    folded = each.join(grouped, "word", "left").select("word", "edges", _bounds(F.col("word"), F.col("edges")).alias("bounds"))
+    folded = grouped.select("word", "edges", _bounds(F.col("word"), F.col("edges")).alias("bounds"))
     return folded.select("word", _symbols(F.col("word"), F.col("edges"), F.col("bounds")).alias("symbols"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts; words are counted within a batch before they are shuffled."""
+def _packed(table: Pieces) -> Column:
+    """Symbols as ids of two bytes each."""
+    byte = F.array(*(F.lit(table.byte[b]) for b in range(256)))
+    ids = F.transform("symbols", lambda s: F.coalesce(s["id"], F.get(byte, s["byte"])))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i.cast("long")), 4, "0")), ""))
 
-    def run(batches):
-        for batch in batches:
-            count: Counter = Counter()
-            for _, _, flat, at in blocks(batch.column("text")):
-                data = flat.tobytes()
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    count.update(words_of(data[a:b].decode()))
-            short = [(w, n) for w, n in count.items() if len(w) <= WORD_CHARS]
-            for i in range(0, len(short), 50_000):
-                w, n = zip(*short[i : i + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def dictionary(docs: DataFrame, table: Pieces, words: int = WORDS) -> dict[str, bytes]:
-    """Encodings (int32 ids) of the most frequent words, at most so many, by the lattice."""
-    from quarrylight.llm.store import stage
-
-    counts = stage(word_counts(docs), "pieces-words")
-    # a histogram of at most some hundred steps tells from which count on the words are few enough
-    level = F.floor(F.log2("n") * 8).cast("int")
-    steps = sorted(((r["l"], r["c"]) for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("c")).collect()), reverse=True)
-    total, least = 0, None
-    for at, c in steps:
-        if total + c > words:
-            break
-        total, least = total + c, at
-    if least is None:
-        return {}
-    rows = lattice(counts.where(level >= least).select("word"), table).toArrow()
-    out = {}
-    for word, symbols in zip(rows.column("word").to_pylist(), rows.column("symbols").to_pylist(), strict=True):
-        out[word] = np.array([table.byte[s["byte"]] if s["id"] is None else s["id"] for s in symbols], np.int32).tobytes()
-    return out
-
-
-def _encoder(known, name, path):
-    """A function from a text to its ids as int32 bytes."""
-    table = pieces(name, path)
-    memo = dict(known)
-    fixed = len(memo)
-
-    def encode(text: str) -> bytes:
-        nonlocal memo
-        words = words_of(text)
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            if len(memo) > fixed + MEMO:
-                memo = dict(known)
-            for w in set(words).difference(memo):
-                if at := table.cut(w):
-                    for part in (w[:at], w[at:]):
-                        if part not in memo:
-                            memo[part] = array("i", table.encode_word(part)).tobytes()
-                    memo[w] = memo[w[:at]] + memo[w[at:]]
-                else:
-                    memo[w] = array("i", table.encode_word(w)).tobytes()
-            return b"".join(map(memo.__getitem__, words))
 
-    return encode
+def chunked(docs: DataFrame, name: str = "piece_bpe_32k.model", path: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(chunk, blob, words): some megabytes of documents, compressed, and their distinct parts of words up to LONG."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
 
+    def run(batches):
+        from pyspark import TaskContext
+
+        table, part, done = pieces(name, path), TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+
+        def out():
+            nonlocal done
+            words: set[str] = set()
+            for b in held:
+                for t in b.column("text").to_pylist():
+                    words.update(words_of(t))
+            parts = {p for w in words for p in table.parts(w) if len(p) <= LONG}
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+                for b in held:
+                    f.write_batch(b)
+            blob = sink.getvalue().to_pybytes()
+            own = xxhash.xxh3_64_intdigest(blob, part << 24 | done) - (1 << 63)
+            done += 1
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([blob], pa.binary()), pa.array([sorted(parts)], pa.list_(pa.string()))], names=["chunk", "blob", "words"])
+
+        size = 0
+        for batch in batches:
+            ids, text = batch.column("doc_id").cast(pa.int64()), batch.column("text").cast(pa.large_string()).fill_null("")
+            at, ends = 0, np.cumsum(np.asarray(pc.binary_length(text)))
+            while at < len(text):
+                base = ends[at - 1] if at else 0
+                stop = min(len(text), max(at + 1, int(np.searchsorted(ends, base + chunk - size, side="right"))))
+                held.append(pa.RecordBatch.from_arrays([ids.slice(at, stop - at), text.slice(at, stop - at)], schema=schema))
+                size, at = size + int(ends[stop - 1] - base), stop
+                if size >= chunk or at < len(text):
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, blob binary, words array<string>")
+
+
+def dictionary(chunks: DataFrame, table: Pieces) -> DataFrame:
+    """(chunk, at, ids): the encoding of each entry of each chunk's words, all by the lattice."""
+
+    def listed(batches):
+        # all columns are read, so that the exchange of chunks is one for both its readers
+        for batch in batches:
+            for own, words in zip(batch.column("chunk").to_pylist(), batch.column("words"), strict=True):
+                words = words.values
+                for i in range(0, len(words), 50_000):
+                    part = words.slice(i, 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), own)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), part], names=["chunk", "at", "word"])
 
-def _texts(batch: pa.RecordBatch):
-    """(rows i to j, texts) of each block."""
-    for i, j, flat, at in blocks(batch.column("text")):
-        data = flat.tobytes()
-        yield i, j, [data[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    words = chunks.mapInArrow(listed, "chunk long, at int, word string")
+    encoded = lattice(words, table).select("word", _packed(table).alias("ids"))
+    return words.join(encoded, "word").select("chunk", "at", "ids")
 
 
-def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", path: str | None = None, words: int = WORDS) -> DataFrame:
-    """doc_id and ids (array<int>) of each document."""
-    known = docs.sparkSession.sparkContext.broadcast(dictionary(docs, pieces(name, path), words))
+def _encoded(docs: DataFrame, name: str, path: str | None, chunk: int, form, schema: str) -> DataFrame:
+    """form(table)(doc_ids, texts, ids of each text as int32 bytes) of each chunk."""
+    chunks = chunked(docs, name, path, chunk).repartition("chunk")
+    known = dictionary(chunks, pieces(name, path)).groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("known"))
 
     def run(batches):
-        to_ids = _encoder(known.value, name, path)
+        table = pieces(name, path)
+        give = form(table)
         for batch in batches:
-            for i, j, texts in _texts(batch):
-                got = [to_ids(t) for t in texts]
-                at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(got), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), ids], names=["doc_id", "ids"])
+            for blob, words, known_ in zip(batch.column("blob"), batch.column("words"), batch.column("known"), strict=True):
+                memo: dict[str, bytes] = {}
+                if known_.is_valid:
+                    at, ids = known_.values.field("at"), known_.values.field("ids")
+                    raw = np.frombuffer(b"".join(ids.to_pylist()), ">u2").astype("<i4").tobytes()
+                    ends = (2 * np.cumsum(np.asarray(pc.binary_length(ids)))).tolist()
+                    keys = words.values.take(at).to_pylist()
+                    memo = {w: raw[a:b] for w, a, b in zip(keys, [0, *ends], ends, strict=False)}
+
+                def of_word(word, memo=memo):
+                    return b"".join([memo[p] if len(p) <= LONG else array("i", table.encode_word(p)).tobytes() for p in table.parts(word)])
+
+                whole: dict[str, bytes] = {}
+                for part in pa.ipc.open_stream(blob.as_buffer()):
+                    for i in range(0, part.num_rows, 1000):
+                        x = part.slice(i, 1000)
+                        texts, got = x.column("text").to_pylist(), []
+                        for t in texts:
+                            words_ = words_of(t)
+                            for w in set(words_).difference(whole):
+                                whole[w] = memo[w] if w in memo else of_word(w)
+                            got.append(b"".join(map(whole.__getitem__, words_)))
+                        yield give(x.column("doc_id"), texts, got)
+
+    return chunks.join(known, "chunk", "left").select("blob", "words", "known").mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", path: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """doc_id and ids (array<int>) of each document."""
+
+    def form(table):
+        def give(doc_ids, texts, got):
+            at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got]))).astype(np.int32)
+            return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(got), np.int32)))], names=["doc_id", "ids"])
+
+        return give
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return _encoded(docs, name, path, chunk, form, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model", path: str | None = None) -> DataFrame:
@@ -296,24 +336,23 @@ def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model", path: str | No
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digest(docs: DataFrame, name: str = "piece_bpe_32k.model", path: str | None = None, words: int = WORDS) -> DataFrame:
+def digest(docs: DataFrame, name: str = "piece_bpe_32k.model", path: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 (of the ids as little-endian int32), round_trip (decoding gives the text)."""
-    known = docs.sparkSession.sparkContext.broadcast(dictionary(docs, pieces(name, path), words))
 
-    def run(batches):
-        to_ids, table = _encoder(known.value, name, path), pieces(name, path)
+    def form(table):
         raw = np.array([table.text[i].encode() if i in table.text else bytes([table.of_byte[i]]) if i in table.of_byte else b"" for i in range(max(table.text) + 1)], object)
         mark = SPACE.encode()
-        for batch in batches:
-            for i, j, texts in _texts(batch):
-                got = [to_ids(t) for t in texts]
-                back = [b"".join(raw[np.frombuffer(x, np.int32)].tolist()).replace(mark, b" ")[1:] == t.encode() for x, t in zip(got, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in got]), pa.array(back)],
-                    names=["doc_id", "n_tokens", "ids_sha256", "round_trip"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
+
+        def give(doc_ids, texts, got):
+            back = [b"".join(raw[np.frombuffer(x, np.int32)].tolist()).replace(mark, b" ")[1:] == t.encode() for x, t in zip(got, texts, strict=True)]
+            return pa.RecordBatch.from_arrays(
+                [doc_ids, pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in got]), pa.array(back)],
+                names=["doc_id", "n_tokens", "ids_sha256", "round_trip"],
+            )
+
+        return give
+
+    return _encoded(docs, name, path, chunk, form, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:

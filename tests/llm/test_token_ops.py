@@ -89,17 +89,35 @@ def test_pieces_equal_the_library(spark, library):
         ids = [i for w in pieces.words_of(t) for i in table.encode_word(w)]
         assert ids == library.encode(t)
         assert table.decode(ids) == t.replace("▁", " ")
+        assert [i for w in pieces.words_of(t) for p in table.parts(w) for i in table.encode_word(p)] == ids
     words = sorted({w for t in texts for w in pieces.words_of(t) if len(w) <= 20})[:400]
     got = {r.word: [table.byte[s.byte] if s.id is None else s.id for s in r.symbols] for r in pieces.lattice(spark.createDataFrame([(w,) for w in words], "word string"), table).collect()}
     assert got == {w: table.encode_word(w) for w in words}
 
 
-@pytest.mark.parametrize("words", [0, 50])
-def test_messy_pieces(spark, library, words):
-    rows = pieces.digest(awkward(spark), words=words).collect()
+@pytest.mark.parametrize("chunk", [200, 1 << 20])
+def test_messy_pieces(spark, library, chunk):
+    rows = pieces.digest(awkward(spark), chunk=chunk).collect()
     assert len(rows) == len(MESSY) and all(r.round_trip for r in rows)
     want = sorted(hashlib.sha256(np.array(library.encode(t or ""), np.int32).tobytes()).hexdigest() for _, t in MESSY)
     assert sorted(r.ids_sha256 for r in rows) == want
-    back = pieces.decode(pieces.encode(awkward(spark), words=words)).collect()
+    back = pieces.decode(pieces.encode(awkward(spark), chunk=chunk)).collect()
     assert sorted(r.text for r in back) == sorted(t or "" for _, t in MESSY)
     assert pieces.digest(frame(spark, [])).count() == 0
+
+
+def test_every_word_goes_through_the_lattice(spark, library):
+    table = pieces.pieces()
+    chunks = pieces.chunked(frame(spark, MESSY).repartition(3), chunk=5000)
+    listed = {r.chunk: r.words for r in chunks.collect()}
+    got = {(r.chunk, r.at): np.frombuffer(r.ids, ">u2").tolist() for r in pieces.dictionary(chunks, table).collect()}
+    assert set(got) == {(c, i) for c, words in listed.items() for i in range(len(words))}
+    assert all(got[c, i] == table.encode_word(w) for c, words in listed.items() for i, w in enumerate(words))
+    parts = {p for _, t in MESSY for w in pieces.words_of(t or "") for p in table.parts(w)}
+    assert {w for words in listed.values() for w in words} == {p for p in parts if len(p) <= pieces.LONG} and any(len(p) > pieces.LONG for p in parts)
+
+
+def test_op10_query(spark, library):
+    folder = "/root/testdata/sf0.001"
+    want = {r.doc_id: hashlib.sha256(np.array(library.encode(r.text or ""), np.int32).tobytes()).hexdigest() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert {r.doc_id: r.ids_sha256 for r in pieces.op10_sentencepiece(spark, folder).collect()} == want
