@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.kernel import Words, blocks, cover, grams, pair, runs, sliding_min
 from quarrylight.llm.store import documents
-from quarrylight.llm.windows import HOT, LOCAL, WILD, Finder, Piece, cut, keyed, runs_of, sides, spans
+from quarrylight.llm.windows import HOT, LOCAL, WILD, Finder, Piece, beside, cut, keyed, runs_of, sides, spans
 
 WINDOW, ANCHOR, TILE = 50, 12, 25
 #: Bytes of text that one automaton serves; bytes of documents that are cut at a time.
@@ -205,7 +205,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, tile: i
     """Keyed documents with the list of (start, n windows) runs to be removed, null if there are none."""
     how = finder(window, anchor, tile, shard)
     whole = keyed(docs, more)
-    return whole.join(runs_of(whole.select("doc_id", "part", "text"), how, "passages", hot, local), ["doc_id", "part"], "left")
+    return beside(whole, runs_of(whole.select("doc_id", "part", "text"), how, "passages", hot, local))
 
 
 def _kept(flat: np.ndarray, words: Words, gone: np.ndarray) -> tuple[bytes, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from quarrylight.llm.kernel import blocks, cover, pair, runs, sliding_min
 from quarrylight.llm.store import documents
-from quarrylight.llm.windows import HOT, INNER, LOCAL, WILD, Finder, Piece, cut, inner, keyed, runs_of, sides, spans
+from quarrylight.llm.windows import HOT, INNER, LOCAL, WILD, Finder, Piece, beside, cut, inner, keyed, runs_of, sides, spans
 
 WINDOW, ANCHOR = 100, 24
 #: Bytes of text under one suffix array; bytes of documents that are cut at a time.
@@ -133,11 +133,12 @@ def suffix_array(text: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.
     return order, rank[:n]
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = WINDOW, stretch: int | None = None) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = WINDOW, stretch: int | None = None, asked: np.ndarray | None = None) -> np.ndarray:
     """Bytes that each sorted suffix shares with the one before it, `depth` at most; 0 for the first.
 
     Kasai's walk: the next place of the text shares at least one byte less than the last one did. Stretches of the
-    text are walked in step. Where `depth` cut a comparison the order of the next pair is open, and it starts anew.
+    text are walked in step. Where `depth` cut a comparison the order of the next pair is open, and it starts anew. asked:
+    the sorted suffixes to be compared, all if it is not given; the others get 0.
     """
     n = len(text)
     out = np.zeros(n, np.int64)
@@ -150,6 +151,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = WINDOW, st
     slot[order] = np.arange(n)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
+    if asked is not None:
+        before[order[~asked]] = -1
     lane = np.arange(0, n, stretch)
     shared = np.zeros(len(lane), np.int64)
     for step in range(min(stretch, n)):
@@ -184,8 +187,10 @@ def repeated(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.n
     flat = np.frombuffer(b"".join(first), np.uint8)
     size = np.diff(begin)[own]
     at = np.concatenate(([0], np.cumsum(size)))
-    order, _ = suffix_array(flat, window)
-    group = np.cumsum(common_prefixes(flat, order, window) < window)
+    order, rank = suffix_array(flat, window)
+    # what refinement has parted shares less than a window
+    together = rank[order] != np.arange(len(flat))
+    group = np.cumsum(common_prefixes(flat, order, window, asked=together) < window)
     valid = np.arange(len(flat)) + window <= np.repeat(at[1:], size)
     keep = valid[order]
     place, group = order[keep], group[keep]
@@ -274,7 +279,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: in
     """Keyed documents with the list of (start, n windows) runs to be removed, null if there are none."""
     how = finder(window, anchor, shard, piece)
     whole = keyed(docs)
-    return whole.join(runs_of(whole, how, "suffix", hot, local), ["doc_id", "part"], "left")
+    return beside(whole, runs_of(whole, how, "suffix", hot, local))
 
 
 def _each(batch, window: int):

@@ -452,6 +452,12 @@ def runs_of(docs: DataFrame, finder: Finder, name: str, hot: int = HOT, local: i
     return every.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("list"))
 
 
+def beside(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Keyed documents with their lists of runs. Rows without a doc_id take no part in the join, so that its shuffle of the texts is the one that `resolved` has made."""
+    alone = docs.where("doc_id IS NULL").withColumn("list", F.lit(None).cast(found.schema["list"].dataType))
+    return docs.where("doc_id IS NOT NULL").join(found, ["doc_id", "part"], "left").unionByName(alone)
+
+
 def spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and number of windows of each row's runs, and where each row's runs begin."""
     lists = batch.column("list")
