@@ -1,37 +1,47 @@
 """Token-ID shards in training order.
 
-Documents are encoded, each text followed by an end token, and cut into sequences of at most LENGTH ids. The encoded
-sequences are written once, and numbered 0..N-1 by (part of that table, place in it): only the parts' counts reach the
-driver. A keyed Feistel permutation with cycle-walking sends each number to a global slot: a bijection on [0, N) that
-any reader can compute, so a training order for another key needs no sort and no table. Slots are dealt by range to
-shards of SLOTS records, sorted, and written as fixed-stride records, one row of `data` for each shard: slot s is at byte
-(s mod SLOTS) * stride of shard s // SLOTS, so sequential reads are in training order and a run resumes at any slot.
-
-A record is a little-endian header of the true length (uint32), its document (int64) and its place in the document
-(uint32), then LENGTH ids (uint16), padded with the end token.
-
-Defined results: a null or empty text is one sequence of the end token alone; a null doc_id is written as -1; rows
-that repeat a doc_id are written each; an empty table has no slots and no shards.
+Documents are encoded, each text followed by an end token, and follow each other by (doc_id, hash of the text) as one
+stream of tokens, which is cut into sequences of LENGTH ids: the last one alone is padded, with end tokens. So the
+number of a sequence depends on the documents alone, not on how the table is split. A keyed Feistel permutation with
+cycle-walking sends each number to a global slot: a bijection on [0, N) that any reader can compute, so a training
+order for another key needs no sort and no table. Slots are dealt by range to shards of SLOTS records and written as
+fixed-stride binary files: slot s is at byte (s mod SLOTS) * 2 * LENGTH of shard s // SLOTS, as little-endian uint16.
+
+1. `encoded` is written once. A task's documents form runs in the order of the stream; only the runs' bounds and sizes
+   reach the driver. If they do not overlap, as in a table that was written in order, a document's place in the stream
+   follows from its run; else the encoded documents are dealt by range and sorted first.
+2. `fragments` cuts each document where sequences end, and `shards` puts the fragments of a slot together.
+3. A file gets its name, which holds its SHA-256, when it is whole. A run into the same folder takes the encoded table
+   and the whole files that are there, and writes the others.
+
+Defined results: a null or empty text is an end token alone; a null doc_id counts as -1; rows that repeat a doc_id
+follow each other in the order of their texts' hashes, equal ones are written each; an empty table has no slots and no
+shards; a folder that holds another run is refused.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_right
+import json
+import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyarrow import fs as files
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.kernel import blocks
-from quarrylight.llm.store import documents, folder_for, stage
+from quarrylight.llm.store import documents, folder_for
 
-LENGTH, SLOTS, KEY, ROUNDS = 1024, 4096, 0x5DEECE66D, 6
+#: Ids of a sequence; sequences of a shard (128 MB).
+LENGTH, SLOTS, KEY, ROUNDS = 1024, 65_536, 0x5DEECE66D, 6
 END = 50_256
-HEADER = np.dtype([("n", "<u4"), ("doc", "<i8"), ("place", "<u4")])
-_COPY = 8_192
+#: A run of documents ends where the next doc_id is further off than so many usual steps.
+_FAR = 64
 
 
 def load(name: str = "byte_bpe_50k.tiktoken", path: str | None = None):
@@ -95,104 +105,219 @@ def unfeistel(y: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np
     return out
 
 
-def sequences(docs: DataFrame, length: int = LENGTH, name: str = "byte_bpe_50k.tiktoken", path: str | None = None) -> DataFrame:
-    """(part, row, doc_id, place, n, ids): sequences of each task in its order. ids: little-endian uint16, not padded."""
+def encoded(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", path: str | None = None) -> DataFrame:
+    """(part, run, at, doc_id, tag, n, ids): documents, their run within the task, and the tokens before them in it. ids: little-endian uint16."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, row = TaskContext.get().partitionId(), 0
+        part, number, at, last = TaskContext.get().partitionId(), 0, 0, None
         if (name, path) not in _loaded:
             _loaded[name, path] = load(name, path)
         encoding = _loaded[name, path]
         for batch in batches:
-            docs_ = batch.column("doc_id").cast(pa.int64()).fill_null(-1).to_pylist()
-            for i, _, flat, at in blocks(batch.column("text")):
+            ids_ = np.asarray(batch.column("doc_id").cast(pa.int64()).fill_null(-1))
+            far = _FAR * max(1, int(np.median(np.abs(np.diff(ids_))))) if len(ids_) > 1 else _FAR
+            for i, _, flat, ends in blocks(batch.column("text")):
                 data = flat.tobytes()
                 out: list[tuple] = []
-                for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), i):
-                    ids = np.array([*encoding.encode_ordinary(data[a:b].decode()), END], "<u2")
-                    out += [(docs_[r], p, min(length, len(ids) - p * length), ids[p * length : (p + 1) * length].tobytes()) for p in range(-(-len(ids) // length))]
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(out), part, np.int32)), pa.array(np.arange(row, row + len(out)))] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                    names=["part", "row", "doc_id", "place", "n", "ids"],
-                )
-                row += len(out)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, row long, doc_id long, place int, n int, ids binary")
-
-
-def slotted(encoded: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """(slot, doc_id, place, n, ids), and the number of slots; encoded is a written table of `sequences`."""
-    counts = sorted((r["part"], r["c"]) for r in encoded.groupBy("part").agg(F.count("*").alias("c")).collect())
-    total = sum(c for _, c in counts)
-    offsets, at = {}, 0
-    for part, c in counts:
-        offsets[part] = at
-        at += c
+                for r, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), i):
+                    text = data[a:b]
+                    key = int(ids_[r]), xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                    ids = np.array([*encoding.encode_ordinary(text.decode()), END], "<u2")
+                    if last is not None and (key < last or key[0] - last[0] > far):
+                        number, at = number + 1, 0
+                    out.append((part, number, at, *key, len(ids), ids.tobytes()))
+                    at, last = at + len(ids), key
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=_ENCODED)
+
+    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+
+
+_ENCODED = ["part", "run", "at", "doc_id", "tag", "n", "ids"]
+_SCHEMA = "part int, run int, at long, doc_id long, tag long, n long, ids binary"
+
+
+def offsets(table: DataFrame) -> tuple[dict[tuple[int, int], int] | None, int]:
+    """Tokens before each run (part, run) of an encoded table, or None if runs overlap; and the number of tokens."""
+    key = F.struct("doc_id", "tag")
+    runs = table.groupBy("part", "run").agg(F.sum("n").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()
+    runs = sorted(runs, key=lambda r: (tuple(r["low"]), tuple(r["high"])))
+    total = sum(r["n"] for r in runs)
+    if any(tuple(a["high"]) > tuple(b["low"]) for a, b in zip(runs, runs[1:])):
+        return None, total
+    out, at = {}, 0
+    for r in runs:
+        out[r["part"], r["run"]] = at
+        at += r["n"]
+    return out, total
+
+
+def in_order(table: DataFrame) -> DataFrame:
+    """The encoded table dealt by range and sorted, so that each task has one run."""
 
     def run(batches):
-        for batch in batches:
-            part, row = np.asarray(batch.column("part")), np.asarray(batch.column("row"))
-            number = np.array([offsets[p] for p in part.tolist()], np.int64) + row
-            slot = pa.array(feistel(number, total, key).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([slot, *(batch.column(c) for c in ("doc_id", "place", "n", "ids"))], names=["slot", "doc_id", "place", "n", "ids"])
+        from pyspark import TaskContext
 
-    return encoded.mapInArrow(run, "slot long, doc_id long, place int, n int, ids binary"), total
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = np.asarray(batch.column("n"))
+            before = at + np.cumsum(n) - n
+            at += int(n.sum())
+            zero = np.zeros(len(n), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(zero + part), pa.array(zero), pa.array(before), *(batch.column(c) for c in _ENCODED[3:])], names=_ENCODED)
 
+    return table.repartitionByRange("doc_id", "tag").sortWithinPartitions("doc_id", "tag").mapInArrow(run, _SCHEMA)
 
-def record(doc: int, place: int, n: int, ids: bytes, length: int = LENGTH) -> bytes:
-    return np.array([(n, doc, place)], HEADER).tobytes() + ids + np.full(length - n, END, "<u2").tobytes()
 
+def fragments(table: DataFrame, before: dict[tuple[int, int], int], total: int, length: int = LENGTH, key: int = KEY) -> DataFrame:
+    """(slot, pos, ids): documents cut where sequences of the stream end."""
+    count = -(-total // length)
 
-def shards(rows: DataFrame, total: int, length: int = LENGTH, slots: int = SLOTS) -> DataFrame:
-    """(shard, first_slot, n_slots, sha256, data): the binary files, a bounded number of records each, in slot order.
+    def run(batches):
+        for batch in batches:
+            at = np.array([before[k] for k in zip(batch.column("part").to_pylist(), batch.column("run").to_pylist(), strict=True)], np.int64) + np.asarray(batch.column("at"))
+            n = np.asarray(batch.column("n"))
+            pieces = (at + n - 1) // length - at // length + 1
+            row = np.repeat(np.arange(len(n)), pieces)
+            number = at[row] // length + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = np.maximum(number * length, at[row])
+            stop = np.minimum((number + 1) * length, at[row] + n[row])
+            slot = feistel(number, count, key).astype(np.int64)
+            ids = batch.column("ids")
+            for i in range(0, len(row), 4096):
+                x = slice(i, i + 4096)
+                held, data, cut = -1, b"", []
+                for r, a, b in zip(row[x].tolist(), (2 * (start - at[row]))[x].tolist(), (2 * (stop - at[row]))[x].tolist(), strict=True):
+                    if r != held:
+                        held, data = r, ids[r].as_py()
+                    cut.append(data[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(slot[x]), pa.array((start - number * length)[x].astype(np.int32)), pa.array(cut, pa.binary())], names=["slot", "pos", "ids"])
 
-    Slots are ranges by construction: shard s has [s * slots, (s + 1) * slots), so rows go straight to their shard.
-    """
-    count = -(-total // slots)
-    dealt = rows.withColumn("shard", F.floor(F.col("slot") / slots)).repartitionById(max(1, count), F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
+    return table.mapInArrow(run, "slot long, pos int, ids binary")
 
-    def run(batches):
-        shard, data, first, n = None, [], 0, 0
 
-        def done():
-            blob = b"".join(data)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([hashlib.sha256(blob).hexdigest()]), pa.array([blob], pa.binary())],
-                names=["shard", "first_slot", "n_slots", "sha256", "data"],
-            )
+MANIFEST = "shard long, first_slot long, n_slots long, n_bytes long, sha256 string"
 
-        for batch in batches:
-            for s, slot, doc, place, k, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "doc_id", "place", "n", "ids")), strict=True):
-                if s != shard:
-                    if data:
-                        yield done()
-                    shard, data, first, n = s, [], slot, 0
-                data.append(record(doc, place, k, ids, length))
-                n += 1
-        if data:
-            yield done()
 
-    return dealt.mapInArrow(run, "shard long, first_slot long, n_slots long, sha256 string, data binary")
+def shards(rows: DataFrame, total: int, folder: str, done: set[int], length: int = LENGTH, slots: int = SLOTS, key: int = KEY) -> DataFrame:
+    """Writes the shards that are not done yet, each by one task and in slot order; returns their manifest rows.
 
+    Slots are ranges by construction: shard s has [s * slots, (s + 1) * slots), so rows go straight to their shard.
+    """
+    count, stride = -(-total // length), 2 * length
+    all_shards = -(-count // slots)
+    shard = F.floor(F.col("slot") / slots)
+    dealt = rows.withColumn("shard", shard).where(~F.col("shard").isin(*sorted(done))) if done else rows.withColumn("shard", shard)
+    dealt = dealt.repartitionById(max(1, all_shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "slot", "pos")
 
-def read_slot(data: bytes, index: int, length: int = LENGTH) -> tuple[int, int, np.ndarray]:
-    """(doc_id, place, ids) of a record of a shard's bytes."""
-    stride = HEADER.itemsize + 2 * length
-    raw = data[index * stride : (index + 1) * stride]
-    head = np.frombuffer(raw[: HEADER.itemsize], HEADER)[0]
-    return int(head["doc"]), int(head["place"]), np.frombuffer(raw, "<u2", int(head["n"]), HEADER.itemsize)
+    def run(batches):
+        system, base = files.FileSystem.from_uri(folder)
+        out = name = shard_ = None
+        size, sha = 0, hashlib.sha256()
+
+        def close():
+            first = shard_ * slots
+            n = min(slots, count - first)
+            tail = np.full((n * stride - size) // 2, END, "<u2").tobytes()
+            if len(tail) >= stride:
+                raise ValueError(f"shard {shard_} misses tokens")
+            out.write(tail)
+            sha.update(tail)
+            out.close()
+            system.move(name, f"{base}/shard-{shard_:08d}.{sha.hexdigest()}.bin")
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard_, first, n, n * stride, sha.hexdigest()), (*(pa.int64(),) * 4, pa.string()), strict=True)], names=["shard", "first_slot", "n_slots", "n_bytes", "sha256"])
+
+        # slot of the last sequence of the stream, and the tokens it has
+        pad_at = (int(feistel(np.array([count - 1]), count, key)[0]), total - (count - 1) * length)
+        for batch in batches:
+            for s, slot, pos, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "pos", "ids")), strict=True):
+                if s != shard_:
+                    if out is not None:
+                        yield close()
+                    shard_, size, sha = s, 0, hashlib.sha256()
+                    system.create_dir(base, recursive=True)
+                    name = f"{base}/.{uuid.uuid4().hex}.part"
+                    out = system.open_output_stream(name)
+                at = (slot - s * slots) * stride + 2 * pos
+                if at != size:
+                    # only the last sequence of the stream is not full
+                    gap = np.full((at - size) // 2, END, "<u2").tobytes()
+                    if at < size or (slot - 1, length - len(gap) // 2) != pad_at:
+                        raise ValueError(f"slot {slot} does not follow what shard {s} has")
+                    out.write(gap)
+                    sha.update(gap)
+                    size = at
+                out.write(ids)
+                sha.update(ids)
+                size += len(ids)
+        if out is not None:
+            yield close()
+
+    return dealt.mapInArrow(run, MANIFEST)
+
+
+def read_slots(folder: str, first: int, n: int = 1, length: int = LENGTH, slots: int = SLOTS) -> np.ndarray:
+    """Ids of n slots of one shard from slot `first` on, by one seek into its file; an array of n rows."""
+    system, base = files.FileSystem.from_uri(f"{folder.rstrip('/')}/shards")
+    found = [i.path for i in system.get_file_info(files.FileSelector(base)) if f"/shard-{first // slots:08d}." in i.path]
+    with system.open_input_file(found[0]) as f:
+        f.seek((first % slots) * 2 * length)
+        return np.frombuffer(f.read(2 * length * n), "<u2").reshape(-1, length)
+
+
+def _there(folder: str) -> bool:
+    """Whether Spark has finished writing a folder."""
+    system, base = files.FileSystem.from_uri(folder)
+    return system.get_file_info(f"{base}/_SUCCESS").type == files.FileType.File
+
+
+def _table(df: DataFrame, folder: str) -> DataFrame:
+    """df as it is written in the folder, by this run or an earlier one."""
+    if not _there(folder):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _checked(folder: str, run: dict) -> dict[int, tuple[int, str]]:
+    """Whole files (bytes, SHA-256) by shard; writes or compares the description of the run."""
+    system, base = files.FileSystem.from_uri(folder)
+    system.create_dir(f"{base}/shards", recursive=True)
+    path = f"{base}/run.json"
+    if system.get_file_info(path).type == files.FileType.File:
+        with system.open_input_stream(path) as f:
+            if json.loads(f.read()) != run:
+                raise ValueError(f"{folder} holds another run")
+    else:
+        with system.open_output_stream(path) as f:
+            f.write(json.dumps(run).encode())
+    out = {}
+    for info in system.get_file_info(files.FileSelector(f"{base}/shards")):
+        if m := re.fullmatch(r"shard-(\d+)\.([0-9a-f]{64})\.bin", info.base_name):
+            out[int(m[1])] = info.size, m[2]
+    return out
 
 
 def write(docs: DataFrame, folder: str, length: int = LENGTH, slots: int = SLOTS, key: int = KEY, name: str = "byte_bpe_50k.tiktoken", path: str | None = None) -> DataFrame:
-    """Writes the shards under folder/shards and the table of sequences; returns the manifest (shard, first_slot, n_slots, sha256)."""
-    encoded = stage(sequences(docs, length, name, path), "sequences")
-    rows, total = slotted(encoded, key)
-    out = shards(rows, total, length, slots)
-    out.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/shards")
-    return docs.sparkSession.read.schema(out.schema).parquet(f"{folder}/shards").drop("data")
+    """Writes folder/encoded, folder/shards/*.bin and folder/manifest, or what is missing of them; returns the manifest.
+
+    folder: a path or URI of a file system that pyarrow can open (file, hdfs, s3, gs).
+    """
+    spark, folder = docs.sparkSession, folder.rstrip("/")
+    table = _table(encoded(docs, name, path), f"{folder}/encoded")
+    before, total = offsets(table)
+    if before is None:
+        table = _table(in_order(table), f"{folder}/in_order")
+        before, total = offsets(table)
+    stride, count = 2 * length, -(-total // length)
+    there = _checked(folder, {"length": length, "slots": slots, "key": key, "tokens": total, "tokenizer": name})
+    size = {s: min(slots, count - s * slots) for s in range(-(-count // slots))}
+    whole = {s: sha for s, (n, sha) in there.items() if s in size and n == size[s] * stride}
+    new = shards(fragments(table, before, total, length, key), total, f"{folder}/shards", set(whole), length, slots, key)
+    old = spark.createDataFrame([(s, s * slots, size[s], size[s] * stride, sha) for s, sha in whole.items()], MANIFEST)
+    new.unionByName(old).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def op9_token_shards(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 from messy import MESSY, awkward, frame
 
 from quarrylight.llm import pieces, tokencount, tokenout
@@ -54,26 +55,60 @@ def test_feistel_is_a_bijection(n):
         assert (tokenout.feistel(np.arange(n), n, 1) != slots).any()
 
 
-def test_shards_round_trip(spark, tmp_path):
-    manifest = tokenout.write(awkward(spark), str(tmp_path), length=64, slots=100).orderBy("shard").collect()
-    data = {r.shard: bytes(r.data) for r in spark.read.parquet(f"{tmp_path}/shards").collect()}
-    assert [r.first_slot for r in manifest] == [100 * r.shard for r in manifest] and all(hashlib.sha256(data[r.shard]).hexdigest() == r.sha256 for r in manifest)
-    stride, got = tokenout.HEADER.itemsize + 2 * 64, {}
-    for r in manifest:
-        assert len(data[r.shard]) == stride * r.n_slots
-        for i in range(r.n_slots):
-            doc, place, ids = tokenout.read_slot(data[r.shard], i, 64)
-            got.setdefault((doc, place), []).append(ids.tolist())
+def stream(rows):
+    """The token stream of the rows, in order."""
     encoding = tokenout.load()
-    want: dict = {}
-    for i, t in MESSY:
-        ids = [*encoding.encode_ordinary(t or ""), tokenout.END]
-        for p in range(-(-len(ids) // 64)):
-            want.setdefault((-1 if i is None else i, p), []).append(ids[p * 64 : p * 64 + 64])
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    rows = sorted((-1 if i is None else i, xxhash.xxh3_64_intdigest((t or "").encode()), t or "") for i, t in rows)
+    return [k for _, _, t in rows for k in [*encoding.encode_ordinary(t), tokenout.END]]
+
+
+def sequences(folder, manifest, length, slots):
+    """Sequences in the order of the stream, read back from the files by slot."""
+    n = sum(r.n_slots for r in manifest)
+    slot = tokenout.feistel(np.arange(n), n)
+    return [tokenout.read_slots(str(folder), int(s), 1, length, slots)[0].tolist() for s in slot]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_shards_do_not_depend_on_the_split(spark, tmp_path, parts):
+    docs = awkward(spark)
+    manifest = tokenout.write(docs.repartition(parts), str(tmp_path / "a"), length=64, slots=100).orderBy("shard").collect()
+    want = stream(MESSY)
+    got = [k for x in sequences(tmp_path / "a", manifest, 64, 100) for k in x]
+    assert got == want + [tokenout.END] * (-len(want) % 64)
+    for r in manifest:
+        data = next((tmp_path / "a/shards").glob(f"shard-{r.shard:08d}.*.bin")).read_bytes()
+        assert len(data) == r.n_bytes == 128 * r.n_slots and hashlib.sha256(data).hexdigest() == r.sha256 and r.first_slot == 100 * r.shard
+    sorted_ = tokenout.write(docs.orderBy("doc_id").coalesce(1), str(tmp_path / "b"), length=64, slots=100)
+    assert sorted_.orderBy("shard").collect() == manifest
     assert tokenout.write(frame(spark, []), str(tmp_path / "none")).count() == 0
 
 
+def test_a_stopped_run_goes_on(spark, tmp_path):
+    docs = awkward(spark)
+    first = tokenout.write(docs, str(tmp_path), length=64, slots=100).orderBy("shard").collect()
+    files = sorted((tmp_path / "shards").glob("*.bin"))
+    kept, lost = files[0], files[1]
+    when = kept.stat().st_mtime_ns
+    lost.unlink()
+    (tmp_path / "shards/.0.part").write_bytes(b"what a lost executor left")
+    assert tokenout.write(docs.limit(0), str(tmp_path), length=64, slots=100).orderBy("shard").collect() == first  # the encoded table is there
+    assert lost.exists() and kept.stat().st_mtime_ns == when
+    with pytest.raises(ValueError):
+        tokenout.write(docs, str(tmp_path), length=32, slots=100)
+
+
+def test_op9_query(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    want = np.array(stream(rows), "<u2")
+    n = -(-len(want) // tokenout.LENGTH)
+    data = np.full((n, tokenout.LENGTH), tokenout.END, "<u2")
+    data[tokenout.feistel(np.arange(n), n)] = np.append(want, np.full(-len(want) % tokenout.LENGTH, tokenout.END, "<u2")).reshape(n, -1)
+    got = tokenout.op9_token_shards(spark, folder).collect()
+    assert [tuple(r) for r in got] == [(0, 0, n, data.nbytes, hashlib.sha256(data.tobytes()).hexdigest())]
+
+
 @pytest.fixture(scope="module")
 def library():
     import public_tokenizers
