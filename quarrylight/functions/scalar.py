@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,16 +32,38 @@ def period_to_numeric(period: Column) -> Column:
     )
 
 
-#: Letters with marks and their plain forms, one to one.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _plain_letters() -> dict[str, str]:
+    """Letters whose compatibility decomposition is one letter and marks, with that letter; and marks, with nothing."""
+    out = {}
+    for c in map(chr, range(0xAA, 0x2000)):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if base != c and len(base) <= 1 and c == c.lower():
+            out[c] = base
+    return out
+
+
+_PLAIN = _plain_letters()
+#: `translate` drops what has no counterpart, so marks come last.
+MARKED = "".join(sorted(_PLAIN, key=lambda c: _PLAIN[c] == ""))
+PLAIN = "".join(_PLAIN[c] for c in MARKED)
+#: Letters that become two.
+LIGATURES = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"))
 
 
 def fold(text: Column) -> Column:
     """Lower case without marks, for sorting and matching."""
-    out = F.translate(F.lower(text), MARKED, PLAIN)
-    for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe")):
+    low = F.lower(text)
+    out = F.translate(low, MARKED, PLAIN)
+    for a, b in LIGATURES:
         out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(low.rlike(r"[^\x00-\x7F]"), out).otherwise(low)
+
+
+def folded(text: str) -> str:
+    """The same of a text on the driver, such as a query."""
+    out = "".join(_PLAIN.get(c, c) for c in text.lower())
+    for a, b in LIGATURES:
+        out = out.replace(a, b)
     return out
 
 

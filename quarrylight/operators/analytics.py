@@ -234,7 +234,7 @@ def trend(df: DataFrame, roles: Roles, refs: list[str] | None = None, dimensions
     r2 = F.when((F.col("vx") == 0) | (F.col("vy") == 0), 0.0).otherwise(F.try_divide(F.col("cxy") * F.col("cxy"), F.col("vx") * F.col("vy")))
     turn = F.when(F.abs("slope") < FLAT, "stable").when(F.col("slope") > 0, "improving").otherwise("declining")
     out = lines.where("n >= 2").withColumn("slope", slope)
-    return out.select("geo", F.round("slope", 2).alias("slope"), F.round(F.col("my") - F.col("slope") * F.col("mx"), 0).alias("intercept"), F.round(r2, 4).alias("r_squared"), turn.alias("direction"), F.col("n").alias("n_points"), "first_period", "last_period")
+    return out.select("geo", F.round("slope", 6).alias("slope"), F.round(F.col("my") - F.col("slope") * F.col("mx"), 6).alias("intercept"), F.round(r2, 4).alias("r_squared"), turn.alias("direction"), F.col("n").alias("n_points"), "first_period", "last_period")
 
 
 def benchmark(df: DataFrame, roles: Roles, refs: list[str], period: str, dimensions: dict | None = None) -> DataFrame:
@@ -291,9 +291,14 @@ def aggregate(df: DataFrame, roles: Roles, refs: list[str] | None = None, dimens
 
 
 def merge_by_period(series: list[DataFrame], roles: Roles) -> DataFrame:
-    """Mean of each of up to three indicators side by side, by period."""
+    """Mean of each of up to three indicators side by side, by period; sums are exact to nine digits after the point."""
     rows = None
     for k, df in enumerate(series):
-        part = _valid(_rows(df, roles)).select("period", F.lit(k).alias("slot"), "v")
+        part = _valid(_rows(df, roles)).select("period", F.lit(k).alias("slot"), F.col("v").cast("decimal(28,9)").alias("v"))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("period").agg(*(F.round(F.avg(F.when(F.col("slot") == k, F.col("v"))), 2).alias(f"mean_{k + 1}") for k in range(len(series))))
+
+    def mean(k: int) -> Column:
+        own = F.when(F.col("slot") == k, F.col("v"))
+        return F.try_divide(F.sum(own).cast("double"), F.count(own)).alias(f"mean_{k + 1}")
+
+    return rows.groupBy("period").agg(*map(mean, range(len(series))))

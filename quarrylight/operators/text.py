@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.functions.scalar import tokens
+from quarrylight.functions.scalar import folded, tokens
 
 K1, B = 1.2, 0.75
 
@@ -30,40 +32,50 @@ def required(n: int) -> int:
     return n if n <= 2 else int(0.75 * n)
 
 
-def bm25(df: DataFrame, key: str, text: str, terms: list[str], minimum: int = 1) -> DataFrame:
-    """(key, score, matched): documents with at least `minimum` of the terms.
+def term_counts(df: DataFrame, key: str, fields: dict[str, Column], tests: list) -> DataFrame:
+    """(key, field, dl, tf): of each field the number of tokens, and of tokens that pass each test.
 
-    One scan: term counts are array expressions of a document's tokens, statistics one aggregate row beside it.
+    Texts are split once: the counts, a few numbers a row, are dealt out by key, and both the statistics and the scores
+    read that exchange. Generating the rows keeps Spark from copying the split into every use of it.
     """
-    terms = list(dict.fromkeys(terms))
-    counted = df.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    none = F.struct(F.lit(0).alias("dl"), F.array(*(F.lit(0) for _ in tests)).alias("tf"))
+
+    def add(acc: Column, token: Column) -> Column:
+        return F.struct((acc["dl"] + 1).alias("dl"), F.array(*(F.get(acc["tf"], F.lit(i)) + test(token).cast("int") for i, test in enumerate(tests))).alias("tf"))
+
+    each = F.array(*(F.struct(F.lit(name).alias("field"), F.aggregate(tokens(F.coalesce(text, F.lit(""))), none, add).alias("c")) for name, text in fields.items()))
+    return df.select(key, F.explode(each).alias("f")).select(key, "f.field", "f.c.dl", "f.c.tf").repartition(key)
 
-    def times(term: str) -> Column:
-        return F.size(F.filter("_t", lambda x: x == term))
 
-    tf = [times(t).alias(f"_tf{i}") for i, t in enumerate(terms)]
-    counted = counted.select(key, F.size("_t").alias("_dl"), *tf)
-    has = counted.where(F.col("_dl") > 0)  # a missing field is no document of the field's index
-    stats = has.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))))
-    rows = counted.join(F.broadcast(stats), how="cross")
+def field_scores(counts: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, field, score, matched, tf): BM25 of each field over n tests; an empty field is no document of its index."""
+    has = counts.where("dl > 0")
+    stats = has.groupBy("field").agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"), F.array(*(F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(n))).alias("_df"))
+    rows = has.join(F.broadcast(stats), "field")  # a row for each field
 
     def part(i: int) -> Column:
-        f, d = F.col(f"_tf{i}"), F.col(f"_df{i}")
+        f, d = F.get("tf", F.lit(i)), F.get("_df", F.lit(i))
         idf = F.ln(1 + (F.col("_n") - d + 0.5) / (d + 0.5))
-        return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))).otherwise(0.0)
+        return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))).otherwise(0.0)
 
-    score = reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))])
-    matched = reduce(lambda a, b: a + b, [F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0) for i in range(len(terms))])
-    return rows.select(key, score.alias("score"), matched.alias("matched")).where(F.col("matched") >= minimum)
+    score = reduce(lambda a, b: a + b, [part(i) for i in range(n)])
+    return rows.select(key, "field", score.alias("score"), F.size(F.filter("tf", lambda x: x > 0)).alias("matched"), "tf")
+
+
+def bm25(df: DataFrame, key: str, text: str, terms: list[str], minimum: int = 1) -> DataFrame:
+    """(key, score, matched): documents with at least `minimum` of the terms."""
+    terms = list(dict.fromkeys(terms))
+    counts = term_counts(df, key, {"text": F.col(text)}, [lambda t, w=w: t == w for w in terms])
+    return field_scores(counts, key, len(terms)).where(F.col("matched") >= minimum).select(key, "score", "matched")
 
 
 def multi_field(df: DataFrame, key: str, boosts: dict[str, float], terms: list[str], best: bool = False) -> DataFrame:
     """Boosted field scores added up (or the best of them), each field with its own minimum match."""
-    rows = None
-    for field, boost in boosts.items():
-        part = bm25(df, key, field, terms, required(len(terms))).select(key, (F.col("score") * boost).alias("score"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy(key).agg(F.round(F.max("score") if best else F.sum("score"), 4).alias("score"))
+    terms = list(dict.fromkeys(terms))
+    counts = term_counts(df, key, {f: F.col(f) for f in boosts}, [lambda t, w=w: t == w for w in terms])
+    rows = field_scores(counts, key, len(terms)).where(F.col("matched") >= (1 if best else required(len(terms))))
+    boosted = F.col("score") * F.element_at(F.create_map(*(F.lit(x) for pair in boosts.items() for x in pair)), F.col("field"))
+    return rows.groupBy(key).agg((F.max(boosted) if best else F.sum(boosted)).alias("score"))
 
 
 def edits(term: str) -> int:
@@ -82,8 +94,74 @@ def fuzzy(dictionary: DataFrame, terms: list[str]) -> DataFrame:
 
 def phrase(df: DataFrame, text: str, words: str) -> DataFrame:
     """Rows with the phrase's tokens in a row."""
-    inside = lambda c: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
-    return df.where(F.contains(inside(F.coalesce(F.col(text), F.lit(""))), inside(F.lit(words))))
+    return df.where(has_phrase(F.col(text), words))
+
+
+def _inside(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(tokens(F.coalesce(text, F.lit(""))), " "), F.lit(" "))
+
+
+def has_phrase(text: Column, words: str) -> Column:
+    return F.contains(_inside(text), F.lit(f" {' '.join(query_tokens(words))} "))
+
+
+def _entry_has(entries: Column, words: str) -> Column:
+    return F.exists(F.coalesce(entries, F.array().cast("array<string>")), lambda x: has_phrase(x, words))
+
+
+def sloppy(words: list[str], slop: int) -> str:
+    """A pattern for the words in order with at most `slop` other tokens between them, of tokens parted by spaces."""
+    ways = [g for g in product(range(slop + 1), repeat=len(words) - 1) if sum(g) <= slop]
+    return "|".join(f" {words[0]} " + "".join(r"\S+ " * n + f"{w} " for n, w in zip(g, words[1:])) for g in ways)
+
+
+def query_tokens(text: str) -> list[str]:
+    """Tokens of a query, on the driver."""
+    return re.findall(r"[^\W_]+", folded(text))
+
+
+def parse_query(query: str) -> tuple[list[str], list[str]]:
+    """Distinct words outside quotes, and phrases within balanced ones."""
+    plain = query.translate({ord(c): '"' for c in "“”„«»"})
+    phrases = [p.strip() for p in re.findall(r'"([^"]*)"', plain) if p.strip()]
+    rest = re.sub(r'"[^"]*"', " ", plain).replace('"', " ")
+    return list(dict.fromkeys(query_tokens(rest))), phrases
+
+
+def lexical(df: DataFrame, key: str, boosts: dict[str, float], query: str, all_text: str | None = None, slop: int = 2, bonus: float = 2.0) -> DataFrame:
+    """(key, score): the keyword executor over boosted fields.
+
+    A field counts if enough of the words are in it, typos allowed as `edits` says with the first two letters alike; the
+    fields' scores are added up. all_text (an array column) counts if it has every word, without typos. A field that
+    has two words or more in order, with at most `slop` tokens between, adds `bonus`, which never changes what matches.
+    Phrases in quotes have to be in some field or some entry of all_text. A word with typos has one score: its forms
+    are counted together.
+    """
+    words, phrases = parse_query(query)
+    fields = {f: F.col(f) for f in boosts}
+    whole = "_all"
+    if all_text:
+        fields[whole] = F.array_join(F.coalesce(F.col(all_text), F.array().cast("array<string>")), " ")
+    for p in phrases:
+        inside = [has_phrase(F.col(f), p) for f in boosts]
+        if all_text:  # entry by entry: a phrase never spans two
+            inside.append(_entry_has(F.col(all_text), p))
+        df = df.where(reduce(lambda a, b: a | b, inside))
+    if not words:
+        return df.select(key, F.lit(1.0).alias("score"))
+    near = [lambda t, w=w: (t == w) | ((F.substring(t, 1, 2) == w[:2]) & (F.levenshtein(t, F.lit(w), edits(w)) >= 0)) if edits(w) else (t == w) for w in words]
+    exact = [lambda t, w=w: t == w for w in words]
+    counts = term_counts(df, key, {f: c for f, c in fields.items() if f != whole}, near)
+    boost = F.element_at(F.create_map(*(F.lit(x) for pair in boosts.items() for x in pair)), F.col("field"))
+    rows = field_scores(counts, key, len(words)).where(F.col("matched") >= required(len(words))).select(key, (F.col("score") * boost).alias("score"))
+    if all_text:
+        every = field_scores(term_counts(df, key, {whole: fields[whole]}, exact), key, len(words)).where(F.col("matched") == len(words))
+        rows = rows.unionByName(every.select(key, "score"))
+    found = rows.groupBy(key).agg(F.sum("score").alias("score"))
+    if len(words) < 2:
+        return found
+    more = reduce(lambda a, b: a + b, [F.when(_inside(F.col(f)).rlike(sloppy(words, slop)), bonus).otherwise(0.0) for f in boosts])
+    return found.join(df.select(key, more.alias("_more")), key).select(key, (F.col("score") + F.col("_more")).alias("score"))
 
 
 def all_terms(df: DataFrame, text: str, terms: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylight.functions.scalar import excerpt, positive_int
+from quarrylight.functions.scalar import positive_int
 
 RRF_K = 60
 FLOOR, CUTOFF, WINDOW, PASSAGES = 0.70, 0.94, 50, 5
@@ -41,7 +41,7 @@ def vector_of(df: DataFrame, key: str, value: int, column: str = "embedding") ->
 
 def scored(df: DataFrame, query: list[float]) -> DataFrame:
     """Rows with their score on the scale of 0 to 1: half of one plus the cosine."""
-    return df.withColumn("score", F.round((1 + cosine(F.col("embedding"), literal(query))) / 2, 6))
+    return df.withColumn("score", (1 + cosine(F.col("embedding"), literal(query))) / 2)
 
 
 def knn(df: DataFrame, query: list[float], k: int, where: Column | None = None, threshold: float | None = None, tie: str = "chunk_id") -> DataFrame:
@@ -75,7 +75,7 @@ def rrf(lists: list[DataFrame], key: str, tie_first_seen: bool = False, k: int =
     for n, df in enumerate(lists):
         part = df.select(F.col(key), F.col("pos"), F.lit(n).alias("_list"))
         rows = part if rows is None else rows.unionByName(part)
-    fused = rows.groupBy(key).agg(F.round(F.sum(1 / (k + F.col("pos"))), 10).alias("score"), F.min(F.struct("_list", "pos")).alias("_seen"), F.array_sort(F.collect_set("_list")).alias("matched_by"))
+    fused = rows.groupBy(key).agg(F.sum(1 / (k + F.col("pos"))).alias("score"), F.min(F.struct("_list", "pos")).alias("_seen"), F.array_sort(F.collect_set("_list")).alias("matched_by"))
     order = Window.orderBy(F.desc("score"), *(["_seen"] if tie_first_seen else [key]))  # lists are windows of bounded size
     return fused.select(key, "score", "matched_by", F.row_number().over(order).alias("pos"))
 
@@ -101,7 +101,3 @@ def recommend(df: DataFrame, sid: int, k: int, exclude_seed: bool = True, seeds:
     own = df.where(F.col("sid") == sid).orderBy("chunk_id").limit(seeds)
     query = vector_of(fuse(own, "sid"), "sid", sid)
     return knn(df, query, k, F.col("sid") != sid if exclude_seed else None)
-
-
-def snippet(text: Column) -> Column:
-    return excerpt(text)

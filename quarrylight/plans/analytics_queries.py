@@ -224,18 +224,26 @@ def outliers_lowess_long(spark, d):
 def _trend_sql(view: str, x: str, where: str = "true") -> str:
     return f""", p AS (SELECT *, {x} AS x FROM {view} WHERE {where}), l AS (SELECT geo, count(*) AS n, var_pop(x) AS vx, var_pop(v) AS vy, covar_pop(x, v) AS c, avg(x) AS mx, avg(v) AS my, arg_min(period, x) AS first_period, arg_max(period, x) AS last_period FROM p GROUP BY geo HAVING count(*) >= 2),
  s AS (SELECT *, CASE WHEN vx = 0 THEN 0.0 ELSE c / vx END AS slope FROM l)
-SELECT geo, round(slope, 2) AS slope, round(my - slope * mx, 0) AS intercept, round(CASE WHEN vx = 0 OR vy = 0 THEN 0.0 ELSE c * c / (vx * vy) END, 4) AS r_squared,
+SELECT geo, round(slope, 6) AS slope, round(my - slope * mx, 6) AS intercept, round(CASE WHEN vx = 0 OR vy = 0 THEN 0.0 ELSE c * c / (vx * vy) END, 4) AS r_squared,
  CASE WHEN abs(slope) < 1e-10 THEN 'stable' WHEN slope > 0 THEN 'improving' ELSE 'declining' END AS direction, n AS n_points, first_period, last_period FROM s"""
 
 
-@_query("trend_ols", with_views("obs", _trend_sql("obs", "period::DOUBLE")))
+#: In billions, so that six digits of a line are within what doubles hold.
+_BILLIONS = ", b AS (SELECT * REPLACE (v / 1e9 AS v) FROM obs)"
+
+
+def _billions(df):
+    return df.withColumn("v", F.col("v") / 1e9)
+
+
+@_query("trend_ols", with_views("obs", _BILLIONS + _trend_sql("b", "period::DOUBLE - 1995").replace("my - slope * mx", "my - slope * (mx + 1995)")))
 def trend_ols(spark, d):
-    return A.trend(V.obs(spark, d), R)
+    return A.trend(_billions(V.obs(spark, d)), R)
 
 
-@_query("trend_constant", with_views("obs", ", q AS (SELECT * REPLACE (CASE WHEN geo < 'NATION_14' THEN 4.0 ELSE v END AS v) FROM obs)" + _trend_sql("q", "period::DOUBLE", "geo < 'NATION_3' AND (geo <> 'NATION_10' OR period = '1998')")))
+@_query("trend_constant", with_views("obs", _BILLIONS + ", q AS (SELECT * REPLACE (CASE WHEN geo < 'NATION_14' THEN 4.0 ELSE v END AS v) FROM b)" + _trend_sql("q", "period::DOUBLE", "geo < 'NATION_3' AND (geo <> 'NATION_10' OR period = '1998')")))
 def trend_constant(spark, d):
-    df = V.obs(spark, d).where("geo < 'NATION_3' AND (geo <> 'NATION_10' OR period = '1998')")
+    df = _billions(V.obs(spark, d)).where("geo < 'NATION_3' AND (geo <> 'NATION_10' OR period = '1998')")
     return A.trend(df.withColumn("v", F.when(F.col("geo") < "NATION_14", 4.0).otherwise(F.col("v"))), R)
 
 
@@ -263,6 +271,6 @@ def aggregate_period(spark, d):
     return A.aggregate(V.obs(spark, d), R)
 
 
-@_query("visualize_merge3", with_views("obs obs2", ", u AS (SELECT period, 0 AS s, v FROM obs UNION ALL SELECT period, 1, v FROM obs2 UNION ALL SELECT period, 2, v FROM obs WHERE geo = 'NATION_1') SELECT period, round(avg(v) FILTER (WHERE s = 0), 2) AS mean_1, round(avg(v) FILTER (WHERE s = 1), 2) AS mean_2, round(avg(v) FILTER (WHERE s = 2), 2) AS mean_3 FROM u GROUP BY period"))
+@_query("visualize_merge3", with_views("obs obs2", ", u AS (SELECT period, 0 AS s, v FROM obs UNION ALL SELECT period, 1, v FROM obs2 UNION ALL SELECT period, 2, v FROM obs WHERE geo = 'NATION_1') SELECT period, sum(v::DECIMAL(28,9)) FILTER (WHERE s = 0)::DOUBLE / nullif(count(v) FILTER (WHERE s = 0), 0) AS mean_1, sum(v::DECIMAL(28,9)) FILTER (WHERE s = 1)::DOUBLE / nullif(count(v) FILTER (WHERE s = 1), 0) AS mean_2, sum(v::DECIMAL(28,9)) FILTER (WHERE s = 2)::DOUBLE / nullif(count(v) FILTER (WHERE s = 2), 0) AS mean_3 FROM u GROUP BY period"))
 def visualize_merge3(spark, d):
     return A.merge_by_period([V.obs(spark, d), V.obs2(spark, d), V.obs(spark, d).where("geo = 'NATION_1'")], R)

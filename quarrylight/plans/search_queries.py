@@ -148,7 +148,7 @@ def browse_keyset_before(spark, d):
 
 
 _DOT = "list_inner_product(embedding::DOUBLE[], q)"
-_SCORE = f"round((1 + {_DOT} / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q, q)))) / 2, 6)"
+_SCORE = f"(1 + {_DOT} / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q, q)))) / 2"
 
 
 def _knn_sql(where: str = "true") -> str:
@@ -160,9 +160,9 @@ def _vector(spark, d):
 
 
 @_query("collapse_inner_hits", with_views("chunks", _knn_sql() + """, r AS (SELECT coalesce(resource_id, '#' || chunk_id) AS g, chunk_id, score, row_number() OVER (PARTITION BY coalesce(resource_id, '#' || chunk_id) ORDER BY score DESC, chunk_id) AS rn FROM k)
-SELECT max(chunk_id) FILTER (WHERE rn = 1) AS chunk_id, max(score) AS score, list(chunk_id ORDER BY rn) AS inner_hits FROM r WHERE rn <= 3 GROUP BY g"""))
+SELECT max(chunk_id) FILTER (WHERE rn = 1) AS chunk_id, round(max(score), 6) AS score, list(chunk_id ORDER BY rn) AS inner_hits FROM r WHERE rn <= 3 GROUP BY g"""))
 def collapse_inner_hits(spark, d):
-    return Q.collapse(N.scored(V.chunks(spark, d), _vector(spark, d)), "resource_id", "score", "chunk_id", 3)
+    return Q.collapse(N.scored(V.chunks(spark, d), _vector(spark, d)), "resource_id", "score", "chunk_id", 3).withColumn("score", _six())
 
 
 @_query("explain_filters", with_views("chunks", """, c AS (SELECT * FROM chunks WHERE chunk_id = 12), p AS (SELECT chunk_id, 'page' AS field, '>= 2' AS expected, page::VARCHAR AS actual, page >= 2 AS matched FROM c UNION ALL
@@ -178,9 +178,9 @@ def exact_idno(spark, d):
     return Q.exact_idno(V.studies(spark, d), '"IDNO_SRC3_3"').select("sid", "idno")
 
 
-@_query("title_complete", with_views("studies", rf"SELECT sid FROM studies WHERE list_has_all(regexp_extract_all({_fold('title')}, '\p{{L}}+|\p{{Nd}}+'), ['and', 'therhean', 'is', 'esndha']) OR false"))
+@_query("title_complete", with_views("studies", rf"SELECT sid FROM studies WHERE list_has_all(regexp_extract_all({_fold('title')}, '\p{{L}}+|\p{{Nd}}+'), ['anea', 'attion', 'eriner'])"))
 def title_complete(spark, d):
-    return Q.title_complete(V.studies(spark, d), "the esndha is therhean of and").select("sid")
+    return Q.title_complete(V.studies(spark, d), "what is the anea of attion with their eriner").select("sid")
 
 
 @_query("quoted_phrase_split", r"""WITH q AS (SELECT event_id, 'data "' || event_type || ' rate" of ' || user_id || ' "x' AS q FROM events)
@@ -227,31 +227,41 @@ def excerpts(spark, d):
     return table(spark, d, "documents").select("doc_id", S.excerpt(F.col("text")).alias("excerpt"))
 
 
-# vectors and fusion
+# vectors and fusion: ranks are by the full score, the output is rounded
 
 
-@_query("knn_topk", with_views("chunks", _knn_sql() + " SELECT chunk_id, score FROM k ORDER BY score DESC, chunk_id LIMIT 20"))
+def _six():
+    return F.round("score", 6).alias("score")
+
+
+
+@_query("knn_topk", with_views("chunks", _knn_sql() + " SELECT chunk_id, round(score, 6) AS score FROM k ORDER BY k.score DESC, chunk_id LIMIT 20"))
 def knn_topk(spark, d):
-    return N.knn(V.chunks(spark, d), _vector(spark, d), 20).select("chunk_id", "score")
+    return N.knn(V.chunks(spark, d), _vector(spark, d), 20).select("chunk_id", _six())
 
 
-@_query("knn_prefiltered", with_views("chunks", _knn_sql("label = 3 AND qfield = 'passages'") + " SELECT chunk_id, score FROM k ORDER BY score DESC, chunk_id LIMIT 20"))
+@_query("knn_prefiltered", with_views("chunks", _knn_sql("label = 3 AND qfield = 'passages'") + " SELECT chunk_id, round(score, 6) AS score FROM k ORDER BY k.score DESC, chunk_id LIMIT 20"))
 def knn_prefiltered(spark, d):
-    return N.knn(V.chunks(spark, d), _vector(spark, d), 20, (F.col("label") == 3) & (F.col("qfield") == "passages")).select("chunk_id", "score")
+    return N.knn(V.chunks(spark, d), _vector(spark, d), 20, (F.col("label") == 3) & (F.col("qfield") == "passages")).select("chunk_id", _six())
 
 
-@_query("knn_threshold", with_views("chunks", _knn_sql() + " SELECT chunk_id, score FROM k WHERE score >= 0.6 ORDER BY score DESC, chunk_id LIMIT 500"))
+@_query("knn_threshold", with_views("chunks", _knn_sql() + " SELECT chunk_id, round(score, 6) AS score FROM k WHERE k.score >= 0.6 ORDER BY k.score DESC, chunk_id LIMIT 500"))
 def knn_threshold(spark, d):
-    return N.knn(V.chunks(spark, d), _vector(spark, d), 500, threshold=0.6).select("chunk_id", "score")
+    return N.knn(V.chunks(spark, d), _vector(spark, d), 500, threshold=0.6).select("chunk_id", _six())
 
 
 _BLOCK = """, n AS (SELECT * FROM k ORDER BY score DESC, chunk_id LIMIT 1000), b AS (SELECT sid, max(score) AS score FROM n GROUP BY sid),
  blk AS (SELECT sid, score FROM b WHERE score >= greatest(0.5, (SELECT max(score) FROM b) * 0.6) ORDER BY score DESC, sid LIMIT 50)"""
 
 
-@_query("semantic_policy", with_views("chunks", _knn_sql() + _BLOCK + " SELECT sid, score FROM blk"))
+@_query("semantic_policy", with_views("chunks", _knn_sql() + _BLOCK + " SELECT sid, round(score, 6) AS score FROM blk"))
 def semantic_policy(spark, d):
-    return N.semantic_block(V.chunks(spark, d), _vector(spark, d), floor=0.5, cutoff=0.6)
+    return N.semantic_block(V.chunks(spark, d), _vector(spark, d), floor=0.5, cutoff=0.6).withColumn("score", _six())
+
+
+@_query("semantic_policy_contract", with_views("chunks", _knn_sql() + _BLOCK.replace("0.5", "0.7").replace("0.6", "0.94") + " SELECT sid, round(score, 6) AS score FROM blk"))
+def semantic_policy_contract(spark, d):
+    return N.semantic_block(V.chunks(spark, d), _vector(spark, d)).withColumn("score", _six())
 
 
 @_query("semantic_collapse", with_views("chunks", _knn_sql("qfield = 'passages' AND page >= 0 AND try_cast(resource_id AS INTEGER) > 0") + """, n AS (SELECT *, resource_id::INTEGER AS resource FROM k ORDER BY score DESC, chunk_id LIMIT 1000),
@@ -276,17 +286,17 @@ def _semantic(spark, d):
     return block.select("sid", F.row_number().over(Window.orderBy(F.desc("score"), "sid")).alias("pos"))
 
 
-_RRF = ", u AS (SELECT sid, pos, 0 AS l FROM kw UNION ALL SELECT sid, pos, 1 FROM sem), f AS (SELECT sid, round(sum(1 / (60 + pos)), 10) AS score, list_sort(list(DISTINCT l)) AS matched_by, min(l * 1000 + pos) AS seen FROM u GROUP BY sid)"
+_RRF = ", u AS (SELECT sid, pos, 0 AS l FROM kw UNION ALL SELECT sid, pos, 1 FROM sem), f AS (SELECT sid, sum(1 / (60 + pos)) AS score, list_sort(list(DISTINCT l)) AS matched_by, min(l * 1000 + pos) AS seen FROM u GROUP BY sid)"
 
 
-@_query("rrf_fuse", with_views("chunks studies", _knn_sql() + _BLOCK + _KEYWORD + _RRF + " SELECT sid, score, matched_by, row_number() OVER (ORDER BY score DESC, sid) AS pos FROM f"))
+@_query("rrf_fuse", with_views("chunks studies", _knn_sql() + _BLOCK + _KEYWORD + _RRF + " SELECT sid, round(score, 10) AS score, matched_by, row_number() OVER (ORDER BY f.score DESC, sid) AS pos FROM f"))
 def rrf_fuse(spark, d):
-    return N.rrf([_keyword(spark, d), _semantic(spark, d)], "sid")
+    return N.rrf([_keyword(spark, d), _semantic(spark, d)], "sid").withColumn("score", F.round("score", 10))
 
 
-@_query("rrf_passage", with_views("chunks studies", _knn_sql() + _BLOCK + _KEYWORD + _RRF + " SELECT sid, score, matched_by, row_number() OVER (ORDER BY score DESC, seen) AS pos FROM f"))
+@_query("rrf_passage", with_views("chunks studies", _knn_sql() + _BLOCK + _KEYWORD + _RRF + " SELECT sid, round(score, 10) AS score, matched_by, row_number() OVER (ORDER BY f.score DESC, seen) AS pos FROM f"))
 def rrf_passage(spark, d):
-    return N.rrf([_keyword(spark, d), _semantic(spark, d)], "sid", tie_first_seen=True)
+    return N.rrf([_keyword(spark, d), _semantic(spark, d)], "sid", tie_first_seen=True).withColumn("score", F.round("score", 10))
 
 
 _ALL_KW = ", ak AS (SELECT sid, row_number() OVER (ORDER BY sid) AS pos FROM studies WHERE contains(abstract, ' tion '))"
@@ -364,7 +374,7 @@ def msm_match_set(spark, d):
 
 @_query("lexical_multi_field", with_views("studies", ", " + _bm25_sql("studies", "sid", "title", 3, "b1") + ", " + _bm25_sql("studies", "sid", "abstract", 3, "b2") + ", u AS (SELECT sid, 40 * score AS s FROM b1 UNION ALL SELECT sid, 10 * score FROM b2) SELECT sid, round(sum(s), 4) AS score FROM u GROUP BY sid"))
 def lexical_multi_field(spark, d):
-    return T.multi_field(V.studies(spark, d), "sid", {"title": 40.0, "abstract": 10.0}, TERMS)
+    return T.multi_field(V.studies(spark, d), "sid", {"title": 40.0, "abstract": 10.0}, TERMS).withColumn("score", F.round("score", 4))
 
 
 @_query("fuzzy_expand", f"WITH t AS (SELECT DISTINCT unnest({_tokens('text')}) AS term FROM documents), q AS (SELECT unnest(['hation', 'ereading', 'the']) AS query_term, unnest([1, 1, 0]) AS k) SELECT query_term, term FROM t, q WHERE left(term, 2) = left(query_term, 2) AND levenshtein(term, query_term) <= k")
