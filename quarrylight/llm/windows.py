@@ -329,7 +329,7 @@ def segments(docs: DataFrame, finder: Finder, hot: np.ndarray) -> DataFrame:
 
 def judged(found: DataFrame, across: bool) -> DataFrame:
     """The segment rows without those segments that meet no other one of their minimizer."""
-    dealt = found.repartition("m").sortWithinPartitions("m", "doc_id")
+    dealt = found.repartition("m").sortWithinPartitions("m")  # one long: a radix sort
 
     def out(x: list[np.ndarray]):
         m, near, doc, state = x[0], x[1].view(np.uint64), x[3], x[7]
