@@ -30,6 +30,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyarrow import fs as files
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,8 +106,17 @@ def unfeistel(y: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np
     return out
 
 
+def packed(ids: bytes) -> bytes:
+    """uint16 ids for storage and shuffles: all low bytes, then all high bytes, compressed."""
+    return zstandard.compress(np.frombuffer(ids, np.uint8).reshape(-1, 2).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> bytes:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(2, -1).T.tobytes()
+
+
 def encoded(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", path: str | None = None) -> DataFrame:
-    """(part, run, at, doc_id, tag, n, ids): documents, their run within the task, and the tokens before them in it. ids: little-endian uint16."""
+    """(part, run, at, doc_id, tag, n, ids): documents, their run within the task, and the tokens before them in it. ids: packed."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -127,7 +137,7 @@ def encoded(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", path: str | No
                     ids = np.array([*encoding.encode_ordinary(text.decode()), END], "<u2")
                     if last is not None and (key < last or key[0] - last[0] > far):
                         number, at = number + 1, 0
-                    out.append((part, number, at, *key, len(ids), ids.tobytes()))
+                    out.append((part, number, at, *key, len(ids), packed(ids.tobytes())))
                     at, last = at + len(ids), key
                 types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=_ENCODED)
@@ -191,8 +201,8 @@ def fragments(table: DataFrame, before: dict[tuple[int, int], int], total: int,
                 held, data, cut = -1, b"", []
                 for r, a, b in zip(row[x].tolist(), (2 * (start - at[row]))[x].tolist(), (2 * (stop - at[row]))[x].tolist(), strict=True):
                     if r != held:
-                        held, data = r, ids[r].as_py()
-                    cut.append(data[a:b])
+                        held, data = r, unpacked(ids[r].as_py())
+                    cut.append(packed(data[a:b]))
                 yield pa.RecordBatch.from_arrays([pa.array(slot[x]), pa.array((start - number * length)[x].astype(np.int32)), pa.array(cut, pa.binary())], names=["slot", "pos", "ids"])
 
     return table.mapInArrow(run, "slot long, pos int, ids binary")
@@ -249,6 +259,7 @@ def shards(rows: DataFrame, total: int, folder: str, done: set[int], length: int
                     out.write(gap)
                     sha.update(gap)
                     size = at
+                ids = unpacked(ids)
                 out.write(ids)
                 sha.update(ids)
                 size += len(ids)
@@ -276,7 +287,7 @@ def _there(folder: str) -> bool:
 def _table(df: DataFrame, folder: str) -> DataFrame:
     """df as it is written in the folder, by this run or an earlier one."""
     if not _there(folder):
-        df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+        df.write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
