@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarrylight.llm.graph import components
 from quarrylight.llm.kernel import Words, blocks, grams, mix, pair, signed
@@ -38,7 +37,7 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
 SAMPLES, SKETCH_BITS, DEVIATIONS = 1024, 2048, 5
 #: Links of one class that are confirmed in one group; classes of a bucket that are compared in one group.
-FAN, BLOCK = 2_000, 4_096
+FAN, BLOCK = 128, 4_096
 #: Pairs of each component in a bucket that are confirmed before the rest.
 FIRST = 4
 
@@ -254,9 +253,9 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept. Needs doc_id and text."""
     all_docs, sets = classes(docs)
     reps = sets.select("rep", "n", "bands", "sketch")
-    bucket = Window.partitionBy("key")
-    buckets = reps.select("rep", F.explode("bands").alias("key")).select("rep", "key", F.min("rep").over(bucket).alias("leader"), F.max("rep").over(bucket).alias("last"))
-    buckets = stage(buckets.where("leader < last").select("key", "rep", "leader"), "neardup-buckets")
+    keys = reps.select("rep", F.explode("bands").alias("key"))
+    ends = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
+    buckets = stage(keys.join(ends.select("key", "leader"), "key").select("key", "rep", "leader"), "neardup-buckets")
     one = reps.select(F.col("rep").alias("leader"), F.col("n").cast("double").alias("n1"), F.col("sketch").alias("s1"))
     two = reps.select("rep", F.col("n").cast("double").alias("n2"), F.col("sketch").alias("s2"))
     near = buckets.where("leader < rep").select("leader", "rep").distinct().join(one, "leader").join(two, "rep")
