@@ -1,7 +1,7 @@
 """Quality rules, line first.
 
-Every line is judged by itself: does it end like a sentence, is it a navigation bar, boilerplate, shouting or symbol
-noise? Failing lines are removed. A document is then rejected if it lost more than `max_loss` of its words, or if the
+Every line is judged by itself: does it end like a sentence, is it a navigation bar or a path through a site,
+boilerplate (of four languages), shouting or symbol noise? Failing lines are removed. A document is then rejected if it lost more than `max_loss` of its words, or if the
 base rule (too short, or too much of it in repeated five-word windows) fails.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept; lines without a word are
@@ -22,8 +22,15 @@ SYMBOLS = "#*$%&|<>"
 #: A line ends like a sentence if one of these is its last byte but closing quotes and brackets.
 TERMINAL = ".!?:;"
 CLOSING = "\"')]"
-#: Phrases of page furniture, in lower case.
-BOILERPLATE = ("all rights reserved", "terms of use", "privacy policy", "accept cookies", "enable javascript", "click here", "subscribe to our", "sign up for")
+#: Phrases of page furniture in English, French, German and Spanish; letters of ASCII in lower case.
+BOILERPLATE = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "click here", "read more", "subscribe to our", "sign up for", "share this", "back to top", "skip to content", "log in to",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "accepter les cookies", "cliquez ici", "lire la suite", "abonnez-vous",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "hier klicken", "weiterlesen", "newsletter abonnieren",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "aviso legal", "aceptar cookies", "haga clic aquí", "leer más", "suscríbete",
+)
+#: A line with CRUMBS of these between words is a path through a site.
+CRUMB_MARKS, CRUMBS = (" > ", " » ", " › ", " :: "), 2
 
 #: An unfinished line is page furniture if it is short; a long one is prose that was cut off.
 UNFINISHED, NAV_BARS, SHOUT_LETTERS = (4, 30), 3, 10
@@ -72,6 +79,7 @@ def measure(flat: np.ndarray, at: np.ndarray, max_loss_percent: int = MAX_LOSS_P
     lowered = data.lower()
     furniture = [p.encode() for p in BOILERPLATE]
     some = [p for p in furniture if p in lowered]
+    marks = [m for m in map(str.encode, CRUMB_MARKS) if m in data]
     for i in np.flatnonzero(n > 0):
         if line_row[i] != current:
             current, seen = line_row[i], set()
@@ -83,6 +91,8 @@ def measure(flat: np.ndarray, at: np.ndarray, max_loss_percent: int = MAX_LOSS_P
         if some:
             low = lowered[start[i] : end[i]]
             phrase[i] = any(p in low for p in some)
+        if marks and not phrase[i]:
+            phrase[i] = sum(map(line.count, marks)) >= CRUMBS
     out["n_dup_lines"] = np.bincount(line_row[repeated], minlength=rows).astype(np.int64)
 
     # the last byte of the line that is neither white space nor closing
@@ -173,8 +183,8 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
 
 
-def _sql_list(values) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -188,7 +198,8 @@ VERDICT_SQL = rf"""
         OR len(line) - len(replace(line, '|', '')) >= {NAV_BARS}
         OR 10 * (len(line) - len(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) >= 3 * n
         OR (len(regexp_extract_all(line, '[A-Z]')) > len(regexp_extract_all(line, '[a-z]')) AND len(regexp_extract_all(line, '[A-Z]')) >= {SHOUT_LETTERS})
-        OR again OR {" OR ".join(f"contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{p}')" for p in BOILERPLATE)} AS failed FROM l2),
+        OR again OR {" OR ".join(f"contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_quoted(p)}')" for p in BOILERPLATE)}
+        OR {" + ".join(f"(length(line) - length(replace(line, '{m}', ''))) // {len(m)}" for m in CRUMB_MARKS)} >= {CRUMBS} AS failed FROM l2),
  l AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE again) AS n_dup_lines, count(*) FILTER (WHERE failed) AS n_failed_lines,
        coalesce(sum(n) FILTER (WHERE failed), 0)::BIGINT AS n_lost_words FROM l3 GROUP BY rid),
  g0 AS (SELECT rid, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),

@@ -35,6 +35,9 @@ def test_messy_quality(spark):
     assert quality.score(frame(spark, [])).count() == 0
     out = quality.clean(awkward(spark))
     assert out.columns == awkward(spark).columns
+    lines = ["Home > Science > Physics", "© 2024 Firma. Alle Rechte vorbehalten.", "Lire la suite.", "Haga clic aquí.", "a > b is a test."]
+    one = quality.score(frame(spark, [(i, t) for i, t in enumerate(lines)])).orderBy("doc_id").collect()
+    assert [r.n_failed_lines for r in one] == [1, 1, 1, 1, 0]
     prose = "First line of good prose ends here, as it should.\nSecond one too, with several more words in it.\nA third one follows the other two before the end."
     kept = quality.clean(frame(spark, [(1, prose + "\nA | b | c | d"), (2, prose + "\n" + prose), (3, prose)])).orderBy("doc_id").collect()
     assert [(r.doc_id, r.text) for r in kept] == [(1, prose), (3, prose)]  # 2 repeats itself
