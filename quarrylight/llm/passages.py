@@ -42,12 +42,12 @@ def _scan(window: int, anchor: int):
             g = grams(h, anchor)
             low = sliding_min(g, window - anchor + 1)
             hash_ = lambda x, whole=whole: whole[x]
-            start, n, m, content = cut(low, hash_, words.fits(window)[: len(whole)], words.row(), window)
+            start, n, m = cut(low, words.fits(window)[: len(whole)], words.row(), window)
             wide = grams(h, anchor + (window - anchor + 1) // 2)
             near, wild = sides(g, low, start, n, m, lambda x, wide=wide: wide[x], words.first, window, anchor)
             second = lambda x, h=h: grams(h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1), window)[x]
             text = lambda a, b, flat=flat, words=words: flat[words.start[a] : words.end[b - 1]].tobytes()
-            yield Piece(i, words.first[:-1], 0, len(whole), hash_, second, start, n, m, content, wild * WILD, near, text)
+            yield Piece(i, words.first[:-1], 0, len(whole), hash_, second, start, n, m, wild * WILD, near, text)
 
     return scan
 

@@ -26,7 +26,7 @@ from quarrylight.llm.kernel import blocks, cover, pair, runs, sliding_min
 from quarrylight.llm.store import documents
 from quarrylight.llm.windows import HOT, INNER, LOCAL, WILD, Finder, Piece, beside, cut, inner, keyed, runs_of, sides, spans
 
-WINDOW, ANCHOR = 100, 24
+WINDOW, ANCHOR = 100, 16
 #: Bytes of text under one suffix array; bytes of documents that are cut at a time.
 SHARD, PIECE = 1 << 20, 1 << 20
 _SEED = 0x9D39247E33776D41
@@ -60,12 +60,12 @@ def _scan(window: int, anchor: int, piece: int):
         low = sliding_min(g, window - anchor + 1)
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
         valid = np.arange(size) + window <= at[row[:size] + 1]
-        start, n, m, content = cut(low, whole, valid, row, window)
+        start, n, m = cut(low, valid, row, window)
         near, wild = sides(g, low, start, n, m, lambda x: hashed(eight, x, anchor + (window - anchor + 1) // 2), at, window, anchor)
         state = wild * WILD
         if inner_:
             state[wild] |= inner(start[wild], n[wild], whole) * INNER  # equal windows of a segment have the minimizer at two places
-        return Piece(i, at[:-1], base, size, whole, lambda x: hashed(eight, x, window, _SEED), start, n, m, content, state, near, lambda a, b: flat[a:b].tobytes())
+        return Piece(i, at[:-1], base, size, whole, lambda x: hashed(eight, x, window, _SEED), start, n, m, state, near, lambda a, b: flat[a:b].tobytes())
 
     def scan(column, inner_: bool):
         for i, j, flat, at in blocks(column, piece):

@@ -76,8 +76,7 @@ class Piece:
     """Segments of some whole rows of a batch (from row i on), or of a part of one row (from unit `base` of it on).
 
     first: place where each row begins; size: places of the piece; whole, second: two hashes of the windows at places;
-    at, n, m, content, state, near: place, windows, minimizer, content hash, state and sides (32 bits each) of each
-    segment; text: the bytes of the units from one place to another.
+    at, n, m, state, near: place, windows, minimizer, state and sides (32 bits each) of each segment; text: the bytes of the units from one place to another.
     """
 
     i: int
@@ -89,7 +88,6 @@ class Piece:
     at: np.ndarray
     n: np.ndarray
     m: np.ndarray
-    content: np.ndarray
     state: np.ndarray
     near: np.ndarray
     text: Callable[[int, int], bytes]
@@ -120,15 +118,14 @@ class Finder:
     shard: int
 
 
-def cut(low: np.ndarray, whole: Callable, valid: np.ndarray, row: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-    """Segments of the windows at each place: (first place, windows, minimizer, content hash).
+def cut(low: np.ndarray, valid: np.ndarray, row: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """Segments of the windows at each place: (first place, windows, minimizer).
 
-    low: minimizer of the window at each place; whole: hashes of the windows at places; valid: whether it lies in one row; a segment has at
-    most `span` windows, so that its first and its last one tell its content.
+    low: minimizer of the window at each place; valid: whether it lies in one row; a segment has at most `span` windows.
     """
     at = np.flatnonzero(valid)
     if not len(at):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     key = low[at]
     fresh = np.ones(len(at), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
@@ -139,8 +136,7 @@ def cut(low: np.ndarray, whole: Callable, valid: np.ndarray, row: np.ndarray, sp
         k = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
         rest = np.repeat(size, more) - k * span
         first, size = np.repeat(first, more) + k * span, np.minimum(rest, span)
-    content = pair(pair(whole(at[first]), whole(at[first + size - 1])), size.astype(np.uint64))
-    return at[first], size, key[first], content
+    return at[first], size, key[first]
 
 
 def sides(g: np.ndarray, low: np.ndarray, at: np.ndarray, n: np.ndarray, m: np.ndarray, wider: Callable, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +220,7 @@ def meets(m: np.ndarray, doc: np.ndarray, state: np.ndarray, near: np.ndarray, a
 
 
 def hot_minimizers(docs: DataFrame, finder: Finder, hot: int = HOT, local: int = LOCAL, keys: int = HOT_KEYS) -> np.ndarray:
-    """Sorted minimizers that too many segments share: at most `keys`, those with the most. A content counts once a piece."""
+    """Sorted minimizers that too many segments share: at most `keys`, those with the most. Segments with the same sides count once a piece."""
 
     def run(batches):
         seen: list[tuple[np.ndarray, np.ndarray]] = []
@@ -241,10 +237,10 @@ def hot_minimizers(docs: DataFrame, finder: Finder, hot: int = HOT, local: int =
 
         for batch in batches:
             for p in finder.scan(batch.column("text"), False):
-                order = np.lexsort((p.content, p.m))
-                m, content, near = p.m[order], p.content[order], p.near[order]
+                order = np.lexsort((p.near, p.m))
+                m, near = p.m[order], p.near[order]
                 fresh = np.ones(len(m), bool)
-                fresh[1:] = (m[1:] != m[:-1]) | (content[1:] != content[:-1])
+                fresh[1:] = (m[1:] != m[:-1]) | (near[1:] != near[:-1])
                 m, near = m[fresh], near[fresh]
                 seen.append((m, np.zeros(len(m), np.uint64)))
                 for k, side in enumerate((near >> np.uint64(32), near & np.uint64(0xFFFFFFFF))):
