@@ -39,7 +39,7 @@ from quarrylight.llm.store import documents
 
 SPACE = "▁"
 #: Characters of a part of a word that the lattice takes at most; bytes of text in a chunk.
-LONG, CHUNK = 64, 8 << 20
+LONG, CHUNK = 64, 4 << 20
 #: Words up to this length are encoded by scanning, longer ones by an agenda.
 SCANNED, _NONE = 64, -1e30
 _WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
