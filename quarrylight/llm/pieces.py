@@ -39,7 +39,7 @@ from quarrylight.llm.store import documents
 
 SPACE = "▁"
 #: Characters of a part of a word that the lattice takes at most; bytes of text in a chunk.
-LONG, CHUNK = 64, 4 << 20
+LONG, CHUNK = 64, 2 << 20
 #: Words up to this length are encoded by scanning, longer ones by an agenda.
 SCANNED, _NONE = 64, -1e30
 _WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -238,16 +238,17 @@ def chunked(docs: DataFrame, name: str = "piece_bpe_32k.model", path: str | None
             own = xxhash.xxh3_64_intdigest(blob, part << 24 | done) - (1 << 63)
             done += 1
             held.clear()
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([blob], pa.binary()), pa.array([sorted(parts)], pa.list_(pa.string()))], names=["chunk", "blob", "words"])
 
         size = 0
         for batch in batches:
-            ids, text = batch.column("doc_id").cast(pa.int64()), batch.column("text").cast(pa.large_string()).fill_null("")
-            at, ends = 0, np.cumsum(np.asarray(pc.binary_length(text)))
+            ids, text = batch.column("doc_id").cast(pa.int64()), batch.column("text")
+            at, ends = 0, np.cumsum(np.asarray(pc.binary_length(text).fill_null(0)), dtype=np.int64)
             while at < len(text):
                 base = ends[at - 1] if at else 0
                 stop = min(len(text), max(at + 1, int(np.searchsorted(ends, base + chunk - size, side="right"))))
-                held.append(pa.RecordBatch.from_arrays([ids.slice(at, stop - at), text.slice(at, stop - at)], schema=schema))
+                held.append(pa.RecordBatch.from_arrays([ids.slice(at, stop - at), text.slice(at, stop - at).cast(pa.large_string()).fill_null("")], schema=schema))
                 size, at = size + int(ends[stop - 1] - base), stop
                 if size >= chunk or at < len(text):
                     yield out()
@@ -307,6 +308,7 @@ def _encoded(docs: DataFrame, name: str, path: str | None, chunk: int, form, sch
                                 whole[w] = memo[w] if w in memo else of_word(w)
                             got.append(b"".join(map(whole.__getitem__, words_)))
                         yield give(x.column("doc_id"), texts, got)
+                pa.default_memory_pool().release_unused()
 
     return chunks.join(known, "chunk", "left").select("blob", "words", "known").mapInArrow(run, schema)
 
