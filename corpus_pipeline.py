@@ -9,8 +9,8 @@
 All stages but the last return the columns of documents; n_chars follows the text. A table with more columns keeps
 them, whatever their names.
 
-Each stage bounds the session's Arrow batches to BATCH bytes (unless the session has its own bound): the default holds 64 MB of texts
-for each running task, in the JVM outside its heap and again in Python.
+Each stage bounds the session's Arrow batches to BATCH bytes (unless the session has its own bound): the default holds
+64 MB of texts for each running task, in the JVM outside its heap and again in Python.
 
 Defined results: documents without a text, or with an empty one, fail the base rule of quality and go; of rows with one
 doc_id and one text one stays, and different texts under one doc_id are documents of their own; a row with a null doc_id
