@@ -4,12 +4,14 @@ Folding lower-cases a text, maps look-alike letters to Latin ones and digits or
 they stand for, and keeps runs of letters parted by single spaces. The lexicon is learnt: from at most FIT_DOCS
 labelled documents (those with the smallest hash of doc_id), words and word beginnings are weighed by the log odds of
 toxic against other documents, those that are clearly toxic are kept, and phrases around them that only occur in
-other documents become exceptions. A document's score is a logistic function of the matched weight, without what
-exception phrases cover, in proportion to its length.
+other documents become exceptions. All such entries and phrases are taken: the labelled documents bound how many there
+are. A document's score is a logistic function of the matched weight, without what exception phrases cover, in
+proportion to its length, and of the number of matches.
 
 Defined results: a null or empty text scores like one without a match; documents without labels are scored but not
-learnt from; repeated rows are scored one by one; without any labelled row all scores are 0. Label rows of one
-document count once each.
+learnt from; repeated rows are scored one by one, and equal texts score alike; without any labelled row all scores are
+0. Label rows of one document count once each. Of entries that begin at one letter the heaviest counts; terms of equal
+support are taken longest first, then in order of their letters.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm.kernel import blocks
 from quarrylight.llm.store import documents, stage
 
-#: Labelled documents that the lexicon is learnt from, at most; entries that it may have; held-out remainder.
-FIT_DOCS, ENTRIES, HELD_OUT = 20_000, 2_000, 2
+#: Labelled documents that the lexicon is learnt from, at most; held-out remainder.
+FIT_DOCS, HELD_OUT = 20_000, 2
 THRESHOLD = 0.3
 #: An entry is in MIN_DOCS toxic documents and is at least so sure, of which beginnings of words have PREFIX letters.
 MIN_DOCS, PURITY, PREFIX = 4, 0.9, (3, 4, 5, 6, 7, 8)
@@ -126,7 +128,7 @@ def terms(text: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in PREFIX if len(w) > k}
 
 
-def choose(counts: list[tuple[str, int, int]], toxic: int, other: int, entries: int = ENTRIES) -> dict[str, float]:
+def choose(counts: list[tuple[str, int, int]], toxic: int, other: int) -> dict[str, float]:
     """Entries and weights, of (term, toxic documents, other documents) and the numbers of documents."""
     base = toxic / max(toxic + other, 1)
     sure = {}
@@ -136,8 +138,6 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, other: int, entries:
     kept: dict[str, float] = {}
     longer: dict[str, int] = {}  # toxic documents of kept entries, by their beginnings
     for term in sorted(sure, key=lambda e: (-sure[e][0], -len(e), e)):
-        if len(kept) >= entries:
-            break
         core, (pos, weight) = term.strip(), sure[term]
         starts = [f" {core[:k]}" for k in PREFIX if k < len(core)]
         if longer.get(term) != pos and not any(kept.get(x, -1.0) >= 0.9 * weight for x in starts):
@@ -187,8 +187,8 @@ def _counted(sample: DataFrame, parts) -> DataFrame:
     return sample.mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, entries: int = ENTRIES, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Learns from labelled rows outside the held-out remainder. The driver gets at most 10 * entries terms, entries phrases and fit_docs pairs of figures."""
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """Learns from labelled rows outside the held-out remainder. The driver gets clearly toxic terms and phrases of at most fit_docs documents, and a pair of figures of each."""
     rows = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != HELD_OUT)
     chosen = rows.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id", "y").limit(fit_docs)
 
@@ -202,10 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, entries: i
     if not totals.get(1):
         return Lexicon()
     sure = _counted(sample, terms).where((F.col("pos") >= MIN_DOCS) & (F.col("pos") >= PURITY * (F.col("pos") + F.col("neg"))))
-    found = sure.orderBy(F.desc("pos"), "term").limit(10 * entries).collect()
-    out = Lexicon(choose([tuple(r) for r in found], totals[1], totals.get(0, 0), entries), exceptions)
+    out = Lexicon(choose([tuple(r) for r in sure.collect()], totals[1], totals.get(0, 0)), exceptions)
     spared = _counted(sample, lambda text: phrases(text, out)).where((F.col("neg") >= MIN_DOCS) & (F.col("pos") == 0))
-    out = Lexicon(out.weights, (*exceptions, *(r["term"] for r in spared.orderBy(F.desc("neg"), "term").limit(entries).collect())))
+    out = Lexicon(out.weights, (*exceptions, *sorted(r["term"] for r in spared.select("term").collect())))
 
     def figures(batches):
         for batch in batches:

@@ -9,9 +9,11 @@ the empty string. Equal rows give equal verdicts; of rules of one length the fir
 
 from __future__ import annotations
 
+import csv
 import json
 import math
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,53 +25,14 @@ BUCKETS, TRAIN_ROWS, EPOCHS, RATE, DECAY, THRESHOLD = 2048, 10_000, 300, 0.5, 1e
 #: Multipliers of the trigram hash.
 _M1, _M2, _M3 = 961, 31, 7
 
-#: The labelled URL table: (url, 1 to block).
-LABELLED = (
-    ("http://www.cheap-pills.example.com/en/12", 1),
-    ("https://cheap-pills.example.net/buy-now", 1),
-    ("https://spam-farm.example.org/en/7", 1),
-    ("http://blog.spam-farm.example.com/fr/3", 1),
-    ("http://m.free-casino.example.net/de/9", 1),
-    ("https://casino-bonus.example.com/win", 1),
-    ("http://www.adult-videos.example.net/xxx/1", 1),
-    ("https://xxx-cams.example.com/en/", 1),
-    ("http://warez-downloads.example.net/crack/serial", 1),
-    ("https://www.cheap-replica-watches.example.com/en/sale", 1),
-    ("http://payday-loans.example.net/apply", 1),
-    ("https://spam-links.example.com/en/881", 1),
-    ("http://pills-online.example.net/viagra", 1),
-    ("https://win-free-money.example.com/click", 1),
-    ("https://m.online-bets.example.com/en/218", 1),
-    ("http://free-bets.example.net/es/87.html", 1),
-    ("https://ads-banner.example.com/en/2", 1),
-    ("http://m.track-ads.example.net/fr/75/", 1),
-    ("https://adult-chat.example.net/fr/4", 1),
-    ("http://blog.adult-x.example.com/en/77.html", 1),
-    ("http://m.casino-vegas.example.com/en/14.html", 1),
-    ("https://www.win-casino.example.net/es/640", 1),
-    ("https://www.newspaper.example.com/en/301", 0),
-    ("http://blog.gardener.example.net/en/18/", 0),
-    ("https://library.example.org/fr/77.html", 0),
-    ("https://m.weather.example.com/de/5?page=2", 0),
-    ("http://www.museum.example.net/es/404", 0),
-    ("https://docs.compiler.example.org/en/manual", 0),
-    ("https://university.example.net/en/research/", 0),
-    ("http://recipes.example.com/fr/soup", 0),
-    ("https://thern.example.com/en/912", 0),
-    ("http://blog.tionre.example.net/en/640", 0),
-    ("https://www.eaon.example.com/es/55.html", 0),
-    ("https://hathe.example.net/fr/203/", 0),
-    ("http://m.ouner.example.com/en/118", 0),
-    ("https://inand.example.net/de/870", 0),
-    ("https://ththe.example.com/de/3190/", 0),
-    ("https://m.erthan.example.com/de/31?utm_source=feed", 0),
-    ("http://m.thandre.example.com/en/3412.html", 0),
-    ("http://ththnd.example.net/fr/3488?page=2&ref=x", 0),
-    ("https://m.ththor.example.net/en/9634#top", 0),
-    ("https://tionin.example.com/es/3477?utm_source=feed", 0),
-    ("https://www.storypages.example.com/en/2#top", 0),
-    ("http://citycouncil.example.net/en/minutes", 0),
-)
+#: The labelled URL table: url, blocked (1 or 0), part (train, or test for held-out rows).
+TABLE = Path(__file__).with_name("labelled_urls.csv")
+
+
+def labelled(part: str = "train", path: Path | str = TABLE) -> tuple[tuple[str, int], ...]:
+    """(url, 1 to block) of one part of a labelled URL table."""
+    with open(path, encoding="utf-8", newline="") as f:
+        return tuple((r["url"], int(r["blocked"])) for r in csv.DictReader(f) if r["part"] == part)
 
 
 def _parts(url: str) -> tuple[str, str]:
@@ -88,11 +51,11 @@ def _grams(host: str, path: str) -> set[int]:
 
 
 @cache
-def train(labelled: tuple[tuple[str, int], ...] = LABELLED) -> tuple[float, tuple[float, ...]]:
+def train(table: tuple[tuple[str, int], ...]) -> tuple[float, tuple[float, ...]]:
     """Bias and bucket weights by full-batch gradient descent; deterministic."""
-    if len(labelled) > TRAIN_ROWS:
+    if len(table) > TRAIN_ROWS:
         raise ValueError(f"at most {TRAIN_ROWS} labelled URLs")
-    rows = [(sorted(_grams(*_parts(url))), y) for url, y in labelled]
+    rows = [(sorted(_grams(*_parts(url))), y) for url, y in table]
     bias, w = 0.0, [0.0] * BUCKETS
     for _ in range(EPOCHS):
         step, back = [0.0] * BUCKETS, 0.0
@@ -121,9 +84,9 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(fold, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def probability(host: Column, path: Column, labelled=LABELLED) -> Column:
+def probability(host: Column, path: Column, table: tuple[tuple[str, int], ...]) -> Column:
     """The model's probability that the url is to be blocked."""
-    bias, weights = train(tuple(labelled))
+    bias, weights = train(tuple(table))
     code = F.transform(F.split(F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$")), ""), F.ascii)
     code = F.filter(code, lambda c: c > 0)
     grams = F.array_distinct(
@@ -138,26 +101,26 @@ def probability(host: Column, path: Column, labelled=LABELLED) -> Column:
     return 1 / (1 + F.exp(-(F.lit(bias) + total / F.sqrt(F.size(grams)))))
 
 
-def judge(pages: DataFrame, rules=RULES, labelled=LABELLED, threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, host, path, rule, verdict and score of every row with a url."""
+def judge(pages: DataFrame, rules=RULES, table: tuple[tuple[str, int], ...] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """page_id, host, path, rule, verdict and the model's score of every row; table: labelled URLs, the module's own if None."""
     host, path = parts(F.col("url"))
     df = pages.select("page_id", host.alias("host"), path.alias("path"))
     fits, verdicts = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, at, prefix in reversed(_rule_order(rules)):
         fit = ((F.col("host") == at) | F.endswith(F.col("host"), F.lit(f".{at}"))) & F.startswith(F.col("path"), F.lit(prefix))
         fits, verdicts = F.when(fit, F.lit(at + prefix)).otherwise(fits), F.when(fit, F.lit(verdict)).otherwise(verdicts)
-    score = probability(F.col("host"), F.col("path"), labelled)
+    score = probability(F.col("host"), F.col("path"), labelled() if table is None else table)
     return df.select("page_id", "host", "path", fits.alias("rule"), verdicts.alias("ruled"), F.round(score, 6).alias("score")).select(
-        "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict")
+        "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score"
     )
 
 
 def op5_url_filters(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("score")
 
 
 def _oracle() -> str:
-    bias, weights = train()
+    bias, weights = train(labelled())
     fit = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in _rule_order(RULES)]
     return rf"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import zlib
 
 import pytest
 from messy import MESSY, awkward, frame
@@ -57,11 +58,19 @@ def test_urls(spark):
     assert urls.judge(long).first().verdict in ("allow", "block")
 
 
-def test_url_model_generalises(spark):
-    bad = ["http://m.casino-night.example.net/en/9", "https://www.cheap-meds.example.com/pills", "http://spam-shop.example.com/en/4"]
-    good = ["http://www.gazette.example.com/en/77", "https://m.hathes.example.net/fr/12", "http://blog.erin.example.com/es/501"]
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(bad + good)], "page_id long, url string")
-    assert [r.verdict for r in urls.judge(df).orderBy("page_id").collect()] == ["block"] * 3 + ["allow"] * 3
+def test_url_model_on_held_out_rows(spark):
+    seen, rows = {urls._parts(u)[0] for u, _ in urls.labelled()}, urls.labelled("test")
+    assert not seen & {urls._parts(u)[0] for u, _ in rows} and len(rows) == 30
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(df, rules=()).collect()}
+    assert sum((got[i] == "block") == bool(y) for i, (_, y) in enumerate(rows)) >= 27
+
+
+def test_url_tables_with_clashing_names(spark):
+    rows = [(1, "http://a.example.org/es/", "x", 1.0, "y"), (1, "http://a.example.org/es/", "x", 1.0, "y"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, path string, score double, verdict string")
+    got = sorted(((r.page_id or 0, r.host, r.path, r.rule) for r in urls.judge(df).collect()))
+    assert got == [(0, "", "", None)] + [(1, "a.example.org", "/es/", "example.org/es/")] * 2
 
 
 def test_toxicity(spark):
@@ -80,6 +89,30 @@ def test_folding():
     assert lex.matched(toxicity.fold("clown fish and clowns"))[:2] == (4.0, 1)
 
 
+def matched_brute(lexicon, folded):
+    """The same as Lexicon.matched, by trying every entry at every place."""
+    spared = [(s, s + len(p) + 1) for p in lexicon.exceptions for s in range(len(folded)) if folded.startswith(f" {p} ", s)]
+    best = {}
+    for s in range(len(folded)):
+        found = [w for e, w in lexicon.weights.items() if folded.startswith(e, s)]
+        if found and not any(a <= s < b for a, b in spared):
+            best[s] = max(found)
+    return sum(best.values()), len(best), len(folded.split())
+
+
+def test_toxicity_query_against_brute_force(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    lex = toxicity.fit(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    made = toxicity.Lexicon({" the ": 2.0, " th": 1.5, " der ": 1.0, " erin": 3.0, " an": 0.5}, ("the erin", "der"), (-3.0, 2.0, 1.0))
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    for n, (_, text) in enumerate(rows):
+        folded = toxicity.fold(text or "")
+        assert n > 60 or made.matched(folded) == pytest.approx(matched_brute(made, folded))
+    got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, FOLDER).collect()}
+    assert len(got) == len(rows) and all(got[i].score == pytest.approx(lex.score(toxicity.fold(t or ""))) for i, t in rows)
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+
+
 def test_messy_toxicity(spark):
     lex = toxicity.Lexicon({" same ": 2.0}, (), (-4.0, 3.0, 1.0))
     rows = toxicity.score(awkward(spark), lex).collect()
