@@ -152,8 +152,9 @@ def pieces(name: str = "piece_bpe_32k.model", path: str | None = None) -> Pieces
 
 
 def piece_table(spark: SparkSession, table: Pieces) -> DataFrame:
-    """(piece, id, score); as many rows as the vocabulary has."""
-    rows = pa.table({"piece": list(table.id), "id": pa.array(table.id.values(), pa.int32()), "score": pa.array([table.score[p] for p in table.id], pa.float64())})
+    """(piece, id, rank); as many rows as the vocabulary has. A higher score has a higher rank, and equal ones have the same."""
+    rank = {score: i for i, score in enumerate(sorted(set(table.score.values())))}
+    rows = pa.table({"piece": list(table.id), "id": pa.array(table.id.values(), pa.int64()), "rank": pa.array([rank[table.score[p]] for p in table.id], pa.int64())})
     return spark.createDataFrame(rows)
 
 
@@ -161,19 +162,40 @@ def _key(start: Column, stop: Column) -> Column:
     return start * 1000 + stop
 
 
-def _bounds(word: Column, edges: Column) -> Column:
-    """Where symbols begin and end after all joins; edges: map of _key(start, stop) to (score, id)."""
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    def step(bounds: Column, _: Column) -> Column:
-        joins = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(bounds) - 2, F.lit(1))),
-            lambda j: F.struct(F.try_element_at(edges, _key(F.get(bounds, j - 1), F.get(bounds, j + 1)))["score"].alias("score"), (-j).alias("at"), F.get(bounds, j).alias("cut")),
+def _bounds(word: Column, edges: Column) -> Column:
+    """Where symbols begin and end after all joins; edges: map of _key(start, stop) to rank * 65536 + id.
+
+    The fold carries the bounds, with one that no edge has at each end, and for each of them the rank of the edge that
+    would take it away (-1: none). A join changes the ranks of its two neighbours alone, so only these are looked up.
+    """
+
+    def rank(start: Column, stop: Column) -> Column:
+        return F.coalesce(F.shiftright(F.try_element_at(edges, _key(start, stop)), 16).cast("int"), F.lit(-1))
+
+    def joined(bounds: Column, ranks: Column, p: Column) -> Column:
+        return _let(
+            F.concat(F.slice(bounds, F.lit(1), p), F.slice(bounds, p + 2, F.size(bounds))),
+            lambda b: F.struct(
+                b.alias("bounds"),
+                F.concat(F.slice(ranks, F.lit(1), p - 2), F.array(rank(F.get(b, p - 2), F.get(b, p)), rank(F.get(b, p - 1), F.get(b, p + 1))), F.slice(ranks, p + 2, F.size(ranks))).alias("ranks"),
+            ),
         )
-        best = F.array_max(F.filter(joins, lambda x: x["score"].isNotNull()))
-        return F.when(F.size(bounds) < 3, bounds).otherwise(F.array_remove(bounds, F.coalesce(best["cut"], F.lit(-1))))
+
+    def step(state: Column, _: Column) -> Column:
+        bounds, ranks = state["bounds"], state["ranks"]
+        best = F.array_max(ranks)
+        # the leftmost of equals
+        return F.when(best < 0, state).otherwise(_let(F.array_position(ranks, best).cast("int"), lambda p: joined(bounds, ranks, p)))
 
     n = F.char_length(word)
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+    ranks = F.transform(F.sequence(F.lit(0), n), lambda i: rank(i - 1, i + 1))
+    start = F.struct(F.concat(F.array(F.lit(-1)), F.sequence(F.lit(0), n), F.array(F.lit(999))).alias("bounds"), ranks.alias("ranks"))
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: F.slice(state["bounds"], F.lit(2), F.size(state["bounds"]) - 2))
 
 
 def _symbols(word: Column, edges: Column, bounds: Column) -> Column:
@@ -183,7 +205,7 @@ def _symbols(word: Column, edges: Column, bounds: Column) -> Column:
         start, stop = F.get(bounds, j), F.get(bounds, j + 1)
         digits = F.hex(F.encode(F.substring(word, start + 1, stop - start), "UTF-8"))
         spelt = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda k: F.struct(F.lit(None).cast("int").alias("id"), F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int").alias("byte")))
-        found = F.try_element_at(edges, _key(start, stop))["id"]
+        found = F.try_element_at(edges, _key(start, stop)).bitwiseAND(F.lit(65535)).cast("int")
         return F.when(found.isNotNull(), F.array(F.struct(found.alias("id"), F.lit(None).cast("int").alias("byte")))).otherwise(spelt)
 
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), symbol))
@@ -200,7 +222,7 @@ def lattice(words: DataFrame, table: Pieces) -> DataFrame:
     # single characters stay without a piece too, so that each word has a row
     edges = found.join(F.broadcast(piece_table(spark, table)), "piece", "left").where("id IS NOT NULL OR size = 1")
     # the map is built below the fold: within it, it would be built anew for each look-up
-    entry = F.when(F.col("id").isNotNull(), F.struct(_key(F.col("start"), F.col("start") + F.col("size")), F.struct("score", "id")))
+    entry = F.when(F.col("id").isNotNull(), F.struct(_key(F.col("start"), F.col("start") + F.col("size")), F.col("rank") * 65536 + F.col("id")))
     grouped = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"))
     folded = grouped.select("word", "edges", _bounds(F.col("word"), F.col("edges")).alias("bounds"))
     return folded.select("word", _symbols(F.col("word"), F.col("edges"), F.col("bounds")).alias("symbols"))
