@@ -57,7 +57,7 @@ DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 _BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, pairs binary, held binary, which binary, links binary"
 
 
-def byte_level() -> dict[str, int]:
+def _byte_level() -> dict[str, int]:
     """The characters that byte-level vocabularies write bytes with: printable ones stand for themselves."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -81,7 +81,7 @@ class Encoder:
         sizes = self.a.get_vocab_size(), self.b.get_piece_size()
         if max(sizes) > 1 << 16:
             raise ValueError("id pairs are 16 and 16 bits")
-        of_char = byte_level()
+        of_char = _byte_level()
         a_bytes = [bytes(of_char.get(c, 0) for c in self.a.id_to_token(i) or "") for i in range(sizes[0])]
         pieces = [self.b.id_to_piece(i) for i in range(sizes[1])]
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]

@@ -1,9 +1,10 @@
 """Chat formatting with offset-aligned loss masks.
 
-A conversation is rendered whole: for each turn two marks, the role, a mark, the text, a mark. The marks are special tokens of the tokenizer, so a token never crosses one. The rendered text is encoded once, with the
-character offsets of the tokens; the spans of the texts to learn (those of LEARNT roles) are sorted, and a binary search
-finds the span that each token may lie in. What is returned can be read back without loss: ids and mask give all roles
-and texts, and the text under the mask.
+A conversation is rendered whole: for each turn two marks, the role, a mark, the text, a mark. The marks are special
+tokens of the tokenizer, so a token never crosses one. The rendered text is encoded once, with the byte offsets of the
+tokens; the spans of the texts to learn (those of LEARNT roles) are sorted, and a binary search finds the span that each
+token may lie in. What is returned can be read back without loss: ids and mask give all roles and texts, and the text
+under the mask.
 
 Control strings inside roles and texts are escaped: a backslash goes behind the first character, and one more where
 some stand there already, so each string has one escaped form. No control string holds another one's first character
@@ -21,10 +22,9 @@ the mask (and the digest of an empty text). An empty table gives an empty one; o
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
-from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,11 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.align import byte_level
 from quarrylight.llm.store import stage
 
-#: Characters of a segment; characters that are encoded with one call.
+#: Characters of a segment; characters whose rows are returned together.
 SEGMENT, CALL = 4 << 20, 1 << 19
+#: The id behind those of the rank file, which other operators use as the end of a document.
+END = 50256
 LEARNT = ("assistant",)
 FORMATTED = "conv_id long, segment long, whole boolean, n_turns long, formatted string, ids array<int>, learnt array<boolean>"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -72,61 +73,60 @@ class Template:
         return "|".join(f"{re.escape(c[0])}{slashes}{re.escape(c[1:])}" for c in self.controls)
 
     def escape(self, text: str) -> str:
+        if not any(c[0] in text for c in self.controls):
+            return text
         return re.sub(self.pattern(0), lambda m: m[0][0] + "\\" + m[0][1:], text)
 
     def unescape(self, text: str) -> str:
-        return re.sub(self.pattern(1), lambda m: m[0][0] + m[0][2:], text)
+        return re.sub(self.pattern(1), lambda m: m[0][0] + m[0][2:], text) if "\\" in text else text
 
     def render(self, turns: list[tuple[str, str]], learnt: tuple[str, ...]) -> tuple[str, list[int], list[int]]:
-        """The rendered turns, and where the texts to learn begin and end."""
+        """The rendered turns, and the bytes where the texts to learn begin and end."""
         out, at, begins, ends = [], 0, [], []
         for role, text in turns:
             head, body = f"{self.begin}{self.role}{self.escape(role)}{self.text}", self.escape(text)
             out += [head, body, self.end]
-            at += len(head)
+            at += len(head.encode())
+            size = len(body.encode())
             if role in learnt and body:
                 begins.append(at)
-                ends.append(at + len(body))
-            at += len(body) + len(self.end)
+                ends.append(at + size)
+            at += size + len(self.end.encode())
         return "".join(out), begins, ends
 
 
 class Encoder:
-    """A byte-level tokenizer with the template's marks as special tokens."""
+    """A byte-level tokenizer with the template's marks as special tokens, the ids behind END."""
 
     def __init__(self, template: Template, path: str | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import AddedToken, Tokenizer, processors
+        import tiktoken
 
+        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(token): int(i) for token, i in map(bytes.split, f)}
         self.template = template
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)  # else offsets leave out spaces
-        self.tokenizer.add_special_tokens([AddedToken(m, normalized=False) for m in template.marks])
-        self.marks = [self.tokenizer.token_to_id(m) for m in template.marks]
-        of_char = byte_level()
-        self.bytes = {i: m.encode() for i, m in zip(self.marks, template.marks, strict=True)}
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.bytes.setdefault(i, bytes(of_char.get(c, 0) for c in token))
-
-    def encode(self, rendered: list[tuple[str, list[int], list[int]]]) -> list[tuple[list[int], np.ndarray]]:
-        """Ids, and which of them to learn."""
-        out = []
-        for x, (_, begins, ends) in zip(self.tokenizer.encode_batch([r[0] for r in rendered], add_special_tokens=False), rendered, strict=True):
-            at = np.array(x.offsets, np.int64).reshape(-1, 2)
-            span = np.searchsorted(begins, at[:, 0], side="right") - 1
-            learnt = (span >= 0) & (at[:, 1] <= np.array([*ends, 0])[span])
-            out.append((x.ids, learnt))
-        return out
+        self.marks = [END + 1 + i for i in range(len(template.marks))]
+        special = dict(zip(template.marks, self.marks, strict=True))
+        self.tokenizer = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.allowed = set(special)
+        self.bytes = {i: token for token, i in ranks.items()} | {i: m.encode() for m, i in special.items()}
+        self.length = np.zeros(max(self.bytes) + 1, np.int64)
+        for i, token in self.bytes.items():
+            self.length[i] = len(token)
+
+    def encode(self, text: str, begins: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and which of them to learn: those whose offsets lie in one of the sorted spans of bytes."""
+        ids = np.array(self.tokenizer.encode(text, allowed_special=self.allowed, disallowed_special=()), np.int64)
+        end = np.cumsum(self.length[ids])
+        span = np.searchsorted(begins, end - self.length[ids], side="right") - 1
+        return ids, (span >= 0) & (end <= np.array([*ends, 0])[span])
 
     def read(self, ids: np.ndarray, learnt: np.ndarray) -> tuple[list[tuple[str, str]], list[str], int]:
         """From ids and mask: all (role, text), the texts under the mask, and the characters of the rendered text."""
         _, role, text, end = self.marks
         ids = ids.astype(np.int64)
         get, unescape = self.bytes.__getitem__, self.template.unescape
-        chars = sum(b & 0xC0 != 0x80 for b in b"".join(map(get, ids.tolist())))
+        chars = len(b"".join(map(get, ids.tolist())).decode())
         turns = []
         heads, bodies, ends = (np.flatnonzero(ids == m) for m in (role, text, end))
         for i, j, k in zip(heads.tolist(), bodies.tolist(), ends.tolist(), strict=True):
@@ -163,6 +163,10 @@ def _segments(batches, limit: int):
         yield key, opens, False, turns
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
+
+
 def formatted(conversations: DataFrame, template: Template = Template(), learnt: tuple[str, ...] = LEARNT, path: str | None = None, segment: int = SEGMENT) -> DataFrame:
     """One row per segment of a conversation: conv_id, segment (ascending within it), whether it is surely the whole of
     it, n_turns, the rendered text, ids, and which of them to learn. Needs conv_id, turn, role and text."""
@@ -173,10 +177,10 @@ def formatted(conversations: DataFrame, template: Template = Template(), learnt:
 
         def flush():
             rendered = [template.render(turns, learnt) for *_, turns in held]
-            tokens = encoder.encode(rendered)
+            tokens = [encoder.encode(*r) for r in rendered]
             columns = [
                 pa.array([h[0] for h in held], pa.int64()), pa.array([task << 32 | h[1] for h in held], pa.int64()), pa.array([h[2] for h in held]), pa.array([len(h[3]) for h in held], pa.int64()),
-                pa.array([r[0] for r in rendered]), pa.array([t[0] for t in tokens], pa.list_(pa.int32())), pa.array([t[1].tolist() for t in tokens], pa.list_(pa.bool_())),
+                pa.array([r[0] for r in rendered]), _lists([t[0].astype(np.int32) for t in tokens]), _lists([t[1] for t in tokens]),
             ]
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FORMATTED.split(", ")])
 
