@@ -1,10 +1,9 @@
-"""Keyword search: postings, BM25, minimum match, fuzzy expansion and phrases, as table operations."""
+"""Keyword search over texts as they are: postings, BM25, minimum match and phrases. `inverted` searches a stored index."""
 
 from __future__ import annotations
 
 import re
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +46,17 @@ def term_counts(df: DataFrame, key: str, fields: dict[str, Column], tests: list)
     return df.select(key, F.explode(each).alias("f")).select(key, "f.field", "f.c.dl", "f.c.tf").repartition(key)
 
 
-def field_scores(counts: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, field, score, matched, tf): BM25 of each field over n tests; an empty field is no document of its index."""
+def field_scores(counts: DataFrame, key: str, n: int, known: DataFrame | None = None) -> DataFrame:
+    """(key, field, score, matched, tf): BM25 of each field over n tests; an empty field is no document of its index.
+
+    known: (field, _n, _avg) of the whole index, if counts hold only what matched.
+    """
     has = counts.where("dl > 0")
-    stats = has.groupBy("field").agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"), F.array(*(F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(n))).alias("_df"))
+    df = F.array(*(F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(n))).alias("_df")
+    if known is None:
+        stats = has.groupBy("field").agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"), df)
+    else:
+        stats = has.groupBy("field").agg(df).join(F.broadcast(known), "field")  # a row for each field
     rows = has.join(F.broadcast(stats), "field")  # a row for each field
 
     def part(i: int) -> Column:
@@ -82,16 +88,6 @@ def edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
-def fuzzy(dictionary: DataFrame, terms: list[str]) -> DataFrame:
-    """(query_term, term): dictionary terms within the allowed edits of a query term, the first two letters alike."""
-    rows = None
-    for t in terms:
-        near = (F.substring("term", 1, 2) == t[:2]) & (F.levenshtein(F.col("term"), F.lit(t), edits(t)) >= 0)
-        part = dictionary.where(near).select(F.lit(t).alias("query_term"), "term")
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
-
-
 def phrase(df: DataFrame, text: str, words: str) -> DataFrame:
     """Rows with the phrase's tokens in a row."""
     return df.where(has_phrase(F.col(text), words))
@@ -105,16 +101,6 @@ def has_phrase(text: Column, words: str) -> Column:
     return F.contains(_inside(text), F.lit(f" {' '.join(query_tokens(words))} "))
 
 
-def _entry_has(entries: Column, words: str) -> Column:
-    return F.exists(F.coalesce(entries, F.array().cast("array<string>")), lambda x: has_phrase(x, words))
-
-
-def sloppy(words: list[str], slop: int) -> str:
-    """A pattern for the words in order with at most `slop` other tokens between them, of tokens parted by spaces."""
-    ways = [g for g in product(range(slop + 1), repeat=len(words) - 1) if sum(g) <= slop]
-    return "|".join(f" {words[0]} " + "".join(r"\S+ " * n + f"{w} " for n, w in zip(g, words[1:])) for g in ways)
-
-
 def query_tokens(text: str) -> list[str]:
     """Tokens of a query, on the driver."""
     return re.findall(r"[^\W_]+", folded(text))
@@ -122,46 +108,17 @@ def query_tokens(text: str) -> list[str]:
 
 def parse_query(query: str) -> tuple[list[str], list[str]]:
     """Distinct words outside quotes, and phrases within balanced ones."""
-    plain = query.translate({ord(c): '"' for c in "“”„«»"})
-    phrases = [p.strip() for p in re.findall(r'"([^"]*)"', plain) if p.strip()]
-    rest = re.sub(r'"[^"]*"', " ", plain).replace('"', " ")
-    return list(dict.fromkeys(query_tokens(rest))), phrases
+    plain = query.translate(_QUOTES)
+    phrases = [p.strip() for p in re.findall(r'"([^"]*)"', plain) if query_tokens(p)]
+    return list(dict.fromkeys(query_tokens(unquoted(query)))), phrases
 
 
-def lexical(df: DataFrame, key: str, boosts: dict[str, float], query: str, all_text: str | None = None, slop: int = 2, bonus: float = 2.0) -> DataFrame:
-    """(key, score): the keyword executor over boosted fields.
+_QUOTES = {ord(c): '"' for c in "“”„«»"}
 
-    A field counts if enough of the words are in it, typos allowed as `edits` says with the first two letters alike; the
-    fields' scores are added up. all_text (an array column) counts if it has every word, without typos. A field that
-    has two words or more in order, with at most `slop` tokens between, adds `bonus`, which never changes what matches.
-    Phrases in quotes have to be in some field or some entry of all_text. A word with typos has one score: its forms
-    are counted together.
-    """
-    words, phrases = parse_query(query)
-    fields = {f: F.col(f) for f in boosts}
-    whole = "_all"
-    if all_text:
-        fields[whole] = F.array_join(F.coalesce(F.col(all_text), F.array().cast("array<string>")), " ")
-    for p in phrases:
-        inside = [has_phrase(F.col(f), p) for f in boosts]
-        if all_text:  # entry by entry: a phrase never spans two
-            inside.append(_entry_has(F.col(all_text), p))
-        df = df.where(reduce(lambda a, b: a | b, inside))
-    if not words:
-        return df.select(key, F.lit(1.0).alias("score"))
-    near = [lambda t, w=w: (t == w) | ((F.substring(t, 1, 2) == w[:2]) & (F.levenshtein(t, F.lit(w), edits(w)) >= 0)) if edits(w) else (t == w) for w in words]
-    exact = [lambda t, w=w: t == w for w in words]
-    counts = term_counts(df, key, {f: c for f, c in fields.items() if f != whole}, near)
-    boost = F.element_at(F.create_map(*(F.lit(x) for pair in boosts.items() for x in pair)), F.col("field"))
-    rows = field_scores(counts, key, len(words)).where(F.col("matched") >= required(len(words))).select(key, (F.col("score") * boost).alias("score"))
-    if all_text:
-        every = field_scores(term_counts(df, key, {whole: fields[whole]}, exact), key, len(words)).where(F.col("matched") == len(words))
-        rows = rows.unionByName(every.select(key, "score"))
-    found = rows.groupBy(key).agg(F.sum("score").alias("score"))
-    if len(words) < 2:
-        return found
-    more = reduce(lambda a, b: a + b, [F.when(_inside(F.col(f)).rlike(sloppy(words, slop)), bonus).otherwise(0.0) for f in boosts])
-    return found.join(df.select(key, more.alias("_more")), key).select(key, (F.col("score") + F.col("_more")).alias("score"))
+
+def unquoted(query: str) -> str:
+    """A query without its phrases."""
+    return re.sub(r'"[^"]*"', " ", query.translate(_QUOTES)).replace('"', " ")
 
 
 def all_terms(df: DataFrame, text: str, terms: list[str]) -> DataFrame:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from quarrylight.operators import documents as D
 from quarrylight.operators import filters as X
 from quarrylight.operators import hybrid as H
+from quarrylight.operators import inverted
 from quarrylight.operators import paging as P
 from quarrylight.operators import search as Q
 from quarrylight.operators import sinks as K
 from quarrylight.operators import text as T
 from quarrylight.operators import vectors as N
 from quarrylight.plans.search_queries import _BLOCK, _fold, _knn_sql, _tokens, _vector
+from quarrylight.sources import scratch
 from quarrylight.sources import views as V
 from quarrylight.sources.views import table, with_views
 
@@ -30,36 +32,72 @@ def _query(name: str, sql: str):
 
 # keyword executor
 
-BOOSTS = {"idno": 60.0, "title": 40.0, "nation": 30.0, "abstract": 10.0}
+BOOSTS = {"idno": 60.0, "title": 40.0, "nation": 30.0, "authoring_entity": 10.0, "abstract": 10.0, "keywords": 1.0, "methodology": 1.0, "var_keywords": 1.0}
 WORDS = ("anea", "attion", "erinr")  # the last one is a typo
-_EDITS = {w: T.edits(w) for w in WORDS}
-
-
-def _lexical_sql() -> str:
+PHRASE = ("eriner", "anea", "thanea")  # texts have the first two the other way round
+_MORE = {
+    "authoring_entity": "'Office of ' || tags[2]",
+    "keywords": "concat_ws(' ', tags[1], tags[2], dataset_type)",
+    "methodology": "substr(abstract, 101, 200)",
+    "var_keywords": "substr(abstract, 301, 150)",
+}
+
+
+def _phrase_sql(name: str, words: list[str], slop: int, n: int) -> str:
+    """{name} (sid, score): BM25 of a phrase in t{n}, from the definition: every choice of tokens is looked at."""
+    places = ", ".join(f"list_filter(range(1, len(t) + 1), lambda i: t[i] = '{w}') AS p{j}" for j, w in enumerate(words))
+    df = ", ".join(f"count(*) FILTER (WHERE len(p{j}) > 0) AS d{j}" for j in range(len(words)))
+    joined = "".join(f" JOIN (SELECT sid, unnest(p{j}) - {j} AS a{j} FROM {name}_p) AS u{j} USING (sid)" for j in range(1, len(words)))
+    spread = f"greatest({', '.join(f'a{j}' for j in range(len(words)))}) - least({', '.join(f'a{j}' for j in range(len(words)))})"
+    near = " AND ".join(f"abs(a{j} - a0) <= {slop}" for j in range(1, len(words)))
+    idf = " + ".join(f"ln(1 + (n - d{j} + 0.5) / (d{j} + 0.5))" for j in range(len(words)))
+    return f"""{name}_p AS (SELECT sid, len(t) AS dl, {places} FROM t{n} WHERE len(t) > 0), {name}_s AS (SELECT count(*) AS n, avg(dl) AS a, {df} FROM {name}_p),
+ {name}_m AS (SELECT sid, a0, min({spread}) AS moves FROM (SELECT sid, unnest(p0) AS a0 FROM {name}_p){joined} WHERE {near} GROUP BY sid, a0),
+ {name}_f AS (SELECT sid, sum(1 / (1 + moves)) AS f FROM {name}_m WHERE moves <= {slop} GROUP BY sid),
+ {name} AS (SELECT sid, ({idf}) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a)) AS score FROM {name}_f JOIN {name}_p USING (sid), {name}_s)"""
+
+
+def _fields_sql() -> str:
+    more = ", ".join(f"{sql} AS {name}" for name, sql in _MORE.items())
+    parts = [f"t{n} AS (SELECT sid, {_tokens(f"coalesce({f}, '')")} AS t FROM ls)" for n, f in enumerate([*BOOSTS, "concat_ws(' ', title, nation)"])]
+    return f", ls AS (SELECT *, {more} FROM studies), " + ", ".join(parts)
+
+
+def _lexical_sql(words: tuple[str, ...] = WORDS) -> str:
     """lex (sid, score) over the studies view, from the contract: no code is shared with the operator but the fold."""
-    near = {w: f"x = '{w}'" + (f" OR (left(x, 2) = '{w[:2]}' AND levenshtein(x, '{w}') <= {k})" if k else "") for w, k in _EDITS.items()}
-    out, union = [], []
-    for n, (field, boost, tests, need) in enumerate([*((f, b, near, 2) for f, b in BOOSTS.items()), ("concat_ws(' ', title, nation)", 1.0, {w: f"x = '{w}'" for w in WORDS}, 3)]):
+    near = {w: f"x = '{w}'" + (f" OR (left(x, 2) = '{w[:2]}' AND levenshtein(x, '{w}') <= {k})" if (k := T.edits(w)) else "") for w in words}
+    out, union, bonus = [], [], []
+    for n, (boost, tests, need) in enumerate([*((b, near, 2) for b in BOOSTS.values()), (1.0, {w: f"x = '{w}'" for w in words}, 3)]):
         tf = ", ".join(f"len(list_filter(t, lambda x: {c})) AS f{i}" for i, c in enumerate(tests.values()))
         df = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS d{i}" for i in range(3))
         part = " + ".join(f"CASE WHEN f{i} > 0 THEN ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / a)) ELSE 0 END" for i in range(3))
         m = " + ".join(f"(f{i} > 0)::INTEGER" for i in range(3))
-        out.append(f"""t{n} AS (SELECT sid, {_tokens(f"coalesce({field}, '')")} AS t FROM studies), c{n} AS (SELECT sid, len(t) AS dl, {tf} FROM t{n} WHERE len(t) > 0),
+        out.append(f"""c{n} AS (SELECT sid, len(t) AS dl, {tf} FROM t{n} WHERE len(t) > 0),
  s{n} AS (SELECT count(*) AS n, avg(dl) AS a, {df} FROM c{n}), b{n} AS (SELECT sid, {boost} * ({part}) AS score FROM c{n}, s{n} WHERE {m} >= {need})""")
         union.append(f"SELECT * FROM b{n}")
-    gaps = [(a, b) for a in range(3) for b in range(3) if a + b <= 2]
-    sloppy = "|".join(f" {WORDS[0]} " + r"\S+ " * a + f"{WORDS[1]} " + r"\S+ " * b + f"{WORDS[2]} " for a, b in gaps)
-    more = " + ".join(f"CASE WHEN regexp_matches(' ' || array_to_string(t{n}.t, ' ') || ' ', '{sloppy}') THEN 2.0 ELSE 0.0 END" for n in range(4))
-    return ", " + ", ".join(out) + f""", sums AS (SELECT sid, sum(score) AS score FROM ({' UNION ALL '.join(union)}) GROUP BY sid),
- lex AS (SELECT sid, score + {more} AS score FROM sums JOIN t0 USING (sid) JOIN t1 USING (sid) JOIN t2 USING (sid) JOIN t3 USING (sid))"""
+        if n < len(BOOSTS):
+            out.append(_phrase_sql(f"ph{n}", list(words), 2, n))
+            bonus.append(f"SELECT sid, score * {2 * boost} AS score FROM ph{n}")
+    return _fields_sql() + ", " + ", ".join(out) + f""", sums AS (SELECT sid, sum(score) AS score FROM ({' UNION ALL '.join(union)}) GROUP BY sid),
+ bonus AS (SELECT sid, max(score) AS more FROM ({' UNION ALL '.join(bonus)}) GROUP BY sid),
+ lex AS (SELECT sid, score + coalesce(more, 0) AS score FROM sums LEFT JOIN bonus USING (sid))"""
 
 
-def _lexical_studies(spark, d):
-    return V.studies(spark, d).withColumn("all_text", F.filter(F.array("title", "nation"), lambda x: x.isNotNull()))
+def studies_index(spark, d):
+    """The stored index of the studies' fields, built at its first use."""
+    s = V.studies(spark, d)
+    fields = {f: F.col(f) for f in BOOSTS if f not in _MORE} | {
+        "authoring_entity": F.concat(F.lit("Office of "), F.get("tags", F.lit(1))),
+        "keywords": F.concat_ws(" ", F.get("tags", F.lit(0)), F.get("tags", F.lit(1)), "dataset_type"),
+        "methodology": F.substring("abstract", 101, 200),
+        "var_keywords": F.substring("abstract", 301, 150),
+        "*all_text": F.filter(F.array("title", "nation"), lambda x: x.isNotNull()),
+    }
+    return inverted.stored(s, "sid", fields, scratch.base(spark))
 
 
 def _lexical(spark, d, query=" ".join(WORDS)):
-    return T.lexical(_lexical_studies(spark, d), "sid", BOOSTS, query, "all_text")
+    return studies_index(spark, d).lexical(BOOSTS, query, "all_text").withColumnRenamed("key", "sid")
 
 
 @_query("lexical_full", with_views("studies", _lexical_sql() + " SELECT sid, round(score, 4) AS score FROM lex"))
@@ -67,10 +105,23 @@ def lexical_full(spark, d):
     return _lexical(spark, d).withColumn("score", F.round("score", 4))
 
 
-@_query("lexical_quoted", with_views("studies", f""", p AS (SELECT sid FROM studies WHERE {" OR ".join(f"contains(' ' || array_to_string({_tokens(f'''coalesce({f}, '''')''')}, ' ') || ' ', ' attion thanea ')" for f in BOOSTS)})
-SELECT sid, 1.0::DOUBLE AS score FROM p"""))
+@_query("lexical_phrase", with_views("studies", _lexical_sql(PHRASE) + " SELECT sid, round(score, 4) AS score FROM lex"))
+def lexical_phrase(spark, d):
+    return _lexical(spark, d, " ".join(PHRASE)).withColumn("score", F.round("score", 4))
+
+
+_QUOTED = ", ".join(_phrase_sql(f"q{n}", ["attion", "to"], 0, n) for n in range(len(BOOSTS) + 1))
+_BEST = " UNION ALL ".join(f"SELECT sid, score * {b} AS score FROM q{n}" for n, b in enumerate([*BOOSTS.values(), 1.0]))
+
+
+@_query("lexical_quoted", with_views("studies", f"{_fields_sql()}, {_QUOTED} SELECT sid, round(max(score), 4) AS score FROM ({_BEST}) GROUP BY sid"))
 def lexical_quoted(spark, d):
-    return _lexical(spark, d, "“Attion thanea”")
+    return _lexical(spark, d, "“Attion to”").withColumn("score", F.round("score", 4))
+
+
+@_query("lexical_quoted_words", with_views("studies", f"{_lexical_sql()}, {_QUOTED}, q AS (SELECT sid, max(score) AS more FROM ({_BEST}) GROUP BY sid) SELECT sid, round(score + more, 4) AS score FROM lex JOIN q USING (sid)"))
+def lexical_quoted_words(spark, d):
+    return _lexical(spark, d, 'anea "attion to" attion erinr').withColumn("score", F.round("score", 4))
 
 
 _HYBRID = _knn_sql() + _BLOCK + _lexical_sql() + """, kw AS (SELECT sid, row_number() OVER (ORDER BY score DESC, sid) AS pos FROM lex QUALIFY pos <= 50),

@@ -7,9 +7,11 @@ from pyspark.sql.window import Window
 
 from quarrylight.functions import scalar as S
 from quarrylight.operators import ingest as I
+from quarrylight.operators import inverted
 from quarrylight.operators import search as Q
 from quarrylight.operators import text as T
 from quarrylight.operators import vectors as N
+from quarrylight.sources import scratch
 from quarrylight.sources import views as V
 from quarrylight.sources.views import table, with_views
 
@@ -364,12 +366,38 @@ def _bm25_sql(view: str, key: str, field: str, minimum: int, name: str) -> str:
 
 @_query("bm25_single_field", "WITH " + _bm25_sql("documents", "doc_id", "text", 1, "b") + " SELECT doc_id, round(score, 6) AS score, matched FROM b")
 def bm25_single_field(spark, d):
+    return documents_index(spark, d).scores(TERMS, ["text"]).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "matched")
+
+
+def documents_index(spark, d):
+    """The stored index of the documents, built at its first use."""
+    return inverted.stored(table(spark, d, "documents").select("doc_id", "text"), "doc_id", {"text": F.col("text")}, scratch.base(spark))
+
+
+@_query("bm25_scan", "WITH " + _bm25_sql("documents", "doc_id", "text", 1, "b") + " SELECT doc_id, round(score, 6) AS score, matched FROM b")
+def bm25_scan(spark, d):
     return T.bm25(table(spark, d, "documents"), "doc_id", "text", TERMS).select("doc_id", F.round("score", 6).alias("score"), "matched")
 
 
+@_query("bm25_top", "WITH " + _bm25_sql("documents", "doc_id", "text", 1, "b") + " SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 25")
+def bm25_top(spark, d):
+    return documents_index(spark, d).top(TERMS, "text", 25).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@_query("index_segments", "WITH " + _bm25_sql("(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || ' the ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)", "doc_id", "text", 1, "b") + " SELECT doc_id, round(score, 6) AS score, matched FROM b")
+def index_segments(spark, d):
+    """Segments: two thirds and all documents as they were, then a third changed and a seventh deleted."""
+    docs = table(spark, d, "documents")
+    k = F.col("doc_id")
+    index = inverted.Index(spark, scratch.shared(spark, "segments")).add(docs, "doc_id", {"text": F.col("text")})
+    changed = docs.where((k % 3 == 0) & (k % 7 != 0)).withColumn("text", F.concat("lang", F.lit(" the "), "text"))
+    index = index.add(changed, "doc_id", {"text": F.col("text")}, deleted=docs.where(k % 7 == 0).select(k.alias("key")))
+    return index.scores(TERMS, ["text"]).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "matched")
+
+
 @_query("msm_match_set", "WITH " + _bm25_sql("documents", "doc_id", "text", 3, "b") + " SELECT doc_id FROM b")
 def msm_match_set(spark, d):
-    return T.bm25(table(spark, d, "documents"), "doc_id", "text", TERMS, T.required(len(TERMS))).select("doc_id")
+    return documents_index(spark, d).scores(TERMS, ["text"]).where(F.col("matched") >= T.required(len(TERMS))).select(F.col("key").alias("doc_id"))
 
 
 @_query("lexical_multi_field", with_views("studies", ", " + _bm25_sql("studies", "sid", "title", 3, "b1") + ", " + _bm25_sql("studies", "sid", "abstract", 3, "b2") + ", u AS (SELECT sid, 40 * score AS s FROM b1 UNION ALL SELECT sid, 10 * score FROM b2) SELECT sid, round(sum(s), 4) AS score FROM u GROUP BY sid"))
@@ -379,8 +407,7 @@ def lexical_multi_field(spark, d):
 
 @_query("fuzzy_expand", f"WITH t AS (SELECT DISTINCT unnest({_tokens('text')}) AS term FROM documents), q AS (SELECT unnest(['hation', 'ereading', 'the']) AS query_term, unnest([1, 1, 0]) AS k) SELECT query_term, term FROM t, q WHERE left(term, 2) = left(query_term, 2) AND levenshtein(term, query_term) <= k")
 def fuzzy_expand(spark, d):
-    words = table(spark, d, "documents").select(F.explode(S.tokens(F.col("text"))).alias("term")).distinct()
-    return T.fuzzy(words, ["hation", "ereading", "the"])
+    return documents_index(spark, d).forms(["hation", "ereading", "the"])
 
 
 @_query("phrase_exact", f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_tokens('text')}, ' ') || ' ', ' with bleonen this from ')")

@@ -7,11 +7,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local session without that setting gets one under /tmp."""
+def base(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local session without that setting gets one under /tmp."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "/tmp/quarrylight"
-    return f"{folder.rstrip('/')}/quarrylight/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/quarrylight"
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder there."""
+    return f"{base(spark)}/{name}-{uuid.uuid4().hex}"

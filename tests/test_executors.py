@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.functions.scalar import fold, folded
-from quarrylight.operators import documents, filters, paging, sinks, text
+from quarrylight.operators import documents, filters, inverted, paging, sinks
 
 
 def test_fold_equals_the_driver_and_unicode(spark):
@@ -29,20 +29,33 @@ DOCS = [
 ]
 
 
-def scores(spark, query, **options):
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
     df = spark.createDataFrame(DOCS, "sid int, title string, abstract string, all_text array<string>")
-    return {r.sid: r.score for r in text.lexical(df, "sid", {"title": 40.0, "abstract": 10.0}, query, "all_text", **options).collect()}
-
-
-def test_lexical_executor(spark):
-    assert set(scores(spark, "poverty")) == {1, 2, 3, 4}  # all_text alone is enough
-    assert set(scores(spark, "povertyx")) == {1, 2, 3}  # one edit, no typos in all_text
-    assert scores(spark, "paverty") == {}  # the first two letters have to be alike
-    assert set(scores(spark, "poverty rate kenya")) >= {1, 2, 3, 4}
-    assert set(scores(spark, '"poverty rate"')) == {1} and set(scores(spark, '"kenya rate"')) == set()
-    with_, without = scores(spark, "poverty rate"), scores(spark, "poverty rate", bonus=0.0)
-    assert set(with_) == set(without) and with_[1] - without[1] == pytest.approx(2.0) and with_[3] == without[3]  # 3 has them in the other order
-    assert with_[2] - without[2] == pytest.approx(2.0)  # two words between
+    root = str(tmp_path_factory.mktemp("index"))
+    return inverted.Index(spark, root).add(df, "sid", {"title": F.col("title"), "abstract": F.col("abstract"), "*all_text": F.col("all_text")})
+
+
+def scores(index, query, **options):
+    return {r.key: r.score for r in index.lexical({"title": 40.0, "abstract": 10.0}, query, "all_text", **options).collect()}
+
+
+def test_lexical_executor(index):
+    assert set(scores(index, "poverty")) == {1, 2, 3, 4}  # all_text alone is enough
+    assert set(scores(index, "povertyx")) == {1, 2, 3}  # one edit, no typos in all_text
+    assert scores(index, "paverty") == {}  # the first two letters have to be alike
+    assert set(scores(index, "poverty rate kenya")) >= {1, 2, 3, 4}
+    assert set(scores(index, '"poverty rate"')) == {1} and scores(index, '"kenya rate"') == {}
+    with_, without = scores(index, "poverty rate"), scores(index, "poverty rate", bonus=0.0)
+    assert set(with_) == set(without) and with_[1] > without[1] and with_[4] == without[4]  # no bonus in all_text
+    assert with_[3] > without[3]  # neighbours that changed places are two moves apart
+    assert with_[2] > without[2]  # two words between
+
+
+def test_quoted_phrases_score(index):
+    alone, beside = scores(index, '"poverty rate"'), scores(index, '"poverty rate" kenya')
+    assert alone[1] > 1 and beside[1] == pytest.approx(alone[1] + scores(index, "kenya")[1])
+    assert set(scores(index, '"rate poverty"')) == {3, 4}  # 4 has it in an entry of all_text
 
 
 def test_cursor():
