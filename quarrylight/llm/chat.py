@@ -158,7 +158,7 @@ def _segments(batches, limit: int):
                 opens, turns, size = False, [], 0
             key = conv
             turns.append((role or "", text or ""))
-            size += len(turns[-1][1])
+            size += 1 + len(turns[-1][0]) + len(turns[-1][1])
     if turns:
         yield key, opens, False, turns
 

@@ -49,7 +49,7 @@ def starts(whole: DataFrame, k: int = K, seed: int = SEED) -> np.ndarray:
     """The k vectors with the smallest sha256 of `seed:vec_id`, in that order; k rows come to the driver."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = whole.select(order.alias("h"), "v").orderBy(F.col("h").asc_nulls_last(), "v").limit(k).collect()
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64)
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:

@@ -7,16 +7,17 @@ cycle-walking sends each number to a global slot: a bijection on [0, N) that any
 order for another key needs no sort and no table. Slots are dealt by range to shards of SLOTS records and written as
 fixed-stride binary files: slot s is at byte (s mod SLOTS) * 2 * LENGTH of shard s // SLOTS, as little-endian uint16.
 
-1. `encoded` is written once. A task's documents form runs in the order of the stream; only the runs' bounds and sizes
-   reach the driver. If they do not overlap, as in a table that was written in order, a document's place in the stream
-   follows from its run; else the encoded documents are dealt by range and sorted first.
+1. `encoded` is written once. A task's documents form runs in the order of the stream. If these are few for each task and
+   do not overlap, as in a table that was written in order, a document's place in the stream follows from its run; else
+   the encoded documents are dealt by range and sorted first. A few rows for each task reach the driver.
 2. `fragments` cuts each document where sequences end, and `shards` puts the fragments of a slot together.
 3. A file gets its name, which holds its SHA-256, when it is whole. A run into the same folder takes the encoded table
-   and the whole files that are there, and writes the others.
+   and the whole files that are there, and writes the others; the folder says of which documents (their number, bytes and
+   sum of hashes), tokenizer file and settings it is, and any other run is refused.
 
 Defined results: a null or empty text is an end token alone; a null doc_id counts as -1; rows that repeat a doc_id
 follow each other in the order of their texts' hashes, equal ones are written each; an empty table has no slots and no
-shards; a folder that holds another run is refused.
+shards. Very long texts are encoded whole, and cut where sequences end. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +43,14 @@ LENGTH, SLOTS, KEY, ROUNDS = 1024, 65_536, 0x5DEECE66D, 6
 END = 50_256
 #: A run of documents ends where the next doc_id is further off than so many usual steps.
 _FAR = 64
+#: Runs for each task up to which they come to the driver.
+RUNS_A_TASK = 4
+
+
+def _rank_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def load(name: str = "byte_bpe_50k.tiktoken", path: str | None = None):
@@ -49,7 +58,7 @@ def load(name: str = "byte_bpe_50k.tiktoken", path: str | None = None):
     import public_tokenizers
     import tiktoken
 
-    with open(path or public_tokenizers.path(name)) as f:
+    with open(path or _rank_file(name)) as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     return tiktoken.Encoding("shards", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -140,11 +149,18 @@ _SCHEMA = "part int, run int, at long, doc_id long, tag long, n long, ids binary
 
 
 def offsets(table: DataFrame) -> tuple[dict[tuple[int, int], int] | None, int]:
-    """Tokens before each run (part, run) of an encoded table, or None if runs overlap; and the number of tokens."""
+    """Tokens before each run (part, run) of an encoded table, or None if runs overlap or are many; and the number of tokens.
+
+    To the driver come a row for each task, and its runs only if there are at most RUNS_A_TASK of them for each task on
+    average: a table that is in order but for where files meet. Any other is sorted, and then each task has one run.
+    """
+    parts = table.groupBy("part").agg((F.max("run") + 1).alias("runs"), F.sum("n").alias("n")).collect()
+    total = sum(r["n"] for r in parts)
+    if sum(r["runs"] for r in parts) > RUNS_A_TASK * len(parts):
+        return None, total
     key = F.struct("doc_id", "tag")
     runs = table.groupBy("part", "run").agg(F.sum("n").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()
     runs = sorted(runs, key=lambda r: (tuple(r["low"]), tuple(r["high"])))
-    total = sum(r["n"] for r in runs)
     if any(tuple(a["high"]) > tuple(b["low"]) for a, b in zip(runs, runs[1:])):
         return None, total
     out, at = {}, 0
@@ -280,8 +296,8 @@ def _table(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def _checked(folder: str, run: dict) -> dict[int, tuple[int, str]]:
-    """Whole files (bytes, SHA-256) by shard; writes or compares the description of the run."""
+def _claim(folder: str, run: dict) -> None:
+    """Writes the description of the run, or compares it with the one that the folder has."""
     system, base = files.FileSystem.from_uri(folder)
     system.create_dir(f"{base}/shards", recursive=True)
     path = f"{base}/run.json"
@@ -289,9 +305,16 @@ def _checked(folder: str, run: dict) -> dict[int, tuple[int, str]]:
         with system.open_input_stream(path) as f:
             if json.loads(f.read()) != run:
                 raise ValueError(f"{folder} holds another run")
-    else:
-        with system.open_output_stream(path) as f:
-            f.write(json.dumps(run).encode())
+        return
+    aside = f"{base}/.{uuid.uuid4().hex}.json"
+    with system.open_output_stream(aside) as f:
+        f.write(json.dumps(run).encode())
+    system.move(aside, path)
+
+
+def _whole_files(folder: str) -> dict[int, tuple[int, str]]:
+    """Files (bytes, SHA-256) by shard: they get their name when they are whole."""
+    system, base = files.FileSystem.from_uri(folder)
     out = {}
     for info in system.get_file_info(files.FileSelector(f"{base}/shards")):
         if m := re.fullmatch(r"shard-(\d+)\.([0-9a-f]{64})\.bin", info.base_name):
@@ -299,19 +322,29 @@ def _checked(folder: str, run: dict) -> dict[int, tuple[int, str]]:
     return out
 
 
+def fingerprint(docs: DataFrame) -> list:
+    """What tells one table of documents from another: its rows, and the sum of their hashes."""
+    hashes = F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)"))
+    return [str(x) for x in docs.agg(F.count("*"), hashes, F.sum(F.octet_length("text"))).first()]
+
+
 def write(docs: DataFrame, folder: str, length: int = LENGTH, slots: int = SLOTS, key: int = KEY, name: str = "byte_bpe_50k.tiktoken", path: str | None = None) -> DataFrame:
     """Writes folder/encoded, folder/shards/*.bin and folder/manifest, or what is missing of them; returns the manifest.
+    A folder that was begun with other documents, another tokenizer file or other settings is an error.
 
     folder: a path or URI of a file system that pyarrow can open (file, hdfs, s3, gs).
     """
     spark, folder = docs.sparkSession, folder.rstrip("/")
+    with open(path or _rank_file(name), "rb") as f:
+        tokenizer = hashlib.sha256(f.read()).hexdigest()
+    _claim(folder, {"length": length, "slots": slots, "key": key, "tokenizer": tokenizer, "documents": fingerprint(docs)})
     table = _table(encoded(docs, name, path), f"{folder}/encoded")
     before, total = offsets(table)
     if before is None:
         table = _table(in_order(table), f"{folder}/in_order")
         before, total = offsets(table)
     stride, count = 2 * length, -(-total // length)
-    there = _checked(folder, {"length": length, "slots": slots, "key": key, "tokens": total, "tokenizer": name})
+    there = _whole_files(folder)
     size = {s: min(slots, count - s * slots) for s in range(-(-count // slots))}
     whole = {s: sha for s, (n, sha) in there.items() if s in size and n == size[s] * stride}
     new = shards(fragments(table, before, total, length, key), total, f"{folder}/shards", set(whole), length, slots, key)

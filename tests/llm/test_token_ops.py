@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 from messy import MESSY, awkward, frame
+from pyspark.sql import functions as F
 
 from quarrylight.llm import pieces, tokencount, tokenout
 
@@ -92,10 +93,22 @@ def test_a_stopped_run_goes_on(spark, tmp_path):
     when = kept.stat().st_mtime_ns
     lost.unlink()
     (tmp_path / "shards/.0.part").write_bytes(b"what a lost executor left")
-    assert tokenout.write(docs.limit(0), str(tmp_path), length=64, slots=100).orderBy("shard").collect() == first  # the encoded table is there
+    assert tokenout.write(docs, str(tmp_path), length=64, slots=100).orderBy("shard").collect() == first
     assert lost.exists() and kept.stat().st_mtime_ns == when
-    with pytest.raises(ValueError):
-        tokenout.write(docs, str(tmp_path), length=32, slots=100)
+    for other, length in ((docs, 32), (docs.limit(0), 64), (docs.union(docs.limit(1)), 64), (docs.replace("a|b", "a|c").withColumn("text", F.concat("text", F.lit("."))), 64)):
+        with pytest.raises(ValueError):
+            tokenout.write(other, str(tmp_path), length=length, slots=100)
+    assert tokenout.write(docs, str(tmp_path), length=64, slots=100).orderBy("shard").collect() == first
+
+
+def test_runs_of_a_shuffled_table_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'text ' || id AS text")
+    ordered = tokenout.write(docs.coalesce(1), str(tmp_path / "a"), length=16, slots=100).orderBy("shard").collect()
+    seen, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: (lambda rows: (seen.append(len(rows)), rows)[1])(collect(self)))
+    shuffled = tokenout.write(docs.repartition(8), str(tmp_path / "b"), length=16, slots=100)
+    assert max(seen) <= 8
+    assert collect(shuffled.orderBy("shard")) == ordered
 
 
 def test_op9_query(spark):
