@@ -291,14 +291,9 @@ def aggregate(df: DataFrame, roles: Roles, refs: list[str] | None = None, dimens
 
 
 def merge_by_period(series: list[DataFrame], roles: Roles) -> DataFrame:
-    """Mean of each of up to three indicators side by side, by period; sums are exact to nine digits after the point."""
+    """Mean of each of up to three indicators side by side, by period, with four digits as in `aggregate`."""
     rows = None
     for k, df in enumerate(series):
-        part = _valid(_rows(df, roles)).select("period", F.lit(k).alias("slot"), F.col("v").cast("decimal(28,9)").alias("v"))
+        part = _valid(_rows(df, roles)).select("period", F.lit(k).alias("slot"), "v")
         rows = part if rows is None else rows.unionByName(part)
-
-    def mean(k: int) -> Column:
-        own = F.when(F.col("slot") == k, F.col("v"))
-        return F.try_divide(F.sum(own).cast("double"), F.count(own)).alias(f"mean_{k + 1}")
-
-    return rows.groupBy("period").agg(*map(mean, range(len(series))))
+    return rows.groupBy("period").agg(*(F.round(F.avg(F.when(F.col("slot") == k, F.col("v"))), 4).alias(f"mean_{k + 1}") for k in range(len(series))))

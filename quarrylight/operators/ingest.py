@@ -27,7 +27,18 @@ def quality_report(chunks: DataFrame) -> DataFrame:
 
 
 #: Catalog types and their index names.
-TYPE_MAP = {"survey": "microdata", "document": "document", "table": "table", "timeseries": "indicator", "geospatial": "geospatial"}
+TYPE_MAP = {
+    "survey": "microdata",
+    "timeseries": "indicator",
+    "timeseriesdb": "indicator-db",
+    "timeseries-db": "indicator-db",
+    "document": "document",
+    "table": "table",
+    "geospatial": "geospatial",
+    "script": "script",
+    "image": "image",
+    "video": "video",
+}
 
 
 def validated(records: DataFrame) -> DataFrame:

@@ -357,6 +357,12 @@ class Index:
             found = exact.select("key", F.col("more").alias("score")) if found is None else found.join(exact, "key").select("key", (F.col("score") + F.col("more")).alias("score"))
         return found if found is not None else self._docs(self.state["segments"]).select("key", F.lit(1.0).alias("score")).distinct()
 
+    def best_field(self, boosts: dict[str, float], query: str) -> DataFrame:
+        """(key, score): documents with any of the words, by their best field."""
+        boost = F.element_at(F.create_map(*(F.lit(x) for pair in boosts.items() for x in pair)), F.col("field"))
+        words = list(dict.fromkeys(T.query_tokens(query)))
+        return self.scores(words, list(boosts)).groupBy("key").agg(F.max(F.col("score") * boost).alias("score"))
+
     def top(self, words: list[str], field: str, k: int) -> DataFrame:
         """(key, score): the k best of one field, reading only blocks that can hold one of them.
 

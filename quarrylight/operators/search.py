@@ -11,7 +11,22 @@ from pyspark.sql.window import Window
 from quarrylight.functions.scalar import fold, title_words
 
 #: How many values a filter may list.
-LIMITS = {"types": 20, "countries": 300, "tags": 50, "nations": 300, "sids": 5000}
+LIMITS = {"types": 20, "countries": 300, "regions": 300, "collections": 100, "form_ids": 50, "data_class_ids": 50, "tags": 50, "topics": 500, "databases": 100, "nations": 300, "sids": 5000}
+#: The column of each filter whose values are alternatives; True if it is an array.
+ANY_OF = {
+    "types": ("dataset_type", False),
+    "countries": ("countries", True),
+    "regions": ("regions", True),
+    "collections": ("repositories", True),
+    "form_ids": ("form_id", False),
+    "data_class_ids": ("data_class_id", False),
+    "tags": ("tags", True),
+    "topics": ("topics", True),
+    "databases": ("databases", True),
+    "nations": ("nation", False),
+    "sids": ("sid", False),
+}
+POSITIVE = ("countries", "regions", "form_ids", "data_class_ids", "topics", "sids")
 
 
 def _all(tests: list[Column]) -> Column:
@@ -22,40 +37,56 @@ def _any_of(column: Column, values: list) -> Column:
     return F.arrays_overlap(column, F.array(*map(F.lit, values)))
 
 
-def facet_tests(filters: dict) -> dict[str, Column]:
-    """One predicate for each selected facet; an empty list is no constraint, an unknown key is an error."""
+def _bounds(key: str, value: tuple, least: int, most: int | None = None) -> tuple:
+    """The two ends of a range, either of which may be open."""
+    for x in value:
+        if x is not None and (x < least or most is not None and x > most):
+            raise ValueError(f"{key}: {x} is out of range")
+    low, high = value
+    if low is not None and high is not None and low > high:
+        raise ValueError(f"{key}: the lower bound is above the upper one")
+    return low, high
+
+
+def facet_tests(filters: dict, columns: dict[str, str] | None = None) -> dict[str, Column]:
+    """One predicate for each filter, and `fq_<name>` for each user facet; an empty list is no constraint, an unknown key
+    is an error. columns: other places of the columns, so that one set of filters serves tables of any layout."""
+    at = lambda name: F.col((columns or {}).get(name, name))
+    ends = {"years": ("year_from", "year_to"), "created": ("created_from", "created_to")}
+    filters = {k: v for k, v in filters.items() if v is not None}
+    for name, (low, high) in ends.items():
+        if low in filters or high in filters:
+            filters[name] = (filters.pop(low, None), filters.pop(high, None))
     out = {}
     for key, value in filters.items():
-        if key in LIMITS:
+        if key in ANY_OF:
             value = list(dict.fromkeys(value))
             if len(value) > LIMITS[key]:
                 raise ValueError(f"{key}: at most {LIMITS[key]} values")
-            if not value:
-                continue
-        if key == "countries":
-            out[key] = _any_of(F.col("countries"), value)
-        elif key == "tags":
-            out[key] = _any_of(F.col("tags"), value)
-        elif key == "nations":
-            out[key] = F.col("nation").isin(value)
-        elif key == "types":
-            out[key] = F.col("dataset_type").isin(value)
-        elif key == "sids":
-            out[key] = F.col("sid").isin(value)
+            if key in POSITIVE and any(v <= 0 for v in value):
+                raise ValueError(f"{key}: ids are positive")
+            if value:
+                name, several = ANY_OF[key]
+                out[key] = _any_of(at(name), value) if several else at(name).isin(value)
+        elif key == "repository":
+            out[key] = F.array_contains(at("repositories"), value)
+        elif key == "facets":
+            for name, terms in value.items():
+                if terms:
+                    out[f"fq_{name}"] = _any_of(F.try_element_at(at("user_facets"), F.lit(name)), list(dict.fromkeys(terms)))
         elif key == "years":
-            low, high = value
-            if low is not None and high is not None and low > high:
-                raise ValueError("year_from is after year_to")
+            low, high = _bounds(key, value, 1, 9999)
             # one single year has to satisfy both bounds
-            out[key] = F.exists("years", lambda y: (y >= (low if low is not None else -9999)) & (y <= (high if high is not None else 9999)))
+            out[key] = F.exists(at("years"), lambda y: (y >= (low if low is not None else 1)) & (y <= (high if high is not None else 9999)))
         elif key == "created":
-            out[key] = F.col("created").between(*value)
+            low, high = _bounds(key, value, 0)
+            tests = [at("created") >= low] if low is not None else []
+            out[key] = _all([*tests, *([at("created") <= high] if high is not None else [])])
         elif key == "published":
-            out[key] = F.col("published_mod") != 0 if value else F.lit(True)
+            out[key] = at("published_mod") != 0 if value else F.lit(True)
         else:
             raise ValueError(f"unknown filter {key}")
-        out[key] = F.coalesce(out[key], F.lit(False))
-    return out
+    return {key: F.coalesce(test, F.lit(False)) for key, test in out.items()}
 
 
 def filter_studies(df: DataFrame, **filters) -> DataFrame:
@@ -76,11 +107,14 @@ def facets(df: DataFrame, columns: dict[str, Column], filters: dict, size: int =
     parts = F.array(*(F.struct(F.lit(name).alias("facet"), values.cast("array<string>").alias("values"), _all([t for k, t in tests.items() if k != name]).alias("ok")) for name, values in columns.items()))
     rows = df.select(F.explode(parts).alias("p")).where("p.ok").select("p.facet", F.explode(F.array_distinct("p.values")).alias("value"))
     counts = rows.groupBy("facet", "value").agg(F.count("*").alias("n"))
+    # only `size` values of a facet reach its task: the rank limit is applied before the shuffle
     order = Window.partitionBy("facet").orderBy(F.desc("n"), "value")
-    chosen = reduce(lambda a, b: a | b, [(F.col("facet") == k) & F.col("value").isin(v) for k, v in (selected or {}).items()], F.lit(False))
-    total = Window.partitionBy("facet")
-    ranked = counts.select("facet", "value", "n", F.row_number().over(order).alias("rn"), (F.count("*").over(total) > size).alias("more"))
-    return ranked.where((F.col("rn") <= size) | chosen).select("facet", "value", "n", "more")
+    listed = counts.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= size).drop("rn")
+    if selected:
+        chosen = reduce(lambda a, b: a | b, [(F.col("facet") == k) & F.col("value").isin(v) for k, v in selected.items()])
+        listed = listed.unionByName(counts.where(chosen)).distinct()
+    more = counts.groupBy("facet").agg((F.count("*") > size).alias("more"))
+    return listed.join(F.broadcast(more), "facet").select("facet", "value", "n", "more")  # a row for each facet
 
 
 def year_range(df: DataFrame, filters: dict) -> DataFrame:
@@ -97,7 +131,7 @@ def flat_facets(df: DataFrame, columns: dict[str, Column], size: int = 200) -> D
 
 
 #: Sort keys by name: (column, ascending). Missing values are last either way.
-SORTS = {"title": ("title_sort", True), "nation": ("nation_sort", True), "year": ("year_start", False), "popularity": ("views", False), "created": ("created", False)}
+SORTS = {"title": ("title_sort", True), "nation": ("nation_sort", True), "year": ("year_start", False), "popularity": ("views", False), "created": ("created", False), "changed": ("changed", False), "relevance": ("score", False)}
 TIES = (("year_start", False), ("title_sort", True), ("sid", True))
 
 
@@ -183,3 +217,14 @@ def title_complete(df: DataFrame, query: str) -> DataFrame:
 def variables_of(variables: DataFrame, studies: DataFrame, **filters) -> DataFrame:
     """Variables of the studies that pass the filters."""
     return variables.join(filter_studies(studies, **filters).select("sid"), "sid", "left_semi")
+
+
+def citation_search(citations: DataFrame, found: DataFrame, query: str, boost: float = 10.0) -> DataFrame:
+    """(citation_id, score): text matches (key, score) and the citations whose DOI is the query, case aside, added up.
+
+    A DOI is a term without a length: its score is `boost` times its idf among the citations that have one.
+    """
+    same = F.coalesce(fold(F.trim("doi")) == fold(F.trim(F.lit(query))), F.lit(False))
+    counts = citations.agg(F.count(F.nullif(F.trim("doi"), F.lit(""))).alias("_n"), F.count_if(same).alias("_d"))
+    by_doi = citations.where(same).crossJoin(F.broadcast(counts)).select(F.col("citation_id").alias("key"), (boost * F.ln(1 + (F.col("_n") - F.col("_d") + 0.5) / (F.col("_d") + 0.5))).alias("score"))  # one row of counts
+    return found.unionByName(by_doi).groupBy(F.col("key").alias("citation_id")).agg(F.sum("score").alias("score"))

@@ -19,13 +19,19 @@ def extract_by_ids(studies: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("sid").distinct().join(known, "sid", "left").select("sid", F.when(F.col("_known"), "found").otherwise("missing").alias("status"))
 
 
-def partial_update(stored: DataFrame, changes: DataFrame, keep: tuple[str, ...] = ("all_text",)) -> DataFrame:
-    """Stored rows with the changed columns; `keep` columns stay where the change has none. A change of an absent row is left out (see `not_indexed`)."""
-    new = changes.select("sid", F.struct(*(c for c in changes.columns if c != "sid")).alias("_n"))
+def last_of(rows: DataFrame, what: Column, order: str | None) -> DataFrame:
+    """(sid, _n): `what` of one row of each study, the last by `order`; without one, that with the greatest content."""
+    return rows.groupBy("sid").agg(F.max_by(what, F.col(order) if order else F.xxhash64(F.to_json(F.struct(what)))).alias("_n"))
+
+
+def partial_update(stored: DataFrame, changes: DataFrame, keep: tuple[str, ...] = ("all_text",), order: str | None = None) -> DataFrame:
+    """Stored rows with the changed columns; `keep` columns stay where the change has none. A change of an absent row is
+    left out (see `not_indexed`), and of several of one study the last by `order` counts."""
+    new = last_of(changes, F.struct(*(c for c in changes.columns if c not in ("sid", order))), order)
     joined = stored.join(new, "sid", "left")
 
     def merged(c: str) -> Column:
-        if c == "sid" or c not in changes.columns:
+        if c in ("sid", order) or c not in changes.columns:
             return F.col(c)
         fresh = F.col("_n").getField(c)
         return (F.coalesce(fresh, F.col(c)) if c in keep else F.when(F.col("_n").isNotNull(), fresh).otherwise(F.col(c))).alias(c)
@@ -37,9 +43,9 @@ def not_indexed(stored: DataFrame, changes: DataFrame) -> DataFrame:
     return changes.join(stored.select("sid"), "sid", "left_anti").select("sid")
 
 
-def sync_filters(chunks: DataFrame, filters: DataFrame) -> DataFrame:
-    """Chunks with the facets of their study replaced; filters: (sid, facets), one row for each study."""
-    return chunks.join(filters.select("sid", F.col("facets").alias("_f")), "sid", "left").withColumn("facets", F.coalesce("_f", "facets")).drop("_f")
+def sync_filters(chunks: DataFrame, filters: DataFrame, order: str | None = None) -> DataFrame:
+    """Chunks with the facets of their study replaced; filters: (sid, facets), of several rows the last by `order`."""
+    return chunks.join(last_of(filters, F.col("facets"), order), "sid", "left").withColumn("facets", F.coalesce("_n", "facets")).drop("_n")
 
 
 def sync_report(chunks: DataFrame, filters: DataFrame) -> DataFrame:
@@ -140,12 +146,12 @@ def queue_page(queue: DataFrame, size: int, exclude: DataFrame | None = None) ->
     return rows.orderBy(F.desc("priority"), "id").limit(size)
 
 
-def apply_classes(stored: DataFrame, changes: DataFrame, records: DataFrame) -> DataFrame:
+def apply_classes(stored: DataFrame, changes: DataFrame, records: DataFrame, order: str | None = None) -> DataFrame:
     """The studies after a batch of changes (sid, change_class), the last one of each study: a delete removes it, a full
     upsert takes the record, a partial one keeps all_text, and a change of variables leaves it. stored and records: (sid,
-    title, all_text); records that the source lacks change nothing."""
+    title, all_text); records that the source lacks change nothing, and of several of one study the last by `order` counts."""
     last = changes.groupBy("sid").agg(F.max_by("change_class", "id").alias("_class"))
-    new = records.select("sid", F.struct("title", "all_text").alias("_n"))
+    new = last_of(records, F.struct("title", "all_text"), order)
     rows = stored.select("sid", F.struct("title", "all_text").alias("_o")).join(last, "sid", "full").join(new, "sid", "left")
     kind, old, fresh = F.col("_class"), F.col("_o"), F.col("_n")
     taken = F.when(kind == "upsert_full", F.coalesce(fresh, old)).when((kind == "upsert_partial") & old.isNotNull() & fresh.isNotNull(), F.struct(fresh["title"], old["all_text"])).otherwise(old)
@@ -153,5 +159,11 @@ def apply_classes(stored: DataFrame, changes: DataFrame, records: DataFrame) ->
 
 
 def poisoned(attempts: DataFrame, deaths: int = 2) -> DataFrame:
-    """Items that were begun and not ended `deaths` times or more: (id, deaths)."""
-    return attempts.groupBy("id").agg(F.count_if(F.col("event") == "begin").alias("_b"), F.count_if(F.col("event") == "end").alias("_e")).select("id", (F.col("_b") - F.col("_e")).alias("deaths")).where(F.col("deaths") >= deaths)
+    """Items (id, changed) that were begun `deaths` times or more since they last ended: (id, changed, deaths).
+
+    attempts: (id, changed, seq, event), event begin or end. An item that changed is another one, and an end forgives
+    what was before it.
+    """
+    ends = attempts.where("event = 'end'").groupBy("id", "changed").agg(F.max("seq").alias("_end"))
+    begun = attempts.where("event = 'begin'").join(ends, ["id", "changed"], "left").where("_end IS NULL OR seq > _end")
+    return begun.groupBy("id", "changed").agg(F.count("*").alias("deaths")).where(F.col("deaths") >= deaths)

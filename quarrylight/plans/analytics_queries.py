@@ -271,6 +271,6 @@ def aggregate_period(spark, d):
     return A.aggregate(V.obs(spark, d), R)
 
 
-@_query("visualize_merge3", with_views("obs obs2", ", u AS (SELECT period, 0 AS s, v FROM obs UNION ALL SELECT period, 1, v FROM obs2 UNION ALL SELECT period, 2, v FROM obs WHERE geo = 'NATION_1') SELECT period, sum(v::DECIMAL(28,9)) FILTER (WHERE s = 0)::DOUBLE / nullif(count(v) FILTER (WHERE s = 0), 0) AS mean_1, sum(v::DECIMAL(28,9)) FILTER (WHERE s = 1)::DOUBLE / nullif(count(v) FILTER (WHERE s = 1), 0) AS mean_2, sum(v::DECIMAL(28,9)) FILTER (WHERE s = 2)::DOUBLE / nullif(count(v) FILTER (WHERE s = 2), 0) AS mean_3 FROM u GROUP BY period"))
+@_query("visualize_merge3", with_views("obs obs2", ", u AS (SELECT period, 0 AS s, v FROM obs UNION ALL SELECT period, 1, v FROM obs2 UNION ALL SELECT period, 2, v FROM obs WHERE geo = 'NATION_1') SELECT period, round(avg(v) FILTER (WHERE s = 0), 4) AS mean_1, round(avg(v) FILTER (WHERE s = 1), 4) AS mean_2, round(avg(v) FILTER (WHERE s = 2), 4) AS mean_3 FROM u GROUP BY period"))
 def visualize_merge3(spark, d):
     return A.merge_by_period([V.obs(spark, d), V.obs2(spark, d), V.obs(spark, d).where("geo = 'NATION_1'")], R)

@@ -390,18 +390,22 @@ def cdc_change_classes(spark, d):
     return K.apply_classes(stored, V.queue(spark, d).select(F.col("object_id").alias("sid"), "id", "change_class"), records)
 
 
-@_query("cdc_poison_items", "SELECT user_id AS id, (count(*) FILTER (WHERE event_id % 3 <> 0) - count(*) FILTER (WHERE event_id % 3 = 0)) AS deaths FROM events GROUP BY user_id HAVING deaths >= 2")
+@_query("cdc_poison_items", """WITH a AS (SELECT user_id AS id, event_id // 200 AS changed, event_id AS seq, event_id % 3 = 0 AS done FROM events), e AS (SELECT id, changed, max(seq) AS last FROM a WHERE done GROUP BY ALL)
+SELECT id, changed, count(*) AS deaths FROM a LEFT JOIN e USING (id, changed) WHERE NOT done AND (last IS NULL OR seq > last) GROUP BY ALL HAVING count(*) >= 2""")
 def cdc_poison_items(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.when(F.pmod("event_id", F.lit(3)) == 0, "end").otherwise("begin").alias("event"))
+    ended = F.pmod("event_id", F.lit(3)) == 0
+    e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.floor(F.col("event_id") / 200).alias("changed"), F.col("event_id").alias("seq"), F.when(ended, "end").otherwise("begin").alias("event"))
     return K.poisoned(e)
 
 
 # pages and totals
 
 
-@_query("hit_total_capped", "SELECT 100::BIGINT AS found, true AS found_is_lower_bound")
+@_query("hit_total_capped", "SELECT cap, least(n, cap) AS found, n > cap AS found_is_lower_bound FROM (SELECT count(*) AS n FROM documents WHERE doc_id % 3 = 0), (SELECT unnest([50, 1000000000])::BIGINT AS cap)")
 def hit_total_capped(spark, d):
-    return P.hit_total(V.studies(spark, d), 100)
+    s = V.studies(spark, d).where("(sid - 1) % 3 = 0")
+    few, all_ = (P.hit_total(s, cap).select(F.lit(cap).cast("long").alias("cap"), "found", "found_is_lower_bound") for cap in (50, 1_000_000_000))
+    return few.unionByName(all_)
 
 
 @_query("hit_total_exact", with_views("studies", " SELECT count(*) AS found, false AS found_is_lower_bound FROM studies WHERE published_mod = 1"))

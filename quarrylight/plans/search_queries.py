@@ -57,6 +57,36 @@ def study_filter_all(spark, d):
     return Q.filter_studies(V.studies(spark, d), **FILTERS).select("sid", "idno")
 
 
+ALL_FILTERS = {
+    "types": ["survey", "table", "document"], "countries": [100, 101, 102, 204], "regions": [300, 302, 303, 311, 312], "year_from": 1992, "year_to": 2018, "repository": "central",
+    "collections": [f"src{i}" for i in range(0, 16, 2)], "form_ids": [1, 2, 3, 4], "data_class_ids": [1, 2], "tags": ["en", "fr", "de", "es"], "topics": [400, 404, 411, 412, 413],
+    "databases": ["DB_0", "DB_1", "DB_2", "DB_3"], "facets": {"theme": [1, 2, 3], "method": [1, 2], "empty": []}, "sids": list(range(1, 5000)), "created_from": 10, "created_to": 990, "published": True,
+}
+_ALL_SQL = """dataset_type IN ('survey', 'table', 'document') AND list_has_any(countries, [100, 101, 102, 204]) AND list_has_any(regions, [300, 302, 303, 311, 312]) AND len(list_filter(years, lambda y: y BETWEEN 1992 AND 2018)) > 0
+ AND list_contains(repositories, 'central') AND list_has_any(repositories, ['src0', 'src2', 'src4', 'src6', 'src8', 'src10', 'src12', 'src14']) AND form_id IN (1, 2, 3, 4) AND data_class_id IN (1, 2) AND list_has_any(tags, ['en', 'fr', 'de', 'es'])
+ AND list_has_any(topics, [400, 404, 411, 412, 413]) AND list_has_any(databases, ['DB_0', 'DB_1', 'DB_2', 'DB_3']) AND list_has_any(theme, [1, 2, 3]) AND list_has_any(method, [1, 2]) AND sid BETWEEN 1 AND 4999 AND created BETWEEN 10 AND 990 AND published_mod <> 0"""
+
+
+@_query("study_filters_16", with_views("studies", f"SELECT sid, idno FROM studies WHERE {_ALL_SQL}"))
+def study_filters_16(spark, d):
+    return Q.filter_studies(V.studies(spark, d), **ALL_FILTERS).select("sid", "idno")
+
+
+@_query("chunk_filters_16", with_views("studies chunks", f"SELECT chunk_id, sid FROM chunks WHERE sid IN (SELECT sid FROM studies WHERE {_ALL_SQL.replace('IN (1, 2, 3, 4)', 'IN (1, 2, 3, 4, 5)')})"))
+def chunk_filters_16(spark, d):
+    """The same filters where a chunk holds its study's facets in a struct of its own."""
+    s = V.studies(spark, d)
+    kept = [c for c in s.columns if c not in ("title", "abstract", "sid")]
+    inside = V.chunks(spark, d).select("chunk_id", "sid").join(s.select("sid", F.struct(*kept).alias("filter_facets")), "sid")
+    tests = Q.facet_tests(ALL_FILTERS | {"form_ids": [1, 2, 3, 4, 5]}, {c: f"filter_facets.{c}" for c in kept})
+    return inside.where(Q._all(list(tests.values()))).select("chunk_id", "sid")
+
+
+@_query("browse_sort_changed", with_views("studies", f"SELECT sid, changed FROM studies ORDER BY changed DESC NULLS LAST, year_start DESC NULLS LAST, substr({_fold('title')}, 1, 256) NULLS LAST, sid LIMIT 40"))
+def browse_sort_changed(spark, d):
+    return Q.page(Q.with_sort_columns(V.studies(spark, d)), Q.sort_keys("changed"), 40).select("sid", "changed")
+
+
 @_query("study_year_multivalued", with_views("studies", "SELECT sid, years FROM studies WHERE len(list_filter(years, lambda y: y BETWEEN 2001 AND 2003)) > 0"))
 def study_year_multivalued(spark, d):
     return Q.filter_studies(V.studies(spark, d), years=(2001, 2003)).select("sid", "years")
@@ -216,6 +246,35 @@ def citations_doi_exact(spark, d):
     return V.citations(spark, d).where(S.fold(F.col("doi")) == S.fold(F.lit("10.1000/REF.12"))).select("citation_id", "doi")
 
 
+CITED = {"title": 5.0, "authors": 3.0, "subtitle": 2.0, "keywords": 2.0, "abstract": 1.0, "notes": 1.0}
+_CITED = {"title": "substr(text, 1, 40)", "authors": "'Ann Author ' || item_id % 7", "subtitle": "substr(text, 41, 40)", "keywords": "'ref ' || ['book', 'journal', 'report'][item_id % 3 + 1]", "abstract": "text", "notes": "CASE WHEN item_id % 5 = 0 THEN 'ref 12' END"}
+
+
+def _cited_sql(words: list[str], doi: str) -> str:
+    out, best = [], []
+    for n, (f, boost) in enumerate(CITED.items()):
+        tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(words))
+        df = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS d{i}" for i in range(len(words)))
+        part = " + ".join(f"CASE WHEN f{i} > 0 THEN ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / a)) ELSE 0 END" for i in range(len(words)))
+        out.append(f"c{n} AS (SELECT k, len(t) AS dl, {tf} FROM (SELECT item_id + 1 AS k, {_tokens(f'coalesce({_CITED[f]}, {chr(39) * 2})')} AS t FROM benchmark) WHERE len(t) > 0), s{n} AS (SELECT count(*) AS n, avg(dl) AS a, {df} FROM c{n})")
+        best.append(f"SELECT k, {boost} * ({part}) AS s FROM c{n}, s{n} WHERE {' + '.join(f'f{i}' for i in range(len(words)))} > 0")
+    return f"""WITH {', '.join(out)}, b AS (SELECT k, max(s) AS s FROM ({' UNION ALL '.join(best)}) GROUP BY k),
+ doi AS (SELECT item_id + 1 AS k, 10 * ln(1 + ((SELECT count(*) FROM benchmark) - 1 + 0.5) / 1.5) AS s FROM benchmark WHERE lower('10.1000/Ref.' || item_id) = '{doi}')
+SELECT k AS citation_id, round(sum(s), 4) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM doi) GROUP BY k"""
+
+
+@_query("citations_query", _cited_sql(["10", "1000", "ref", "12"], "10.1000/ref.12"))
+def citations_query(spark, d):
+    query = "10.1000/REF.12"
+    rows = table(spark, d, "benchmark")
+    fields = {
+        "title": F.substring("text", 1, 40), "authors": F.concat(F.lit("Ann Author "), F.pmod("item_id", F.lit(7)).cast("string")), "subtitle": F.substring("text", 41, 40),
+        "keywords": F.concat(F.lit("ref "), F.element_at(F.array(*map(F.lit, ("book", "journal", "report"))), (F.pmod("item_id", F.lit(3)) + 1).cast("int"))), "abstract": F.col("text"), "notes": F.when(F.pmod("item_id", F.lit(5)) == 0, "ref 12"),
+    }
+    index = inverted.stored(rows.withColumn("citation_id", F.col("item_id") + 1), "citation_id", fields, scratch.base(spark))
+    return Q.citation_search(V.citations(spark, d), index.best_field(CITED, query), query).withColumn("score", F.round("score", 4))
+
+
 @_query("authors_format", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Ann B ' || event_type || '; U' || user_id WHEN 1 THEN 'Plain ' || event_type WHEN 2 THEN '' ELSE '' END AS authors FROM events""")
 def authors_format(spark, d):
     k = F.pmod("event_id", F.lit(4))
@@ -439,9 +498,11 @@ def quality_report(spark, d):
     return I.quality_report(rows)
 
 
-@_query("ingest_reject_split", with_views("studies", "SELECT sid - 1 AS catalog_id, idno, CASE dataset_type WHEN 'survey' THEN 'microdata' WHEN 'timeseries' THEN 'indicator' WHEN 'document' THEN 'document' WHEN 'table' THEN 'table' END AS type, CASE WHEN sid - 1 <= 0 THEN 'catalog_id' END AS rejected FROM studies"))
+@_query("ingest_reject_split", with_views("studies", "SELECT sid - 1 AS catalog_id, idno, CASE t WHEN 'survey' THEN 'microdata' WHEN 'timeseries' THEN 'indicator' WHEN 'timeseriesdb' THEN 'indicator-db' WHEN 'timeseries-db' THEN 'indicator-db' WHEN 'novel' THEN NULL ELSE t END AS type, CASE WHEN sid - 1 <= 0 THEN 'catalog_id' WHEN t = 'novel' THEN 'dataset_type' END AS rejected FROM (SELECT *, CASE WHEN sid % 3 = 0 THEN ['script', 'image', 'video', 'timeseriesdb', 'timeseries-db', 'geospatial', 'novel'][sid % 7 + 1] ELSE dataset_type END AS t FROM studies)"))
 def ingest_reject_split(spark, d):
-    return I.validated(V.studies(spark, d).select((F.col("sid") - 1).alias("catalog_id"), "idno", "dataset_type"))
+    others = F.array(*map(F.lit, ("script", "image", "video", "timeseriesdb", "timeseries-db", "geospatial", "novel")))
+    kind = F.when(F.col("sid") % 3 == 0, F.get(others, F.col("sid") % 7)).otherwise(F.col("dataset_type"))
+    return I.validated(V.studies(spark, d).select((F.col("sid") - 1).alias("catalog_id"), "idno", kind.alias("dataset_type")))
 
 
 @_query("upsert_latest", with_views("queue", ", c AS (SELECT object_id, id AS version, value FROM queue WHERE id % 3 = 0), n AS (SELECT object_id, id AS version, value FROM queue WHERE id % 3 <> 0), u AS (SELECT * FROM c UNION ALL SELECT * FROM n) SELECT object_id, max(version) AS version, arg_max(value, version) AS value FROM u GROUP BY object_id"))

@@ -64,6 +64,14 @@ def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod(k * 17, F.lit(50)).alias("views"),
         F.when(F.pmod(k, F.lit(9)) != 2, F.col("source")).alias("nation"),
         F.pmod(k, F.lit(10)).cast("int").alias("published_mod"),
+        F.pmod(k * 13, F.lit(2000)).alias("changed"),
+        F.array((F.pmod(k, F.lit(6)) + 300).cast("int"), (F.pmod(k, F.lit(4)) + 310).cast("int")).alias("regions"),
+        F.when(F.pmod(k, F.lit(4)) == 0, F.array("source", F.lit("central"))).otherwise(F.array("source")).alias("repositories"),
+        (F.pmod(k, F.lit(5)) + 1).cast("int").alias("form_id"),
+        F.when(F.pmod(k, F.lit(10)) != 7, (F.pmod(k, F.lit(3)) + 1).cast("int")).alias("data_class_id"),
+        F.array((F.pmod(k, F.lit(8)) + 400).cast("int"), (F.pmod(k, F.lit(9)) + 410).cast("int")).alias("topics"),
+        F.when(F.pmod(k, F.lit(3)) != 1, F.array(F.concat(F.lit("DB_"), F.pmod(k, F.lit(5)).cast("string")))).alias("databases"),
+        F.create_map(F.lit("theme"), F.array((F.pmod(k, F.lit(4)) + 1).cast("int"), (F.pmod(k, F.lit(6)) + 1).cast("int")), F.lit("method"), F.array((F.pmod(k, F.lit(3)) + 1).cast("int"))).alias("user_facets"),
     )
 
 
@@ -119,7 +127,10 @@ SQL = {
   ['survey', 'document', 'table', 'timeseries'][doc_id % 4 + 1] AS dataset_type, [(doc_id % 5 + 100)::INTEGER, (doc_id % 7 + 200)::INTEGER] AS countries,
   CASE WHEN doc_id % 11 = 5 THEN []::INTEGER[] ELSE [(1990 + doc_id * 7 % 30)::INTEGER, (1990 + doc_id * 7 % 30 + doc_id % 3 * 5)::INTEGER] END AS years, [lang, source] AS tags,
   CASE WHEN doc_id % 13 <> 4 THEN (1990 + doc_id * 7 % 30)::INTEGER END AS year_start, doc_id * 31 % 1000 AS created, doc_id * 17 % 50 AS views,
-  CASE WHEN doc_id % 9 <> 2 THEN source END AS nation, (doc_id % 10)::INTEGER AS published_mod FROM documents)""",
+  CASE WHEN doc_id % 9 <> 2 THEN source END AS nation, (doc_id % 10)::INTEGER AS published_mod,
+  doc_id * 13 % 2000 AS changed, [(doc_id % 6 + 300)::INTEGER, (doc_id % 4 + 310)::INTEGER] AS regions, CASE WHEN doc_id % 4 = 0 THEN [source, 'central'] ELSE [source] END AS repositories, (doc_id % 5 + 1)::INTEGER AS form_id,
+  CASE WHEN doc_id % 10 <> 7 THEN (doc_id % 3 + 1)::INTEGER END AS data_class_id, [(doc_id % 8 + 400)::INTEGER, (doc_id % 9 + 410)::INTEGER] AS topics, CASE WHEN doc_id % 3 <> 1 THEN ['DB_' || doc_id % 5] END AS databases,
+  [(doc_id % 4 + 1)::INTEGER, (doc_id % 6 + 1)::INTEGER] AS theme, [(doc_id % 3 + 1)::INTEGER] AS method FROM documents)""",
     "chunks": """chunks AS (SELECT vec_id AS chunk_id, (vec_id % 100 + 1)::INTEGER AS sid, (vec_id % 8)::INTEGER AS page, CASE WHEN vec_id % 6 <> 0 THEN (vec_id % 3 + 1)::VARCHAR END AS resource_id,
   CASE WHEN vec_id % 10 = 9 THEN 'title' ELSE 'passages' END AS qfield, label, embedding FROM embeddings)""",
     "variables": "variables AS (SELECT p_partkey AS uid, (p_partkey % 200 + 1)::INTEGER AS sid, p_name AS name, p_type AS label, p_brand AS categories FROM part)",
