@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.functions import scalar as S
+from quarrylight.operators import cells
 from quarrylight.operators import ingest as I
 from quarrylight.operators import inverted
 from quarrylight.operators import search as Q
+from quarrylight.operators import sketches
 from quarrylight.operators import text as T
 from quarrylight.operators import vectors as N
 from quarrylight.sources import scratch
@@ -398,6 +400,30 @@ def recommend(spark, d):
     return N.recommend(V.chunks(spark, d), 5, 25).select("chunk_id", F.round("score", 5).alias("score"))
 
 
+def chunk_cells(spark, d):
+    """The stored cells of the passages' vectors, built at their first use."""
+    return cells.stored(V.chunks(spark, d), "chunk_id", scratch.base(spark))
+
+
+@_query("knn_cells", with_views("chunks", _knn_sql() + " SELECT chunk_id, round(score, 6) AS score FROM k ORDER BY k.score DESC, chunk_id LIMIT 20"))
+def knn_cells(spark, d):
+    return chunk_cells(spark, d).exact(_vector(spark, d), 20).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@_query("knn_cells_filtered", with_views("chunks", _knn_sql("qfield = 'title' AND label = 3") + " SELECT chunk_id, round(score, 6) AS score FROM k ORDER BY k.score DESC, chunk_id LIMIT 10"))
+def knn_cells_filtered(spark, d):
+    return chunk_cells(spark, d).exact(_vector(spark, d), 10, F.expr("qfield = 'title' AND label = 3")).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@_query("distinct_studies", with_views("chunks", "SELECT coalesce(qfield, 'all') AS part, count(DISTINCT sid) AS n FROM chunks GROUP BY GROUPING SETS ((qfield), ())"))
+def distinct_studies(spark, d):
+    """Distinct studies by sketches of each (qfield, page), merged."""
+    parts = sketches.sketched(V.chunks(spark, d), "sid", "qfield", "page")
+    fields = sketches.merged(parts, "qfield")
+    whole = sketches.merged(parts).select(F.lit("all").alias("part"), "sketch")
+    return sketches.estimated(fields.select(F.col("qfield").alias("part"), "sketch").unionByName(whole))
+
+
 # text
 
 TERMS = ["tion", "hation", "ereading", "the"]

@@ -1,42 +1,85 @@
-"""The change queue as a stream: micro-batches are coalesced and merged, idempotently, into a state table.
+"""The change queue as a stream: micro-batches are coalesced into deltas of a keyed table, and attempts are followed by
+state.
 
-The sink is a folder of versions: batch n writes version n from the last one, so a batch that is run again after a
-failure overwrites its own version, and nothing is applied twice.
+A batch writes its own rows only (see `deltas`), and one that is run again after a failure changes nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quarrylight.operators.ingest import coalesce_latest
 from quarrylight.sources.scratch import shared
+from quarrylight.streaming.deltas import DeltaTable
 
 STATE = "object_id long, id long, change_class string, changed long"
+DEATHS = "id long, changed long, seq long, deaths int, retry_at timestamp, poisoned boolean"
+#: An item that died is tried again after so many seconds, twice as many each time, up to the most.
+BACKOFF, BACKOFF_MOST = 60, 3600
+DEATH_LIMIT = 2
 
 
-def merge(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The state after a batch: the last change of each object; deletions stay as marks."""
-    rows = batch.select("object_id", "id", "change_class", "changed")
-    if state is not None:
-        rows = state.select("object_id", "id", "change_class", "changed").unionByName(rows)
-    return coalesce_latest(rows)
+def state_table(spark: SparkSession, folder: str) -> DeltaTable:
+    """The last change of each object; deletions stay as marks."""
+    return DeltaTable(spark, f"{folder}/state", STATE, ("object_id",), "changed")
 
 
 def apply_stream(changes: DataFrame, folder: str, available_now: bool = True):
-    """Starts the query that keeps folder/v=<batch> up to date; changes is a streaming DataFrame of queue rows."""
+    """Starts the query that keeps `state_table` of the folder up to date; changes is a streaming DataFrame of queue rows."""
     spark = changes.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(STATE).parquet(f"{folder}/v={number - 1}") if number else None
-        merge(before, batch).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        # two changes of one number: the greater id is the later one
+        last = batch.groupBy("object_id").agg(F.max_by(F.struct("id", "change_class", "changed"), F.struct("changed", "id")).alias("r"))
+        state_table(spark, folder).apply(last.select("object_id", "r.*"), number)
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/_checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="300 seconds")).start()
 
 
-def latest(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    return spark.read.schema(STATE).parquet(f"{folder}/v={version}")
+def attempts_state(attempts: DataFrame, limit: int = DEATH_LIMIT, forget: str = "7 days") -> DataFrame:
+    """Deaths of each item (id, changed) as a stream: attempts are (id, changed, seq, at, event), event begin or end.
+
+    A begin without an end is a death; an end clears the item. Each batch gives the items that it touches, with when to
+    try again (a longer wait after each death) and whether it has died `limit` times. State is kept until an end, or
+    until nothing has been heard of an item for `forget` of event time; what comes later than that is dropped.
+    """
+    wait = int(attempts.sparkSession.range(1).select(F.expr(f"cast(interval {forget} AS interval second)").cast("long")).first()[0])
+
+    def follow(key, frames, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        deaths, seen = state.get if state.exists else (0, -1)
+        rows = pd.concat(list(frames)).sort_values(["seq", "event"])
+        rows = rows[rows["seq"] > seen]
+        if not len(rows):
+            return
+        for event in rows["event"]:
+            deaths = 0 if event == "end" else deaths + 1
+        last = int(rows["seq"].iloc[-1])
+        at = rows["at"].max()
+        state.update((deaths, last))
+        state.setTimeoutTimestamp(max(int(at.timestamp() * 1000) + wait * 1000, state.getCurrentWatermarkMs() + 1))
+        retry = at + pd.Timedelta(seconds=min(BACKOFF_MOST, BACKOFF * 2 ** (deaths - 1))) if deaths else pd.NaT
+        yield pd.DataFrame([(key[0], key[1], last, deaths, retry, deaths >= limit)], columns=["id", "changed", "seq", "deaths", "retry_at", "poisoned"])
+
+    stamped = attempts.withWatermark("at", "0 seconds" if forget is None else forget)
+    return stamped.groupBy("id", "changed").applyInPandasWithState(follow, DEATHS, "deaths int, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def deaths_table(spark: SparkSession, folder: str) -> DeltaTable:
+    return DeltaTable(spark, f"{folder}/deaths", DEATHS, ("id", "changed"), "seq")
+
+
+def follow_attempts(attempts: DataFrame, folder: str):
+    """Starts the query that keeps `deaths_table` of the folder up to date."""
+    spark = attempts.sparkSession
+    writer = attempts_state(attempts).writeStream.foreachBatch(lambda batch, number: deaths_table(spark, folder).apply(batch, number) and None)
+    return writer.option("checkpointLocation", f"{folder}/_attempts").trigger(availableNow=True).start()
 
 
 def parquet_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -51,11 +94,8 @@ def parquet_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 def run_once(spark: SparkSession, path: str, schema, to_queue) -> DataFrame:
     """Streams what a parquet folder holds now through the merge, and returns the state."""
     folder = shared(spark, "cdc")
-    query = apply_stream(to_queue(parquet_stream(spark, path, schema)), folder)
-    query.awaitTermination()
-    if query.lastProgress is None:
-        return spark.createDataFrame([], STATE)
-    return latest(spark, folder, query.lastProgress["batchId"])
+    apply_stream(to_queue(parquet_stream(spark, path, schema)), folder).awaitTermination()
+    return state_table(spark, folder).read()
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
