@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylight.functions import nested as NJ
 from quarrylight.operators import documents as D
 from quarrylight.operators import filters as X
 from quarrylight.operators import hybrid as H
@@ -432,3 +433,45 @@ def scroll_points(spark, d):
 def request_histogram(spark, d):
     e = table(spark, d, "events").where("value >= 0")
     return e.groupBy(F.col("event_type").alias("route"), F.least(F.lit(10), F.greatest(F.lit(1), (F.floor(F.col("value") / 10) + 1))).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+# nested records
+
+
+_FIRST = "list_slice(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+'), 1, 4)"
+
+
+@_query("microdata_text", f"""WITH w AS (SELECT doc_id, lang, source, {_FIRST} AS w FROM documents), n AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+ t AS (SELECT doc_id, x, 2 * i AS pl FROM n UNION ALL SELECT doc_id, 'L ' || x, 2 * i + 1 FROM n UNION ALL SELECT doc_id, lang, 100 FROM w UNION ALL SELECT doc_id, 'g' || source, 101 FROM w UNION ALL SELECT doc_id, lang, 102 FROM w),
+ u AS (SELECT doc_id, x, min(pl) AS pl FROM t WHERE length(x) > 1 GROUP BY ALL) SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'content' ELSE 'content' || chr(10) || string_agg(x, chr(10) ORDER BY pl) END AS text FROM u GROUP BY doc_id""")
+def microdata_text(spark, d):
+    words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-zA-Z]+"), F.lit(0)), 1, 4)
+    variables = F.transform(words, lambda w: F.struct(w.alias("name"), F.lit("a question").alias("qstn"), F.concat(F.lit("L "), w).alias("labl")))
+    record = F.struct(
+        F.struct(F.lit("not searched").alias("title")).alias("other"),
+        F.struct(F.col("lang").alias("title"), F.lit("skipped").alias("abstract"), F.array(F.concat(F.lit("g"), "source"), "lang").alias("groups")).alias("study_desc"),
+        F.struct(variables.alias("variables"), F.lit(3).alias("count")).alias("data_dictionary"),
+    )
+    kind = F.when(F.pmod("doc_id", F.lit(5)) == 0, "document").otherwise("microdata")
+    return table(spark, d, "documents").select("doc_id", NJ.with_microdata_text(F.lit("content"), kind, F.to_json(record)).alias("text"))
+
+
+@_query("filter_records", """WITH p AS (SELECT doc_id AS k, lang, source FROM documents) SELECT (k + 1)::INTEGER AS sid, lang, source FROM p WHERE k % 5 = 0 UNION ALL SELECT (k + 100001)::INTEGER, lang, 'second' FROM p WHERE k % 5 = 0
+ UNION ALL SELECT (k + 1)::INTEGER, lang, source FROM p WHERE k % 5 IN (1, 2)""")
+def filter_records(spark, d):
+    k = F.col("doc_id")
+
+    def study(sid, source):
+        return F.concat(F.lit('{"core_fields": {"catalog_id": '), sid.cast("string"), F.lit('}, "filters": {"lang": ["'), F.col("lang"), F.lit('"], "source": "'), source, F.lit('"}}'))
+
+    own = study(k + 1, F.col("source"))
+    form = F.pmod(k, F.lit(5))
+    payload = (
+        F.when(form == 0, F.concat(F.lit('{"study": {}, "studies": ['), own, F.lit(', {"filters": {}}, 7, '), study(k + 100_001, F.lit("second")), F.lit("]}")))
+        .when(form == 1, F.concat(F.lit('{"study": '), own, F.lit("}")))
+        .when(form == 2, own)
+        .when(form == 3, F.concat(F.lit('{"study": {"core_fields": {"catalog_id": "x"}, "filters": {}}, "k": "'), k.cast("string"), F.lit('"}')))
+        .otherwise("{not json")
+    )
+    found = NJ.filter_records(table(spark, d, "documents").select(payload.alias("payload")))
+    return found.select("sid", F.get_json_object("filters", "$.lang[0]").alias("lang"), F.get_json_object("filters", "$.source").alias("source"))
