@@ -216,9 +216,27 @@ def outliers_iqr_long(spark, d):
     return A.outliers(V.obs(spark, d, "yyyy-MM"), R, ref_area="NATION_1", method="iqr")
 
 
-@_query("outliers_lowess_long")
+def _lowess_sql() -> str:
+    """The local regression of one place's months from its definition: every pair of points, four weighted fits."""
+    steps = [
+        "s AS (SELECT row_number() OVER (ORDER BY period) AS i, period, left(period, 4)::DOUBLE + (right(period, 2)::DOUBLE - 1) / 12 AS x, v AS y FROM obs_month WHERE geo = 'NATION_1')",
+        "k AS (SELECT greatest(2, least(count(*), floor(CASE WHEN count(*) >= 4 THEN greatest(0.3, least(0.6, 5 / count(*))) ELSE 1.0 END * count(*) + 1e-10)))::BIGINT AS k FROM s)",
+        "r AS (SELECT a.i, list_sort(list(abs(a.x - b.x)))[any_value(k)] AS reach FROM s a, s b, k GROUP BY a.i)",
+        "p AS (SELECT a.i, b.i AS j, a.x AS xi, b.x AS xj, b.y AS yj, CASE WHEN abs(a.x - b.x) < reach * 0.999 THEN (1 - (abs(a.x - b.x) / reach) ** 3) ** 3 ELSE 0 END AS tri FROM s a JOIN r USING (i), s b)",
+        "b0 AS (SELECT i AS j, 1.0::DOUBLE AS robust FROM s)",
+    ]
+    for t in range(4):
+        steps.append(f"w{t} AS (SELECT p.*, tri * robust AS w FROM p JOIN b{t} USING (j)), m{t} AS (SELECT i, sum(w) AS total, sum(w * xj) / sum(w) AS mx, sum(w * yj) / sum(w) AS my FROM w{t} GROUP BY i)")
+        steps.append(f"""f{t} AS (SELECT i, any_value(my) + CASE WHEN sum(w * (xj - mx) ** 2) / any_value(total) > 1e-12 THEN sum(w * (xj - mx) * (yj - my)) / sum(w * (xj - mx) ** 2) ELSE 0 END * (any_value(xi) - any_value(mx)) AS fit FROM w{t} JOIN m{t} USING (i) GROUP BY i),
+ e{t} AS (SELECT i, period, y, fit, y - fit AS rest FROM s JOIN f{t} USING (i)), z{t} AS (SELECT 6 * median(abs(rest)) AS scale FROM e{t}), b{t + 1} AS (SELECT i AS j, CASE WHEN abs(rest) < scale THEN (1 - (rest / scale) ** 2) ** 2 ELSE 0 END AS robust FROM e{t}, z{t})""")
+    return f""", {', '.join(steps)}, c AS (SELECT median(rest) AS med FROM e3), d AS (SELECT median(abs(rest - med)) AS mad FROM e3, c)
+SELECT 'NATION_1' AS geo, period, y AS value, round(fit, 2) AS trend_value, round(rest, 2) AS residual, round(0.6745 * (rest - med) / mad, 4) AS score, abs(0.6745 * (rest - med) / mad) >= 3.5 AS is_outlier FROM e3, c, d"""
+
+
+@_query("outliers_lowess_long", with_views("obs_month", _lowess_sql()))
 def outliers_lowess_long(spark, d):
-    return A.outliers(V.obs(spark, d, "yyyy-MM"), R, ref_area="NATION_1", method="trend_residual")
+    rows = A.outliers(V.obs(spark, d, "yyyy-MM"), R, ref_area="NATION_1", method="trend_residual")
+    return rows.withColumn("trend_value", F.round("trend_value", 2)).withColumn("residual", F.round("residual", 2))
 
 
 def _trend_sql(view: str, x: str, where: str = "true") -> str:

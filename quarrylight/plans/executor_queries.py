@@ -14,7 +14,7 @@ from quarrylight.operators import search as Q
 from quarrylight.operators import sinks as K
 from quarrylight.operators import text as T
 from quarrylight.operators import vectors as N
-from quarrylight.plans.search_queries import _BLOCK, _fold, _knn_sql, _tokens, _vector
+from quarrylight.plans.search_queries import _BLOCK, TERMS, _bm25_sql, _fold, _knn_sql, _tokens, _vector, documents_index
 from quarrylight.sources import scratch
 from quarrylight.sources import views as V
 from quarrylight.sources.views import table, with_views
@@ -133,10 +133,10 @@ _HYBRID = _knn_sql() + _BLOCK + _lexical_sql() + """, kw AS (SELECT sid, row_num
  rows_ AS (SELECT * FROM hd UNION ALL SELECT sid, 1, -score, ['lexical'] FROM lex WHERE sid NOT IN (SELECT sid FROM hd)), o AS (SELECT rows_.*, dataset_type FROM rows_ JOIN studies USING (sid))"""
 
 
-def _hybrid(spark, d, types=None):
+def _hybrid(spark, d, types=None, ascending=False):
     studies = V.studies(spark, d)
     semantic = N.semantic_block(V.chunks(spark, d), _vector(spark, d), floor=0.5, cutoff=0.6)
-    return H.hybrid(_lexical(spark, d), semantic, studies, Q.title_complete(studies, "anea attion eriner"), types)
+    return H.hybrid(_lexical(spark, d), semantic, studies, Q.title_complete(studies, "anea attion eriner"), types, ascending=ascending)
 
 
 @_query("hybrid_full", with_views("chunks studies", _HYBRID + " SELECT sid, block, round(pos, 4) AS pos, matched_by, dataset_type FROM o WHERE dataset_type IN ('survey', 'table')"))
@@ -144,6 +144,13 @@ def hybrid_full(spark, d):
     return _hybrid(spark, d, ["survey", "table"]).withColumn("pos", F.round("pos", 4))
 
 
+@_query("hybrid_ascending", with_views("chunks studies", _HYBRID + " SELECT sid, -block AS block, round(-pos, 4) AS pos, dataset_type FROM o ORDER BY 2, 3, sid LIMIT 30"))
+def hybrid_ascending(spark, d):
+    """The page of the worst matches: the tail from its end, then the head from its end."""
+    rows = _hybrid(spark, d, ascending=True).withColumn("pos", F.round("pos", 4))
+    return rows.orderBy("block", "pos", "sid").limit(30).select("sid", "block", "pos", "dataset_type")
+
+
 @_query("hybrid_totals", with_views("chunks studies", _HYBRID + " SELECT dataset_type, count(*) AS n FROM o GROUP BY dataset_type"))
 def hybrid_totals(spark, d):
     return H.type_totals(_hybrid(spark, d))
@@ -181,10 +188,12 @@ def variables_best_fields(spark, d):
     return T.multi_field(V.variables(spark, d), "uid", {"label": 10.0, "name": 5.0, "categories": 1.0}, list(_VAR_WORDS), best=True).withColumn("score", F.round("score", 4))
 
 
-@_query("passage_hybrid_sum", with_views("chunks", _knn_sql() + ", v AS (SELECT chunk_id, score FROM k ORDER BY score DESC, chunk_id LIMIT 40), w AS (SELECT chunk_id, page + 1.0 AS score FROM chunks WHERE label = 3) SELECT chunk_id, round(0.3 * coalesce(w.score, 0) + coalesce(v.score, 0), 6) AS score FROM w FULL JOIN v USING (chunk_id)"))
+@_query("passage_hybrid_sum", with_views("chunks", _knn_sql() + ", " + _bm25_sql("documents", "doc_id", "text", 1, "b") + ", v AS (SELECT chunk_id, score FROM k ORDER BY score DESC, chunk_id LIMIT 40), w AS (SELECT chunk_id, score FROM chunks JOIN b ON sid = doc_id + 1) SELECT chunk_id, round(0.3 * coalesce(w.score, 0) + coalesce(v.score, 0), 6) AS score FROM w FULL JOIN v USING (chunk_id)"))
 def passage_hybrid_sum(spark, d):
+    """A passage's text is its study's."""
     c = V.chunks(spark, d)
-    return H.summed(c.where("label = 3").select("chunk_id", (F.col("page") + 1.0).alias("score")), N.knn(c, _vector(spark, d), 40), "chunk_id").withColumn("score", F.round("score", 6))
+    texts = documents_index(spark, d).scores(TERMS, ["text"]).select((F.col("key") + 1).alias("sid"), "score")
+    return H.summed(c.join(texts, "sid").select("chunk_id", "score"), N.knn(c, _vector(spark, d), 40), "chunk_id").withColumn("score", F.round("score", 6))
 
 
 @_query("retrieve_in_order", with_views("studies", ", a AS (SELECT unnest([9, 3, 77, 5]) AS sid, unnest([1, 2, 3, 4]) AS rank) SELECT sid, rank, idno FROM a JOIN studies USING (sid)"))

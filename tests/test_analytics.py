@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from quarrylight.functions.lowess import lowess
@@ -83,6 +84,40 @@ def test_outliers_by_local_regression(spark):
     assert got["2000"].is_outlier and not got["1990"].is_outlier and abs(got["1980"].residual) < 1
 
 
+def plain_lowess(x, y, frac, rounds=4):
+    """From the definition: every place looks at all others."""
+    n = len(x)
+    k = max(2, min(n, int(frac * n + 1e-10)))
+    robust = np.ones(n)
+    for _ in range(rounds):
+        fit = y.astype(float).copy()
+        for i in range(n):
+            far = np.abs(x - x[i])
+            reach = np.sort(far)[k - 1]
+            w = robust * (np.where(far < reach * 0.999, (1 - (far / reach) ** 3) ** 3, 0) if reach > 0 else far == 0)
+            if w.sum() > 0:
+                mx, my = np.average(x, weights=w), np.average(y, weights=w)
+                spread = np.average((x - mx) ** 2, weights=w)
+                fit[i] = my + (np.average((x - mx) * (y - my), weights=w) / spread if spread > 1e-12 else 0) * (x[i] - mx)
+        rest = np.abs(y - fit)
+        scale = 6 * np.median(rest)
+        if scale <= 0:
+            break
+        robust = np.where(rest < scale, (1 - (rest / scale) ** 2) ** 2, 0)
+    return fit
+
+
+def test_lowess_over_windows():
+    rng = np.random.default_rng(0)
+    for n in (2, 3, 5, 40):
+        for x in (rng.normal(size=n), np.arange(n) * 1.0, rng.integers(0, max(1, n // 4), n) * 1.0, np.full(n, 3.0)):
+            y = 2 * x + rng.normal(size=n)
+            y[0] += 10
+            for frac in (0.3, 1.0):
+                assert np.allclose(lowess(x, y, frac), plain_lowess(x, y, frac), rtol=1e-9, atol=1e-9)
+    assert len(lowess([], [], 0.3)) == 0 and lowess([1.0], [2.0], 1.0).tolist() == [2.0]
+
+
 def test_lowess_of_a_line_is_the_line():
     x = [float(i) for i in range(20)]
     assert max(abs(a - (3 * b + 1)) for a, b in zip(lowess(x, [3 * b + 1 for b in x], 0.4), x, strict=True)) < 1e-9
