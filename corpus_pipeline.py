@@ -85,9 +85,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written; the caller's Arrow setting is as it was afterwards."""
+    before = spark.conf.get(BATCH_CONF, None)
     docs = documents(spark, sf_dir)
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    try:
+        for name, step in STAGES:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_CONF)
     return docs
 
 

@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_FOLDER = "/tmp/quarrylight"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. A local session (as in tests) without one gets a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return LOCAL_FOLDER
-
+from quarrylight.sources.scratch import shared
 
 def folder_for(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/quarrylight/{name}-{uuid.uuid4().hex}"
+    """A new folder in the one that spark.checkpoint.dir names."""
+    return shared(spark, name)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
