@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -132,6 +133,8 @@ def flat_facets(df: DataFrame, columns: dict[str, Column], size: int = 200) -> D
 
 #: Sort keys by name: (column, ascending). Missing values are last either way.
 SORTS = {"title": ("title_sort", True), "nation": ("nation_sort", True), "year": ("year_start", False), "popularity": ("views", False), "created": ("created", False), "changed": ("changed", False), "relevance": ("score", False)}
+#: Names that the catalog's own search has for these sorts.
+CATALOG_SORTS = {"rank": "relevance", "relevance": "relevance", "title": "title", "nation": "nation", "country": "nation", "year": "year", "created": "created", "changed": "changed", "popularity": "popularity", "total_views": "popularity"}
 TIES = (("year_start", False), ("title_sort", True), ("sid", True))
 
 
@@ -140,6 +143,13 @@ def sort_keys(by: str, ascending: bool | None = None) -> list[tuple[str, bool]]:
     return [(column, default if ascending is None else ascending), *((c, a) for c, a in TIES if c != column)]
 
 
+def catalog_sort_keys(by: str, order: str | None = None) -> list[tuple[str, bool]]:
+    """Sort keys by a name of the catalog's search and its order, asc or desc (or the sort's own)."""
+    if by not in CATALOG_SORTS or order not in (None, "asc", "desc"):
+        raise ValueError(f"no sort {by} {order}")
+    return sort_keys(CATALOG_SORTS[by], None if order is None else order == "asc")
+
+
 def with_sort_columns(df: DataFrame) -> DataFrame:
     return df.withColumn("title_sort", F.substring(fold(F.col("title")), 1, 256)).withColumn("nation_sort", fold(F.col("nation")))
 
@@ -195,6 +205,16 @@ def exact_idno(df: DataFrame, query: str) -> DataFrame:
     return df.where(fold(F.col("idno")) == fold(F.lit(query.strip().strip('"'))))
 
 
+def idno_first(df: DataFrame, query: str, search) -> DataFrame:
+    """The rows whose idno is the query, if it looks like one and there are any; else what `search(query)` finds, as a
+    plain word looks like an idno too."""
+    if re.fullmatch(r"[A-Za-z0-9._-]{3,128}", query.strip()):
+        exact = exact_idno(df, query)
+        if not exact.isEmpty():
+            return exact
+    return search(query)
+
+
 #: Words of a query that do not count for title matches.
 STOPWORDS = tuple(
     """

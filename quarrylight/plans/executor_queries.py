@@ -10,6 +10,7 @@ from quarrylight.operators import filters as X
 from quarrylight.operators import hybrid as H
 from quarrylight.operators import inverted
 from quarrylight.operators import paging as P
+from quarrylight.operators import schemas as C
 from quarrylight.operators import search as Q
 from quarrylight.operators import sinks as K
 from quarrylight.operators import text as T
@@ -484,3 +485,47 @@ def filter_records(spark, d):
     )
     found = NJ.filter_records(table(spark, d, "documents").select(payload.alias("payload")))
     return found.select("sid", F.get_json_object("filters", "$.lang[0]").alias("lang"), F.get_json_object("filters", "$.source").alias("source"))
+
+
+# schemas, sorts and shortcuts
+
+
+@_query("schema_bind", """SELECT n_nationkey AS idno, CASE WHEN n_nationkey % 7 <> 3 AND n_nationkey % 5 <> 4 THEN 'REF_' || n_regionkey || '_CODE' END AS geo_column, CASE WHEN n_nationkey % 5 <> 4 THEN 'TIME' END AS time_column, CASE WHEN n_nationkey % 5 <> 4 THEN 'OBS' END AS obs_column, NULL::VARCHAR AS freq_column,
+ CASE WHEN n_nationkey % 5 <> 4 THEN ['SEX', 'D' || n_regionkey] ELSE [] END AS dimensions, CASE WHEN n_nationkey % 7 <> 3 AND n_nationkey % 5 <> 4 AND n_nationkey % 2 = 0 THEN 'REF_' || n_regionkey || '_NAME' END AS label_column,
+ CASE WHEN n_nationkey % 5 = 4 THEN 'Schema API error: gone ' || n_nationkey WHEN n_nationkey % 7 = 3 THEN 'missing: geography' END AS error FROM nation""")
+def schema_bind(spark, d):
+    """Schema payloads made of the nations: one in five failed, one in seven without a geography."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey").cast("string")
+
+    def part(name, kind):
+        return F.struct(name.alias("name"), F.lit(kind).alias("column_type"))
+
+    listed = F.array(
+        part(F.lit("SEX"), "dimension"),
+        part(F.concat(F.lit("REF_"), r, F.lit("_CODE")), "geography"),
+        part(F.lit("TIME"), "time_period"),
+        part(F.lit("SEX_NAME"), "attribute"),
+        part(F.when(k % 2 == 0, F.concat(F.lit("REF_"), r, F.lit("_NAME"))).otherwise(F.lit("OTHER")), "attribute"),
+        part(F.lit("OBS"), "observation_value"),
+        part(F.concat(F.lit("D"), r), "dimension"),
+    )
+    components = F.filter(listed, lambda c: (k % 7 != 3) | (c["column_type"] != "geography"))
+    good = F.to_json(F.struct(F.lit("Success").alias("status"), F.struct(F.lit(1).alias("sid"), components.alias("components")).alias("result")))
+    payload = F.when(k % 5 == 4, F.concat(F.lit('{"status": "failed", "message": "gone '), k.cast("string"), F.lit('"}'))).otherwise(good)
+    return C.bound(table(spark, d, "nation").select(k.alias("idno"), payload.alias("payload")))
+
+
+@_query("catalog_sort", with_views("studies", f"SELECT sid, nation FROM studies ORDER BY {_fold('nation')} DESC NULLS LAST, year_start DESC NULLS LAST, substr({_fold('title')}, 1, 256) NULLS LAST, sid LIMIT 40"))
+def catalog_sort(spark, d):
+    return Q.page(Q.with_sort_columns(V.studies(spark, d)), Q.catalog_sort_keys("country", "desc"), 40).select("sid", "nation")
+
+
+@_query("idno_fast_path", with_views("studies", f"{_fields_sql()} SELECT sid, 'idno' AS found_by FROM studies WHERE idno = 'IDNO_src3_3' UNION ALL SELECT sid, 'words' FROM studies WHERE sid IN (SELECT sid FROM t0 JOIN t1 USING (sid) JOIN t2 USING (sid) JOIN t3 USING (sid) JOIN t4 USING (sid) JOIN t5 USING (sid) JOIN t6 USING (sid) JOIN t7 USING (sid) JOIN t8 USING (sid) WHERE len(list_filter(t0.t || t1.t || t2.t || t3.t || t4.t || t5.t || t6.t || t7.t, lambda x: x = 'attion' OR (left(x, 2) = 'at' AND levenshtein(x, 'attion') <= 1))) > 0 OR list_contains(t8.t, 'attion'))"))
+def idno_fast_path(spark, d):
+    """One query that is an idno, and one that only looks like one."""
+    s = V.studies(spark, d)
+
+    def by_words(query):
+        return _lexical(spark, d, query).select("sid")
+
+    return Q.idno_first(s, " idno_SRC3_3 ", by_words).select("sid", F.lit("idno").alias("found_by")).unionByName(Q.idno_first(s, "attion", by_words).select("sid", F.lit("words").alias("found_by")))

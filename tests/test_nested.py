@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.functions import nested
+from quarrylight.operators import analytics, schemas, search
 
 
 def test_order_and_keys():
@@ -41,3 +43,31 @@ def test_payload_forms(spark):
     df = spark.createDataFrame([(json.dumps(p),) for p in payloads] + [(None,), ("{",)], "payload string")
     got = sorted((r.sid, r.filters) for r in nested.filter_records(df).collect())
     assert got == [(5, '{"a":[1]}')] * 4 + [(6, '{"b":"x"}')] * 2
+
+
+def test_schema_roles(spark):
+    parts = [("REF_AREA_CODE", "geography"), ("NAME", "attribute"), ("REF_AREA_NAME", "attribute"), ("REF_AREA_NAME_2", "attribute"), ("FREQ", "periodicity"), ("T", "time_period"), ("V", "observation_value"), ("AGE", "dimension"), ("IND", "indicator_id"), ("X", None)]
+    good = json.dumps({"status": "ok", "result": {"components": [{"name": n, "column_type": t, "codelist": [1]} for n, t in parts]}})
+    rows = [("a", good), ("b", json.dumps({"result": {"components": [{"name": "G", "column_type": "geography"}]}})), ("c", "{"), ("d", json.dumps({"status": "Failed"})), ("e", None), ("f", "{}")]
+    schema = schemas.bound(spark.createDataFrame(rows, "idno string, payload string"))
+    got = {r.idno: r for r in schema.collect()}
+    assert (got["a"].geo_column, got["a"].freq_column, got["a"].dimensions, got["a"].label_column, got["a"].error) == ("REF_AREA_CODE", "FREQ", ["AGE", "X"], "REF_AREA_NAME", None)
+    assert got["b"].error == "missing: time_period, observation_value" and got["d"].error == "Schema API error: failed" and got["c"].error and got["e"].error
+    assert got["f"].error == "missing: geography, time_period, observation_value"
+    assert schemas.roles_of(schema, "a") == analytics.Roles("REF_AREA_CODE", "T", "V", "row_ord", "REF_AREA_NAME")
+    for bad in ("b", "zz"):
+        with pytest.raises(ValueError):
+            schemas.roles_of(schema, bad)
+
+
+def test_catalog_sorts():
+    assert search.catalog_sort_keys("total_views") == search.sort_keys("popularity") and search.catalog_sort_keys("country", "desc")[0] == ("nation_sort", False)
+    for bad in (("colour", None), ("title", "up")):
+        with pytest.raises(ValueError):
+            search.catalog_sort_keys(*bad)
+
+
+def test_idno_first(spark):
+    df = spark.createDataFrame([("Ab.1",), ("poverty x",)], "idno string")
+    found = lambda q: [r[0] for r in search.idno_first(df, q, lambda q: df.sparkSession.createDataFrame([("searched " + q,)], "idno string")).collect()]
+    assert found("ab.1") == ["Ab.1"] and found("poverty") == ["searched poverty"] and found("poverty x") == ["searched poverty x"]
