@@ -15,7 +15,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("by", list(Q.SORTS))
 @pytest.mark.parametrize("ascending", [True, False])
 def test_keyset_walk_both_ways(spark, by, ascending):
-    df = Q.with_sort_columns(V.studies(spark, FOLDER)).where("sid <= 60").cache()
+    df = Q.with_sort_columns(V.studies(spark, FOLDER)).where("sid <= 60").withColumn("score", F.when(F.col("sid") % 9 != 0, F.col("sid") % 7 * 0.5)).cache()
     keys = Q.sort_keys(by, ascending)
     want = [r.sid for r in df.orderBy(*Q.ordering(keys)).select("sid").collect()]
     got, at = [], None
