@@ -8,8 +8,8 @@ other documents become exceptions. All such entries and phrases are taken: the l
 are. A document's score is a logistic function of the matched weight, without what exception phrases cover, in
 proportion to its length, and of the number of matches.
 
-Defined results: a null or empty text scores like one without a match; documents without labels are scored but not
-learnt from; repeated rows are scored one by one, and equal texts score alike; without any labelled row all scores are
+Defined results: a null or empty text scores like one without a match; a row without a doc_id is not held out;
+documents without labels are scored but not learnt from; repeated rows are scored one by one, and equal texts score alike; without any labelled row all scores are
 0. Label rows of one document count once each. Of entries that begin at one letter the heaviest counts; terms of equal
 support are taken longest first, then in order of their letters.
 """
@@ -225,7 +225,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
             for i, j, flat, at in blocks(batch.column("text")):
                 data = flat.tobytes()
                 got = [lexicon.score(fold(data[a:b].decode())) for a, b in zip(at[:-1], at[1:], strict=True)]
-                held = [None if d is None else zlib.crc32(str(d).encode()) % 4 == HELD_OUT for d in ids[i:j]]
+                held = [d is not None and zlib.crc32(str(d).encode()) % 4 == HELD_OUT for d in ids[i:j]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[i:j], pa.int64()), pa.array(held, pa.bool_()), pa.array(got, pa.float64()), pa.array([int(s >= threshold) for s in got], pa.int32())],
                     names=["doc_id", "held_out", "score", "predicted"],

@@ -116,7 +116,7 @@ def test_toxicity_query_against_brute_force(spark):
 def test_messy_toxicity(spark):
     lex = toxicity.Lexicon({" same ": 2.0}, (), (-4.0, 3.0, 1.0))
     rows = toxicity.score(awkward(spark), lex).collect()
-    assert len(rows) == len(MESSY) and all(r.score is not None for r in rows) and {r.held_out for r in rows if r.doc_id is None} == {None}
+    assert len(rows) == len(MESSY) and all(r.score is not None for r in rows) and {r.held_out for r in rows if r.doc_id is None} == {False}
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     none = toxicity.fit(frame(spark, MESSY), empty)
     assert {r.predicted for r in toxicity.score(frame(spark, MESSY), none).collect()} == {0}
