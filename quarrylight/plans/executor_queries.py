@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.functions import nested as NJ
+from quarrylight.operators import bulk as B
 from quarrylight.operators import documents as D
 from quarrylight.operators import filters as X
 from quarrylight.operators import hybrid as H
@@ -16,7 +17,7 @@ from quarrylight.operators import sinks as K
 from quarrylight.operators import text as T
 from quarrylight.operators import vectors as N
 from quarrylight.plans.search_queries import _BLOCK, TERMS, _bm25_sql, _fold, _knn_sql, _tokens, _vector, documents_index
-from quarrylight.sources import scratch
+from quarrylight.sources import scratch, stores
 from quarrylight.sources import views as V
 from quarrylight.sources.views import table, with_views
 
@@ -529,3 +530,44 @@ def idno_fast_path(spark, d):
         return _lexical(spark, d, query).select("sid")
 
     return Q.idno_first(s, " idno_SRC3_3 ", by_words).select("sid", F.lit("idno").alias("found_by")).unionByName(Q.idno_first(s, "attion", by_words).select("sid", F.lit("words").alias("found_by")))
+
+
+# bulk writes with an outcome for each item
+
+_FRESH, _LOST, _SHORT = "chunk_id % 3 <> 0", "chunk_id % 500 = 7", "chunk_id % 250 = 11"
+_SENT_SQL = f""", sent AS (SELECT chunk_id, sid, CASE WHEN {_LOST} THEN 'missing vector' WHEN {_SHORT} THEN 'vector has 8 dimensions, not 64' END AS error FROM chunks WHERE {_FRESH})"""
+
+
+def _index_run(spark, d):
+    """Two thirds of the chunks are written over all of them; some have no vector, and some a short one."""
+    chunks, folder = V.chunks(spark, d).select("chunk_id", "sid", "embedding"), scratch.shared(spark, "bulk")
+    vector = F.when(F.expr(_LOST), F.lit(None)).when(F.expr(_SHORT), F.slice("embedding", 1, 8)).otherwise(F.col("embedding"))
+    fresh = chunks.where(_FRESH).withColumn("embedding", vector)
+    documents = fresh.select("sid").distinct().withColumn("embedding", F.array(F.lit(0.0).cast("float")))
+    root = f"{folder}/store"
+    run = B.index_run(fresh, documents, chunks.select("sid", "chunk_id"), lambda: stores.VectorFiles(f"{root}/chunks", 1, "chunk_id", "embedding", 64), lambda: stores.VectorFiles(f"{root}/studies", 1, "_key", "embedding", 1), f"{folder}/outcomes")
+    return run, stores.vector_files(spark, f"{root}/chunks", "chunk_id long, sid int, embedding array<float>", "chunk_id")
+
+
+@_query("bulk_outcomes", with_views("chunks", f"{_SENT_SQL} SELECT 'chunk' AS kind, chunk_id::VARCHAR AS id, sid::BIGINT AS sid, error IS NULL AS ok, error, error IS NULL AS stored FROM sent UNION ALL SELECT DISTINCT 'study', sid::VARCHAR, sid::BIGINT, true, NULL, false FROM sent"))
+def bulk_outcomes(spark, d):
+    """The outcome of each item, and whether the store has it as a chunk."""
+    run, stored = _index_run(spark, d)
+    there = stored.select(F.lit("chunk").alias("kind"), F.col("chunk_id").cast("string").alias("id"), F.lit(True).alias("stored"))
+    return run.outcomes.join(there, ["kind", "id"], "left").select("kind", "id", "sid", "ok", "error", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
+@_query("bulk_rollup", with_views("chunks", f"{_SENT_SQL}, r AS (SELECT sid, count(*) FILTER (WHERE error IS NULL) AS n_written, count(error) AS n_failed, array_to_string(list_sort(list_distinct(list(error) FILTER (WHERE error IS NOT NULL))), '; ') AS errors FROM sent GROUP BY sid) SELECT r.sid::BIGINT AS sid, n_written, n_failed, coalesce(errors, '') AS errors, CASE WHEN n_failed > 0 THEN 'failed' ELSE 'indexed' END AS state, (SELECT count(*) FROM chunks c WHERE c.sid = r.sid AND (n_failed > 0 OR {_FRESH})) AS n_kept FROM r"))
+def bulk_rollup(spark, d):
+    """Of each study: chunks written and failed, its errors and state, and how many stored chunks stay."""
+    run, _ = _index_run(spark, d)
+    kept = run.kept.groupBy("sid").agg(F.count("*").alias("n_kept"))
+    return B.rollup(run.outcomes).join(run.states, "sid").join(kept, "sid").select("sid", "n_written", "n_failed", F.array_join("errors", "; ").alias("errors"), "state", "n_kept")
+
+
+@_query("fetch_needed", with_views("queue", "SELECT object_id AS sid, CASE WHEN doc_id IS NULL THEN 'missing' ELSE 'found' END AS status, lang, source FROM (SELECT DISTINCT object_id FROM queue WHERE object_id > 0 AND change_class IN ('upsert_full', 'upsert_partial')) LEFT JOIN documents ON doc_id = object_id"))
+def fetch_needed(spark, d):
+    """The records that the changes of a queue need, asked for in batches."""
+    needed = V.queue(spark, d).where("change_class IN ('upsert_full', 'upsert_partial')").select(F.col("object_id").alias("sid"))
+    got = B.fetch(needed, stores.parquet_records(f"{d}/documents.parquet", "doc_id", ["lang", "source"]), scratch.shared(spark, "fetch"), "lang string, source string")
+    return got.select("sid", "status", "body.lang", "body.source")
