@@ -44,6 +44,22 @@ def test_messy_quality(spark):
     assert [(r.doc_id, r.text) for r in kept] == [(1, prose), (3, prose)]  # 2 repeats itself
 
 
+def test_menus_and_accents(spark):
+    menu = "Home\nNews\n\nSports\nLog in\nAbout"
+    prose = "The first line of prose is long enough to stay here.\nSo is the second one, which ends as it should too.\nAnd a third one comes after both of them, at last."
+    texts = [menu, f"{menu}\n{prose}", f"Home\nNews\n{prose}", f"Home\nNews\nIt ends.\nSports\n{prose}", "一行目の文章はここにあります\n二行目の文章もここにあります\n三行目の文章もここにあります", f"TÉRMINOS DE USO of it.\nPOLÍTICA de privacidad.\nDATENSCHUTZERKLÄRUNG.\n{prose}", "Home\nNews", "Sports\nLogin"]
+    got = {r.doc_id: r for r in quality.score(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i].n_failed_lines for i in range(8)] == [5, 5, 0, 0, 0, 3, 0, 0]
+    assert [got[i].kept for i in (1, 2, 3)] == [True, True, True]
+    assert [r.text.replace("\n\n", "\n").strip() for r in quality.clean(frame(spark, [(1, texts[1])])).collect()] == [prose]
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame({"doc_id": range(8), "text": texts})  # noqa: F841
+    want = duckdb.sql(f"SELECT doc_id, n_failed_lines, n_lost_words, kept FROM ({quality.ORACLE})").fetchall()
+    assert sorted(want) == [(i, got[i].n_failed_lines, got[i].n_lost_words, got[i].kept) for i in range(8)]
+
+
 def test_urls(spark):
     cases = {
         None: ("", "", None), "no scheme": ("", "", None), "http://X.Example.ORG/es/1": ("x.example.org", "/es/1", "example.org/es/"), "http://example.org/en/12?x#y": ("example.org", "/en/12", "example.org/en/1"),
