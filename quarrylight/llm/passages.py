@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.kernel import Words, blocks, cover, grams, pair, runs, sliding_min
 from quarrylight.llm.store import documents
-from quarrylight.llm.windows import HOT, LOCAL, WILD, Finder, Piece, beside, cut, keyed, runs_of, sides, spans
+from quarrylight.llm.windows import HOT, LOCAL, MOST, WILD, Finder, Piece, beside, cut, keyed, runs_of, sides, spans
 
 WINDOW, ANCHOR, TILE = 50, 12, 25
 #: Bytes of text that one automaton serves; bytes of documents that are cut at a time.
@@ -170,6 +170,14 @@ def _method(window: int, tile: int):
     return method
 
 
+def _windows(window: int):
+    def windows(text: bytes):
+        words = text.split()
+        return (b" ".join(words[k : k + window]) for k in range(len(words) - window + 1))
+
+    return windows
+
+
 def _resolver(window: int, tile: int, shard: int):
     def solve(rows: list[tuple]):
         doc = np.array([r[1] for r in rows])
@@ -198,14 +206,14 @@ def _resolver(window: int, tile: int, shard: int):
 def finder(window: int = WINDOW, anchor: int = ANCHOR, tile: int = TILE, shard: int = SHARD) -> Finder:
     if not (0 < anchor < window and 0 < tile and 2 * tile - 1 <= window):
         raise ValueError("a window has to hold an anchor, and a whole tile wherever it starts")
-    return Finder(window, True, _scan(window, anchor), _method(window, tile), _extract(window), _resolver(window, tile, shard), shard)
+    return Finder(window, True, _scan(window, anchor), _method(window, tile), _extract(window), _resolver(window, tile, shard), shard, _windows(window))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, tile: int = TILE, hot: int = HOT, local: int = LOCAL, shard: int = SHARD, more: tuple[str, ...] = ()) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, tile: int = TILE, hot: int = HOT, local: int = LOCAL, most: int = MOST, shard: int = SHARD, more: tuple[str, ...] = ()) -> DataFrame:
     """Keyed documents with the list of (start, n windows) runs to be removed, null if there are none."""
     how = finder(window, anchor, tile, shard)
     whole = keyed(docs, more)
-    return beside(whole, runs_of(whole.select("doc_id", "part", "text"), how, "passages", hot, local))
+    return beside(whole, runs_of(whole.select("doc_id", "part", "text"), how, "passages", hot, local, most))
 
 
 def _kept(flat: np.ndarray, words: Words, gone: np.ndarray) -> tuple[bytes, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from quarrylight.llm.kernel import blocks, cover, pair, runs, sliding_min
 from quarrylight.llm.store import documents
-from quarrylight.llm.windows import HOT, INNER, LOCAL, WILD, Finder, Piece, beside, cut, inner, keyed, runs_of, sides, spans
+from quarrylight.llm.windows import HOT, INNER, LOCAL, MOST, WILD, Finder, Piece, beside, cut, inner, keyed, runs_of, sides, spans
 
 WINDOW, ANCHOR = 100, 16
 #: Bytes of text under one suffix array; bytes of documents that are cut at a time.
@@ -260,6 +260,13 @@ def _resolver(window: int, shard: int):
     return resolver
 
 
+def _windows(window: int):
+    def windows(text: bytes):
+        return (text[k : k + window] for k in range(len(text) - window + 1))
+
+    return windows
+
+
 def _method(window: int):
     def method(texts, doc):
         begin, again, _ = repeated(texts, window)
@@ -272,14 +279,14 @@ def _method(window: int):
 def finder(window: int = WINDOW, anchor: int = ANCHOR, shard: int = SHARD, piece: int = PIECE) -> Finder:
     if not 8 <= anchor < window:
         raise ValueError("an anchor has at least 8 bytes and is shorter than a window")
-    return Finder(window, False, _scan(window, anchor, piece), _method(window), _extract(window), _resolver(window, shard), shard)
+    return Finder(window, False, _scan(window, anchor, piece), _method(window), _extract(window), _resolver(window, shard), shard, _windows(window))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, local: int = LOCAL, shard: int = SHARD, piece: int = PIECE) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, local: int = LOCAL, most: int = MOST, shard: int = SHARD, piece: int = PIECE) -> DataFrame:
     """Keyed documents with the list of (start, n windows) runs to be removed, null if there are none."""
     how = finder(window, anchor, shard, piece)
     whole = keyed(docs)
-    return beside(whole, runs_of(whole, how, "suffix", hot, local))
+    return beside(whole, runs_of(whole, how, "suffix", hot, local, most))
 
 
 def _each(batch, window: int):

@@ -17,8 +17,10 @@ texts themselves, in three places:
    Spark splits where a key is hot), places that follow each other become runs, and each run goes through the method
    beside the text of its first place.
 
-The set of hot minimizers has at most HOT_KEYS entries, so every minimizer outside it has at most 1/HOT_KEYS of all
-segments. Documents are told apart by (doc_id, part): part numbers the different texts of a repeated doc_id, and is 0
+The set of hot minimizers has at most HOT_KEYS entries, so that tasks can hold it, and their counts are from below. What
+it misses is found on the segments themselves: a minimizer that still has more than MOST of them has its segments opened,
+window by window, and these go the way of step 3 (`opened`). So no task holds the text of more than MOST segments of one
+minimizer, and none holds more than MOST rows of it to judge them. Documents are told apart by (doc_id, part): part numbers the different texts of a repeated doc_id, and is 0
 else. Where repeats count within a document, one row of each takes part, and what is found holds for all of them.
 """
 
@@ -29,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ from quarrylight.llm.store import stage
 #: Segments that share a minimizer and a side of it from which on the minimizer is hot, or WIDE times as many that share
 #: only the minimizer; of these, how many a task has to have; hot minimizers at most.
 HOT, WIDE, LOCAL, HOT_KEYS = 4_096, 16, 4, 100_000
+#: Segments of one minimizer that may meet in a task.
+MOST = HOT * WIDE
 #: Minimizers that a task counts before it reports.
 _COUNTED = 1 << 20
 #: state: FOUND (repeated windows), SINGLE (a window of a hot minimizer, with hashes a and b), or that of a segment: the
@@ -106,7 +111,8 @@ class Finder:
 
     scan(text column, inner): the pieces; method(texts, documents): runs (text, first window, end) of windows that are
     repeats, among texts in order; extract(text column)(row, start, n): the texts of segments, in order of rows; resolver(batches of
-    segments with text, sorted by m and document): runs as rows; shard: bytes of text that the method takes at once.
+    segments with text, sorted by m and document): runs as rows; shard: bytes of text that the method takes at once;
+    windows(text): the content of each window of a segment's text, in order, equal for equal windows.
     """
 
     window: int
@@ -116,6 +122,7 @@ class Finder:
     extract: Callable
     resolver: Callable
     shard: int
+    windows: Callable
 
 
 def cut(low: np.ndarray, valid: np.ndarray, row: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
@@ -323,8 +330,8 @@ def segments(docs: DataFrame, finder: Finder, hot: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "part", "text").mapInArrow(run, SEGMENT)
 
 
-def judged(found: DataFrame, across: bool) -> DataFrame:
-    """The segment rows without those segments that meet no other one of their minimizer."""
+def judged(found: DataFrame, across: bool, most: int = MOST) -> DataFrame:
+    """The segment rows without those segments that meet no other one of their minimizer. Of a minimizer with more than `most` rows all stay."""
     dealt = found.repartition("m").sortWithinPartitions("m")  # one long: a radix sort
 
     def out(x: list[np.ndarray]):
@@ -336,18 +343,32 @@ def judged(found: DataFrame, across: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(y[keep]) for y in x], names=_NAMES)
 
     def run(batches):
-        held = None  # the rows of the last minimizer, which may go on in the next batch
+        held: list[list[np.ndarray]] = []  # the rows of the last minimizer, which may go on in the next batch
+        passed = None  # a minimizer with too many rows
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = [np.asarray(batch.column(c)) for c in _NAMES]
-            if held is not None:
-                x = [np.concatenate((h, y)) for h, y in zip(held, x, strict=True)]
-            last = int(np.searchsorted(x[0], x[0][-1]))
-            held = [y[last:] for y in x]
-            yield from out([y[:last] for y in x])
-        if held is not None:
-            yield from out(held)
+            if passed is not None:
+                more = int(np.searchsorted(x[0], passed, side="right"))
+                if more:
+                    yield batch.slice(0, more)
+                if more == batch.num_rows:
+                    continue
+                x, passed = [y[more:] for y in x], None
+            if held and held[0][0][0] == x[0][-1]:  # nothing but the held minimizer
+                held.append(x)
+            else:
+                x = [np.concatenate(y) for y in zip(*held, x, strict=True)]
+                last = int(np.searchsorted(x[0], x[0][-1]))
+                held = [[y[last:] for y in x]]
+                yield from out([y[:last] for y in x])
+            if sum(len(y[0]) for y in held) > most:
+                passed = held[0][0][0]
+                yield from (pa.RecordBatch.from_arrays([pa.array(z) for z in y], names=_NAMES) for y in held)
+                held = []
+        if held:
+            yield from out([np.concatenate(y) for y in zip(*held, strict=True)])
 
     return dealt.mapInArrow(run, SEGMENT)
 
@@ -383,6 +404,26 @@ def resolved(rows: DataFrame, docs: DataFrame, finder: Finder) -> DataFrame:
     return sent.repartition("m").sortWithinPartitions("m", "doc_id", "part", "start").mapInArrow(finder.resolver, _RUN)
 
 
+def opened(rows: DataFrame, docs: DataFrame, finder: Finder) -> DataFrame:
+    """The windows of segments as rows of state SINGLE, told apart by 128 bits of their content."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                size, hashes = [], []
+                for text in part.column("text").to_pylist():
+                    own = [xxhash.xxh3_128_digest(w) for w in finder.windows(text)]
+                    size.append(len(own))
+                    hashes += own
+                a, b = np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2).T
+                doc, number, start = (np.repeat(np.asarray(part.column(c)), size) for c in ("doc_id", "part", "start"))
+                start = start + places(np.zeros(len(size), np.int64), np.array(size, np.int64))
+                yield from _batches(a ^ b, a, b, doc, number, start, np.ones(len(a)), np.full(len(a), SINGLE))
+
+    return _with_text(rows, docs, finder.extract, ("m",)).mapInArrow(run, SEGMENT)
+
+
 def _joined_runs(batches):
     """Single windows of a document that follow each other, as their first places do, as one run."""
     for batch in batches:
@@ -435,16 +476,22 @@ def resolved_singles(rows: DataFrame, docs: DataFrame, finder: Finder, name: str
     return both.mapInArrow(run, _RUN)
 
 
-def runs_of(docs: DataFrame, finder: Finder, name: str, hot: int = HOT, local: int = LOCAL) -> DataFrame:
+def runs_of(docs: DataFrame, finder: Finder, name: str, hot: int = HOT, local: int = LOCAL, most: int = MOST) -> DataFrame:
     """(doc_id, part, list of (start, n)): the repeated windows of each document that has some, as runs."""
     if not finder.across:
         docs = once(docs)
     heated = hot_minimizers(docs, finder, hot, local)
-    found = stage(judged(segments(docs, finder, heated), finder.across), f"{name}-segments")
+    found = stage(judged(segments(docs, finder, heated), finder.across, most), f"{name}-segments")
     every = found.where(F.col("state") == FOUND).select("doc_id", "part", "start", "n")
-    every = every.unionByName(resolved(found.where(F.col("state") % 2 == 0), docs, finder))
-    if len(heated):
-        every = every.unionByName(resolved_singles(found.where(F.col("state") == SINGLE), docs, finder, name))
+    plain, singles = found.where(F.col("state") % 2 == 0), found.where(F.col("state") == SINGLE)
+    large = stage(plain.groupBy("m").agg(F.count("*").alias("c")).where(F.col("c") > most).select("m"), f"{name}-large")
+    some = not large.isEmpty()
+    if some:
+        singles = singles.unionByName(stage(opened(plain.join(large, "m", "left_semi"), docs, finder), f"{name}-opened"))
+        plain = plain.join(large, "m", "left_anti")
+    every = every.unionByName(resolved(plain, docs, finder))
+    if some or len(heated):
+        every = every.unionByName(resolved_singles(singles, docs, finder, name))
     return every.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("list"))
 
 

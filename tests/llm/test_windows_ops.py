@@ -66,14 +66,14 @@ def corpus(seed=7, n=60):
     return rows + [(500, "a b " * 300), (501, "a b " * 200 + "c"), (502, "q" * 5000), (503, "q" * 3000 + "r" + "q" * 900)]
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2, "local": 1}, {"shard": 300}])
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "local": 1}, {"shard": 300}, {"most": 2}, {"hot": 5, "local": 3, "most": 4}])
 def test_passages(spark, options):
     rows = corpus()
     got = sorted((tuple(r) for r in passages.digest(frame(spark, rows), 12, anchor=5, tile=6, **options).collect()), key=str)
     assert got == passages_brute(rows, 12)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2, "local": 1}, {"shard": 200, "piece": 700}])
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "local": 1}, {"shard": 200, "piece": 700}, {"most": 2, "piece": 700}, {"hot": 5, "local": 3, "most": 4}])
 def test_suffix(spark, options):
     rows = corpus(9)
     got = sorted((tuple(r) for r in suffix.digest(frame(spark, rows), 40, anchor=12, **options).collect()), key=str)
@@ -93,7 +93,7 @@ def test_messy_suffix(spark):
     assert got == suffix_brute(rows, 20)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2, "local": 1}])
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "local": 1}, {"most": 2}])
 def test_suffix_of_repeated_rows(spark, options):
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
@@ -143,7 +143,7 @@ def test_op3_query(spark):
     assert got == suffix_brute(table(spark), 100) and any(r[2] for r in got)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2, "local": 1}])
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "local": 1}, {"most": 2}])
 @pytest.mark.parametrize("find", [passages.finder(12, 5, 6), suffix.finder(40, 12)])
 def test_nothing_is_removed_but_by_the_method(spark, find, options):
     docs = windows.keyed(frame(spark, corpus()))
@@ -156,3 +156,31 @@ def test_hot_minimizers(spark):
     docs = windows.keyed(frame(spark, corpus()).repartition(3))
     assert len(windows.hot_minimizers(docs, passages.finder(12, 5, 6), 2, 1)) > 0
     assert len(windows.hot_minimizers(docs, passages.finder(12, 5, 6), 2, 1, keys=3)) == 3
+
+
+@pytest.mark.parametrize("find", [passages.finder(12, 5, 6), suffix.finder(40, 12, piece=700)])
+def test_no_task_holds_more_than_most_segments_of_a_minimizer(spark, find):
+    from pyspark.sql import functions as F
+
+    docs = windows.keyed(frame(spark, corpus()).repartition(6))
+    cut = windows.stage(windows.segments(docs, find, windows.hot_minimizers(docs, find, keys=1)), "cut")
+    sizes = {r.m: r.c for r in cut.where("state % 2 = 0").groupBy("m").agg(F.count("*").alias("c")).collect()}
+    assert max(sizes.values()) > 3  # there is something to part
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a group goes on from batch to batch
+    try:
+        left = {r.m: r.c for r in windows.judged(cut, find.across, most=3).where("state % 2 = 0").groupBy("m").agg(F.count("*").alias("c")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(left[m] == c for m, c in sizes.items() if c > 5) and sum(left.values()) < sum(sizes.values())
+    seen = []
+
+    def spy(rows, docs, finder):
+        seen.extend(r.c for r in rows.groupBy("m").agg(F.count("*").alias("c")).collect())
+        return plain(rows, docs, finder)
+
+    plain, windows.resolved = windows.resolved, spy
+    try:
+        assert windows.runs_of(docs, find, "bounded", most=3).count() > 10
+    finally:
+        windows.resolved = plain
+    assert seen and max(seen) <= 3
