@@ -276,6 +276,12 @@ def join_indicators(one: DataFrame, two: DataFrame, roles: Roles) -> DataFrame:
     return a.join(b, ["geo", "period"], "full")
 
 
+def join_counts(joined: DataFrame) -> DataFrame:
+    """One row of a joined pair: all rows, those with both values, and those with one of them alone."""
+    one, two = F.col("value_1").isNotNull(), F.col("value_2").isNotNull()
+    return joined.agg(F.count("*").alias("n_rows"), F.count_if(one & two).alias("n_matched"), F.count_if(one & ~two).alias("n_only_1"), F.count_if(two & ~one).alias("n_only_2"))
+
+
 def aggregate(df: DataFrame, roles: Roles, refs: list[str] | None = None, dimensions: dict | None = None) -> DataFrame:
     """Figures of each period over all valid rows, duplicates included."""
     rows = _valid(_rows(df, roles, dimensions, refs=refs))

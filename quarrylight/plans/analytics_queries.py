@@ -284,6 +284,11 @@ def join_indicators(spark, d):
     return A.join_indicators(V.obs(spark, d).where("geo > 'NATION_12'"), V.obs2(spark, d).where("geo < 'NATION_5'"), R)
 
 
+@_query("join_counts", with_views("obs obs2", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE a.v IS NOT NULL AND b.v IS NOT NULL) AS n_matched, count(*) FILTER (WHERE b.v IS NULL) AS n_only_1, count(*) FILTER (WHERE a.v IS NULL) AS n_only_2 FROM (SELECT * FROM obs WHERE geo > 'NATION_12') a FULL JOIN (SELECT * FROM obs2 WHERE geo < 'NATION_5') b ON a.geo = b.geo AND a.period = b.period"))
+def join_counts(spark, d):
+    return A.join_counts(join_indicators(spark, d))
+
+
 @_query("aggregate_period", with_views("obs", "SELECT period, count(*) AS n_ref_areas, round(avg(v), 4) AS mean, round(median(v), 4) AS median, round(sum(v), 4) AS total, min(v) AS min, max(v) AS max, coalesce(round(stddev_samp(v), 4), 0.0) AS std FROM obs GROUP BY period"))
 def aggregate_period(spark, d):
     return A.aggregate(V.obs(spark, d), R)
