@@ -145,8 +145,9 @@ class Encoder:
     def _encode(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray]]:
         """Bytes, A's ids and B's ids of parts."""
         a = [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        # B begins with a space of its own: it stands for the part's, or is a token by itself before a line feed
-        b = [np.array(ids[t[0] == "\n" :], np.int64) for t, ids in zip(texts, self.b.encode([t[t[0] == " " :] for t in texts], num_threads=1), strict=True)]
+        # B begins with a space of its own: it stands for the part's, or is a token by itself before a line feed; it puts
+        # none before nothing, so a text's last space is looked up
+        b = [np.array(ids[t[0] == "\n" :] if t != " " else [self.b.piece_to_id(_SPACE)], np.int64) for t, ids in zip(texts, self.b.encode([t[t[0] == " " :] for t in texts], num_threads=1), strict=True)]
         return [t.encode() for t in texts], a, b
 
     def sections(self, text: str):

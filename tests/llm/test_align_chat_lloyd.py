@@ -65,6 +65,15 @@ def test_alignment_of_messy_texts(spark, encoder, block, parts):
     assert align.digest(frame(spark, [])).count() == 0
 
 
+def test_texts_that_end_with_a_space(spark, encoder, monkeypatch):
+    """SentencePiece puts no space before an empty string, so a part that is one space needs its own id."""
+    docs = [(i, t) for i, t in enumerate(["x ", "a b. ", "a\tb\x0c ", "的 ", "two lines\nend \n ", "é🙂 "])]
+    assert all(plain(encoder, t) for _, t in docs)
+    assert Counter(map(tuple, align.digest(frame(spark, docs)).collect())) == expected(encoder, docs)
+    monkeypatch.setattr(align, "SECTION", 3)
+    assert all(len(align.Aligned(encoder, [s]).a) for _, t in docs for s in encoder.sections(t))
+
+
 def test_op11_query(spark, encoder):
     docs = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     assert Counter(map(tuple, align.op11_tokenizer_alignment(spark, FOLDER).collect())) == expected(encoder, docs)
