@@ -43,6 +43,10 @@ from quarrylight.llm.store import documents, stage
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose distinct pairs share a row.
 BLOCK = 8 << 20
+#: Compressed bytes of a row group of stored blocks. Parquet looks at a group's size after 100 rows and is read a group at a time;
+#: a row is a block, so a task with many of them would hold them all.
+GROUP = 4 << 20
+_GROUPED = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 #: Parts that a worker remembers, and their characters; beyond them the memo starts anew.
 MEMO, MEMO_CHARS = 600_000, 12_000_000
 #: Characters of new parts that are encoded as one string.
@@ -54,7 +58,7 @@ WIDE, AT_ONCE = 8, 1 << 22
 _PART = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 _SPACE = "▁"
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-_BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, pairs binary, held binary, which binary, links binary"
+_BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, pairs array<long>, n array<long>, held binary, which binary, links binary"
 
 
 def _byte_level() -> dict[str, int]:
@@ -347,9 +351,9 @@ class _Block:
     def row(self) -> pa.RecordBatch:
         held, pair, links = map(np.concatenate, zip(*self.held, strict=True))
         pairs, which = np.unique(pair, return_inverse=True)
-        packed = (pairs.astype("<u4"), held.astype("<u4"), which.astype("<u4"), links.astype("<i8"))
-        values = [[self.task << 32 | self.number], *([c] for c in self.columns), *([p.tobytes()] for p in packed)]
-        kinds = [pa.int64(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), *[pa.binary()] * 4]
+        packed = (held.astype("<u4"), which.astype("<u4"), links.astype("<i8"))
+        values = [[self.task << 32 | self.number], *([c] for c in self.columns), [pairs], [np.bincount(which, minlength=len(pairs))], *([p.tobytes()] for p in packed)]
+        kinds = [pa.int64(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 3]
         names = [c.split()[0] for c in _BLOCK.split(", ")]
         self.number += 1
         self._clear()
@@ -378,19 +382,14 @@ def _packed(docs: DataFrame, a_path: str | None, b_path: str | None, block: int)
     return docs.select("doc_id", "text").mapInArrow(run, _BLOCK)
 
 
-def _asked(packed: DataFrame) -> DataFrame:
-    """The distinct pairs of each block: their place in its list, and how many of its documents hold them."""
+def _stored(docs: DataFrame, a_path: str | None, b_path: str | None, block: int) -> DataFrame:
+    return stage(_packed(docs, a_path, b_path, block), "align-blocks", {**_GROUPED, "parquet.block.size": GROUP})
 
-    def run(batches):
-        for batch in batches:
-            for number, pairs, which in zip(*(batch.column(c) for c in ("block", "pairs", "which")), strict=True):
-                pair = np.frombuffer(pairs.as_py(), "<u4")
-                n = np.bincount(np.frombuffer(which.as_py(), "<u4"), minlength=len(pair))
-                for i in range(0, len(pair), 1 << 16):
-                    part = pair[i : i + (1 << 16)].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number.as_py())), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part), pa.array(n[i : i + len(part)])], names=["block", "place", "pair", "n"])
 
-    return packed.select("block", "pairs", "which").mapInArrow(run, "block long, place int, pair long, n long")
+def _asked(packed: DataFrame) -> DataFrame:
+    """The distinct pairs of each block: their place in its list, and how many of its documents hold them."""
+    rows = packed.select("block", F.posexplode(F.arrays_zip("pairs", "n")).alias("place", "p"))
+    return rows.select(F.col("block").alias("of"), "place", F.col("p.pairs").alias("pair"), "p.n")
 
 
 def _counts(asked: DataFrame) -> DataFrame:
@@ -402,7 +401,7 @@ def _counts(asked: DataFrame) -> DataFrame:
 
 def pair_counts(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block: int = BLOCK) -> DataFrame:
     """How many documents link each A id with each B id: a_id, b_id, docs, best (none of the A id's pairs has more)."""
-    packed = stage(_packed(docs, a_path, b_path, block), "align-blocks")
+    packed = _stored(docs, a_path, b_path, block)
     return _counts(_asked(packed)).select(F.shiftright("pair", 16).alias("a_id"), F.col("pair").bitwiseAND(0xFFFF).alias("b_id"), "docs", "best")
 
 
@@ -424,10 +423,10 @@ def _answered(key, answers: pa.Table, packed: pa.Table) -> pa.Table:
 def digest(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, block: int = BLOCK) -> DataFrame:
     """One row per document: its tokens, groups and links, how many links are the best of their A id in the corpus, the
     sum of their counts, and a digest of the groups. Needs doc_id and text."""
-    packed = stage(_packed(docs, a_path, b_path, block), "align-blocks")
+    packed = _stored(docs, a_path, b_path, block)
     asked = _asked(packed).drop("n")
-    answers = asked.join(_counts(_asked(packed)), "pair").select("block", "place", "docs", "best")
-    return answers.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_answered, DOCUMENT)
+    answers = asked.join(_counts(_asked(packed)), "pair").select("of", "place", "docs", "best")
+    return answers.groupBy("of").cogroup(packed.drop("pairs", "n").groupBy("block")).applyInArrow(_answered, DOCUMENT)
 
 
 def op11_tokenizer_alignment(spark, sf_dir: str) -> DataFrame:

@@ -74,6 +74,22 @@ def test_texts_that_end_with_a_space(spark, encoder, monkeypatch):
     assert all(len(align.Aligned(encoder, [s]).a) for _, t in docs for s in encoder.sections(t))
 
 
+def test_stored_blocks_are_read_a_few_at_a_time(spark, monkeypatch):
+    """A row is a block of documents: a row group passes its size by no more than one row."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(align, "GROUP", 1 << 15)
+    docs = [(i, "".join(f" w{(i * 131 + j * j) % 9973}" for j in range(300))) for i in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        stored = align._stored(frame(spark, docs).repartition(1), None, None, 2000)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert stored.count() == 12 and stored.selectExpr("sum(size(doc_id))").first()[0] == 60
+    groups = [g for f in stored.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert all(g.num_rows == 1 or g.total_byte_size < 4 << 15 for g in groups) and len(groups) > 3
+
+
 def test_op11_query(spark, encoder):
     docs = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     assert Counter(map(tuple, align.op11_tokenizer_alignment(spark, FOLDER).collect())) == expected(encoder, docs)
