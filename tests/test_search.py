@@ -98,3 +98,10 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert run([(1, 9, "delete", 4), (2, 3, "variables", 7), (2, 4, "delete", 7)]) == [(1, 1, "upsert_full", 5), (2, 4, "delete", 7)]
     table = cdc.state_table(spark, str(tmp_path))
     assert not table.apply(table.read().limit(0), 1)  # the last batch once more
+
+
+def test_recommend_takes_all_passages_of_a_study(spark):
+    """A study's mean vector is that of all of its passages, however many."""
+    rows = [(i, 5, [1.0, 0.0]) for i in range(501)] + [(i, 5, [0.0, 1.0]) for i in range(501, 2000)] + [(3000, 1, [1.0, 0.0]), (3001, 2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "chunk_id long, sid int, embedding array<float>")
+    assert [r.chunk_id for r in N.recommend(df, 5, 1).collect()] == [3001]
