@@ -1,5 +1,5 @@
 """The change queue as a stream: micro-batches are coalesced into deltas of a keyed table, and attempts are followed by
-state.
+state: the keyed table of the items' deaths.
 
 A batch writes its own rows only (see `deltas`), and one that is run again after a failure changes nothing.
 """
@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.window import Window
 
 from quarrylight.sources.scratch import shared
 from quarrylight.streaming.deltas import DeltaTable
 
 STATE = "object_id long, id long, change_class string, changed long"
-DEATHS = "id long, changed long, seq long, deaths int, retry_at timestamp, poisoned boolean"
+DEATHS = "id long, changed long, seq long, deaths int, retry_at timestamp, poisoned boolean, at timestamp"
 #: An item that died is tried again after so many seconds, twice as many each time, up to the most.
 BACKOFF, BACKOFF_MOST = 60, 3600
 DEATH_LIMIT = 2
@@ -38,37 +38,28 @@ def apply_stream(changes: DataFrame, folder: str, available_now: bool = True):
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="300 seconds")).start()
 
 
-def attempts_state(attempts: DataFrame, limit: int = DEATH_LIMIT, forget: str = "7 days") -> DataFrame:
-    """Deaths of each item (id, changed) as a stream: attempts are (id, changed, seq, at, event), event begin or end.
+def deaths_after(attempts: DataFrame, table: DeltaTable, limit: int = DEATH_LIMIT, forget: str = "7 days") -> DataFrame:
+    """Deaths of each item (id, changed) that a batch of attempts (id, changed, seq, at, event: begin or end) touches.
 
-    A begin without an end is a death; an end clears the item. Each batch gives the items that it touches, with when to
-    try again (a longer wait after each death) and whether it has died `limit` times. State is kept until an end, or
-    until nothing has been heard of an item for `forget` of event time; what comes later than that is dropped.
+    A begin without an end is a death; an end clears the item. Each row says when to try again (a longer wait after each
+    death) and whether the item has died `limit` times. Attempts up to an item's last `seq` were seen before. Those that
+    are `forget` of event time older than the latest of earlier batches are dropped, and an item of which nothing has
+    been heard for so long before that starts anew.
     """
-    wait = int(attempts.sparkSession.range(1).select(F.expr(f"cast(interval {forget} AS interval second)").cast("long")).first()[0])
-
-    def follow(key, frames, state):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        deaths, seen = state.get if state.exists else (0, -1)
-        rows = pd.concat(list(frames)).sort_values(["seq", "event"])
-        rows = rows[rows["seq"] > seen]
-        if not len(rows):
-            return
-        for event in rows["event"]:
-            deaths = 0 if event == "end" else deaths + 1
-        last = int(rows["seq"].iloc[-1])
-        at = rows["at"].max()
-        state.update((deaths, last))
-        state.setTimeoutTimestamp(max(int(at.timestamp() * 1000) + wait * 1000, state.getCurrentWatermarkMs() + 1))
-        retry = at + pd.Timedelta(seconds=min(BACKOFF_MOST, BACKOFF * 2 ** (deaths - 1))) if deaths else pd.NaT
-        yield pd.DataFrame([(key[0], key[1], last, deaths, retry, deaths >= limit)], columns=["id", "changed", "seq", "deaths", "retry_at", "poisoned"])
-
-    stamped = attempts.withWatermark("at", "0 seconds" if forget is None else forget)
-    return stamped.groupBy("id", "changed").applyInPandasWithState(follow, DEATHS, "deaths int, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = attempts.select("id", "changed", "seq", F.col("at").cast("timestamp").alias("at"), F.coalesce(F.col("event") == "end", F.lit(False)).alias("end"))
+    held = table.held(rows.select("id", "changed"))
+    wait = F.expr(f"interval {forget}")
+    if "latest" in table.state:
+        mark = F.timestamp_micros(F.lit(table.state["latest"])) - wait
+        rows, held = rows.where(F.col("at") >= mark), held.where(F.col("at") + wait >= mark)
+    held = held.select(F.col("id").alias("_id"), F.col("changed").alias("_changed"), F.col("seq").alias("_seen"), F.col("deaths").alias("_deaths"))
+    new = rows.join(held, F.col("id").eqNullSafe(F.col("_id")) & F.col("changed").eqNullSafe(F.col("_changed")), "left").where(F.col("seq") > F.coalesce("_seen", F.lit(-1)))
+    last = F.max(F.when(F.col("end"), F.col("seq"))).over(Window.partitionBy("id", "changed"))
+    counted = F.count_if(~F.col("end") & (F.col("seq") > F.coalesce("_end", F.lit(-1)))) + F.when(F.max("_end").isNull(), F.coalesce(F.max("_deaths"), F.lit(0))).otherwise(0)
+    items = new.withColumn("_end", last).groupBy("id", "changed").agg(F.max("seq").alias("seq"), counted.cast("int").alias("deaths"), F.max("at").alias("at"))
+    longer = F.least(F.lit(BACKOFF_MOST), BACKOFF * F.pow(F.lit(2), F.least(F.col("deaths") - 1, F.lit(20))))
+    retry = F.when(F.col("deaths") > 0, F.col("at") + F.make_dt_interval(secs=longer))
+    return items.select("id", "changed", "seq", "deaths", retry.alias("retry_at"), (F.col("deaths") >= limit).alias("poisoned"), "at")
 
 
 def deaths_table(spark: SparkSession, folder: str) -> DeltaTable:
@@ -76,10 +67,18 @@ def deaths_table(spark: SparkSession, folder: str) -> DeltaTable:
 
 
 def follow_attempts(attempts: DataFrame, folder: str):
-    """Starts the query that keeps `deaths_table` of the folder up to date."""
-    spark = attempts.sparkSession
-    writer = attempts_state(attempts).writeStream.foreachBatch(lambda batch, number: deaths_table(spark, folder).apply(batch, number) and None)
-    return writer.option("checkpointLocation", f"{folder}/_attempts").trigger(availableNow=True).start()
+    """Starts the query that keeps `deaths_table` of the folder up to date; the table is also its state."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession  # the stream's own
+        spark.conf.set("spark.sql.adaptive.enabled", "true")  # few files for a small batch
+        table = deaths_table(spark, folder)
+        if number <= table.state["last"]:
+            return
+        latest = [x for x in (batch.agg(F.max(F.unix_micros(F.col("at").cast("timestamp")))).first()[0], table.state.get("latest")) if x is not None]
+        table.apply(deaths_after(batch, table), number, {"latest": max(latest)} if latest else {})
+
+    return attempts.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/_attempts").trigger(availableNow=True).start()
 
 
 def parquet_stream(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -49,15 +49,15 @@ class DeltaTable:
         names = [s.getPath().getName() for s in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)]
         return path, [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")]
 
-    def apply(self, batch: DataFrame, number: int) -> bool:
-        """Adds a batch; False if it, or a later one, is in the table already."""
+    def apply(self, batch: DataFrame, number: int, facts: dict | None = None) -> bool:
+        """Adds a batch, and facts that its commit keeps; False if it, or a later one, is in the table already."""
         if number <= self.state["last"]:
             return False
         path, touched = self._write(self._last(batch.select(*self.columns).withColumn("_n", F.lit(0))), f"delta-{number}")
         buckets = {k: list(v) for k, v in self.state["buckets"].items()}
         for b in touched:
             buckets.setdefault(str(b), []).append(path)
-        self._commit({**self.state, "last": number, "buckets": buckets})
+        self._commit({**self.state, **(facts or {}), "last": number, "buckets": buckets})
         full = [b for b, paths in self.state["buckets"].items() if len(paths) > self.state["deltas"]]
         if full:
             self.compact(full)
@@ -84,6 +84,12 @@ class DeltaTable:
     def read(self) -> DataFrame:
         return self._last(self._rows(self.state["buckets"]))
 
+    def held(self, keys: DataFrame) -> DataFrame:
+        """The rows of the keys in a table: only those are merged."""
+        asked = keys.select(*(F.col(k).alias(f"_{k}") for k in self.keys))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys]
+        return self._last(self._rows(self.state["buckets"]).join(asked, same, "left_semi"))
+
     def lookup(self, keys: list[tuple]) -> DataFrame:
         """The rows of some keys: only their buckets are read."""
         asked = self.spark.createDataFrame(keys, self.spark.createDataFrame([], self.schema).select(*self.keys).schema)

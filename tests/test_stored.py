@@ -134,3 +134,22 @@ def test_attempts_with_state(spark, tmp_path):
     assert got[3, 1] == (0, False, None) and got[4, 1][:2] == (1, False)
     got = run([(3, 1, 20, "begin"), (1, 5, 10, "begin")])  # the second one was seen before
     assert got[3, 1][:2] == (1, False) and got[1, 5][:2] == (2, True)
+
+
+def test_attempts_are_followed_without_a_call_for_each_item(spark, tmp_path):
+    """Items are grouped by Spark itself; late attempts are dropped, and an item long unheard of starts anew."""
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    schema = "id long, changed long, seq long, at timestamp, event string"
+    table = lambda: cdc.deaths_table(spark, str(tmp_path))
+
+    def run(number, *events):
+        batch = spark.createDataFrame([(i, 1, s, day(n), e) for i, s, n, e in events], schema)
+        out = cdc.deaths_after(batch, table())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan
+        table().apply(out, number, {"latest": int(max(n for _, _, n, _ in events) * 86_400_000_000 + 1_704_067_200_000_000)})
+        return {r.id: r.deaths for r in table().read().collect()}
+
+    assert run(0, (1, 1, 0, "begin"), (None, 2, 0, "begin"), (3, 3, 0, "begin"), (3, 3, 0, "end"), (3, 4, 0, "begin")) == {1: 1, None: 1, 3: 1}
+    assert run(1, (None, 5, 1, "begin"), (4, 6, 30, "begin")) == {1: 1, None: 2, 3: 1, 4: 1}
+    assert run(2, (None, 7, 22, "begin"), (3, 8, 29, "begin"), (1, 9, 23, "end")) == {1: 0, None: 2, 3: 1, 4: 1}
