@@ -137,3 +137,16 @@ def test_stored_follows_its_files(spark, tmp_path):
     assert inverted.stored(spark.read.parquet(table), "k", {"t": F.upper("t")}, folder).root != first.root
     frame(spark, {3: "rate"}).write.mode("append").parquet(table)
     assert set(found(inverted.stored(spark.read.parquet(table), "k", {"t": F.lower("t")}, folder).scores(["rate"], ["t"]))) == {1, 3}
+
+
+def test_a_dictionary_has_one_row_for_each_term(spark, tmp_path):
+    """Forms are found in the sorted dictionary; nothing is stored for each term's misspellings."""
+    import os
+
+    df = spark.createDataFrame([(i, f"education{i} term{i * 7} same") for i in range(50)], "sid long, text string")
+    built = inverted.Index(spark, str(tmp_path)).add(df, "sid", {"text": F.col("text")})
+    folder = built.state["segments"][0]["path"]
+    assert set(os.listdir(folder)) == {"postings", "files", "docs", "terms"}
+    stored = spark.read.parquet(f"{folder}/terms")
+    assert stored.count() == stored.select("term").distinct().count() == 101
+    assert {r.term for r in built.forms(["educatione"]).collect()} == {f"education{i}" for i in range(50)}
