@@ -150,3 +150,41 @@ def test_a_dictionary_has_one_row_for_each_term(spark, tmp_path):
     stored = spark.read.parquet(f"{folder}/terms")
     assert stored.count() == stored.select("term").distinct().count() == 101
     assert {r.term for r in built.forms(["educatione"]).collect()} == {f"education{i}" for i in range(50)}
+
+
+def test_a_word_of_a_slice_is_one_row_until_it_is_dealt(spark, tmp_path):
+    many = {i: f"same word{i % 10} once{i}" for i in range(600)}
+    index = inverted.Index(spark, str(tmp_path))
+    index.log.delete = lambda path: None  # so that what was dealt is left to count
+    index = index.add(frame(spark, many).coalesce(1), "k", {"t": F.col("t")})
+    dealt = spark.read.parquet(f"{index.state['segments'][0]['path']}/single").where("term IN ('same', 'word3')")
+    assert dealt.count() <= 5 + 1 + 2 * 2  # 660 postings; a batch may end within a block
+    assert index._postings(["same"]).count() == 600 and found(index.scores(["word3"], ["t"])) == pytest.approx(plain_scores(many, ["word3"]))
+
+
+def test_slices_of_mixed_keys_give_blocks_in_order(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(inverted, "SLICE", 900)
+    keys = list(range(400))
+    RANDOM.shuffle(keys)
+    texts = {k: " ".join(RANDOM.choices(["a", "b", "c"], k=k % 9)) for k in keys}
+    lists = {k: ["a b", "", " b "] if k % 2 else [] for k in keys}
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([f" {texts[k]} " for k in keys]), pa.array([lists[k] for k in keys], pa.list_(pa.string()))], names=["key", "_f0", "_f1"])
+    parts = [r for out in inverted._parts(["t", "l"])([batch.slice(0, 0), batch]) for r in out.to_pylist()]
+    assert sum(r["term"] == "a" and r["field"] == "t" for r in parts) > 4
+    lengths = {(k, r["field"]): dl for r in parts if r["term"] is None and r["field"] for k, dl in zip(r["keys"], r["dls"], strict=True)}
+    assert lengths == {(k, "t"): len(t.split()) for k, t in texts.items() if t} | {(k, "l"): 3 for k in keys if lists[k]}
+    assert {k for r in parts if r["field"] is None for k in r["keys"]} == {k for k in keys if not texts[k] and not lists[k]}
+    rows = sorted((r for r in parts if r["term"]), key=lambda r: (r["term"], r["field"], r["lo"]))
+    held = {}
+    schema = pa.schema([("term", pa.string()), ("field", pa.string()), ("lo", pa.int64()), ("keys", pa.list_(pa.int64())), *((c, pa.list_(pa.int32())) for c in ("dls", "tfs", "positions"))])
+    for block in (r for out in inverted._blocks([pa.RecordBatch.from_pylist(rows, schema)]) for r in out.to_pylist()):
+        assert len(block["keys"]) == block["n"] <= inverted.BLOCK and block["keys"] == sorted(block["keys"]) and (block["lo"], block["hi"]) == (block["keys"][0], block["keys"][-1])
+        assert (block["max_tf"], block["min_dl"]) == (max(block["tfs"]), min(block["dls"]))
+        for k, tf, at, dl in zip(block["keys"], block["tfs"], block["starts"], block["dls"], strict=True):
+            assert dl == lengths[k, block["field"]]
+            held[block["term"], block["field"], k] = block["positions"][at : at + tf]
+    want = {(w, "t", k): [i for i, x in enumerate(t.split()) if x == w] for k, t in texts.items() for w in set(t.split())}
+    gap = inverted.GAP  # two entries lie between the two that have b
+    assert held == want | {("a", "l", k): [0] for k in keys if k % 2} | {("b", "l", k): [1, 2 + 2 * gap] for k in keys if k % 2}
