@@ -10,7 +10,8 @@ fixed-stride binary files: slot s is at byte (s mod SLOTS) * 2 * LENGTH of shard
 1. `encoded` is written once. A task's documents form runs in the order of the stream. If these are few for each task and
    do not overlap, as in a table that was written in order, a document's place in the stream follows from its run; else
    the encoded documents are dealt by range and sorted first. A few rows for each task reach the driver.
-2. `fragments` cuts each document where sequences end, and `shards` puts the fragments of a slot together.
+2. `fragments` cuts each document where sequences end and packs, with zstd, what a task has for a shard; `shards` puts the
+   fragments to their places in a shard's bytes (128 MB, what a task holds) and writes these.
 3. A file gets its name, which holds its SHA-256, when it is whole. A run into the same folder takes the encoded table
    and the whole files that are there, and writes the others; the folder says of which documents (their number, bytes and
    sum of hashes), tokenizer file and settings it is, and any other run is refused.
@@ -40,6 +41,8 @@ from quarrylight.llm.store import documents, folder_for
 
 #: Ids of a sequence; sequences of a shard (128 MB).
 LENGTH, SLOTS, KEY, ROUNDS = 1024, 65_536, 0x5DEECE66D, 6
+#: Bytes of ids that a task packs at a time on their way to the shards.
+PACK = 32 << 20
 END = 50_256
 #: A run of documents ends where the next doc_id is further off than so many usual steps.
 _FAR = 64
@@ -187,11 +190,13 @@ def in_order(table: DataFrame) -> DataFrame:
     return table.repartitionByRange("doc_id", "tag").sortWithinPartitions("doc_id", "tag").mapInArrow(run, _SCHEMA)
 
 
-def fragments(table: DataFrame, before: dict[tuple[int, int], int], total: int, length: int = LENGTH, key: int = KEY) -> DataFrame:
-    """(slot, pos, ids): documents cut where sequences of the stream end."""
-    count = -(-total // length)
+def fragments(table: DataFrame, before: dict[tuple[int, int], int], total: int, done: set[int], length: int = LENGTH, slots: int = SLOTS, key: int = KEY) -> DataFrame:
+    """(shard, at, n, ids): documents cut where sequences of the stream end. A row holds what up to PACK bytes of a task's
+    ids have for a shard that is not done: the cuts' places in its file and their bytes, and the ids, packed with zstd."""
+    count, stride = -(-total // length), 2 * length
 
     def run(batches):
+        pack = pa.Codec("zstd", compression_level=3)
         for batch in batches:
             at = np.array([before[k] for k in zip(batch.column("part").to_pylist(), batch.column("run").to_pylist(), strict=True)], np.int64) + np.asarray(batch.column("at"))
             n = np.asarray(batch.column("n"))
@@ -199,77 +204,76 @@ def fragments(table: DataFrame, before: dict[tuple[int, int], int], total: int,
             row = np.repeat(np.arange(len(n)), pieces)
             number = at[row] // length + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start = np.maximum(number * length, at[row])
-            stop = np.minimum((number + 1) * length, at[row] + n[row])
+            size = 2 * (np.minimum((number + 1) * length, at[row] + n[row]) - start)
             slot = feistel(number, count, key).astype(np.int64)
+            shard, place = slot // slots, slot % slots * stride + 2 * (start - number * length)
             ids = batch.column("ids")
-            for i in range(0, len(row), 4096):
-                x = slice(i, i + 4096)
-                held, data, cut = -1, b"", []
-                for r, a, b in zip(row[x].tolist(), (2 * (start - at[row]))[x].tolist(), (2 * (stop - at[row]))[x].tolist(), strict=True):
-                    if r != held:
-                        held, data = r, ids[r].as_py()
-                    cut.append(data[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(slot[x]), pa.array((start - number * length)[x].astype(np.int32)), pa.array(cut, pa.binary())], names=["slot", "pos", "ids"])
-
-    return table.mapInArrow(run, "slot long, pos int, ids binary")
+            first = 2 * (start - at[row])
+            of = np.append(0, np.cumsum(2 * n))[row] + first
+            # in the order of (range of PACK bytes, shard): each run of these is a row
+            part = of // PACK
+            order = np.lexsort((shard, part))
+            order = order[~np.isin(shard[order], list(done))]
+            new = np.flatnonzero((np.diff(part[order], prepend=-1) != 0) | (np.diff(shard[order], prepend=-1) != 0))
+            for i, j in zip(new.tolist(), [*new[1:].tolist(), len(order)], strict=False):  # a batch may have nothing to write
+                x = order[i:j]
+                cut = [memoryview(ids[r].as_buffer())[a : a + m] for r, a, m in zip(row[x].tolist(), first[x].tolist(), size[x].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(shard[x[:1]], pa.int64()), pa.array([place[x]], pa.list_(pa.int64())), pa.array([size[x]], pa.list_(pa.int64())),
+                        pa.array([pack.compress(b"".join(cut), asbytes=True)], pa.binary()),
+                    ],
+                    names=["shard", "at", "n", "ids"],
+                )
+
+    return table.mapInArrow(run, "shard long, at array<long>, n array<long>, ids binary")
 
 
 MANIFEST = "shard long, first_slot long, n_slots long, n_bytes long, sha256 string"
 
 
-def shards(rows: DataFrame, total: int, folder: str, done: set[int], length: int = LENGTH, slots: int = SLOTS, key: int = KEY) -> DataFrame:
-    """Writes the shards that are not done yet, each by one task and in slot order; returns their manifest rows.
+def shards(rows: DataFrame, total: int, folder: str, length: int = LENGTH, slots: int = SLOTS, key: int = KEY) -> DataFrame:
+    """Writes the shards that have rows, each by one task, which holds one shard's bytes; returns their manifest rows.
 
     Slots are ranges by construction: shard s has [s * slots, (s + 1) * slots), so rows go straight to their shard.
     """
     count, stride = -(-total // length), 2 * length
-    all_shards = -(-count // slots)
-    shard = F.floor(F.col("slot") / slots)
-    dealt = rows.withColumn("shard", shard).where(~F.col("shard").isin(*sorted(done))) if done else rows.withColumn("shard", shard)
-    dealt = dealt.repartitionById(max(1, all_shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "slot", "pos")
+    dealt = rows.repartitionById(max(1, -(-count // slots)), F.col("shard").cast("int"))
 
     def run(batches):
         system, base = files.FileSystem.from_uri(folder)
-        out = name = shard_ = None
-        size, sha = 0, hashlib.sha256()
-
-        def close():
-            first = shard_ * slots
-            n = min(slots, count - first)
-            tail = np.full((n * stride - size) // 2, END, "<u2").tobytes()
-            if len(tail) >= stride:
-                raise ValueError(f"shard {shard_} misses tokens")
-            out.write(tail)
-            sha.update(tail)
-            out.close()
-            system.move(name, f"{base}/shard-{shard_:08d}.{sha.hexdigest()}.bin")
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard_, first, n, n * stride, sha.hexdigest()), (*(pa.int64(),) * 4, pa.string()), strict=True)], names=["shard", "first_slot", "n_slots", "n_bytes", "sha256"])
-
-        # slot of the last sequence of the stream, and the tokens it has
-        pad_at = (int(feistel(np.array([count - 1]), count, key)[0]), total - (count - 1) * length)
+        pack = pa.Codec("zstd")
+        shard, places, sizes, data = None, [], [], None
         for batch in batches:
-            for s, slot, pos, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "pos", "ids")), strict=True):
-                if s != shard_:
-                    if out is not None:
-                        yield close()
-                    shard_, size, sha = s, 0, hashlib.sha256()
-                    system.create_dir(base, recursive=True)
-                    name = f"{base}/.{uuid.uuid4().hex}.part"
-                    out = system.open_output_stream(name)
-                at = (slot - s * slots) * stride + 2 * pos
-                if at != size:
-                    # only the last sequence of the stream is not full
-                    gap = np.full((at - size) // 2, END, "<u2").tobytes()
-                    if at < size or (slot - 1, length - len(gap) // 2) != pad_at:
-                        raise ValueError(f"slot {slot} does not follow what shard {s} has")
-                    out.write(gap)
-                    sha.update(gap)
-                    size = at
-                out.write(ids)
-                sha.update(ids)
-                size += len(ids)
-        if out is not None:
-            yield close()
+            for r in range(batch.num_rows):
+                s, at, n = batch.column("shard")[r].as_py(), *(np.asarray(batch.column(c)[r].values) for c in ("at", "n"))
+                if shard is None:
+                    shard, first, held = s, s * slots, min(slots, count - s * slots)
+                    data = np.full(held * length, END, "<u2")
+                    view = memoryview(data).cast("B")
+                if s != shard:
+                    raise ValueError(f"shards {shard} and {s} came to one task")
+                ids, a = memoryview(pack.decompress(batch.column("ids")[r].as_buffer(), decompressed_size=int(n.sum()), asbytes=True)), 0
+                for to, m in zip(at.tolist(), n.tolist(), strict=True):
+                    view[to : to + m] = ids[a : a + m]
+                    a += m
+                places.append(at)
+                sizes.append(n)
+        if shard is None:
+            return
+        # only the last sequence of the stream is not full
+        gap = 2 * (count * length - total) if first <= int(feistel(np.array([count - 1]), count, key)[0]) < first + held else 0
+        at, n = np.concatenate(places), np.concatenate(sizes)
+        order = np.argsort(at)
+        if int(n.sum()) != held * stride - gap or (at[order][1:] < (at + n)[order][:-1]).any():
+            raise ValueError(f"shard {shard} misses tokens, or has some twice")
+        system.create_dir(base, recursive=True)
+        name, sha = f"{base}/.{uuid.uuid4().hex}.part", hashlib.sha256(data).hexdigest()
+        with system.open_output_stream(name) as out:
+            out.write(data)
+        system.move(name, f"{base}/shard-{shard:08d}.{sha}.bin")
+        row = shard, first, held, held * stride, sha
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (*(pa.int64(),) * 4, pa.string()), strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
     return dealt.mapInArrow(run, MANIFEST)
 
@@ -347,7 +351,7 @@ def write(docs: DataFrame, folder: str, length: int = LENGTH, slots: int = SLOTS
     there = _whole_files(folder)
     size = {s: min(slots, count - s * slots) for s in range(-(-count // slots))}
     whole = {s: sha for s, (n, sha) in there.items() if s in size and n == size[s] * stride}
-    new = shards(fragments(table, before, total, length, key), total, f"{folder}/shards", set(whole), length, slots, key)
+    new = shards(fragments(table, before, total, set(whole), length, slots, key), total, f"{folder}/shards", length, slots, key)
     old = spark.createDataFrame([(s, s * slots, size[s], size[s] * stride, sha) for s, sha in whole.items()], MANIFEST)
     new.unionByName(old).write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")

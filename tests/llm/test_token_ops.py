@@ -169,3 +169,16 @@ def test_op10_query(spark, library):
     folder = "/root/testdata/sf0.001"
     want = {r.doc_id: hashlib.sha256(np.array(library.encode(r.text or ""), np.int32).tobytes()).hexdigest() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     assert {r.doc_id: r.ids_sha256 for r in pieces.op10_sentencepiece(spark, folder).collect()} == want
+
+
+def test_what_a_task_has_for_a_shard_is_one_packed_row(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('the same text again ', id % 50) AS text").coalesce(1)
+    table = tokenout._table(tokenout.encoded(docs), str(tmp_path / "encoded"))
+    before, total = tokenout.offsets(table)
+    rows = tokenout.fragments(table.coalesce(1), before, total, {1}, length=16, slots=400).collect()
+    assert sorted(r.shard for r in rows) == [s for s in range(-(-total // 6400)) if s != 1]
+    last = 2 * 16 * (-(-total // 16) % 400 or 400)
+    assert all(sum(r.n) in (12800, last, last - 2 * (-total % 16), 12800 - 2 * (-total % 16)) and len(r.ids) < sum(r.n) / 2 for r in rows)
+    some = spark.createDataFrame([r for r in rows if r.shard == 0] * 2, "shard long, at array<long>, n array<long>, ids binary")
+    with pytest.raises(Exception, match="misses tokens, or has some twice"):
+        tokenout.shards(some, total, str(tmp_path / "shards"), length=16, slots=400).collect()
