@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from messy import MESSY, awkward, frame
@@ -165,6 +166,35 @@ def test_every_word_goes_through_the_lattice(spark, library):
     assert {w for words in listed.values() for w in words} == {p for p in parts if len(p) <= pieces.LONG} and any(len(p) > pieces.LONG for p in parts)
 
 
+def test_words_and_parts_of_all_texts_at_once():
+    table, texts = pieces.pieces(), [*TEXTS, "", " ", "\n", " \n\n  a", "a\n b  ", "a▁ b", "▁", "x  \n y\u00a0z", "𝔘𝔫 ñ的,字"]
+    column = pieces._text(pa.array([None, *texts]))
+    n, which, words = pieces._split(column.slice(2))
+    words = words.to_pylist()
+    assert [words[i] for i in which] == [w for t in texts[1:] for w in pieces.words_of(t)] and n.tolist() == [len(pieces.words_of(t)) for t in texts[1:]]
+    n, which, parts, chars = pieces._cut(pa.array(words, pa.large_string()), table)
+    parts = parts.to_pylist()
+    assert [parts[i] for i in which] == [p for w in words for p in table.parts(w)] and n.tolist() == [len(table.parts(w)) for w in words]
+    assert chars.tolist() == [len(p) for p in parts]
+
+
+def test_texts_go_as_numbers_and_words_as_packs(spark):
+    """Less is dealt than the compressed texts with their words, and a row for a chunk's words of a bucket."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").coalesce(1)
+    chunks = pieces.chunked(docs, chunk=1 << 20).collect()
+    texts = b"".join(r.text.encode() for r in docs.collect() if r.text)
+    assert sum(len(r.blob) + len(r.pack) for r in chunks) < len(pa.compress(texts, "zstd", asbytes=True)) + sum(len(w.encode()) for r in chunks for w in r.words) / 2
+    dealt = pieces._encodings(spark.createDataFrame(chunks, pieces.chunked(docs).schema), pieces.pieces()).collect()
+    assert len(dealt) <= len(chunks) * 4 and sum(r.n for r in dealt) == sum(len(r.words) for r in chunks)
+
+
+def test_texts_are_cut_once(spark):
+    got = pieces.digest(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") >= 2
+
+
 def test_op10_query(spark, library):
     folder = "/root/testdata/sf0.001"
     want = {r.doc_id: hashlib.sha256(np.array(library.encode(r.text or ""), np.int32).tobytes()).hexdigest() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
