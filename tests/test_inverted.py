@@ -188,3 +188,50 @@ def test_slices_of_mixed_keys_give_blocks_in_order(monkeypatch):
     want = {(w, "t", k): [i for i, x in enumerate(t.split()) if x == w] for k, t in texts.items() for w in set(t.split())}
     gap = inverted.GAP  # two entries lie between the two that have b
     assert held == want | {("a", "l", k): [0] for k in keys if k % 2} | {("b", "l", k): [1, 2 + 2 * gap] for k in keys if k % 2}
+
+
+def test_words_and_documents_are_not_rows_while_they_are_dealt(spark, tmp_path):
+    many = {i: f"same word{i % 10} once{i}" for i in range(3000)}
+    index = inverted.Index(spark, str(tmp_path))
+    index.log.delete = lambda path: None  # so that what was dealt is left to count
+    index = index.add(frame(spark, many).coalesce(1), "k", {"t": F.col("t")})
+    assert spark.read.parquet(f"{index.state['segments'][0]['path']}/single").count() <= 8  # 3,011 words
+    assert found(index.scores(["word3", "once7"], ["t"])) == pytest.approx(plain_scores(many, ["word3", "once7"]))
+
+
+ODD = ["ΟΔΟΣ ΟΔΟΣ.α Σ σας", "İstanbul ISTANBUL ıI", "e\u0301te\u0301 \u0301 a\u0301", "x´y ¨ a¯b", "Straße ÆON œuvre ﬁn", "it’s “so”\u00a0ok\u2003em…end", "東京、大阪 ＡＢ１", "𝐀𝐁 𐐀 😀a😀", "½ ² x² ª", "a_b-c'd\te\nf\x00g", "", "…", "Кириллица ЁЖ", "ａ" * 40, "naïve NAÏVE naive"]
+
+
+def test_tokens_of_bytes_are_those_of_spark(spark):
+    import pyarrow as pa
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD * 2)], "k int, t string").coalesce(1)
+    low = F.when(F.contains("t", F.lit("Σ")), F.lower("t")).otherwise(F.col("t"))
+    rows = sorted(df.select("k", low.alias("t"), F.filter(F.split(inverted._spaced(F.col("t")), " "), lambda x: x != "").alias("w")).collect())
+    terms, code, text = inverted._tokens(pa.array(["skipped", *(r.t for r in rows)]).slice(1), inverted.letters(spark))
+    terms = terms.to_pylist()
+    assert terms == sorted(set(terms), key=str.encode)
+    got = {r.k: [] for r in rows}
+    for c, at in zip(code, text, strict=True):
+        got[at].append(terms[c])
+    assert got == {r.k: r.w for r in rows} and got[0][:2] == ["οδος", "οδοσ"] and got[2] == ["ete", "a"]
+
+
+def test_packs_of_a_range_are_merged_in_order_whatever_they_hold(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(inverted, "SLICE", 2000)
+    monkeypatch.setattr(inverted, "PACK", 3000)
+    texts = {k: " ".join(RANDOM.choices(["hot"] * 20 + [f"w{i}" for i in range(60)], k=k % 23)) for k in range(900)}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(list(texts.values()))], names=["key", "_f0"])
+    packs = [r for out in inverted._packed(inverted._parts(["t"])([batch])) for r in out.to_pylist()]
+    rows = sorted((r for r in packs if r["term"]), key=lambda r: (r["term"], r["lo"]))
+    assert sum(r["term"] == "hot" for r in rows) > 3
+    schema = pa.schema([("term", pa.string()), ("lo", pa.int64()), ("body", pa.binary())])
+    for most in (1, 20_000, 1 << 30):  # the first one lets everything go at once
+        monkeypatch.setattr(inverted, "MERGED", most)
+        blocks = list(inverted._merged([pa.RecordBatch.from_pylist(rows[:7], schema), pa.RecordBatch.from_pylist(rows[7:], schema)]))
+        held = {(r["term"], r["key"]): r["positions"] for out in inverted._postings_of(True)(blocks) for r in out.to_pylist()}
+        assert held == {(w, k): [i for i, x in enumerate(t.split()) if x == w] for k, t in texts.items() for w in set(t.split())}
+    count = {w: sum(w in t.split() for t in texts.values()) for w in {w for t in texts.values() for w in t.split()}}
+    assert sum(b.num_rows for b in blocks) == sum(-(-n // inverted.BLOCK) for n in count.values())
